@@ -28,6 +28,7 @@ from skycap.schemas import (
     CONUS,
     FIELD_KEYS,
     PRIMARY_VARIABLE,
+    REGION_MODEL_PAIRS,
     REGION_NAMES,
     region_dim,
     region_model_pairs,
@@ -70,13 +71,12 @@ def region_display_name(region: Column, default_region: Column) -> Column:
 
 # j01 ----------------------------------------------------------------------
 def request_work_list(dates: DataFrame, spark: SparkSession | None = None, regions: list[str] | None = None) -> DataFrame:
-    """Dates x (region, model) pairs.  The pair table is fixed at 11 rows so
-    the cross join is a broadcast nested loop with a bounded right side."""
-    spark = spark or dates.sparkSession
-    pairs = region_model_pairs(spark)
-    if regions is not None:  # p07
-        pairs = pairs.where(F.col("region").isin(regions))
-    return dates.crossJoin(F.broadcast(pairs))
+    """Dates x (region, model) pairs.  The pair list is a fixed constant, so
+    each date row is expanded with ``explode`` of a literal array: no join."""
+    pairs = [(i, r, m) for i, (r, m) in enumerate(REGION_MODEL_PAIRS) if regions is None or r in regions]  # p07
+    lit_pairs = F.array(*[F.struct(F.lit(i).alias("pair_seq"), F.lit(r).alias("region"), F.lit(m).alias("model"))
+                          for i, r, m in pairs])
+    return dates.select("*", F.explode(lit_pairs).alias("_p")).select("*", "_p.*").drop("_p")
 
 
 # j02 / p03 ----------------------------------------------------------------

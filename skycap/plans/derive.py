@@ -55,3 +55,82 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived grid with the scan-time NaN -> NULL rule applied."""
     g = grid_from_lineitem(table(spark, sf_dir, "lineitem"))
     return g.withColumn("raw_value", nan_to_null(F.col("raw_value")))
+
+
+# ---------------------------------------------------------------------------
+# Embedding evaluation set from `embeddings`: one sample per vector.
+#   image_emb = embedding; text_emb = normalise(e[j] + 0.3 * e[(j+1) mod d])
+#   metadata and caption are rendered from the vector's own components, so
+#   parse-based relevance is a function of the data.
+# ---------------------------------------------------------------------------
+def _comp(i: int):
+    return F.get(F.col("embedding"), i).cast("double")
+
+
+def emb_sample_fields(embeddings: DataFrame) -> DataFrame:
+    from skycap.schemas import REGION_NAMES
+
+    region = F.element_at(F.array(*[F.lit(r) for r in REGION_NAMES]), (F.col("label") % 10 + 1).cast("int"))
+    v = F.col("vec_id")
+    date = F.make_date((F.lit(2019) + v % 6).cast("int"), (F.lit(1) + v % 12).cast("int"), (F.lit(1) + v % 28).cast("int"))
+    t_mean = _comp(0) * F.lit(100.0) + F.lit(12.0)
+    w_mean = F.abs(_comp(3)) * F.lit(150.0)
+    p_mean = F.abs(_comp(4)) * F.lit(2.0)
+    h_mean = F.least(F.abs(_comp(5)) * F.lit(300.0), F.lit(100.0))
+    return embeddings.select(
+        v.alias("idx"),
+        F.concat(F.lit("sample_"), v.cast("string")).alias("sample_id"),
+        "label", "embedding",
+        region.alias("region"),
+        F.when(region == "Alaska", F.lit("hrrrak")).otherwise(F.lit("hrrr")).alias("model"),
+        date.alias("date"),
+        t_mean.alias("t_mean"),
+        (t_mean - (F.lit(5.0) + F.abs(_comp(1)) * F.lit(20.0))).alias("t_min"),
+        (t_mean + (F.lit(5.0) + F.abs(_comp(2)) * F.lit(20.0))).alias("t_max"),
+        F.when(v % 7 != 6, w_mean).alias("w_mean"),
+        F.when(v % 7 != 6, w_mean + F.abs(_comp(6)) * F.lit(40.0)).alias("w_max"),
+        p_mean.alias("p_mean"),
+        (p_mean + F.abs(_comp(7)) * F.lit(3.0)).alias("p_max"),
+        F.when(v % 5 != 4, h_mean).alias("h_mean"),
+        F.when(v % 5 != 4, h_mean * F.lit(0.5)).alias("h_min"),
+        F.when(v % 5 != 4, F.least(h_mean * F.lit(1.5), F.lit(100.0))).alias("h_max"),
+        (v % 3 == 0).alias("detailed"),
+    )
+
+
+def emb_caption(detailed_col=None):
+    from skycap.functions import captions as C
+
+    def part(simple, detailed):
+        return F.when(F.col("detailed"), detailed).otherwise(simple)
+
+    op = C.opening(F.col("region"), C.season_descriptor_from_month(F.month("date")),
+                   F.date_format("date", "dd MMM yyyy"))
+    temp = part(C.describe_temperature("t_mean", "t_min", "t_max", F.lit("°C")),
+                C.describe_temperature("t_mean", "t_min", "t_max", F.lit("°C"), detailed=True))
+    wind = F.when(F.col("w_mean").isNotNull(), part(C.describe_wind("w_mean", "w_max", F.lit("km/h")),
+                                                    C.describe_wind("w_mean", "w_max", F.lit("km/h"), detailed=True)))
+    prec = part(C.describe_precipitation("p_mean", "p_max", F.lit("mm")),
+                C.describe_precipitation("p_mean", "p_max", F.lit("mm"), detailed=True))
+    hum = F.when(F.col("h_mean").isNotNull(), part(C.describe_humidity("h_mean", "h_min", "h_max", F.lit("%")),
+                                                   C.describe_humidity("h_mean", "h_min", "h_max", F.lit("%"), detailed=True)))
+    return C.generate_caption(op, temp, wind, prec, hum)
+
+
+def emb_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding set: idx, sample_id, label, image_emb, text_emb, caption and
+    sample metadata (date string, model, region, season)."""
+    from skycap.functions import captions as C
+    from skycap.functions.vectors import l2_normalise, shifted_mix
+
+    f = emb_sample_fields(table(spark, sf_dir, "embeddings"))
+    return f.select(
+        "idx", "sample_id", "label",
+        F.col("embedding").alias("image_emb"),
+        l2_normalise(shifted_mix(F.col("embedding"), 0.3)).alias("text_emb"),
+        emb_caption().alias("caption"),
+        F.date_format("date", "yyyy-MM-dd").alias("date"),
+        "model", "region",
+        C.season_from_date(F.date_format("date", "yyyy-MM-dd")).alias("season"),
+        "t_mean", "w_mean", "h_mean", "p_mean",
+    )

@@ -51,7 +51,7 @@ GROUP BY ALL
 """)
 def s02(spark, sf):
     g = derive.grid(spark, sf)
-    req = g.select("variable").distinct().crossJoin(spark.range(2).select(F.col("id").cast("int").alias("requested_hour")))
+    req = g.select("variable").distinct().select("variable", F.explode(F.array(F.lit(0), F.lit(1))).alias("requested_hour"))
     req = req.withColumn("read_hour", SG.requested_forecast_hour(F.col("variable"), F.col("requested_hour")))
     counts = g.groupBy("variable", F.col("forecast_hour").alias("read_hour")).agg(F.count(F.lit(1)).alias("cells"))
     out = req.join(counts, ["variable", "read_hour"], "left").select(

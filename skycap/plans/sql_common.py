@@ -257,3 +257,186 @@ samples AS (
          {caption_expr()} AS caption
   FROM combined
 )"""
+
+
+# --- embedding evaluation set -------------------------------------------------
+def _e(i: int) -> str:
+    return f"CAST(embedding[{i + 1}] AS DOUBLE)"
+
+
+def _names_list(names) -> str:
+    return "[" + ", ".join(_lit(n) for n in names) + "]"
+
+
+def _pick(simple: str, detailed: str) -> str:
+    return f"(CASE WHEN detailed THEN {detailed} ELSE {simple} END)"
+
+
+def _emb_caption() -> str:
+    op = opening("region", "month(date)", "strftime(date, '%d %b %Y')")
+    temp = _pick(temp_simple("t_mean", "'°C'"), temp_detailed("t_mean", "t_min", "t_max", "'°C'"))
+    wind = f"CASE WHEN w_mean IS NOT NULL THEN {_pick(wind_simple('w_mean', chr(39) + 'km/h' + chr(39)), wind_detailed('w_mean', 'w_max', chr(39) + 'km/h' + chr(39)))} END"
+    prec = _pick(precip_simple("p_mean"), precip_detailed("p_mean", "p_max", "'mm'"))
+    hum = f"CASE WHEN h_mean IS NOT NULL THEN {_pick(humidity_simple('h_mean', chr(39) + '%' + chr(39)), humidity_detailed('h_mean', 'h_min', 'h_max', chr(39) + '%' + chr(39)))} END"
+    return (f"concat_ws('. ', {op}, {temp}, NULLIF({wind}, ''), NULLIF({prec}, ''), NULLIF({hum}, '')) || '.'")
+
+
+def _emb_fields() -> str:
+    from skycap.schemas import REGION_NAMES
+    return f"""
+ef AS (
+  SELECT vec_id AS idx, 'sample_' || CAST(vec_id AS VARCHAR) AS sample_id, label, embedding,
+    {_names_list(REGION_NAMES)}[label % 10 + 1] AS region,
+    CASE WHEN {_names_list(REGION_NAMES)}[label % 10 + 1] = 'Alaska' THEN 'hrrrak' ELSE 'hrrr' END AS model,
+    make_date(CAST(2019 + vec_id % 6 AS BIGINT), CAST(1 + vec_id % 12 AS BIGINT), CAST(1 + vec_id % 28 AS BIGINT)) AS date,
+    {_e(0)} * 100.0::DOUBLE + 12.0::DOUBLE AS t_mean,
+    ({_e(0)} * 100.0::DOUBLE + 12.0::DOUBLE) - (5.0::DOUBLE + abs({_e(1)}) * 20.0::DOUBLE) AS t_min,
+    ({_e(0)} * 100.0::DOUBLE + 12.0::DOUBLE) + (5.0::DOUBLE + abs({_e(2)}) * 20.0::DOUBLE) AS t_max,
+    CASE WHEN vec_id % 7 <> 6 THEN abs({_e(3)}) * 150.0::DOUBLE END AS w_mean,
+    CASE WHEN vec_id % 7 <> 6 THEN abs({_e(3)}) * 150.0::DOUBLE + abs({_e(6)}) * 40.0::DOUBLE END AS w_max,
+    abs({_e(4)}) * 2.0::DOUBLE AS p_mean,
+    abs({_e(4)}) * 2.0::DOUBLE + abs({_e(7)}) * 3.0::DOUBLE AS p_max,
+    CASE WHEN vec_id % 5 <> 4 THEN least(abs({_e(5)}) * 300.0::DOUBLE, 100.0::DOUBLE) END AS h_mean,
+    CASE WHEN vec_id % 5 <> 4 THEN least(abs({_e(5)}) * 300.0::DOUBLE, 100.0::DOUBLE) * 0.5::DOUBLE END AS h_min,
+    CASE WHEN vec_id % 5 <> 4 THEN least(least(abs({_e(5)}) * 300.0::DOUBLE, 100.0::DOUBLE) * 1.5::DOUBLE, 100.0::DOUBLE) END AS h_max,
+    vec_id % 3 = 0 AS detailed
+  FROM embeddings
+),
+em AS (
+  SELECT *, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + 0.3::DOUBLE * CAST(embedding[(i % len(embedding)) + 1] AS DOUBLE)) AS mix
+  FROM ef
+),
+es AS (
+  SELECT idx, sample_id, label, region, model, t_mean, w_mean, h_mean, p_mean,
+    CAST(embedding AS DOUBLE[]) AS image_emb,
+    list_transform(mix, lambda x: x / greatest(sqrt(list_sum(list_transform(mix, lambda y: y * y))), 1e-12::DOUBLE)) AS text_emb,
+    {_emb_caption()} AS caption,
+    strftime(date, '%Y-%m-%d') AS date
+  FROM em
+)"""
+
+
+EMB = "WITH " + _emb_fields()
+
+
+def region_parse(c: str) -> str:
+    from skycap.functions.parse import REGION_PATTERNS
+    whens = " ".join(f"WHEN contains(lower({c}), {_lit(p.lower())}) THEN {_lit(p)}" for p in REGION_PATTERNS)
+    return f"(CASE {whens} ELSE 'Unknown' END)"
+
+
+def first_term(c: str, terms) -> str:
+    whens = " ".join(f"WHEN contains(lower({c}), {_lit(t)}) THEN {_lit(t)}" for t in terms)
+    return f"(CASE {whens} ELSE 'Unknown' END)"
+
+
+def re_num(c: str, pattern: str, group: int = 1) -> str:
+    return f"TRY_CAST(NULLIF(regexp_extract({c}, {_lit(pattern)}, {group}), '') AS DOUBLE)"
+
+
+def season_parse(c: str) -> str:
+    from skycap.functions.parse import SEASON_PATTERN, SEASON_WORDS
+    p = _lit(SEASON_PATTERN)
+    return (f"(CASE WHEN regexp_extract(lower({c}), {p}, 1) <> '' THEN regexp_extract(lower({c}), {p}, 1) || ' ' || "
+            f"regexp_extract(lower({c}), {p}, 2) ELSE {first_term(c, SEASON_WORDS)} END)")
+
+
+def temp_range_parse(c: str) -> tuple[str, str]:
+    from skycap.functions.parse import TEMP_RANGE_PATTERNS
+    mins, maxs = [], []
+    for p in TEMP_RANGE_PATTERNS:
+        hit = f"regexp_extract({c}, {_lit(p)}, 0) <> ''"
+        mins.append(f"WHEN {hit} THEN {re_num(c, p, 1)}")
+        maxs.append(f"WHEN {hit} THEN {re_num(c, p, 2)}")
+    return "(CASE " + " ".join(mins) + " END)", "(CASE " + " ".join(maxs) + " END)"
+
+
+def parsed_columns(c: str) -> str:
+    from skycap.functions.parse import (AVG_TEMP_PATTERN, CONDITION_TERMS, DATE_PATTERN, HUMIDITY_PATTERN,
+                                        PRECIP_TERMS, WIND_PATTERN)
+    tmin, tmax = temp_range_parse(c)
+    return ",\n    ".join([
+        f"{region_parse(c)} AS p_region",
+        f"COALESCE(NULLIF(regexp_extract({c}, {_lit(DATE_PATTERN)}, 1), ''), 'Unknown') AS p_date",
+        f"{season_parse(c)} AS p_season",
+        f"{tmin} AS p_tmin", f"{tmax} AS p_tmax",
+        f"{re_num(c, AVG_TEMP_PATTERN)} AS p_avg_temperature",
+        f"{re_num(c, WIND_PATTERN)} AS p_wind_speed",
+        f"{first_term(c, PRECIP_TERMS)} AS p_precipitation",
+        f"{re_num(c, HUMIDITY_PATTERN)} AS p_humidity",
+        f"{first_term(c, CONDITION_TERMS)} AS p_conditions",
+    ])
+
+
+def season_idx(s: str) -> str:
+    last = f"list_last(string_split_regex(trim(replace({s}, 'autumn', 'fall')), '\\s+'))"
+    return f"(list_position(['winter', 'spring', 'summer', 'fall'], {last}) - 1)"
+
+
+EMB_PARSED = EMB + f""",
+ep AS (
+  SELECT *, {season_idx('p_season')} AS p_sidx FROM (SELECT es.*, {parsed_columns('caption')} FROM es)
+)"""
+
+
+def season_sim(a: str, b: str, ai: str, bi: str) -> str:
+    d = f"least(abs({ai} - {bi}), 4 - abs({ai} - {bi}))"
+    return (f"(CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {ai} IS NULL OR {bi} IS NULL THEN 0.0::DOUBLE "
+            f"WHEN {d} = 0 THEN 1.0::DOUBLE WHEN {d} = 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END)")
+
+
+def temp_sim(a: str, b: str) -> str:
+    return (f"(CASE WHEN abs({a} - {b}) <= 5.0::DOUBLE THEN 1.0::DOUBLE - abs({a} - {b}) / 5.0::DOUBLE "
+            f"ELSE 0.0::DOUBLE END)")
+
+
+def weather_sim(q: str, c: str) -> str:
+    reg = (f"(CASE WHEN {q}.p_region <> 'Unknown' AND {c}.p_region <> 'Unknown' THEN "
+           f"(CASE WHEN {q}.p_region = {c}.p_region THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END) ELSE 0.0::DOUBLE END)")
+    sea = (f"(CASE WHEN {q}.p_season <> 'Unknown' AND {c}.p_season <> 'Unknown' THEN "
+           f"{season_sim(q + '.p_season', c + '.p_season', q + '.p_sidx', c + '.p_sidx')} * 0.6::DOUBLE ELSE 0.0::DOUBLE END)")
+    tmp = (f"(CASE WHEN {q}.p_avg_temperature IS NOT NULL AND {c}.p_avg_temperature IS NOT NULL THEN "
+           f"{temp_sim(q + '.p_avg_temperature', c + '.p_avg_temperature')} * 0.7::DOUBLE ELSE 0.0::DOUBLE END)")
+    con = (f"(CASE WHEN {q}.p_conditions <> 'Unknown' AND {c}.p_conditions <> 'Unknown' THEN "
+           f"(CASE WHEN {q}.p_conditions = {c}.p_conditions THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) ELSE 0.0::DOUBLE END)")
+    return (f"(CASE WHEN {q}.caption = {c}.caption THEN 1.0::DOUBLE "
+            f"ELSE ((((0.0::DOUBLE + {reg}) + {sea}) + {tmp}) + {con}) / 2.6::DOUBLE END)")
+
+
+def pairs_cte(qv: str, cv: str, tag: str = "x") -> str:
+    """Brute-force pairs for the oracle only (small data)."""
+    return f""",
+pr_{tag} AS (
+  SELECT q.idx AS qid, c.idx AS cid, list_dot_product(q.{qv}, c.{cv}) AS sim,
+         CASE WHEN q.idx = c.idx THEN 1.0::DOUBLE ELSE {weather_sim('q', 'c')} END AS rel
+  FROM ep q, ep c
+),
+rk_{tag} AS (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, cid) AS r,
+            row_number() OVER (PARTITION BY qid ORDER BY rel DESC, cid) AS ir,
+            count(*) OVER (PARTITION BY qid) AS n
+  FROM pr_{tag}
+)"""
+
+
+def direction_metrics_sql(qv: str, cv: str, tag: str) -> str:
+    return pairs_cte(qv, cv, tag) + f""",
+pq_{tag} AS (
+  SELECT qid,
+    max(CASE WHEN cid = qid THEN r END) AS rank_true, max(n) AS n,
+    min(CASE WHEN rel >= 0.8::DOUBLE THEN r END) AS first_rel,
+    sum(CASE WHEN r <= least(5, n) THEN rel / log2(r + 1) ELSE 0.0 END) AS dcg5,
+    sum(CASE WHEN ir <= least(5, n) THEN rel / log2(ir + 1) ELSE 0.0 END) AS idcg5,
+    sum(CASE WHEN r <= least(10, n) THEN rel / log2(r + 1) ELSE 0.0 END) AS dcg10,
+    sum(CASE WHEN ir <= least(10, n) THEN rel / log2(ir + 1) ELSE 0.0 END) AS idcg10
+  FROM rk_{tag} GROUP BY qid
+),
+m_{tag} AS (
+  SELECT avg(CASE WHEN rank_true <= least(1, n) THEN 1.0 ELSE 0.0 END) AS {tag}_recall_at_1,
+         avg(CASE WHEN rank_true <= least(5, n) THEN 1.0 ELSE 0.0 END) AS {tag}_recall_at_5,
+         avg(CASE WHEN rank_true <= least(10, n) THEN 1.0 ELSE 0.0 END) AS {tag}_recall_at_10,
+         avg(COALESCE(1.0 / first_rel, 0.0)) AS {tag}_mrr,
+         avg(CASE WHEN idcg5 > 0 THEN dcg5 / idcg5 ELSE 0.0 END) AS {tag}_ndcg_at_5,
+         avg(CASE WHEN idcg10 > 0 THEN dcg10 / idcg10 ELSE 0.0 END) AS {tag}_ndcg_at_10
+  FROM pq_{tag}
+)"""
