@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skycap.plans.registry import ORACLE, QUERIES
 
-_MODULES = ["q_grid", "q_retrieval"]
+_MODULES = ["q_grid", "q_retrieval", "q_eval"]
 
 
 def _load() -> None:
