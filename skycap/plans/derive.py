@@ -134,3 +134,33 @@ def emb_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         C.season_from_date(F.date_format("date", "yyyy-MM-dd")).alias("season"),
         "t_mean", "w_mean", "h_mean", "p_mean",
     )
+
+
+# ---------------------------------------------------------------------------
+# Storm events from `orders`: urgent orders with key % 10 == 0, dated +24 years
+# (2019-2025).  Regions: one or two of the 11 storm regions (or an unmapped
+# name); file order = order key.
+# ---------------------------------------------------------------------------
+def storms_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skycap.schemas import CONUS, REGION_NAMES
+
+    names = F.array(*[F.lit(r) for r in REGION_NAMES + [CONUS]])
+    o = table(spark, sf_dir, "orders").where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 10 == 0))
+    ck = F.col("o_custkey")
+    r1 = F.element_at(names, (ck % 11 + 1).cast("int"))
+    r2 = F.element_at(names, (F.floor(ck / 4) % 11 + 1).cast("int"))
+    regions = F.when(ck % 13 == 0, F.lit("Gulf Coast")).when(ck % 4 == 0, F.concat(r1, F.lit(", "), r2)).otherwise(r1)
+    d = F.to_date("o_orderdate")
+    start = F.make_date(F.year(d) + 24, F.month(d), F.dayofmonth(d))
+    end = F.date_add(start, (F.col("o_orderkey") % 7).cast("int"))
+    return o.select(
+        F.col("o_orderkey").alias("seq"),
+        F.concat(F.lit("Storm "), F.col("o_orderkey").cast("string")).alias("Hurricane"),
+        regions.alias("Regions"),
+        F.date_format(start, "MMM dd, yyyy").alias("Start Date"),
+        F.date_format(end, "MMM dd, yyyy").alias("End Date"),
+    )
+
+
+def probe_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emb_samples(spark, sf_dir)
