@@ -164,3 +164,55 @@ def storms_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def probe_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emb_samples(spark, sf_dir)
+
+
+# ---------------------------------------------------------------------------
+# Training-record JSONL lines from the embedding set, with defects by index:
+#   idx % 17 == 3 malformed JSON      idx % 19 == 5 missing "date"
+#   idx % 23 == 7 extra key           idx % 29 == 11 "date": null
+#   idx % 13 == 6 metadata w/o region idx % 7 == 2 caption padded with spaces
+#   idx % 9 == 8 bare file name       idx % 11 == 4 image file missing
+# ---------------------------------------------------------------------------
+GENERATION_TIME = "2024-01-01T00:00:00"
+
+
+def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = emb_samples(spark, sf_dir)
+    i = F.col("idx")
+    cap = F.when(i % 7 == 2, F.concat(F.lit("  "), F.col("caption"), F.lit(" "))).otherwise(F.col("caption"))
+    img = F.when(i % 9 == 8, F.concat("sample_id", F.lit(".png"))).otherwise(F.concat(F.lit("images/"), "sample_id", F.lit(".png")))
+    domain = F.when(F.col("model") == "hrrrak", F.lit("alaska")).otherwise(F.lit("conus"))
+    return s.select("idx", "sample_id", "caption", "date", "model", "region", "season",
+                    cap.alias("caption_out"), img.alias("image_path"), domain.alias("domain"))
+
+
+def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = record_fields(spark, sf_dir)
+    i = F.col("idx")
+    domain = F.col("domain")
+    meta_full = F.struct(F.col("region").alias("region"), domain.alias("domain"), F.lit(GENERATION_TIME).alias("generation_time"))
+    meta_noreg = F.struct(domain.alias("domain"), F.lit(GENERATION_TIME).alias("generation_time"))
+    opts = {"ignoreNullFields": "false"}
+
+    def js(meta, *, date=True, extra=False):
+        cols = [F.col("image_path"), F.col("caption_out").alias("caption"), F.col("sample_id"),
+                F.lit("temperature").alias("variable"), F.col("model")]
+        if date:
+            cols.append(F.when(i % 29 == 11, F.lit(None).cast("string")).otherwise(F.col("date")).alias("date"))
+        cols.append(meta.alias("metadata"))
+        if extra:
+            cols.append(F.lit(1).alias("quality"))
+        return F.to_json(F.struct(*cols), opts)
+
+    full = F.when(i % 13 == 6, js(meta_noreg)).otherwise(js(meta_full))
+    missing = F.when(i % 13 == 6, js(meta_noreg, date=False)).otherwise(js(meta_full, date=False))
+    extra = F.when(i % 13 == 6, js(meta_noreg, extra=True)).otherwise(js(meta_full, extra=True))
+    value = (F.when(i % 17 == 3, F.expr("substring(_full, 1, length(_full) - 2)"))
+             .when(i % 19 == 5, missing).when(i % 23 == 7, extra).otherwise(full))
+    return f.withColumn("_full", full).select("idx", "sample_id", value.alias("value"))
+
+
+def image_listing(spark: SparkSession, sf_dir: str, base_dir: str) -> DataFrame:
+    """Paths of the image files that exist: every sample but idx % 11 == 4."""
+    s = emb_samples(spark, sf_dir).where(F.col("idx") % 11 != 4)
+    return s.select(F.concat(F.lit(base_dir.rstrip("/") + "/images/"), "sample_id", F.lit(".png")).alias("path"))
