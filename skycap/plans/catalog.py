@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skycap.plans.registry import ORACLE, QUERIES
 
-_MODULES = ["q_grid", "q_retrieval", "q_eval", "q_probe", "q_io", "q_misc"]
+_MODULES = ["q_grid", "q_retrieval", "q_eval", "q_probe", "q_io", "q_misc", "q_cluster"]
 
 
 def _load() -> None:
