@@ -99,7 +99,7 @@ def _sil_kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def silhouette_per_point(df: DataFrame, label: str = "cluster", col: str = "x", id_col: str = "idx",
-                         block_rows: int = 2048) -> DataFrame:
+                         block_rows: int | None = None) -> DataFrame:
     """Exact euclidean silhouette of every point (singleton cluster -> 0)."""
     n = df.count()
     q = df.select(F.col(id_col).alias("qid"), F.col(col).cast("array<double>").alias("q_vec"))
@@ -118,7 +118,7 @@ def silhouette_per_point(df: DataFrame, label: str = "cluster", col: str = "x",
     return agg.select("qid", s.alias("silhouette"))
 
 
-def silhouette(df: DataFrame, label: str = "cluster", col: str = "x", id_col: str = "idx", block_rows: int = 2048) -> float:
+def silhouette(df: DataFrame, label: str = "cluster", col: str = "x", id_col: str = "idx", block_rows: int | None = None) -> float:
     """Mean silhouette; -1 with fewer than two clusters (noise counts as a cluster)."""
     k = df.select(label).distinct().count()
     if k < 2:
@@ -205,7 +205,7 @@ def argmax_k(metrics: DataFrame, score: str) -> DataFrame:
 
 # ml03 ------------------------------------------------------------------------
 def find_optimal_k(df: DataFrame, k_range: tuple[int, int] = (2, 15), *, method: str = "kmeans", n_init: int = 10,
-                   seed: int = 42, col: str = "x", id_col: str = "idx", block_rows: int = 2048) -> DataFrame:
+                   seed: int = 42, col: str = "x", id_col: str = "idx", block_rows: int | None = None) -> DataFrame:
     """Silhouette, Calinski-Harabasz and inertia for every k in the range."""
     if method != "kmeans":
         raise NotImplementedError(f"Method '{method}' is not implemented; use kmeans")
@@ -236,7 +236,7 @@ def _nb_kernel(eps: float):
     return kernel
 
 
-def neighbour_counts(df: DataFrame, eps: float, col: str = "x", id_col: str = "idx", block_rows: int = 2048) -> DataFrame:
+def neighbour_counts(df: DataFrame, eps: float, col: str = "x", id_col: str = "idx", block_rows: int | None = None) -> DataFrame:
     """j11: points within cosine distance ``eps`` (the point itself included)."""
     n = df.count()
     q = df.select(F.col(id_col).alias("qid"), F.col(col).cast("array<double>").alias("q_vec"))
@@ -314,7 +314,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
 
 
 def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, col: str = "x", id_col: str = "idx",
-           block_rows: int = 2048) -> DataFrame:
+           block_rows: int | None = None) -> DataFrame:
     """ml05: (idx, cluster) with noise = -1 (cosine metric)."""
     n = df.count()
     counts = neighbour_counts(df, eps, col, id_col, block_rows)

@@ -19,7 +19,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skycap.functions import captions as C
@@ -29,6 +29,7 @@ from skycap.schemas import (
     FIELD_KEYS,
     PRIMARY_VARIABLE,
     REGION_MODEL_PAIRS,
+    REGIONS,
     REGION_NAMES,
     region_dim,
     region_model_pairs,
@@ -80,18 +81,33 @@ def request_work_list(dates: DataFrame, spark: SparkSession | None = None, regio
 
 
 # j02 / p03 ----------------------------------------------------------------
+def region_tags(lon: Column, lat: Column) -> Column:
+    """Whole-field tag plus the name of every region box containing
+    (lon, lat) (inclusive on all four sides), NULL for the others.  The box
+    table is a fixed 10-entry constant, so the range join becomes plain
+    comparisons in the scan's projection (whole-stage codegen, one pass, no
+    join, no shuffle)."""
+    tags = [F.lit(WHOLE_FIELD)]
+    for n, a, b, c, d, _ in REGIONS:
+        tags.append(F.when(lon.between(a, b) & lat.between(c, d), F.lit(n)))
+    return F.array(*tags)
+
+
 def tag_regions(cells: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Range join every cell to all region boxes containing it (inclusive on
-    all four sides) and add one whole-field row per cell.
+    """One row per (cell, tag): the whole-field tag and every box containing
+    the cell.  Output: cell columns + ``region``."""
+    return cells.withColumn("region", F.explode(region_tags(F.col("lon"), F.col("lat")))).where(F.col("region").isNotNull())
+
 
-    Output: cell columns + ``region`` (a box name or ``__field__``)."""
+def tag_regions_join(cells: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Same result as ``tag_regions`` through a broadcast range join, for box
+    tables that are data rather than constants (hundreds of boxes)."""
     spark = spark or cells.sparkSession
     boxes = F.broadcast(region_dim(spark).select("name", "lon0", "lon1", "lat0", "lat1"))
     in_box = (cells.join(boxes, F.col("lon").between(F.col("lon0"), F.col("lon1"))
                          & F.col("lat").between(F.col("lat0"), F.col("lat1")))
               .withColumn("region", F.col("name")).drop("name", "lon0", "lon1", "lat0", "lat1"))
-    whole = cells.withColumn("region", F.lit(WHOLE_FIELD))
-    return whole.unionByName(in_box)
+    return cells.withColumn("region", F.lit(WHOLE_FIELD)).unionByName(in_box)
 
 
 # a01-a08 ------------------------------------------------------------------
@@ -141,40 +157,68 @@ STAT_COLUMNS = ["min", "max", "mean", "std", "median", "range", "var", "skewness
 
 
 # a09 ----------------------------------------------------------------------
+def _pair_regions(model: Column) -> Column:
+    """Regions paired with the model (fixed constant list)."""
+    by_model: dict[str, list[str]] = {}
+    for r, m in REGION_MODEL_PAIRS:
+        by_model.setdefault(m, []).append(r)
+    expr = F.array().cast("array<string>")
+    for m, regs in by_model.items():
+        expr = F.when(model == m, F.array(*[F.lit(r) for r in regs])).otherwise(expr)
+    return expr
+
+
 def field_statistics(grid: DataFrame, spark: SparkSession | None = None, percentiles: str = "exact") -> DataFrame:
     """Statistics of every field for every (region, model) pair of its model.
 
     ``Continental US`` is the whole field; other regions mask by their box.
     Masked-out cells count as missing, so ``count_valid + count_missing`` is
     the field's cell count.  Regions with no cells keep a row with NULL
-    statistics and ``count_valid = 0``."""
+    statistics and ``count_valid = 0``.
+
+    Plan: one grouped aggregate (plus the MAD pass); the per-group table is
+    consumed once: a window over each field's few group rows supplies the
+    field's cell count and present regions, and one ``explode`` maps the
+    whole-field row to ``Continental US`` and to the empty paired regions.
+    GRIB name and domain are constant per field and ride along as grouping
+    keys (no string aggregation)."""
     spark = spark or grid.sparkSession
-    cells = convert_units(wrap_longitude(grid), spark)
-    tagged = tag_regions(cells.select(*FIELD_KEYS, "lat", "lon", "value"), spark)
-    stats = grouped_statistics(tagged, GROUP_KEYS, "value", percentiles)
-
-    # Descriptors per field (unit, description, grib name, domain).
-    fields = (cells.groupBy(*FIELD_KEYS)
-              .agg(F.first("unit").alias("unit"), F.first("description").alias("description"),
-                   F.first("grib_name", ignorenulls=True).alias("grib_name"),
-                   F.first("domain", ignorenulls=True).alias("domain")))
-    totals = stats.where(F.col("region") == WHOLE_FIELD).select(*FIELD_KEYS, F.col("cells").alias("total_cells"))
-    pairs = F.broadcast(region_model_pairs(spark).select("region", "model"))
-    frame = totals.join(pairs, "model")
-    lookup = F.when(F.col("region") == CONUS, F.lit(WHOLE_FIELD)).otherwise(F.col("region"))
-    frame = frame.withColumn("_stat_region", lookup)
-    s = stats.withColumnRenamed("region", "_stat_region").drop("cells")
-    out = frame.join(s, FIELD_KEYS + ["_stat_region"], "left").join(fields, FIELD_KEYS, "left")
+    cells = wrap_longitude(grid)
+    vd = variable_dim(spark)
+    conv = F.broadcast(vd.select("variable", "conversion_factor", "conversion_offset"))
+    value = (F.col("raw_value") + F.coalesce("conversion_offset", F.lit(0.0))) * F.coalesce("conversion_factor", F.lit(1.0))
+    # NULL-free keys so the MAD pass can equi-join on them
+    cells = cells.join(conv, "variable", "left").select(
+        *FIELD_KEYS, F.coalesce("grib_name", F.lit("Unknown")).alias("grib_name"),
+        F.coalesce("domain", F.lit("")).alias("domain"), "lat", "lon", value.alias("value"))
+    fkeys = FIELD_KEYS + ["grib_name", "domain"]
+    stats = grouped_statistics(tag_regions(cells), fkeys + ["region"], "value", percentiles)
+
+    w = Window.partitionBy(*fkeys)
+    is_whole = F.col("region") == WHOLE_FIELD
+    ws = stats.select("*", F.max(F.when(is_whole, F.col("cells"))).over(w).alias("total_cells"),
+                      F.collect_set(F.when(~is_whole, F.col("region"))).over(w).alias("_present"))
+    paired = _pair_regions(F.col("model"))
+    empty = F.array_except(F.filter(paired, lambda r: r != CONUS), F.col("_present"))
+    whole_out = F.concat(F.when(F.array_contains(paired, CONUS), F.array(F.struct(F.lit(CONUS).alias("r"), F.lit(True).alias("s"))))
+                         .otherwise(F.array().cast("array<struct<r:string,s:boolean>>")),
+                         F.transform(empty, lambda r: F.struct(r.alias("r"), F.lit(False).alias("s"))))
+    box_out = F.when(F.array_contains(paired, F.col("region")),
+                     F.array(F.struct(F.col("region").alias("r"), F.lit(True).alias("s")))).otherwise(
+        F.array().cast("array<struct<r:string,s:boolean>>"))
+    out = ws.select("*", F.explode(F.when(is_whole, whole_out).otherwise(box_out)).alias("_o"))
+    keep = F.col("_o.s")
+    out = out.join(F.broadcast(vd.select("variable", "unit", "description")), "variable", "left")
     return out.select(
-        *FIELD_KEYS, "region",
-        *STAT_COLUMNS,
-        F.coalesce("count_valid", F.lit(0)).cast("long").alias("count_valid"),
-        (F.col("total_cells") - F.coalesce("count_valid", F.lit(0))).cast("long").alias("count_missing"),
+        *FIELD_KEYS, F.col("_o.r").alias("region"),
+        *[F.when(keep, F.col(c)).alias(c) for c in STAT_COLUMNS],
+        F.when(keep, F.col("count_valid")).otherwise(F.lit(0)).cast("long").alias("count_valid"),
+        (F.col("total_cells") - F.when(keep, F.col("count_valid")).otherwise(F.lit(0))).cast("long").alias("count_missing"),
         "unit", "description",
         C.valid_time_string(F.col("valid_time")).alias("valid_time_str"),
         F.upper("model").alias("model_upper"),
-        F.coalesce("grib_name", F.lit("Unknown")).alias("grib_name"),
-        "domain",
+        "grib_name",
+        F.nullif(F.col("domain"), F.lit("")).alias("domain"),
     )
 
 

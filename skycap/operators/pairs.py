@@ -30,14 +30,29 @@ def n_blocks(n_rows: int, block_rows: int) -> int:
     return max(1, math.ceil(n_rows / block_rows))
 
 
+MAX_BLOCK_ROWS = 4096
+MIN_BLOCK_ROWS = 128
+
+
+def auto_block_rows(n_rows: int, parallelism: int) -> int:
+    """Block size giving at least ~2 block pairs per core (so small inputs
+    still use the whole cluster), capped so one task's working set stays
+    bounded (MAX_BLOCK_ROWS^2 scores) whatever the data size."""
+    per_side = max(1, math.ceil(math.sqrt(2 * max(1, parallelism))))
+    return int(min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, math.ceil(n_rows / per_side))))
+
+
 def block_pairs(queries: DataFrame, cands: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-                schema: str, *, block_rows: int = 2048, q_rows: int | None = None, c_rows: int | None = None,
+                schema: str, *, block_rows: int | None = None, q_rows: int | None = None, c_rows: int | None = None,
                 seed: int = 17) -> DataFrame:
     """Run ``kernel(query_block_pdf, cand_block_pdf) -> partials_pdf`` on every
     block pair.  ``queries`` needs ``qid``; ``cands`` needs ``cid``.  Row
-    counts may be passed to avoid the two (cheap, distributed) counts."""
+    counts may be passed to avoid the two (cheap, distributed) counts.
+    ``block_rows=None`` sizes blocks from the data and the parallelism."""
     qn = q_rows if q_rows is not None else queries.count()
     cn = c_rows if c_rows is not None else cands.count()
+    if block_rows is None:
+        block_rows = auto_block_rows(max(qn, cn), queries.sparkSession.sparkContext.defaultParallelism)
     Q, C = n_blocks(qn, block_rows), n_blocks(cn, block_rows)
     q = (queries.withColumn("qblk", F.pmod(F.xxhash64("qid", F.lit(seed)), F.lit(Q)).cast("int"))
          .withColumn("cblk", F.explode(F.sequence(F.lit(0), F.lit(C - 1)))))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from skycap.functions import parse as P
 from skycap.functions.scoring import dot, np_relevance, season_index
 from skycap.operators.pairs import block_pairs, order_desc, stack
+from skycap.session import ensure_checkpoint_dir
 
 DEFAULT_K = [1, 5, 10]
 
@@ -126,14 +127,25 @@ def _phase2_kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"qid": qpdf["qid"].to_numpy(np.int64), "above_best": above.sum(axis=1).astype(np.int64)})
 
 
+def materialise_samples(samples: DataFrame, vec_cols: tuple[str, ...] = ("image_emb", "text_emb")) -> DataFrame:
+    """Project what the kernel needs and write it to the checkpoint folder
+    once: every later pass (counts, both phases, both directions) reads it
+    instead of re-deriving and re-parsing, and lineage stays short."""
+    ensure_checkpoint_dir(samples.sparkSession)
+    cols = ["idx", *vec_cols, *_FEATS]
+    return samples.select(*cols).checkpoint(eager=True)
+
+
 def ranked_partials(samples: DataFrame, query_vec: str, cand_vec: str, *, k_max: int = 10,
-                    threshold: float = 0.8, block_rows: int = 2048) -> DataFrame:
+                    threshold: float = 0.8, block_rows: int | None = None, materialise: bool = True) -> DataFrame:
     """Per-query merged partials for one direction.
 
     ``samples`` needs ``idx`` (unique id), the two vector columns and parse
     features (``parse_features``).  Output: qid, n, rank_true, rank_first_rel,
     top (array of (neg_sim, cid, rel) sorted best first, K long), ideal
     (K best relevances), pos_n, pos_sum, pos_max."""
+    if materialise:
+        samples = materialise_samples(samples, (query_vec, cand_vec))
     n = samples.count()
     q = _side(samples, "qid", query_vec, "q_", [dot(query_vec, cand_vec).alias("qself")])
     c = _side(samples, "cid", cand_vec, "c_")
@@ -182,21 +194,24 @@ def per_query_metrics(partials: DataFrame, k_values: list[int] | None = None, k_
 
 
 def direction_metrics(samples: DataFrame, query_vec: str, cand_vec: str, *, k_values=None, threshold: float = 0.8,
-                      block_rows: int = 2048) -> DataFrame:
+                      block_rows: int | None = None, materialise: bool = True) -> DataFrame:
     k_values = k_values or DEFAULT_K
     k_max = max(k_values + [5, 10])
-    parts = ranked_partials(samples, query_vec, cand_vec, k_max=k_max, threshold=threshold, block_rows=block_rows)
+    parts = ranked_partials(samples, query_vec, cand_vec, k_max=k_max, threshold=threshold, block_rows=block_rows,
+                            materialise=materialise)
     return per_query_metrics(parts, k_values)
 
 
-def retrieval_report(samples: DataFrame, *, k_values=None, threshold: float = 0.8, block_rows: int = 2048) -> DataFrame:
+def retrieval_report(samples: DataFrame, *, k_values=None, threshold: float = 0.8, block_rows: int | None = None) -> DataFrame:
     """a18: Recall@k, MRR and nDCG@{5,10} for image->text and text->image and
     their means, as one row (``k_values`` honoured)."""
     k_values = k_values or DEFAULT_K
     metric_names = [f"recall_at_{k}" for k in k_values] + ["mrr", "ndcg_at_5", "ndcg_at_10"]
+    samples = materialise_samples(samples)
 
     def agg(direction: str, qv: str, cv: str) -> DataFrame:
-        m = direction_metrics(samples, qv, cv, k_values=k_values, threshold=threshold, block_rows=block_rows)
+        m = direction_metrics(samples, qv, cv, k_values=k_values, threshold=threshold, block_rows=block_rows,
+                              materialise=False)
         src = [f"hit_at_{k}" for k in k_values] + ["rr", "ndcg_at_5", "ndcg_at_10"]
         return m.agg(*[F.avg(s).alias(f"{direction}_{n}") for s, n in zip(src, metric_names)])
 
