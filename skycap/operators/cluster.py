@@ -249,7 +249,9 @@ EDGE_SCHEMA = "src long, dst long"
 
 
 def _forest_kernel(eps: float):
-    """Core-core links of one block pair reduced to a spanning forest."""
+    """Core-core links of one block pair reduced to stars: every node of a
+    local component links to the component's smallest id (at most one edge
+    per node, so output is O(block) whatever the density)."""
     def kernel(qpdf, cpdf):
         q, c = _unit(stack(qpdf["q_vec"])), _unit(stack(cpdf["c_vec"]))
         qid, cid = qpdf["qid"].to_numpy(np.int64), cpdf["cid"].to_numpy(np.int64)
@@ -264,16 +266,17 @@ def _forest_kernel(eps: float):
                 x = parent[x]
             return x
 
-        src, dst = [], []
         for a, b in zip(qid[ii], cid[jj]):
-            if a == b:
-                continue
             ra, rb = find(pos[a]), find(pos[b])
             if ra != rb:
-                parent[ra] = rb
-                src.append(a)
-                dst.append(b)
-        return pd.DataFrame({"src": np.array(src, dtype=np.int64), "dst": np.array(dst, dtype=np.int64)})
+                # keep the smaller node index as root: roots are component minima
+                if ra < rb:
+                    parent[rb] = ra
+                else:
+                    parent[ra] = rb
+        roots = np.array([find(i) for i in range(len(nodes))])
+        linked = roots != np.arange(len(nodes))
+        return pd.DataFrame({"src": nodes[linked], "dst": nodes[roots[linked]]})
     return kernel
 
 
@@ -305,7 +308,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
             "id", F.least("comp", F.coalesce("c", F.col("comp"))).alias("comp"))
         jump = new.join(new.select(F.col("id").alias("comp"), F.col("comp").alias("c2")), "comp", "left").select(
             "id", F.least("comp", F.coalesce("c2", F.col("comp"))).alias("comp"))
-        jump = jump.checkpoint(eager=True)
+        jump = jump.checkpoint(eager=True)  # lineage cut every round
         changed = jump.join(lab.withColumnRenamed("comp", "old"), "id").where(F.col("comp") != F.col("old")).limit(1).count()
         lab = jump
         if changed == 0:
