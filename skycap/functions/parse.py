@@ -44,8 +44,13 @@ def _first_substring(text: Column, terms: list[str], out: list[str] | None = Non
     return F.coalesce(*[F.when(text.contains(t), F.lit(o)) for t, o in zip(terms, out)], F.lit(UNKNOWN))
 
 
-def _number(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("double")
+def _number(text: Column, pattern: str, group: int = 1, guard: str | None = None, guard_lower: bool = False) -> Column:
+    """Regex number; ``guard`` is a literal the pattern cannot match without,
+    checked first with a plain substring search (most long texts skip the regex)."""
+    extracted = F.regexp_extract(text, pattern, group)
+    if guard is not None:
+        extracted = F.when((F.lower(text) if guard_lower else text).contains(guard), extracted)
+    return F.nullif(extracted, F.lit("")).try_cast("double")
 
 
 def extract_region(caption) -> Column:                      # x01
@@ -69,15 +74,15 @@ def extract_temperature_range(caption) -> Column:           # x04
     found = [F.when(F.regexp_extract(c, p, 0) != "",
                     F.struct(_number(c, p, 1).alias("min"), _number(c, p, 2).alias("max")))
              for p in TEMP_RANGE_PATTERNS]
-    return F.coalesce(*found)
+    return F.when(c.contains("°C"), F.coalesce(*found))
 
 
 def extract_avg_temperature(caption) -> Column:             # x05
-    return _number(_c(caption), AVG_TEMP_PATTERN)
+    return _number(_c(caption), AVG_TEMP_PATTERN, guard="°C")
 
 
 def extract_wind_speed(caption) -> Column:                  # x06
-    return _number(_c(caption), WIND_PATTERN)
+    return _number(_c(caption), WIND_PATTERN, guard="km/h", guard_lower=True)
 
 
 def extract_precipitation(caption) -> Column:               # x07
@@ -85,7 +90,7 @@ def extract_precipitation(caption) -> Column:               # x07
 
 
 def extract_humidity(caption) -> Column:                    # x08
-    return _number(_c(caption), HUMIDITY_PATTERN)
+    return _number(_c(caption), HUMIDITY_PATTERN, guard="humidity (")
 
 
 def extract_conditions(caption) -> Column:                  # x09

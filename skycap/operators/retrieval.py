@@ -45,10 +45,11 @@ def parse_features(df: DataFrame, caption: str = "caption") -> DataFrame:
 
 
 _FEATS = ["f_region", "f_season", "f_temp", "f_cond", "caption"]
+VECS = ("image_emb", "text_emb")
 
 
-def _side(df: DataFrame, id_name: str, vec: str, prefix: str, extra: list[Column] | None = None) -> DataFrame:
-    cols = [F.col("idx").alias(id_name), F.col(vec).cast("array<double>").alias(f"{prefix}vec")]
+def _side(df: DataFrame, id_name: str, prefix: str, extra: list[Column] | None = None) -> DataFrame:
+    cols = [F.col("idx").alias(id_name)] + [F.col(v).cast("array<double>").alias(f"{prefix}{v}") for v in VECS]
     cols += [F.col(c).alias(f"{prefix}{c}") for c in _FEATS]
     return df.select(*cols, *(extra or []))
 
@@ -66,92 +67,112 @@ def _feat(pdf: pd.DataFrame, prefix: str, id_name: str, codes: dict) -> dict:
 
 def _codes(qpdf, cpdf):
     allcap = pd.concat([qpdf["q_caption"], cpdf["c_caption"]], ignore_index=True)
-    uniq = pd.unique(allcap)
-    return {c: i for i, c in enumerate(uniq)}
+    return {c: i for i, c in enumerate(pd.unique(allcap))}
 
 
-PHASE1_SCHEMA = ("qid long, n long, better_self long, best_sim double, best_cid long, "
+PHASE1_SCHEMA = ("dir string, qid long, n long, better_self long, best_sim double, best_cid long, "
                  "top array<struct<neg_sim:double,cid:long,rel:double>>, ideal array<double>, "
                  "pos_n long, pos_sum double, pos_max double")
 
 
-def _phase1_kernel(k_max: int, threshold: float):
+def _phase1_kernel(k_max: int, threshold: float, directions: list[tuple[str, str, str]]):
+    """Every direction of one block pair in one task; the relevance matrix is
+    computed once (it is symmetric in the two captions)."""
     def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         codes = _codes(qpdf, cpdf)
         qf, cf = _feat(qpdf, "q_", "qid", codes), _feat(cpdf, "c_", "cid", codes)
-        sim = stack(qpdf["q_vec"]) @ stack(cpdf["c_vec"]).T
         rel = np_relevance(qf, cf)
         qid, cid = qf["id"], cf["id"]
+        nq = len(qid)
+        rows = np.arange(nq)
         qself = qpdf["qself"].to_numpy(np.float64)
         not_self = cid[None, :] != qid[:, None]
-        better = ((sim > qself[:, None]) | ((sim == qself[:, None]) & (cid[None, :] < qid[:, None]))) & not_self
         relevant = rel >= threshold
-        masked = np.where(relevant, sim, -np.inf)
-        order = order_desc(masked, cid)
-        first = order[:, 0]
-        has_rel = relevant[np.arange(len(qid)), first]
         k = min(k_max, len(cid))
-        top = order_desc(sim, cid)[:, :k]
-        rows = np.arange(len(qid))[:, None]
-        top_sim, top_cid, top_rel = sim[rows, top], cid[top], rel[rows, top]
         ideal = -np.sort(-rel, axis=1)[:, :k]
         pos = rel > 0
-        out = pd.DataFrame({
-            "qid": qid,
-            "n": np.full(len(qid), len(cid), dtype=np.int64),
-            "better_self": better.sum(axis=1).astype(np.int64),
-            "best_sim": np.where(has_rel, sim[np.arange(len(qid)), first], np.nan),
-            "best_cid": pd.array(np.where(has_rel, cid[first], 0), dtype="Int64"),
-            "top": [[{"neg_sim": -s, "cid": int(c), "rel": r} for s, c, r in zip(a, b, d)]
-                    for a, b, d in zip(top_sim, top_cid, top_rel)],
-            "ideal": list(ideal),
-            "pos_n": pos.sum(axis=1).astype(np.int64),
-            "pos_sum": np.where(pos, rel, 0.0).sum(axis=1),
-            "pos_max": np.where(pos.any(axis=1), np.where(pos, rel, -np.inf).max(axis=1), np.nan),
-        })
-        out.loc[~has_rel, "best_cid"] = pd.NA
-        return out
+        pos_n = pos.sum(axis=1).astype(np.int64)
+        pos_sum = np.where(pos, rel, 0.0).sum(axis=1)
+        pos_max = np.where(pos.any(axis=1), np.where(pos, rel, -np.inf).max(axis=1), np.nan)
+        frames = []
+        for name, qv, cv in directions:
+            sim = stack(qpdf[f"q_{qv}"]) @ stack(cpdf[f"c_{cv}"]).T
+            better = ((sim > qself[:, None]) | ((sim == qself[:, None]) & (cid[None, :] < qid[:, None]))) & not_self
+            first = order_desc(np.where(relevant, sim, -np.inf), cid)[:, 0]
+            has_rel = relevant[rows, first]
+            top = order_desc(sim, cid)[:, :k]
+            top_sim, top_cid, top_rel = sim[rows[:, None], top], cid[top], rel[rows[:, None], top]
+            out = pd.DataFrame({
+                "dir": name, "qid": qid, "n": np.full(nq, len(cid), dtype=np.int64),
+                "better_self": better.sum(axis=1).astype(np.int64),
+                "best_sim": np.where(has_rel, sim[rows, first], np.nan),
+                "best_cid": pd.array(np.where(has_rel, cid[first], 0), dtype="Int64"),
+                "top": [[{"neg_sim": -a, "cid": int(b), "rel": c} for a, b, c in zip(x, y, z)]
+                        for x, y, z in zip(top_sim, top_cid, top_rel)],
+                "ideal": list(ideal), "pos_n": pos_n, "pos_sum": pos_sum, "pos_max": pos_max,
+            })
+            out.loc[~has_rel, "best_cid"] = pd.NA
+            frames.append(out)
+        return pd.concat(frames, ignore_index=True)
 
     return kernel
 
 
-PHASE2_SCHEMA = "qid long, above_best long"
+PHASE2_SCHEMA = "dir string, qid long, above_best long"
 
 
-def _phase2_kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-    sim = stack(qpdf["q_vec"]) @ stack(cpdf["c_vec"]).T
-    cid = cpdf["cid"].to_numpy(np.int64)
-    bs = qpdf["best_sim"].to_numpy(np.float64)[:, None]
-    bc = qpdf["best_cid"].to_numpy(np.int64)[:, None]
-    above = ((sim > bs) | ((sim == bs) & (cid[None, :] < bc))) & (cid[None, :] != bc)
-    return pd.DataFrame({"qid": qpdf["qid"].to_numpy(np.int64), "above_best": above.sum(axis=1).astype(np.int64)})
+def _phase2_kernel(directions: list[tuple[str, str, str]]):
+    def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        cid = cpdf["cid"].to_numpy(np.int64)
+        frames = []
+        for name, qv, cv in directions:
+            sub = qpdf[qpdf[f"b_cid_{name}"].notna()]
+            if len(sub) == 0:
+                continue
+            sim = stack(sub[f"q_{qv}"]) @ stack(cpdf[f"c_{cv}"]).T
+            bs = sub[f"b_sim_{name}"].to_numpy(np.float64)[:, None]
+            bc = sub[f"b_cid_{name}"].to_numpy(np.int64)[:, None]
+            above = ((sim > bs) | ((sim == bs) & (cid[None, :] < bc))) & (cid[None, :] != bc)
+            frames.append(pd.DataFrame({"dir": name, "qid": sub["qid"].to_numpy(np.int64),
+                                        "above_best": above.sum(axis=1).astype(np.int64)}))
+        if not frames:
+            return pd.DataFrame({"dir": pd.Series(dtype=str), "qid": pd.Series(dtype=np.int64),
+                                 "above_best": pd.Series(dtype=np.int64)})
+        return pd.concat(frames, ignore_index=True)
+
+    return kernel
 
 
-def materialise_samples(samples: DataFrame, vec_cols: tuple[str, ...] = ("image_emb", "text_emb")) -> DataFrame:
+def materialise_samples(samples: DataFrame) -> DataFrame:
     """Project what the kernel needs and write it to the checkpoint folder
-    once: every later pass (counts, both phases, both directions) reads it
-    instead of re-deriving and re-parsing, and lineage stays short."""
+    once: every later pass reads it instead of re-deriving and re-parsing, and
+    lineage stays short."""
     ensure_checkpoint_dir(samples.sparkSession)
-    cols = ["idx", *vec_cols, *_FEATS]
-    return samples.select(*cols).checkpoint(eager=True)
+    return samples.select("idx", *VECS, *_FEATS).checkpoint(eager=True)
 
 
-def ranked_partials(samples: DataFrame, query_vec: str, cand_vec: str, *, k_max: int = 10,
-                    threshold: float = 0.8, block_rows: int | None = None, materialise: bool = True) -> DataFrame:
-    """Per-query merged partials for one direction.
+I2T = ("i2t", "image_emb", "text_emb")
+T2I = ("t2i", "text_emb", "image_emb")
 
-    ``samples`` needs ``idx`` (unique id), the two vector columns and parse
-    features (``parse_features``).  Output: qid, n, rank_true, rank_first_rel,
-    top (array of (neg_sim, cid, rel) sorted best first, K long), ideal
-    (K best relevances), pos_n, pos_sum, pos_max."""
+
+def ranked_partials(samples: DataFrame, directions: list[tuple[str, str, str]] | None = None, *, k_max: int = 10,
+                    threshold: float = 0.8, block_rows: int | None = None, materialise: bool = True) -> DataFrame:
+    """Per-(direction, query) merged partials from two block-pair passes that
+    serve all directions at once.
+
+    ``samples`` needs ``idx``, ``image_emb``, ``text_emb`` and parse features
+    (``parse_features``).  Output: dir, qid, n, rank_true, rank_first_rel, top
+    (K best (neg_sim, cid, rel), best first), ideal (K best relevances),
+    pos_n, pos_sum, pos_max."""
+    directions = directions or [I2T]
     if materialise:
-        samples = materialise_samples(samples, (query_vec, cand_vec))
+        samples = materialise_samples(samples)
     n = samples.count()
-    q = _side(samples, "qid", query_vec, "q_", [dot(query_vec, cand_vec).alias("qself")])
-    c = _side(samples, "cid", cand_vec, "c_")
-    part = block_pairs(q, c, _phase1_kernel(k_max, threshold), PHASE1_SCHEMA, block_rows=block_rows,
+    q = _side(samples, "qid", "q_", [dot("image_emb", "text_emb").alias("qself")])
+    c = _side(samples, "cid", "c_")
+    part = block_pairs(q, c, _phase1_kernel(k_max, threshold, directions), PHASE1_SCHEMA, block_rows=block_rows,
                        q_rows=n, c_rows=n)
-    merged = part.groupBy("qid").agg(
+    merged = part.groupBy("dir", "qid").agg(
         F.sum("n").alias("n"),
         (F.sum("better_self") + 1).alias("rank_true"),
         F.max(F.when(F.col("best_cid").isNotNull(), F.struct("best_sim", (-F.col("best_cid")).alias("neg_cid")))).alias("_best"),
@@ -159,13 +180,17 @@ def ranked_partials(samples: DataFrame, query_vec: str, cand_vec: str, *, k_max:
         F.slice(F.sort_array(F.flatten(F.collect_list("ideal")), asc=False), 1, k_max).alias("ideal"),
         F.sum("pos_n").alias("pos_n"), F.sum("pos_sum").alias("pos_sum"), F.max("pos_max").alias("pos_max"),
     ).select("*", F.col("_best.best_sim").alias("best_sim"), (-F.col("_best.neg_cid")).alias("best_cid")).drop("_best")
-    q2 = merged.select("qid", "best_sim", "best_cid").join(
-        samples.select(F.col("idx").alias("qid"), F.col(query_vec).cast("array<double>").alias("q_vec")), "qid")
-    c2 = samples.select(F.col("idx").alias("cid"), F.col(cand_vec).cast("array<double>").alias("c_vec"))
-    above = block_pairs(q2.where(F.col("best_cid").isNotNull()), c2, _phase2_kernel, PHASE2_SCHEMA,
-                        block_rows=block_rows, q_rows=n, c_rows=n)
-    above = above.groupBy("qid").agg(F.sum("above_best").alias("above_best"))
-    return (merged.join(above, "qid", "left")
+    ensure_checkpoint_dir(samples.sparkSession)
+    merged = merged.checkpoint(eager=True)  # reused by pass 2 and the output
+    best = merged.groupBy("qid").agg(*[
+        x for name, _, _ in directions for x in (
+            F.max(F.when(F.col("dir") == name, F.col("best_sim"))).alias(f"b_sim_{name}"),
+            F.max(F.when(F.col("dir") == name, F.col("best_cid"))).alias(f"b_cid_{name}"))])
+    q2 = best.join(samples.select(F.col("idx").alias("qid"), *[F.col(v).cast("array<double>").alias(f"q_{v}") for v in VECS]), "qid")
+    c2 = samples.select(F.col("idx").alias("cid"), *[F.col(v).cast("array<double>").alias(f"c_{v}") for v in VECS])
+    above = block_pairs(q2, c2, _phase2_kernel(directions), PHASE2_SCHEMA, block_rows=block_rows, q_rows=n, c_rows=n)
+    above = above.groupBy("dir", "qid").agg(F.sum("above_best").alias("above_best"))
+    return (merged.join(above, ["dir", "qid"], "left")
             .withColumn("rank_first_rel", F.when(F.col("best_cid").isNotNull(), F.col("above_best") + 1))
             .drop("above_best", "best_sim", "best_cid"))
 
@@ -181,7 +206,7 @@ def per_query_metrics(partials: DataFrame, k_values: list[int] | None = None, k_
     """hit@k (exact identity), reciprocal rank, nDCG@k per query."""
     k_values = k_values or DEFAULT_K
     k_ndcg = k_ndcg or [5, 10]
-    cols = [F.col("qid")]
+    cols = [F.col("dir"), F.col("qid")]
     for k in k_values:
         cols.append((F.col("rank_true") <= F.least(F.lit(k), F.col("n"))).cast("double").alias(f"hit_at_{k}"))
     cols.append(F.coalesce(F.lit(1.0) / F.col("rank_first_rel"), F.lit(0.0)).alias("rr"))
@@ -193,29 +218,16 @@ def per_query_metrics(partials: DataFrame, k_values: list[int] | None = None, k_
     return partials.select(*cols)
 
 
-def direction_metrics(samples: DataFrame, query_vec: str, cand_vec: str, *, k_values=None, threshold: float = 0.8,
-                      block_rows: int | None = None, materialise: bool = True) -> DataFrame:
-    k_values = k_values or DEFAULT_K
-    k_max = max(k_values + [5, 10])
-    parts = ranked_partials(samples, query_vec, cand_vec, k_max=k_max, threshold=threshold, block_rows=block_rows,
-                            materialise=materialise)
-    return per_query_metrics(parts, k_values)
-
-
 def retrieval_report(samples: DataFrame, *, k_values=None, threshold: float = 0.8, block_rows: int | None = None) -> DataFrame:
     """a18: Recall@k, MRR and nDCG@{5,10} for image->text and text->image and
-    their means, as one row (``k_values`` honoured)."""
+    their means, as one row (``k_values`` honoured).  Both directions share
+    the same two block-pair passes."""
     k_values = k_values or DEFAULT_K
+    k_max = max(k_values + [5, 10])
     metric_names = [f"recall_at_{k}" for k in k_values] + ["mrr", "ndcg_at_5", "ndcg_at_10"]
-    samples = materialise_samples(samples)
-
-    def agg(direction: str, qv: str, cv: str) -> DataFrame:
-        m = direction_metrics(samples, qv, cv, k_values=k_values, threshold=threshold, block_rows=block_rows,
-                              materialise=False)
-        src = [f"hit_at_{k}" for k in k_values] + ["rr", "ndcg_at_5", "ndcg_at_10"]
-        return m.agg(*[F.avg(s).alias(f"{direction}_{n}") for s, n in zip(src, metric_names)])
-
-    i2t = agg("i2t", "image_emb", "text_emb")
-    t2i = agg("t2i", "text_emb", "image_emb")
-    both = i2t.withColumn("_one", F.lit(1)).join(t2i.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    src = [f"hit_at_{k}" for k in k_values] + ["rr", "ndcg_at_5", "ndcg_at_10"]
+    parts = ranked_partials(samples, [I2T, T2I], k_max=k_max, threshold=threshold, block_rows=block_rows)
+    m = per_query_metrics(parts, k_values)
+    aggs = [F.avg(F.when(F.col("dir") == d, F.col(sc))).alias(f"{d}_{nm}") for d in ("i2t", "t2i") for sc, nm in zip(src, metric_names)]
+    both = m.agg(*aggs)
     return both.select("*", *[((F.col(f"i2t_{n}") + F.col(f"t2i_{n}")) / 2).alias(f"mean_{n}") for n in metric_names])

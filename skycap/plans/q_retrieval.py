@@ -119,8 +119,8 @@ def m05(spark, sf):
 
 
 # retrieval -------------------------------------------------------------------
-def _partials(spark, sf, qv="image_emb", cv="text_emb"):
-    return R.ranked_partials(_samples(spark, sf), qv, cv)
+def _partials(spark, sf):
+    return R.ranked_partials(_samples(spark, sf), [R.I2T])
 
 
 @query("j07_all_pairs_relevance", S.EMB_PARSED + S.pairs_cte("image_emb", "text_emb") + f"""
@@ -152,10 +152,9 @@ SELECT a.qid, a.i2t_rank, b.t2i_rank FROM
   (SELECT qid, r AS i2t_rank FROM rk_x WHERE cid = qid) a JOIN (SELECT qid, r AS t2i_rank FROM rk_t WHERE cid = qid) b USING (qid)
 """)
 def j08(spark, sf):
-    s = _samples(spark, sf)
-    a = R.ranked_partials(s, "image_emb", "text_emb").select("qid", F.col("rank_true").alias("i2t_rank"))
-    b = R.ranked_partials(s, "text_emb", "image_emb").select("qid", F.col("rank_true").alias("t2i_rank"))
-    return a.join(b, "qid")
+    p = R.ranked_partials(_samples(spark, sf), [R.I2T, R.T2I])
+    return p.groupBy("qid").agg(F.max(F.when(F.col("dir") == "i2t", F.col("rank_true"))).alias("i2t_rank"),
+                                F.max(F.when(F.col("dir") == "t2i", F.col("rank_true"))).alias("t2i_rank"))
 
 
 @query("w01_similarity_rank", S.EMB_PARSED + S.pairs_cte("image_emb", "text_emb") + f"""
@@ -171,7 +170,7 @@ def w01(spark, sf):
 SELECT qid, r AS rank, cid, {S.R('rel')} AS relevance FROM rk_x WHERE r <= 5
 """)
 def t01(spark, sf):
-    p = R.ranked_partials(_samples(spark, sf), "image_emb", "text_emb", k_max=5)
+    p = R.ranked_partials(_samples(spark, sf), [R.I2T], k_max=5)
     p = p.select("qid", F.posexplode("top").alias("pos", "t"))
     return rounded(p.select("qid", (F.col("pos") + 1).cast("long").alias("rank"), F.col("t.cid").alias("cid"),
                             F.col("t.rel").alias("relevance")))
