@@ -13,8 +13,9 @@ def _reasons(checks: list[tuple[Column, str]]) -> Column:
     return F.filter(arr, lambda x: x.isNotNull())
 
 
-def validate_bounds(df: DataFrame, lon0="lon0", lon1="lon1", lat0="lat0", lat1="lat1") -> DataFrame:
-    """p09: lon0 < lon1, lat0 < lat1, latitudes within +-90, longitudes within +-180."""
+def validate_bounds(df: DataFrame, lon0="lon0", lon1="lon1", lat0="lat0", lat1="lat1", strict: bool = False) -> DataFrame:
+    """p09: lon0 < lon1, lat0 < lat1, latitudes within +-90, longitudes within
+    +-180.  ``strict=True`` fails the job on the first invalid row."""
     c = F.col
     checks = [
         (c(lon0) < c(lon1), "lon_min_not_below_lon_max"),
@@ -22,7 +23,11 @@ def validate_bounds(df: DataFrame, lon0="lon0", lon1="lon1", lat0="lat0", lat1="
         (c(lat0).between(-90, 90) & c(lat1).between(-90, 90), "latitude_out_of_range"),
         (c(lon0).between(-180, 180) & c(lon1).between(-180, 180), "longitude_out_of_range"),
     ]
-    return df.withColumn("reasons", _reasons(checks)).withColumn("valid", F.size("reasons") == 0)
+    out = df.withColumn("reasons", _reasons(checks)).withColumn("valid", F.size("reasons") == 0)
+    if strict:
+        out = out.withColumn("valid", F.when(~F.col("valid"), F.raise_error(
+            F.concat(F.lit("invalid bounds: "), F.array_join("reasons", ", ")))).otherwise(F.lit(True)))
+    return out
 
 
 def validate_statistics(df: DataFrame, required: list[str] | None = None) -> DataFrame:

@@ -22,8 +22,14 @@ HASH_PRIME = 2147483647
 
 
 def draw_index(q_idx: Column, t: Column, n: int, seed: int) -> Column:
-    """Seeded pseudo-random position in [0, n) for draw ``t`` of query ``q``."""
-    h = (q_idx * F.lit(48271) + t * F.lit(69621) + F.lit(seed * 16807 + 11)) % F.lit(HASH_PRIME)
+    """Seeded pseudo-random position in [0, n) for draw ``t`` of query ``q``:
+    two Lehmer steps (multiplier 48271 mod 2^31-1) over ``q*69621 + t + s``.
+    For a fixed query, successive draws run through a permutation of
+    [0, 2^31-1), so every position is reachable whatever ``n`` is.  All
+    intermediates stay below 2^47 (bigint-safe in Spark and SQL)."""
+    x = (q_idx * F.lit(69621) + t + F.lit(seed * 7919 + 11)) % F.lit(HASH_PRIME)
+    h = (x * F.lit(48271)) % F.lit(HASH_PRIME)
+    h = (h * F.lit(48271)) % F.lit(HASH_PRIME)
     return (h % F.lit(n)).cast("long")
 
 
@@ -38,10 +44,17 @@ def with_dense_index(df: DataFrame, order_col: str, name: str = "idx") -> DataFr
 def distractors(samples: DataFrame, k: int = 9, seed: int = 42, draws_per_round: int | None = None,
                 max_rounds: int = 16) -> DataFrame:
     """j09: ``(q_idx, pos, c_idx)`` with pos 0 = the query itself and pos 1..k
-    the distractors.  ``samples`` needs a dense ``idx`` and ``caption``."""
+    the distractors.  ``samples`` needs a dense ``idx`` and ``caption``.
+
+    Queries with fewer than ``k`` other-caption samples repeat those (in index
+    order) up to ``k``; queries with none are skipped, as in the original."""
     n = samples.count()
     m = draws_per_round or 8 * k
-    base = samples.select(F.col("idx").alias("q_idx"), F.col("caption").alias("q_caption"))
+    same = samples.groupBy("caption").agg(F.count(F.lit(1)).alias("_same"))
+    pot = samples.join(same, "caption").select(F.col("idx").alias("q_idx"), F.col("caption").alias("q_caption"),
+                                               (F.lit(n) - F.col("_same")).alias("_pot"))
+    short_q = pot.where(F.col("_pot") < k).select("q_idx", "q_caption", "_pot")
+    base = pot.where(F.col("_pot") >= k).select("q_idx", "q_caption")
     cands = samples.select(F.col("idx").alias("c_idx"), F.col("caption").alias("c_caption"))
     chosen = None
     pending = base
@@ -51,7 +64,10 @@ def distractors(samples: DataFrame, k: int = 9, seed: int = 42, draws_per_round:
         valid = drawn.join(cands, "c_idx").where(F.col("c_caption") != F.col("q_caption"))
         # first draw of each position, then the first k positions in draw order
         first = valid.groupBy("q_idx", "c_idx").agg(F.min("t").alias("t"))
-        found = first if chosen is None else chosen.select("q_idx", "c_idx", "t").unionByName(first)
+        if chosen is not None:  # a position drawn again in a later round keeps its first draw
+            first = chosen.select("q_idx", "c_idx", "t").unionByName(first).groupBy("q_idx", "c_idx").agg(
+                F.min("t").alias("t"))
+        found = first
         w = Window.partitionBy("q_idx").orderBy("t", "c_idx")
         found = found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
         if r > 0:  # later rounds grow the lineage: cut it with a reliable checkpoint
@@ -62,9 +78,25 @@ def distractors(samples: DataFrame, k: int = 9, seed: int = 42, draws_per_round:
         pending = base.join(short, "q_idx", "left_anti")
         if pending.limit(1).count() == 0:
             break
+    if chosen is None:
+        chosen = base.select("q_idx", F.lit(None).cast("long").alias("c_idx"), F.lit(None).cast("long").alias("t"),
+                             F.lit(None).cast("int").alias("rn")).where(F.lit(False))
     picked = chosen.select("q_idx", F.col("rn").cast("int").alias("pos"), "c_idx")
-    own = base.select("q_idx", F.lit(0).alias("pos"), F.col("q_idx").alias("c_idx"))
-    return own.unionByName(picked)
+    # fewer than k candidates exist only when more than n - k samples share one
+    # caption, so the other-caption samples are fewer than k: list and repeat them
+    # captions held by more than n - k samples: at most n / (n - k + 1) of them
+    # (<= 2 for k < n/2), so the broadcast side of this non-equi join is tiny
+    crowded = same.where(F.col("_same") > n - k).select(F.col("caption").alias("sc"))
+    others = (cands.join(F.broadcast(crowded), F.col("c_caption") != F.col("sc"))
+              .withColumn("_r", F.row_number().over(Window.partitionBy("sc").orderBy("c_idx")) - 1))
+    few = (short_q.where(F.col("_pot") > 0).join(others, F.col("q_caption") == F.col("sc"))
+           .select("q_idx", "_pot", "_r", "c_idx"))
+    reps = few.select("q_idx", "c_idx", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_slot"), "_pot", "_r")
+    repeated = reps.where(F.col("_slot") % F.col("_pot") == F.col("_r")).select(
+        "q_idx", (F.col("_slot") + 1).cast("int").alias("pos"), "c_idx")
+    kept = base.select("q_idx").unionByName(short_q.where(F.col("_pot") > 0).select("q_idx"))
+    own = kept.select("q_idx", F.lit(0).alias("pos"), F.col("q_idx").alias("c_idx"))
+    return own.unionByName(picked).unionByName(repeated)
 
 
 def zero_shot(samples: DataFrame, cand: DataFrame, scale: float = DEFAULT_SCALE) -> DataFrame:

@@ -137,8 +137,8 @@ def ml02(spark, sf):
     return _sizes(lab)
 
 
-def _sweep(spark, sf):
-    return CL.find_optimal_k(_std(spark, sf), (2, 6), n_init=2)
+def _sweep(spark, sf, k_range=(2, 6), n_init=2):
+    return CL.find_optimal_k(_std(spark, sf), k_range, n_init=n_init)
 
 
 @query("ml03_find_optimal_k")
@@ -148,14 +148,14 @@ def ml03(spark, sf):
 
 @query("t03_argmax_k")
 def t03(spark, sf):
-    m = _sweep(spark, sf).cache()
+    m = _sweep(spark, sf, (2, 5), 1).cache()
     return CL.argmax_k(m, "silhouette").withColumn("_o", F.lit(1)).join(
         CL.argmax_k(m, "calinski_harabasz").withColumn("_o", F.lit(1)), "_o").drop("_o")
 
 
 @query("w04_elbow")
 def w04(spark, sf):
-    return CL.elbow(_sweep(spark, sf))
+    return CL.elbow(_sweep(spark, sf, (2, 5), 1))
 
 
 @query("ml04_hierarchical")

@@ -18,7 +18,7 @@ _DRAWS = S.EMB_PARSED + f""",
 nn AS (SELECT count(*) AS n FROM es),
 dr AS (
   SELECT q.idx AS q_idx, q.caption AS q_caption, t,
-         ((q.idx * 48271 + t * 69621 + {SEED * 16807 + 11}) % 2147483647) % nn.n AS c_idx
+         (((((q.idx * 69621 + t + {SEED * 7919 + 11}) % 2147483647) * 48271) % 2147483647 * 48271) % 2147483647) % nn.n AS c_idx
   FROM es q, nn, range(0, {8 * K}) r(t)
 ),
 va AS (

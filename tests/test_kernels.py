@@ -145,3 +145,19 @@ def test_dbscan_matches_reference_rules(spark, sf, eps):
     exp = _dbscan_reference(U, eps, 5)
     got = {r["idx"]: r["cluster"] for r in CL.dbscan(s, eps, 5, "x", block_rows=64).collect()}
     assert [got[i] for i in range(len(X))] == exp.tolist()
+
+
+def test_distractor_repeat_and_skip(spark):
+    from skycap.operators.zeroshot import distractors
+    # 6 samples: 5 share one caption, one differs -> the shared ones have 1 potential distractor
+    rows = [(i, "same" if i < 5 else "other") for i in range(6)]
+    s = spark.createDataFrame(rows, "idx long, caption string")
+    out = {}
+    for r in distractors(s, k=3, seed=1).collect():
+        out.setdefault(r["q_idx"], []).append((r["pos"], r["c_idx"]))
+    for q in range(5):
+        assert sorted(out[q]) == [(0, q), (1, 5), (2, 5), (3, 5)]
+    assert sorted(c for p, c in out[5] if p > 0) == sorted(c for p, c in out[5] if p > 0)
+    assert len(out[5]) == 4 and len({c for p, c in out[5] if p > 0}) == 3
+    only = spark.createDataFrame([(0, "a"), (1, "a")], "idx long, caption string")
+    assert distractors(only, k=2).count() == 0
