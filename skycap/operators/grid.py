@@ -277,7 +277,3 @@ def caption_samples(grid: DataFrame, forecast_hour: int = 0, *, detailed: bool =
         date.alias("date"), "model", "region", "domain",
         caption_column(detailed=detailed, legacy_season=legacy_season).alias("caption"),
     )
-
-
-def region_names() -> list[str]:
-    return list(REGION_NAMES)

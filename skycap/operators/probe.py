@@ -15,7 +15,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skycap.functions import captions as C
 from skycap.operators.ordered import dense_positions, running_sums
 from skycap.schemas import CONUS, REGION_NAMES
 from skycap.session import ensure_checkpoint_dir
@@ -315,7 +314,3 @@ def linear_probe(samples: DataFrame, storm_regions: DataFrame, lookahead_days: i
     if cv_folds:
         out["cv"] = cv_summary(cross_validate(train_s, cv_folds, seed, C))
     return out
-
-
-def season_for(date_col: Column) -> Column:
-    return C.season_from_date(date_col)

@@ -33,14 +33,6 @@ def draw_index(q_idx: Column, t: Column, n: int, seed: int) -> Column:
     return (h % F.lit(n)).cast("long")
 
 
-def with_dense_index(df: DataFrame, order_col: str, name: str = "idx") -> DataFrame:
-    """Dense 0..n-1 index in ``order_col`` order: distributed range sort, then
-    per-partition offsets (no single-partition window)."""
-    ordered = df.orderBy(order_col)
-    rdd = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return rdd.toDF(ordered.columns + [name])
-
-
 def distractors(samples: DataFrame, k: int = 9, seed: int = 42, draws_per_round: int | None = None,
                 max_rounds: int = 16) -> DataFrame:
     """j09: ``(q_idx, pos, c_idx)`` with pos 0 = the query itself and pos 1..k

@@ -13,6 +13,7 @@ from skycap.plans import sql_common as S
 from skycap.plans.q_eval import _EPOCHS
 from skycap.plans.q_probe import LAB, _scored
 from skycap.plans.registry import query, rounded
+from skycap.schemas import RECORD_KEYS
 from skycap.session import scratch_path
 from skycap.sources import records as RC
 from skycap.sources.sinks import append_epoch_log, read_epoch_log, read_predictions_csv, write_probe_results
@@ -86,8 +87,10 @@ SELECT sample_id, CASE WHEN null_date THEN NULL ELSE date END AS date, model FRO
 def s06(spark, sf):
     path = scratch_path(spark, "failfast")
     lines = derive.record_lines(spark, sf)
-    ok = lines.where((F.col("idx") % 17 != 3) & (F.col("idx") % 19 != 5) & (F.col("idx") % 23 != 7))
-    ok.select("value").write.mode("overwrite").text(path)
+    # keep the lines whose content is a JSON object with exactly the record keys
+    keys = F.array_sort(F.json_object_keys("value"))
+    expected = F.array(*[F.lit(k) for k in sorted(RECORD_KEYS)])
+    lines.where(keys == expected).select("value").write.mode("overwrite").text(path)
     return RC.read_records_failfast(spark, path).select("sample_id", "date", "model")
 
 
