@@ -30,7 +30,6 @@ from skycap.schemas import (
     PRIMARY_VARIABLE,
     REGION_MODEL_PAIRS,
     REGIONS,
-    REGION_NAMES,
     region_dim,
     region_model_pairs,
     variable_dim,
