@@ -36,10 +36,15 @@ def select_field(grid: DataFrame, model: str, variable: str, valid_date: str, fo
     they reach the Parquet scan (partition pruning / row-group skipping)."""
     check_model(model)
     fxx = requested_forecast_hour_value(variable, forecast_hour)
+    day = F.lit(valid_date).cast("date")
+    start = day.cast("timestamp_ntz")
+    end = F.date_add(day, 1).cast("timestamp_ntz")
+    # half-open range on the raw column (not to_date(col) = d) so Parquet can
+    # push it down and skip row groups
     return grid.where(
         (F.col("model") == model)
         & (F.col("variable") == variable)
-        & (F.to_date("valid_time") == F.lit(valid_date).cast("date"))
+        & (F.col("valid_time") >= start) & (F.col("valid_time") < end)
         & (F.col("forecast_hour") == fxx)
     )
 
