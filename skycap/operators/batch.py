@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skycap.session import ship_package
+
 from skycap.functions.scoring import DEFAULT_SCALE, np_contrastive_loss
 from skycap.operators.pairs import stack
 
@@ -38,6 +40,7 @@ def _batch_kernel(scales: list[float]):
 def in_batch_scores(samples: DataFrame, batch_size: int = 32, scales: list[float] | None = None) -> DataFrame:
     """j14 + m06: per batch (and logit scale) the contrastive loss and the
     number of images whose best text is their own."""
+    ship_package(samples.sparkSession)
     scales = scales or [DEFAULT_SCALE]
     b = samples.select("idx", "image_emb", "text_emb", F.floor(F.col("idx") / batch_size).cast("long").alias("batch_id"))
     return b.groupBy("batch_id").applyInPandas(_batch_kernel(scales), BATCH_SCHEMA)

@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from skycap.session import ship_package
+
 EncoderFactory = Callable[[], Callable[[pd.Series], np.ndarray]]
 _TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -37,6 +39,7 @@ def embed_batch(df: DataFrame, text_col: str, factory: EncoderFactory, id_col: s
                 out_col: str = "embedding") -> DataFrame:
     """(id, embedding array<double>) for every row; the encoder is created once
     per partition, batches arrive through Arrow."""
+    ship_package(df.sparkSession)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = factory()
         for pdf in batches:

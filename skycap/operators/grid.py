@@ -34,6 +34,7 @@ from skycap.schemas import (
     region_model_pairs,
     variable_dim,
 )
+from skycap.session import ensure_checkpoint_dir
 from skycap.sources.grid import requested_forecast_hour
 
 WHOLE_FIELD = "__field__"
@@ -130,8 +131,14 @@ def _stat_aggs(value: str, percentiles: str) -> list[Column]:
     ]
 
 
-def grouped_statistics(tagged: DataFrame, keys: list[str], value: str = "value", percentiles: str = "exact") -> DataFrame:
-    """All field statistics per group (a01-a08), two passes for MAD."""
+def grouped_statistics(tagged: DataFrame, keys: list[str], value: str = "value", percentiles: str = "exact",
+                       materialise: bool = False) -> DataFrame:
+    """All field statistics per group (a01-a08), two passes for MAD.
+
+    ``materialise=True`` writes the per-group table (one row per group) to
+    the checkpoint folder first, so the MAD pass reuses its medians instead of
+    aggregating them again; leave it off when a caller needs only a few
+    statistics and Catalyst can prune the rest."""
     stats = tagged.groupBy(*keys).agg(*_stat_aggs(value, percentiles))
     stats = stats.select(
         *keys, "min", "max", "mean", "std", "var", "skewness", "kurtosis", "count_valid", "cells",
@@ -139,6 +146,9 @@ def grouped_statistics(tagged: DataFrame, keys: list[str], value: str = "value",
         F.get("_pct", 2).alias("percentile_75"), F.get("_pct", 3).alias("percentile_90"),
         F.get("_pct", 4).alias("percentile_95"),
     )
+    if materialise:
+        ensure_checkpoint_dir(stats.sparkSession)
+        stats = stats.checkpoint(eager=True)
     med = stats.select(*keys, F.col("median").alias("_med"))
     dev = F.abs(F.col(value) - F.col("_med"))
     mad_agg = F.percentile_approx(dev, 0.5, 10000) if percentiles == "approx" else F.median(dev)
@@ -167,7 +177,8 @@ def _pair_regions(model: Column) -> Column:
     return expr
 
 
-def field_statistics(grid: DataFrame, spark: SparkSession | None = None, percentiles: str = "exact") -> DataFrame:
+def field_statistics(grid: DataFrame, spark: SparkSession | None = None, percentiles: str = "exact",
+                     materialise: bool = False) -> DataFrame:
     """Statistics of every field for every (region, model) pair of its model.
 
     ``Continental US`` is the whole field; other regions mask by their box.
@@ -191,7 +202,7 @@ def field_statistics(grid: DataFrame, spark: SparkSession | None = None, percent
         *FIELD_KEYS, F.coalesce("grib_name", F.lit("Unknown")).alias("grib_name"),
         F.coalesce("domain", F.lit("")).alias("domain"), "lat", "lon", value.alias("value"))
     fkeys = FIELD_KEYS + ["grib_name", "domain"]
-    stats = grouped_statistics(tag_regions(cells), fkeys + ["region"], "value", percentiles)
+    stats = grouped_statistics(tag_regions(cells), fkeys + ["region"], "value", percentiles, materialise)
 
     w = Window.partitionBy(*fkeys)
     is_whole = F.col("region") == WHOLE_FIELD

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skycap.session import ship_package
+
 
 def n_blocks(n_rows: int, block_rows: int) -> int:
     return max(1, math.ceil(n_rows / block_rows))
@@ -49,6 +51,7 @@ def block_pairs(queries: DataFrame, cands: DataFrame, kernel: Callable[[pd.DataF
     block pair.  ``queries`` needs ``qid``; ``cands`` needs ``cid``.  Row
     counts may be passed to avoid the two (cheap, distributed) counts.
     ``block_rows=None`` sizes blocks from the data and the parallelism."""
+    ship_package(queries.sparkSession)
     qn = q_rows if q_rows is not None else queries.count()
     cn = c_rows if c_rows is not None else cands.count()
     if block_rows is None:

@@ -3,12 +3,15 @@ oracle SQL that computes the same result on the same parquet tables."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skycap.session import ship_package
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -19,7 +22,12 @@ def query(key: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``key``."""
 
     def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[key] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLE[key] = sql.strip()
         return fn

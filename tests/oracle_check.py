@@ -75,7 +75,8 @@ def compare(spark, con, key, fn, sql, sf_dir):
 
 
 def main(argv):
-    sys.path.insert(0, ".")
+    import os
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as E
     from skycap.session import local_session
 
