@@ -12,8 +12,18 @@ from pyspark.sql import functions as F
 from skycap.sources.grid import nan_to_null
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs come in fewer splits than there are cores (one row group
+    per file), which serialises the per-row work that follows (rendering,
+    parsing, tagging, partial aggregation).  Spread such inputs round-robin
+    over the cluster's parallelism; large inputs (>= one split per core) are
+    left untouched, so this is a no-op at scale."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 # ---------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from skycap.operators import zeroshot as Z
 from skycap.plans import derive
 from skycap.plans import sql_common as S
 from skycap.plans.registry import query, rounded
+from skycap.session import ensure_checkpoint_dir
 
 K, SEED = 9, 42
 SCALE = repr(DEFAULT_SCALE)
@@ -46,15 +47,21 @@ zs AS (
 )"""
 
 
+def _samples(spark, sf):
+    """The sample table feeds several joins and counts: derive it once and
+    read it back from the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return derive.emb_samples(spark, sf).select("idx", "caption", "image_emb", "text_emb").checkpoint(eager=True)
+
+
 def _zero_shot(spark, sf):
-    s = derive.emb_samples(spark, sf)
+    s = _samples(spark, sf)
     return Z.zero_shot(s, Z.distractors(s, K, SEED))
 
 
 @query("j09_distractors", _DRAWS + "\nSELECT q_idx, CAST(pos AS BIGINT) AS pos, c_idx FROM pick")
 def j09(spark, sf):
-    s = derive.emb_samples(spark, sf)
-    return rounded(Z.distractors(s, K, SEED))
+    return rounded(Z.distractors(_samples(spark, sf), K, SEED))
 
 
 @query("j10_zero_shot", _DRAWS + f"""
