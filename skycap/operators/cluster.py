@@ -163,6 +163,14 @@ def category_histogram(df: DataFrame, category: str, label: str = "cluster") ->
     return df.where(F.col(label) >= 0).groupBy(label, category).agg(F.count(F.lit(1)).alias("count"))
 
 
+def histogram_text(df: DataFrame, category: str, label: str = "cluster") -> DataFrame:
+    """Per cluster, the histogram as ``value:count`` entries sorted and joined
+    with ``;`` (a cluster has at most one entry per category value)."""
+    h = category_histogram(df, category, label).select(
+        label, F.concat(F.coalesce(F.col(category).cast("string"), F.lit("NULL")), F.lit(":"), F.col("count").cast("string")).alias("e"))
+    return h.groupBy(label).agg(F.concat_ws(";", F.array_sort(F.collect_list("e"))).alias(f"{category}_hist"))
+
+
 def dominant_category(df: DataFrame, category: str, label: str = "cluster", seq: str = "idx") -> DataFrame:
     """a22: most common value per cluster; ties -> the value seen first."""
     h = df.where(F.col(label) >= 0).groupBy(label, category).agg(

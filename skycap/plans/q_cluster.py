@@ -26,12 +26,13 @@ def _labelled(spark, sf):
                     F.col("h_mean").alias("humidity"), P.extract_precipitation(F.col("caption")).alias("precipitation"))
 
 
-CL_SQL = S.EMB + """,
+CL_SQL = S.EMB + f""",
 cl AS (
   SELECT e.idx, e.sample_id, CAST(f.label AS BIGINT) AS cluster, e.image_emb AS x, e.region,
          CASE WHEN month(CAST(e.date AS DATE)) IN (12, 1, 2) THEN 'winter' WHEN month(CAST(e.date AS DATE)) IN (3, 4, 5) THEN 'spring'
               WHEN month(CAST(e.date AS DATE)) IN (6, 7, 8) THEN 'summer' ELSE 'fall' END AS season,
-         e.t_mean AS avg_temperature, e.w_mean AS wind_speed, e.h_mean AS humidity
+         e.t_mean AS avg_temperature, e.w_mean AS wind_speed, e.h_mean AS humidity,
+         {S.first_term('e.caption', P.PRECIP_TERMS)} AS precipitation
   FROM es e JOIN embeddings f ON f.vec_id = e.idx
 ),
 ux AS (SELECT idx, cluster, region, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS dim FROM cl)"""
@@ -42,16 +43,29 @@ def a23(spark, sf):
     return CL.cluster_sizes(_labelled(spark, sf))
 
 
-@query("a21_cluster_profile", CL_SQL + f"""
+def _hist_sql(cat: str) -> str:
+    return (f"(SELECT cluster, string_agg(e, ';' ORDER BY e) AS {cat}_hist FROM (SELECT cluster, COALESCE(CAST({cat} AS VARCHAR), 'NULL') "
+            f"|| ':' || CAST(count(*) AS VARCHAR) AS e FROM cl WHERE cluster >= 0 GROUP BY cluster, {cat}) GROUP BY cluster) h_{cat}")
+
+
+@query("a21_cluster_profile", CL_SQL + f""",
+prof AS (
 SELECT cluster, count(*) AS size,
   {S.R('avg(avg_temperature)')} AS temperature_mean, {S.R('stddev_pop(avg_temperature)')} AS temperature_std,
   {S.R('avg(wind_speed)')} AS wind_mean, {S.R('stddev_pop(wind_speed)')} AS wind_std,
   {S.R('avg(humidity)')} AS humidity_mean, {S.R('stddev_pop(humidity)')} AS humidity_std,
   {S.R('min(avg_temperature)')} AS temperature_min, {S.R('max(avg_temperature)')} AS temperature_max
-FROM cl WHERE cluster >= 0 GROUP BY cluster
+FROM cl WHERE cluster >= 0 GROUP BY cluster)
+SELECT prof.*, h_region.region_hist, h_season.season_hist, h_precipitation.precipitation_hist
+FROM prof JOIN {_hist_sql('region')} USING (cluster) JOIN {_hist_sql('season')} USING (cluster)
+     JOIN {_hist_sql('precipitation')} USING (cluster)
 """)
 def a21(spark, sf):
-    return rounded(CL.cluster_profile(_labelled(spark, sf)))
+    df = _labelled(spark, sf)
+    out = CL.cluster_profile(df)
+    for cat in ("region", "season", "precipitation"):
+        out = out.join(CL.histogram_text(df, cat), "cluster")
+    return rounded(out)
 
 
 @query("a22_dominant_category", CL_SQL + """,
