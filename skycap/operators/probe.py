@@ -201,6 +201,34 @@ def classification_metrics(pred: DataFrame, label: str = "label", pred_col: str
     )
 
 
+def classification_report(pred: DataFrame, label: str = "label", pred_col: str = "predicted_label") -> DataFrame:
+    """Per-class precision / recall / F1 / support, accuracy, macro and
+    support-weighted averages (0 on zero division), as rows."""
+    y, p = F.col(label) == 1, F.col(pred_col) == 1
+    c = pred.agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
+                 F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
+
+    def ratio(a, b):
+        return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+
+    tp, fp, fn, tn = F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")
+    per = {
+        "0": (ratio(tn, tn + fn), ratio(tn, tn + fp), ratio(2 * tn, 2 * tn + fn + fp), tn + fp),
+        "1": (ratio(tp, tp + fp), ratio(tp, tp + fn), ratio(2 * tp, 2 * tp + fp + fn), tp + fn),
+    }
+    n = tp + fp + fn + tn
+    rows = [F.struct(F.lit(k).alias("class"), pr.alias("precision"), rc.alias("recall"), f.alias("f1"),
+                     sup.cast("long").alias("support")) for k, (pr, rc, f, sup) in per.items()]
+    rows.append(F.struct(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
+                         F.lit(None).cast("double").alias("recall"), ratio(tp + tn, n).alias("f1"), n.cast("long").alias("support")))
+    macro = [(per["0"][i] + per["1"][i]) / 2 for i in range(3)]
+    weighted = [ratio(per["0"][i] * per["0"][3] + per["1"][i] * per["1"][3], n) for i in range(3)]
+    for name, vals in (("macro avg", macro), ("weighted avg", weighted)):
+        rows.append(F.struct(F.lit(name).alias("class"), vals[0].alias("precision"), vals[1].alias("recall"),
+                             vals[2].alias("f1"), n.cast("long").alias("support")))
+    return c.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def _score_counts(pred: DataFrame, label: str, score: str) -> DataFrame:
     """(score, pos, neg) per distinct score, written to the checkpoint folder:
     it is reused by several passes and its size is bounded by the number of

@@ -189,16 +189,30 @@ def a27(spark, sf):
     return PR.confusion_matrix(_scored(spark, sf), "label", "pred")
 
 
-@query("a28_classification_metrics", LAB + f"""
-SELECT {S.R('COALESCE(count(*) FILTER (WHERE label = pred) / NULLIF(count(*), 0), 0.0)')} AS accuracy,
-  {S.R('COALESCE(count(*) FILTER (WHERE label = 1 AND pred = 1) / NULLIF(count(*) FILTER (WHERE pred = 1), 0), 0.0)')} AS precision,
-  {S.R('COALESCE(count(*) FILTER (WHERE label = 1 AND pred = 1) / NULLIF(count(*) FILTER (WHERE label = 1), 0), 0.0)')} AS recall,
-  {S.R('COALESCE(2.0 * count(*) FILTER (WHERE label = 1 AND pred = 1) / NULLIF(2 * count(*) FILTER (WHERE label = 1 AND pred = 1) + count(*) FILTER (WHERE label = 0 AND pred = 1) + count(*) FILTER (WHERE label = 1 AND pred = 0), 0), 0.0)')} AS f1,
-  count(*) AS support
-FROM pr
-""")
+def _report_sql() -> str:
+    def ratio(a, b):
+        return f"COALESCE(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0), 0.0)"
+    p0, r0, f0 = ratio("tn", "tn + fn"), ratio("tn", "tn + fp"), ratio("2 * tn", "2 * tn + fn + fp")
+    p1, r1, f1 = ratio("tp", "tp + fp"), ratio("tp", "tp + fn"), ratio("2 * tp", "2 * tp + fp + fn")
+    s0, s1, n = "(tn + fp)", "(tp + fn)", "(tp + fp + fn + tn)"
+    rows = [("'0'", p0, r0, f0, s0), ("'1'", p1, r1, f1, s1),
+            ("'accuracy'", "NULL", "NULL", ratio("tp + tn", n), n),
+            ("'macro avg'", f"({p0} + {p1}) / 2", f"({r0} + {r1}) / 2", f"({f0} + {f1}) / 2", n),
+            ("'weighted avg'", ratio(f"{p0} * {s0} + {p1} * {s1}", n), ratio(f"{r0} * {s0} + {r1} * {s1}", n),
+             ratio(f"{f0} * {s0} + {f1} * {s1}", n), n)]
+    sel = "\nUNION ALL\n".join(
+        f"SELECT {c} AS class, {S.R(pr) if pr != 'NULL' else 'NULL::DOUBLE'} AS precision, "
+        f"{S.R(rc) if rc != 'NULL' else 'NULL::DOUBLE'} AS recall, {S.R(f)} AS f1, CAST({sp} AS BIGINT) AS support FROM cm"
+        for c, pr, rc, f, sp in rows)
+    return LAB + """,
+cm AS (SELECT count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
+              count(*) FILTER (WHERE label = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE label = 0 AND pred = 0) AS tn FROM pr)
+""" + sel
+
+
+@query("a28_classification_metrics", _report_sql())
 def a28(spark, sf):
-    return rounded(PR.classification_metrics(_scored(spark, sf), "label", "pred"))
+    return rounded(PR.classification_report(_scored(spark, sf), "label", "pred"))
 
 
 @query("a29_auc_roc", LAB + f""",

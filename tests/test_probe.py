@@ -93,3 +93,19 @@ def test_logistic_matches_newton(spark):
         w -= np.linalg.solve(H, g)
     assert np.allclose(model.coefficients.toArray(), w[:5], atol=1e-4)
     assert model.intercept == pytest.approx(w[5], abs=1e-4)
+
+
+def test_classification_report(spark):
+    # tp=3, fp=1, fn=2, tn=4
+    rows = [(1, 1)] * 3 + [(0, 1)] + [(1, 0)] * 2 + [(0, 0)] * 4
+    df = spark.createDataFrame(rows, "label int, predicted_label int")
+    rep = {r["class"]: r for r in PR.classification_report(df).collect()}
+    assert rep["1"]["precision"] == pytest.approx(3 / 4) and rep["1"]["recall"] == pytest.approx(3 / 5)
+    assert rep["0"]["precision"] == pytest.approx(4 / 6) and rep["0"]["recall"] == pytest.approx(4 / 5)
+    assert rep["1"]["support"] == 5 and rep["0"]["support"] == 5
+    assert rep["accuracy"]["f1"] == pytest.approx(0.7)
+    f1_1, f1_0 = 2 * 3 / (6 + 1 + 2), 2 * 4 / (8 + 2 + 1)
+    assert rep["macro avg"]["f1"] == pytest.approx((f1_0 + f1_1) / 2)
+    assert rep["weighted avg"]["f1"] == pytest.approx((f1_0 * 5 + f1_1 * 5) / 10)
+    empty = spark.createDataFrame([(0, 0)], "label int, predicted_label int")
+    assert {r["class"]: r["precision"] for r in PR.classification_report(empty).collect()}["1"] == 0.0
