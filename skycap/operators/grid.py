@@ -34,7 +34,6 @@ from skycap.schemas import (
     region_model_pairs,
     variable_dim,
 )
-from skycap.session import ensure_checkpoint_dir
 from skycap.sources.grid import requested_forecast_hour
 
 WHOLE_FIELD = "__field__"
@@ -131,14 +130,15 @@ def _stat_aggs(value: str, percentiles: str) -> list[Column]:
     ]
 
 
-def grouped_statistics(tagged: DataFrame, keys: list[str], value: str = "value", percentiles: str = "exact",
-                       materialise: bool = False) -> DataFrame:
-    """All field statistics per group (a01-a08), two passes for MAD.
+def grouped_statistics(tagged: DataFrame, keys: list[str], value: str = "value", percentiles: str = "exact") -> DataFrame:
+    """All field statistics per group (a01-a08).
 
-    ``materialise=True`` writes the per-group table (one row per group) to
-    the checkpoint folder first, so the MAD pass reuses its medians instead of
-    aggregating them again; leave it off when a caller needs only a few
-    statistics and Catalyst can prune the rest."""
+    Pass 1 aggregates moments, percentiles and counts per group.  MAD needs
+    the median, so pass 2 joins the per-group table (one row per group; AQE
+    broadcasts it when small) back to the cells and aggregates
+    ``median(|x - median|)`` while carrying the pass-1 columns through with
+    ``max`` (constant per group, combined map-side).  The per-group table is
+    consumed once, so the plan scans the cells twice and never recomputes it."""
     stats = tagged.groupBy(*keys).agg(*_stat_aggs(value, percentiles))
     stats = stats.select(
         *keys, "min", "max", "mean", "std", "var", "skewness", "kurtosis", "count_valid", "cells",
@@ -146,15 +146,12 @@ def grouped_statistics(tagged: DataFrame, keys: list[str], value: str = "value",
         F.get("_pct", 2).alias("percentile_75"), F.get("_pct", 3).alias("percentile_90"),
         F.get("_pct", 4).alias("percentile_95"),
     )
-    if materialise:
-        ensure_checkpoint_dir(stats.sparkSession)
-        stats = stats.checkpoint(eager=True)
-    med = stats.select(*keys, F.col("median").alias("_med"))
-    dev = F.abs(F.col(value) - F.col("_med"))
+    carried = [c for c in stats.columns if c not in keys]
+    dev = F.abs(F.col(value) - F.col("median"))
     mad_agg = F.percentile_approx(dev, 0.5, 10000) if percentiles == "approx" else F.median(dev)
-    mad = tagged.join(med, keys).groupBy(*keys).agg(mad_agg.alias("mad"))
-    return (stats.join(mad, keys, "left")
-            .withColumn("range", F.col("max") - F.col("min"))
+    out = (tagged.select(*keys, value).join(stats, keys)
+           .groupBy(*keys).agg(mad_agg.alias("mad"), *[F.max(c).alias(c) for c in carried]))
+    return (out.withColumn("range", F.col("max") - F.col("min"))
             .withColumn("iqr", F.col("percentile_75") - F.col("percentile_25"))
             .withColumn("coeff_variation",
                         F.when(F.col("mean") != 0, F.col("std") / F.abs(F.col("mean"))).otherwise(F.lit(0.0))))
@@ -177,8 +174,7 @@ def _pair_regions(model: Column) -> Column:
     return expr
 
 
-def field_statistics(grid: DataFrame, spark: SparkSession | None = None, percentiles: str = "exact",
-                     materialise: bool = False) -> DataFrame:
+def field_statistics(grid: DataFrame, spark: SparkSession | None = None, percentiles: str = "exact") -> DataFrame:
     """Statistics of every field for every (region, model) pair of its model.
 
     ``Continental US`` is the whole field; other regions mask by their box.
@@ -202,7 +198,7 @@ def field_statistics(grid: DataFrame, spark: SparkSession | None = None, percent
         *FIELD_KEYS, F.coalesce("grib_name", F.lit("Unknown")).alias("grib_name"),
         F.coalesce("domain", F.lit("")).alias("domain"), "lat", "lon", value.alias("value"))
     fkeys = FIELD_KEYS + ["grib_name", "domain"]
-    stats = grouped_statistics(tag_regions(cells), fkeys + ["region"], "value", percentiles, materialise)
+    stats = grouped_statistics(tag_regions(cells), fkeys + ["region"], "value", percentiles)
 
     w = Window.partitionBy(*fkeys)
     is_whole = F.col("region") == WHOLE_FIELD
