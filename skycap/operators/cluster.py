@@ -217,6 +217,8 @@ def find_optimal_k(df: DataFrame, k_range: tuple[int, int] = (2, 15), *, method:
     """Silhouette, Calinski-Harabasz and inertia for every k in the range."""
     if method != "kmeans":
         raise NotImplementedError(f"Method '{method}' is not implemented; use kmeans")
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.select(id_col, col).checkpoint(eager=True)  # every k reads the same vectors
     rows = []
     for k in range(k_range[0], k_range[1] + 1):
         lab, cost, _ = kmeans_best(df, k, n_init=n_init, seed=seed, col=col)

@@ -325,6 +325,10 @@ def linear_probe(samples: DataFrame, storm_regions: DataFrame, lookahead_days: i
     fit -> evaluate.  Returns DataFrames for metrics, confusion, ROC and
     predictions (keyed by sample, not by position)."""
     labelled = feature_vector(label_samples(samples, storm_regions, lookahead_days), use_weather_features=False)
+    ensure_checkpoint_dir(samples.sparkSession)
+    # the labelled sample table feeds the split's bucket bounds, the scaler,
+    # the fit and the evaluation: derive it once
+    labelled = labelled.checkpoint(eager=True)
     split = stratified_split(labelled, "label", test_size, seed).cache()
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     means, stds = fit_standardiser(train)

@@ -11,7 +11,7 @@ from skycap.plans import derive
 from skycap.plans import sql_common as S
 from skycap.plans.registry import query, rounded
 from skycap.schemas import CONUS, REGION_NAMES
-from skycap.session import scratch_path
+from skycap.session import ensure_checkpoint_dir, scratch_path
 from skycap.sources.events import read_storm_csv, write_storm_csv
 
 LOOKAHEAD = 7
@@ -268,7 +268,8 @@ def ml08(spark, sf):
 @query("ml09_cross_validate")
 def ml09(spark, sf):
     lab = PR.feature_vector(_labelled(spark, sf), use_weather_features=False)
-    split = PR.stratified_split(lab, "label", 0.2, SEED)
+    ensure_checkpoint_dir(spark)
+    split = PR.stratified_split(lab, "label", 0.2, SEED).checkpoint(eager=True)
     train = split.where(~F.col("is_test"))
     means, stds = PR.fit_standardiser(train)
     folds = PR.cross_validate(PR.apply_standardiser(train, means, stds), 5, SEED)

@@ -109,3 +109,19 @@ def test_classification_report(spark):
     assert rep["weighted avg"]["f1"] == pytest.approx((f1_0 * 5 + f1_1 * 5) / 10)
     empty = spark.createDataFrame([(0, 0)], "label int, predicted_label int")
     assert {r["class"]: r["precision"] for r in PR.classification_report(empty).collect()}["1"] == 0.0
+
+
+def test_linear_probe_invariants(spark, sf):
+    from skycap.plans import derive
+    from skycap.plans.q_probe import _storms
+    res = PR.linear_probe(derive.probe_samples(spark, sf), _storms(spark, sf), 7)
+    m = res["metrics"].first()
+    for k in ("accuracy", "precision", "recall", "f1", "auc"):
+        assert 0.0 <= m[k] <= 1.0
+    conf = res["confusion"].collect()
+    assert len(conf) == 4 and sum(r["count"] for r in conf) == m["support"]
+    roc = sorted((r["point"], r["fpr"], r["tpr"]) for r in res["roc"].collect())
+    assert roc[0][1:] == (0.0, 0.0) and roc[-1][1:] == (1.0, 1.0)
+    preds = res["predictions"]
+    assert preds.count() == m["support"] and preds.select("sample_id").distinct().count() == m["support"]
+    assert len(res["importance"]) == 64
