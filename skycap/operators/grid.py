@@ -31,7 +31,6 @@ from skycap.schemas import (
     REGION_MODEL_PAIRS,
     REGIONS,
     region_dim,
-    region_model_pairs,
     variable_dim,
 )
 from skycap.sources.grid import requested_forecast_hour
