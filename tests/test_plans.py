@@ -1,7 +1,6 @@
 """Plan-shape checks: pushdown, no cartesian / nested-loop joins, scan counts."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from skycap.operators import grid as G
 from skycap.operators import probe as PR
