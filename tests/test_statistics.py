@@ -40,3 +40,19 @@ def test_hot_field_statistics(spark):
     # the whole field equals the box here; a box with no cells keeps a row
     assert out["Continental US"]["count_valid"] == len(vals)
     assert out["South"]["count_valid"] == 0 and out["South"]["count_missing"] == 6000 and out["South"]["mean"] is None
+
+
+def test_approx_percentiles_close_to_exact(spark, sf):
+    from skycap.plans import derive
+    g = derive.grid(spark, sf)
+    key = ["variable", "valid_time", "forecast_hour", "region"]
+    ex = {tuple(r[k] for k in key): r for r in G.field_statistics(g).where("count_valid >= 5").collect()}
+    ap = {tuple(r[k] for k in key): r for r in G.field_statistics(g, percentiles="approx").where("count_valid >= 5").collect()}
+    assert ex.keys() == ap.keys() and len(ex) > 0
+    for k, e in ex.items():
+        a = ap[k]
+        spread = (e["max"] - e["min"]) or 1.0
+        for col in ("median", "percentile_25", "percentile_75", "percentile_90", "mad"):
+            # percentile_approx returns an observed value next to the exact (interpolated) one
+            assert abs(a[col] - e[col]) <= spread * 0.5, (k, col)
+        assert a["mean"] == pytest.approx(e["mean"])
