@@ -129,7 +129,8 @@ def _stat_aggs(value: str, percentiles: str) -> list[Column]:
     ]
 
 
-def grouped_statistics(tagged: DataFrame, keys: list[str], value: str = "value", percentiles: str = "exact") -> DataFrame:
+def grouped_statistics(tagged: DataFrame, keys: list[str], value: str = "value", percentiles: str = "exact",
+                       with_mad: bool = True) -> DataFrame:
     """All field statistics per group (a01-a08).
 
     Pass 1 aggregates moments, percentiles and counts per group.  MAD needs
@@ -145,6 +146,12 @@ def grouped_statistics(tagged: DataFrame, keys: list[str], value: str = "value",
         F.get("_pct", 2).alias("percentile_75"), F.get("_pct", 3).alias("percentile_90"),
         F.get("_pct", 4).alias("percentile_95"),
     )
+    if not with_mad:  # one aggregate over one scan; Catalyst prunes what the caller leaves unused
+        out = stats.withColumn("mad", F.lit(None).cast("double"))
+        return (out.withColumn("range", F.col("max") - F.col("min"))
+                .withColumn("iqr", F.col("percentile_75") - F.col("percentile_25"))
+                .withColumn("coeff_variation",
+                            F.when(F.col("mean") != 0, F.col("std") / F.abs(F.col("mean"))).otherwise(F.lit(0.0))))
     carried = [c for c in stats.columns if c not in keys]
     dev = F.abs(F.col(value) - F.col("median"))
     mad_agg = F.percentile_approx(dev, 0.5, 10000) if percentiles == "approx" else F.median(dev)
@@ -173,7 +180,8 @@ def _pair_regions(model: Column) -> Column:
     return expr
 
 
-def field_statistics(grid: DataFrame, spark: SparkSession | None = None, percentiles: str = "exact") -> DataFrame:
+def field_statistics(grid: DataFrame, spark: SparkSession | None = None, percentiles: str = "exact",
+                     with_mad: bool = True) -> DataFrame:
     """Statistics of every field for every (region, model) pair of its model.
 
     ``Continental US`` is the whole field; other regions mask by their box.
@@ -197,7 +205,7 @@ def field_statistics(grid: DataFrame, spark: SparkSession | None = None, percent
         *FIELD_KEYS, F.coalesce("grib_name", F.lit("Unknown")).alias("grib_name"),
         F.coalesce("domain", F.lit("")).alias("domain"), "lat", "lon", value.alias("value"))
     fkeys = FIELD_KEYS + ["grib_name", "domain"]
-    stats = grouped_statistics(tag_regions(cells), fkeys + ["region"], "value", percentiles)
+    stats = grouped_statistics(tag_regions(cells), fkeys + ["region"], "value", percentiles, with_mad)
 
     w = Window.partitionBy(*fkeys)
     is_whole = F.col("region") == WHOLE_FIELD
@@ -274,7 +282,8 @@ def caption_samples(grid: DataFrame, forecast_hour: int = 0, *, detailed: bool =
 
     scan -> convert -> wrap -> range join -> grouped statistics ->
     combine variables -> render, as one lazy plan."""
-    stats = field_statistics(grid, percentiles=percentiles)
+    # captions use mean/min/max/counts only: skip the MAD pass, prune the rest
+    stats = field_statistics(grid, percentiles=percentiles, with_mad=False)
     combined = combine_variables(stats, forecast_hour)
     date = F.date_format("valid_time", "yyyy-MM-dd")
     return combined.select(

@@ -46,3 +46,9 @@ def test_retrieval_has_no_pair_join(spark, sf):
     plan = _plan(parts)
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert "FlatMapCoGroupsInPandas" in plan
+
+
+def test_caption_plan_single_scan(spark, sf):
+    plan = _plan(G.caption_samples(derive.grid(spark, sf)))
+    assert plan.count("Scan parquet ") // 2 == 1
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
