@@ -35,3 +35,20 @@ def test_every_survey_key_registered():
 def test_oracle_spot_checks(spark, sf, key):
     info = compare(spark, duck(sf), key, E.queries()[key], E.oracle_sql()[key], sf)
     assert info["ok"], info
+
+
+def test_runs_from_foreign_working_directory(tmp_path):
+    """Driver-like use: entry module loaded by path, bare session, another cwd;
+    pandas kernels must still import the package on the workers."""
+    import subprocess
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import importlib.util\n"
+        "from pyspark.sql import SparkSession\n"
+        f"spec = importlib.util.spec_from_file_location('entry_mod', {str(ROOT / '__spark_entry__.py')!r})\n"
+        "E = importlib.util.module_from_spec(spec); spec.loader.exec_module(E)\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('ROWS', len(E.queries()['a25_silhouette'](spark, '/root/testdata/sf0.001').collect()))\n"
+        "print('ROWS', len(E.queries()['j14_in_batch_pairs'](spark, '/root/testdata/sf0.001').collect()))\n")
+    out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert out.stdout.count("ROWS") == 2, out.stderr[-2000:]
