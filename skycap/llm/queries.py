@@ -51,3 +51,36 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skycap.llm.jaccard_join import jaccard_join
 
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skycap.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op8_html_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skycap.llm.html_text import extract_text
+
+    out = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skycap.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return out.select("doc_id", F.coalesce(langid.held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skycap.llm.bpe import bpe_round_trip
+
+    out = bpe_round_trip(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
