@@ -27,6 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _op1_sql() -> str:
+    from skycap.llm.quality import sql
+
+    return sql()
+
+
+@query("op1_quality_rules", _op1_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skycap.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines",
+        "n_stop_words", "longest_word")
+
+
 @query("op2_suffix_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skycap.llm.suffix_dedup import suffix_dedup
