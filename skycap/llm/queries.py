@@ -61,6 +61,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.attach(docs, "doc_id", "text", res.select("k1", "k2", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
 
 
+@query("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skycap.llm import pii
+
+    out = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = pii.KINDS[:4]
+    spans = out.withColumns({"base": pii.spans_text(pii.all_spans(base)), "n_terms": F.size("terms"),
+                             "spans": pii.spans_text(F.array_sort(F.concat(pii.all_spans(base), pii.term_spans())))})
+    return spans.select("doc.doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+                        F.sha2("base", 256).alias("base_sha256"), "spans", F.col("n_terms").cast("long").alias("n_terms"))
+
+
 @query("op7_jaccard_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skycap.llm.jaccard_join import jaccard_join
