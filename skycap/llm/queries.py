@@ -52,6 +52,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                        F.sha2("kept", 256).alias("kept_sha256")))
 
 
+@query("op3_vector_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skycap.llm.vector_dedup import vector_dedup
+
+    return vector_dedup(table(spark, sf_dir, "embeddings"))
+
+
 @query("op4_substring_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skycap.llm.substring_dedup import substring_dedup
