@@ -103,7 +103,7 @@ def _extend(window: int, block: int, n_ranges: int):
     return step
 
 
-def _settle(window: int, block: int):
+def _settle(window: int, block: int, keep_layout: bool):
     def step(texts: C.Texts, left: np.ndarray, shared: np.ndarray) -> pa.Table:
         first, at, wins, ok = _candidates(texts, left, window, block)
         s, n = np.unique(wins, return_counts=True)
@@ -116,6 +116,9 @@ def _settle(window: int, block: int):
         removed[np.diff(first) == 0] = 0
         kept = []
         for i, (text, r) in enumerate(zip(texts.text.to_pylist(), removed)):
+            if keep_layout and not r:
+                kept.append(text)
+                continue
             words = text.split()
             if r:
                 words = itertools.compress(words, ~gone[first[i]:first[i + 1]])
@@ -126,9 +129,11 @@ def _settle(window: int, block: int):
     return step
 
 
-def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, block: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, block: int | None = None,
+                    keep_layout: bool = False) -> DataFrame:
     """(k1, k2, n_words, n_removed, kept) per distinct text; ``attach`` gives
-    them to the documents.  ``kept`` is the words left, joined by one space."""
+    them to the documents.  ``kept`` is the words left, joined by one space;
+    with ``keep_layout`` a text that loses nothing stays as it is."""
     C.prepare(docs.sparkSession)
     block = block or (window + 1) // 2
     if window < 2 * block - 1:
@@ -142,4 +147,4 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, block
     repeated = C.exchange(around, C.shared_answers(8))
     both = hits.select("chunk", F.lit(0).alias("tag"), "payload").unionByName(
         repeated.select("chunk", F.lit(1).alias("tag"), "payload"))
-    return C.with_tagged(chunks, both, _settle(window, block), RESULT)
+    return C.with_tagged(chunks, both, _settle(window, block, keep_layout), RESULT)
