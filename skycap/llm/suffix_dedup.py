@@ -35,7 +35,7 @@ from skycap.llm import common as C
 
 GRAM = 32
 #: Bytes of runs whose suffixes are sorted together (more if one anchor has more).
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 18
 RUNS = "bucket long, chunk long, numbers binary, lengths binary, twice binary, anchors binary, data binary"
 RESULT = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -75,7 +75,7 @@ class AnchorRuns:
             edge, size = edge[real], size[real]
             at.append(edge + self.base[lo])
             count.append(size)
-            key.append(h[best[edge]])
+            key.append(C.mixed(h[best[edge]]))  # least hashes are small numbers: mixed again to fill all ranges
         self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
         self.count = np.concatenate(count) if count else np.zeros(0, np.int64)
         self.key = C.joined(key)
