@@ -18,9 +18,9 @@ every document has at least one piece.  Equal rows are packed one by one.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skycap.llm import common as C
-from skycap.llm.bpe import CACHE_PIECES, Numbers, gathered, slices
+from skycap.llm.bpe import Numbers, gathered, slices
 
 SIZE = 4096
 OPEN_WINDOWS = 64
@@ -39,7 +39,8 @@ END_ID = 2
 MERGE_PARTITIONS = 256
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_SPACES = re.compile(r"[ \t\n\x0b\x0c\r]+")
+CACHE_WORDS = 1_000_000
+WORDS_A_CALL = 512
 
 
 class WordIds:
@@ -51,42 +52,40 @@ class WordIds:
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
-        added = self.tok.get_added_tokens_decoder()
-        plain = {i: t.content for i, t in added.items() if not (t.normalized or t.lstrip or t.rstrip or t.single_word)}
-        #: Stands between words that are encoded in one call: a special token cuts the text on both sides.
-        self.mark, self.mark_id = next(((c, i) for i, c in sorted(plain.items())), (None, None))
         self.forget()
 
     def forget(self) -> None:
         self.known = Numbers()
         self.flat, self.begin, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words by one call, and each word's number; offsets tell which word an id belongs to."""
+        got = self.tok.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(got.ids, np.uint32)
+        at = np.fromiter(map(itemgetter(0), got.offsets), np.int64, len(ids))
+        begin = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+        return ids, np.bincount(np.searchsorted(begin, at, side="right") - 1, minlength=len(words))
+
     def _learn(self, words: list[str]) -> None:
-        if self.mark is None or any(self.mark in w for w in words):
-            lists = [e.ids for e in self.tok.encode_batch(words, add_special_tokens=False)]
-            ids, n = np.array([i for x in lists for i in x], np.int64), np.array([len(x) for x in lists], np.int64)
-        else:
-            got = np.array(self.tok.encode(self.mark.join(words) + self.mark, add_special_tokens=False).ids, np.int64)
-            stop = np.flatnonzero(got == self.mark_id)
-            n = np.diff(np.concatenate([[-1], stop])) - 1
-            ids = got[got != self.mark_id]
+        got = [self._ids(words[i:i + WORDS_A_CALL]) for i in range(0, len(words), WORDS_A_CALL)]
+        n = np.concatenate([c for _, c in got])
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(n) - n])
         self.count = np.concatenate([self.count, n])
-        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        self.flat = np.concatenate([self.flat, *(i for i, _ in got)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each text's ids)."""
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > CACHE_WORDS:
             self.forget()
         which: list[int] = []
         ends = []
         look = self.known.__getitem__
         for t in texts:
-            which += map(look, _SPACES.split(t))
+            which += map(look, t.replace("\n", " ").split(" "))
             ends.append(len(which))
         fresh, self.known.fresh = self.known.fresh, []
-        for i in range(0, len(fresh), 4096):
-            self._learn(fresh[i:i + 4096])
+        if fresh:
+            self._learn(fresh)
         w = np.array(which, np.int64)
         ids, n = gathered(self.flat, self.begin[w], self.count[w])
         upto = np.concatenate([[0], np.cumsum(n)])
