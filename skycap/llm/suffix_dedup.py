@@ -140,8 +140,9 @@ class SuffixArray:
 
     LEVELS = (8, 16, 32, 64, 128, 256)
 
-    def __init__(self, data: np.ndarray, stop: np.ndarray, starts: np.ndarray):
-        """stop: end of the string that each byte of data belongs to."""
+    def __init__(self, data: np.ndarray, stop: np.ndarray, starts: np.ndarray, least: int = 8):
+        """stop: end of the string that each byte of data belongs to; common
+        prefixes shorter than ``least`` may be given as 0."""
         n = len(data)
         left = stop - np.arange(n)
         word = np.zeros(n, np.uint64)
@@ -159,7 +160,7 @@ class SuffixArray:
         tail = [self._after(top, 256 * i)[starts] for i in range(int(left.max(initial=0)) // 256, 0, -1)]
         self.order = starts[np.lexsort((*tail, top[starts]))]
         a, b = self.order[:-1], self.order[1:]
-        self.lcp = self._common(a, b)
+        self.lcp = self._common(a, b, max(n for n in self.LEVELS if n <= max(8, least)))
 
     @staticmethod
     def _rank(keys: np.ndarray) -> np.ndarray:
@@ -178,10 +179,10 @@ class SuffixArray:
         out[self.left <= size] = 0
         return out
 
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _common(self, a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
         most = np.minimum(self.left[a], self.left[b])
         got = np.zeros(len(a), np.int64)
-        live = np.flatnonzero(self.ranks[256][a] == self.ranks[256][b])  # shorter ones are of no use
+        live = np.flatnonzero(self.ranks[level][a] == self.ranks[level][b])
         x, y, cap, l = a[live], b[live], most[live], np.zeros(len(live), np.int64)
         for size in [256] * max(1, int(cap.max(initial=0)) // 256) + [128, 64, 32, 16, 8]:
             r = self.ranks[size]
@@ -231,7 +232,7 @@ def _repeats(data: np.ndarray, lengths: np.ndarray, min_bytes: int):
     owner = np.repeat(np.arange(len(lengths)), lengths)
     inner = np.arange(len(data)) - begin[owner]
     starts = np.flatnonzero(stop[owner] - np.arange(len(data)) >= min_bytes)
-    sa = SuffixArray(data, stop[owner], starts)
+    sa = SuffixArray(data, stop[owner], starts, min_bytes)
     code = np.full(len(data), -1, np.int64)
     code[1:] = data[:-1]
     code[begin] = -1
