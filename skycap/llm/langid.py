@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skycap.llm import common as C
-from skycap.llm.bpe import CACHE_PIECES, slices
+from skycap.llm.bpe import slices
 
 MAX_ROWS = 10_000
 TOP_WORDS = 50_000
 TOP_GRAMS = 20_000
 LONGEST = 4
+CACHE_WORDS = 300_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -43,45 +44,64 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-class Model:
-    """Log frequencies per language of words and n-grams."""
+class Table:
+    """Log frequencies per language of some strings: one row of a matrix each."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]):
-        self.langs, self.grams = langs, grams
-        self.words = words
+    def __init__(self, keys: list[str], rows: np.ndarray):
+        self.keys, self.rows = keys, np.asarray(rows, np.float32)
+
+    def __getstate__(self):  # compact: the strings as one
+        return "\n".join(self.keys), len(self.keys), self.rows
+
+    def __setstate__(self, state):
+        joined, n, self.rows = state
+        self.keys = joined.split("\n") if n else []
+
+    def index(self) -> dict[str, int]:
+        return {k: i for i, k in enumerate(self.keys)}
 
-    def score_unseen(self, word: str) -> np.ndarray:
-        marked = f"<{word}>"
-        for n in range(LONGEST, 0, -1):
-            known = self.grams[n - 1]
-            hits = [known[g] for g in (marked[i:i + n] for i in range(len(marked) - n + 1)) if g in known]
-            if hits:
-                return np.mean(hits, axis=0)
-        return np.zeros(len(self.langs))
+
+class Model:
+    """Tables of words and of n-grams of 1, 2, ... characters."""
+
+    def __init__(self, langs: list[str], words: Table, grams: list[Table]):
+        self.langs, self.words, self.grams = langs, words, grams
 
 
 class Scorer(dict):
-    """Row numbers of scores of words; unseen words are scored when first asked for."""
+    """Row numbers of the scores of words; an unseen word is scored when first asked for."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.langs, self.words = model.langs, model.words
+        self.grams = [(t.index(), t.rows) for t in model.grams]
         self.restart()
 
     def restart(self) -> None:
         self.clear()
-        self.update({w: i for i, w in enumerate(self.model.words)})
-        self.rows = [*self.model.words.values()]
-        self.table = np.array(self.rows).reshape(len(self.rows), len(self.model.langs))
+        self.update(self.words.index())
+        self.known = len(self)
+        self.table = self.words.rows
+        self.fresh: list[np.ndarray] = []
 
     def __missing__(self, word: str) -> int:
-        self[word] = n = len(self.rows)
-        self.rows.append(self.model.score_unseen(word))
+        self[word] = n = len(self.table) + len(self.fresh)
+        self.fresh.append(self.score_unseen(word))
         return n
 
+    def score_unseen(self, word: str) -> np.ndarray:
+        marked = f"<{word}>"
+        for n in range(len(self.grams), 0, -1):
+            index, rows = self.grams[n - 1]
+            hits = [index[g] for i in range(len(marked) - n + 1) if (g := marked[i:i + n]) in index]
+            if hits:
+                return rows[hits].sum(axis=0) / np.float32(len(hits))
+        return np.zeros(len(self.langs), np.float32)
+
     def scores(self, numbers: list[int]) -> np.ndarray:
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table):])])
+        if self.fresh:
+            self.table = np.concatenate([self.table, np.stack(self.fresh)])
+            self.fresh = []
         return self.table[numbers]
 
 
@@ -115,31 +135,38 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     place = {la: i for i, la in enumerate(langs)}
     # absent entries score as half a count
     floor = {s: np.array([math.log(0.5 / sums.get((la, s), 1)) for la in langs]) for s in range(LONGEST + 1)}
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+    keys: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    cells: list[list[tuple[int, int, float]]] = [[] for _ in range(LONGEST + 1)]
     for r in top.select("lang", "size", "gram", "n").toLocalIterator():
-        row = tables[r["size"]].setdefault(r["gram"], floor[r["size"]].copy())
-        row[place[r["lang"]]] = math.log(r["n"] / sums[r["lang"], r["size"]])
+        size, at = r["size"], place[r["lang"]]
+        row = keys[size].setdefault(r["gram"], len(keys[size]))
+        cells[size].append((row, at, math.log(r["n"] / sums[r["lang"], size])))
+    tables = []
+    for size in range(LONGEST + 1):
+        rows = np.tile(floor[size], (len(keys[size]), 1)).reshape(len(keys[size]), len(langs))
+        for row, at, value in cells[size]:
+            rows[row, at] = value
+        tables.append(Table(list(keys[size]), rows))
     return Model(langs, tables[0], tables[1:])
 
 
-_SCORERS: dict[int, Scorer] = {}
+_LAST: list = [None, None]
 
 
-def _scorer(model) -> Scorer:
-    key = id(model.value)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model.value)
-    return _SCORERS[key]
+def _scorer(model: Model) -> Scorer:
+    """The Python worker's scorer of this model; it keeps its cache between tasks."""
+    if _LAST[0] is not model:
+        _LAST[:] = model, Scorer(model)
+    return _LAST[1]
 
 
 def predict(scorer: Scorer, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """(language, score) of each text."""
-    langs = scorer.model.langs
+    langs = scorer.langs
     names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if not langs:
         return names, best
-    if len(scorer) > len(scorer.model.words) + CACHE_PIECES:
+    if len(scorer) > scorer.known + CACHE_WORDS:
         scorer.restart()
     numbers: list[int] = []
     ends = []
@@ -151,7 +178,7 @@ def predict(scorer: Scorer, texts: list[str | None]) -> tuple[list[str], np.ndar
                 numbers += map(look, words)
         ends.append(len(numbers))
     upto = np.zeros((len(numbers) + 1, len(langs)))
-    np.cumsum(scorer.scores(numbers), axis=0, out=upto[1:])
+    np.cumsum(scorer.scores(numbers), axis=0, dtype=np.float64, out=upto[1:])
     ends = np.array(ends)
     counts = np.diff(ends, prepend=0)
     sums = upto[ends] - upto[ends - counts]
@@ -172,7 +199,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     docs = docs.select(*[F.col(f"`{c}`") for c in rest])
 
     def run(batches):
-        scorer = _scorer(shared)
+        scorer = _scorer(shared.value)
         for b in batches:
             texts = b.column(text).to_pylist()
             names, best = [], []
