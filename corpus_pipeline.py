@@ -23,7 +23,7 @@ from skycap.llm import langid, packing, pii
 from skycap.llm import substring_dedup as S
 
 #: A prediction below this share of the probability rejects the document.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 #: No SQL: trained model, connected components, tokenizer.
 ORACLE_SQL = None
