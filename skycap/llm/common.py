@@ -46,6 +46,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def computed(df: DataFrame, cols: dict) -> DataFrame:
+    """df with columns that are evaluated once: they pass a generator of one row
+    each, below which no later filter on them is pushed and evaluated again."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in cols]
+    return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 # ---------------------------------------------------------------------------
 # Texts and chunks
 # ---------------------------------------------------------------------------

@@ -93,7 +93,7 @@ def base_spans(texts: DataFrame) -> DataFrame:
     """texts (with a column text) and its spans: one array per base kind."""
     t = F.col("text")
     digit = t.rlike("[0-9]")
-    return texts.withColumns({
+    return C.computed(texts, {
         "email": _found(t, EMAIL, t.contains("@"), lambda m: F.lit(True)),
         "ip": _found(t, IP, digit & t.contains("."), _ip_ok),
         "card": _found(t, CARD, digit, _luhn_ok),

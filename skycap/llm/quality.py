@@ -22,6 +22,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skycap.llm import common as C
+
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -91,8 +93,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines,
     n_repeat_words, n_stop_words, longest_word (long); columns of these names are replaced."""
     own = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "longest_word"}
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
-    df = docs.select(*rest, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in own]).alias("doc")
+    df = docs.select(rest, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     df = df.withColumns({"_words": _words(F.col("_text")), "_lines": lines})
     for name, col in _repeat_positions():
@@ -101,17 +103,17 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(F.transform("_at", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - x, F.lit(WINDOW)))),
                           F.lit(0), lambda a, x: a + x)
     stop = sorted({w for s in STOP_WORDS for w in (s, s.capitalize())})
-    return df.select(
-        *rest,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.regexp_replace("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
-        F.size(F.filter("_words", lambda w: w.isin(stop))).cast("long").alias("n_stop_words"),
-        F.coalesce(F.array_max(F.transform("_words", F.length)), F.lit(0)).cast("long").alias("longest_word"),
-    )
+    cols = {
+        "n_words": F.size("_words").cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": (F.length("_text") - F.length(F.regexp_replace("_text", SYMBOLS, ""))).cast("long"),
+        "n_lines": F.size("_lines").cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_repeat_words": covered.cast("long"),
+        "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stop))).cast("long"),
+        "longest_word": F.coalesce(F.array_max(F.transform("_words", F.length)), F.lit(0)).cast("long"),
+    }
+    return C.computed(df, cols).select("doc.*", *cols)
 
 
 def base_failed() -> Column:
