@@ -1,11 +1,10 @@
 """Distractor captions and zero-shot caption-to-image tests (j09, j10, a19, a20).
 
-Distractors are drawn per query with a seeded arithmetic hash of
-(query index, draw number) into the dense sample index, then resolved with an
-equi-join: O(n * draws) rows, never all pairs.  Draws that hit the query's own
-caption (or repeat a position) are skipped; the first ``k`` valid draws in
-draw order are kept.  Queries left short get further rounds of draws, so the
-result is always exactly ``k`` distractors when at least ``k`` exist.
+Samples stand in caption order, so those that share a query's caption are one
+range of positions and all others its complement.  The complement is cut into
+``k`` strata and a seeded hash draws one position in each: exactly ``k`` different
+distractors for every query with at least ``k`` other-caption samples, whatever
+caption dominates.  O(n * k) rows, equi-joins only.
 """
 
 from __future__ import annotations
@@ -21,74 +20,53 @@ from skycap.session import ensure_checkpoint_dir
 HASH_PRIME = 2147483647
 
 
-def draw_index(q_idx: Column, t: Column, n: int, seed: int) -> Column:
-    """Seeded pseudo-random position in [0, n) for draw ``t`` of query ``q``:
-    two Lehmer steps (multiplier 48271 mod 2^31-1) over ``q*69621 + t + s``.
-    For a fixed query, successive draws run through a permutation of
-    [0, 2^31-1), so every position is reachable whatever ``n`` is.  All
-    intermediates stay below 2^47 (bigint-safe in Spark and SQL)."""
-    x = (q_idx * F.lit(69621) + t + F.lit(seed * 7919 + 11)) % F.lit(HASH_PRIME)
-    h = (x * F.lit(48271)) % F.lit(HASH_PRIME)
-    h = (h * F.lit(48271)) % F.lit(HASH_PRIME)
-    return (h % F.lit(n)).cast("long")
-
-
-def distractors(samples: DataFrame, k: int = 9, seed: int = 42, draws_per_round: int | None = None,
-                max_rounds: int = 16) -> DataFrame:
+def draw_hash(q_idx: Column, t: Column, seed: int) -> Column:
+    """Seeded hash of draw ``t`` of query ``q``: two Lehmer steps (multiplier
+    48271 mod 2^31-1) over ``q*69621 + t + s``.  All intermediates stay below
+    2^48 (bigint-safe in Spark and SQL)."""
+    q = F.pmod(q_idx, F.lit(HASH_PRIME))
+    h = (q * F.lit(69621) + t + F.lit(seed * 7919 + 11)) % F.lit(HASH_PRIME)
+    for _ in range(2):
+        h = (h * F.lit(48271)) % F.lit(HASH_PRIME)
+    return h
+
+
+def caption_order(samples: DataFrame) -> DataFrame:
+    """(idx, caption, p): position of every sample by (caption, idx).  Range
+    partitions hold consecutive positions; their sizes (one number per
+    partition) give the offsets."""
+    spark = samples.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = (samples.select("idx", "caption").repartitionByRange(parts, "caption", "idx")
+              .withColumn("_part", F.spark_partition_id()).checkpoint(eager=True))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per partition: bounded by the number of partitions
+    offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy("caption", "idx")) - 1
+    return placed.withColumn("_row", local).join(F.broadcast(offsets), "_part").select(
+        "idx", "caption", (F.col("_off") + F.col("_row")).alias("p"))
+
+
+def distractors(samples: DataFrame, k: int = 9, seed: int = 42) -> DataFrame:
     """j09: ``(q_idx, pos, c_idx)`` with pos 0 = the query itself and pos 1..k
-    the distractors.  ``samples`` needs a dense ``idx`` and ``caption``.
-
-    Queries with fewer than ``k`` other-caption samples repeat those (in index
-    order) up to ``k``; queries with none are skipped, as in the original."""
-    n = samples.count()
-    m = draws_per_round or 8 * k
-    same = samples.groupBy("caption").agg(F.count(F.lit(1)).alias("_same"))
-    pot = samples.join(same, "caption").select(F.col("idx").alias("q_idx"), F.col("caption").alias("q_caption"),
-                                               (F.lit(n) - F.col("_same")).alias("_pot"))
-    short_q = pot.where(F.col("_pot") < k).select("q_idx", "q_caption", "_pot")
-    base = pot.where(F.col("_pot") >= k).select("q_idx", "q_caption")
-    cands = samples.select(F.col("idx").alias("c_idx"), F.col("caption").alias("c_caption"))
-    chosen = None
-    pending = base
-    for r in range(max_rounds):
-        t = F.explode(F.sequence(F.lit(r * m), F.lit((r + 1) * m - 1)))
-        drawn = pending.select("q_idx", "q_caption", t.alias("t")).withColumn("c_idx", draw_index(F.col("q_idx"), F.col("t"), n, seed))
-        valid = drawn.join(cands, "c_idx").where(F.col("c_caption") != F.col("q_caption"))
-        # first draw of each position, then the first k positions in draw order
-        first = valid.groupBy("q_idx", "c_idx").agg(F.min("t").alias("t"))
-        if chosen is not None:  # a position drawn again in a later round keeps its first draw
-            first = chosen.select("q_idx", "c_idx", "t").unionByName(first).groupBy("q_idx", "c_idx").agg(
-                F.min("t").alias("t"))
-        found = first
-        w = Window.partitionBy("q_idx").orderBy("t", "c_idx")
-        found = found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-        if r > 0:  # later rounds grow the lineage: cut it with a reliable checkpoint
-            ensure_checkpoint_dir(samples.sparkSession)
-            found = found.checkpoint(eager=True)
-        chosen = found
-        short = chosen.groupBy("q_idx").agg(F.count(F.lit(1)).alias("got")).where(F.col("got") >= k)
-        pending = base.join(short, "q_idx", "left_anti")
-        if pending.limit(1).count() == 0:
-            break
-    if chosen is None:
-        chosen = base.select("q_idx", F.lit(None).cast("long").alias("c_idx"), F.lit(None).cast("long").alias("t"),
-                             F.lit(None).cast("int").alias("rn")).where(F.lit(False))
-    picked = chosen.select("q_idx", F.col("rn").cast("int").alias("pos"), "c_idx")
-    # fewer than k candidates exist only when more than n - k samples share one
-    # caption, so the other-caption samples are fewer than k: list and repeat them
-    # captions held by more than n - k samples: at most n / (n - k + 1) of them
-    # (<= 2 for k < n/2), so the broadcast side of this non-equi join is tiny
-    crowded = same.where(F.col("_same") > n - k).select(F.col("caption").alias("sc"))
-    others = (cands.join(F.broadcast(crowded), F.col("c_caption") != F.col("sc"))
-              .withColumn("_r", F.row_number().over(Window.partitionBy("sc").orderBy("c_idx")) - 1))
-    few = (short_q.where(F.col("_pot") > 0).join(others, F.col("q_caption") == F.col("sc"))
-           .select("q_idx", "_pot", "_r", "c_idx"))
-    reps = few.select("q_idx", "c_idx", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_slot"), "_pot", "_r")
-    repeated = reps.where(F.col("_slot") % F.col("_pot") == F.col("_r")).select(
-        "q_idx", (F.col("_slot") + 1).cast("int").alias("pos"), "c_idx")
-    kept = base.select("q_idx").unionByName(short_q.where(F.col("_pot") > 0).select("q_idx"))
-    own = kept.select("q_idx", F.lit(0).alias("pos"), F.col("q_idx").alias("c_idx"))
-    return own.unionByName(picked).unionByName(repeated)
+    the distractors.  ``samples`` needs ``idx`` and ``caption``.
+
+    Queries with fewer than ``k`` other-caption samples repeat those (in
+    caption order) up to ``k``; queries with none are skipped, as in the original."""
+    order = caption_order(samples)
+    n = order.count()
+    spans = order.groupBy("caption").agg(F.min("p").alias("lo"), F.count(F.lit(1)).alias("same"))
+    q = order.join(spans, "caption").select(F.col("idx").alias("q_idx"), "lo", "same", (F.lit(n) - F.col("same")).alias("m")).where("m > 0")
+    draws = q.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("t"))
+    m, t = F.col("m"), F.col("t")
+    gap = F.greatest(F.floor(m / k), F.lit(1))
+    spread = (draw_hash(F.col("q_idx"), F.lit(k).cast("long"), seed) % m + t * gap + draw_hash(F.col("q_idx"), t, seed) % gap) % m
+    j = F.when(m >= k, spread).otherwise(t % m)
+    p = F.when(j < F.col("lo"), j).otherwise(j + F.col("same"))
+    drawn = draws.select("q_idx", (t + 1).cast("int").alias("pos"), p.cast("long").alias("p"))
+    picked = drawn.join(order.select(F.col("idx").alias("c_idx"), "p"), "p").select("q_idx", "pos", "c_idx")
+    return picked.unionByName(q.select("q_idx", F.lit(0).alias("pos"), F.col("q_idx").alias("c_idx")))
 
 
 def zero_shot(samples: DataFrame, cand: DataFrame, scale: float = DEFAULT_SCALE) -> DataFrame:

@@ -16,20 +16,18 @@ K, SEED = 9, 42
 SCALE = repr(DEFAULT_SCALE)
 
 _DRAWS = S.EMB_PARSED + f""",
-nn AS (SELECT count(*) AS n FROM es),
+po AS (SELECT idx, caption, row_number() OVER (ORDER BY caption, idx) - 1 AS p, count(*) OVER () AS n FROM es),
+sp AS (SELECT caption, min(p) AS lo, count(*) AS same FROM po GROUP BY caption),
 dr AS (
-  SELECT q.idx AS q_idx, q.caption AS q_caption, t,
-         (((((q.idx * 69621 + t + {SEED * 7919 + 11}) % 2147483647) * 48271) % 2147483647 * 48271) % 2147483647) % nn.n AS c_idx
-  FROM es q, nn, range(0, {8 * K}) r(t)
-),
-va AS (
-  SELECT dr.q_idx, dr.c_idx, min(dr.t) AS t FROM dr JOIN es c ON c.idx = dr.c_idx
-  WHERE c.caption <> dr.q_caption GROUP BY ALL
+  SELECT q.idx AS q_idx, t, lo, same, n - same AS m, greatest((n - same) // {K}, 1) AS gap,
+         ((((q.idx * 69621 + t + {SEED * 7919 + 11}) % 2147483647) * 48271) % 2147483647 * 48271) % 2147483647 AS h,
+         ((((q.idx * 69621 + {K} + {SEED * 7919 + 11}) % 2147483647) * 48271) % 2147483647 * 48271) % 2147483647 AS h0
+  FROM po q JOIN sp USING (caption), range(0, {K}) r(t) WHERE n > same
 ),
+dj AS (SELECT *, CASE WHEN m >= {K} THEN (h0 % m + t * gap + h % gap) % m ELSE t % m END AS j FROM dr),
 pick AS (
-  SELECT q_idx, pos, c_idx FROM (
-    SELECT q_idx, c_idx, row_number() OVER (PARTITION BY q_idx ORDER BY t, c_idx) AS pos FROM va) WHERE pos <= {K}
-  UNION ALL SELECT idx AS q_idx, 0 AS pos, idx AS c_idx FROM es
+  SELECT q_idx, t + 1 AS pos, c.idx AS c_idx FROM dj JOIN po c ON c.p = CASE WHEN j < lo THEN j ELSE j + same END
+  UNION ALL SELECT DISTINCT q_idx, 0 AS pos, q_idx AS c_idx FROM dr
 ),
 sc AS (
   SELECT p.q_idx, p.pos, p.c_idx, q.caption AS correct_caption, c.caption AS cand_caption,

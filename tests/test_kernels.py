@@ -161,3 +161,17 @@ def test_distractor_repeat_and_skip(spark):
     assert len(out[5]) == 4 and len({c for p, c in out[5] if p > 0}) == 3
     only = spark.createDataFrame([(0, "a"), (1, "a")], "idx long, caption string")
     assert distractors(only, k=2).count() == 0
+
+
+def test_distractors_with_a_common_caption(spark):
+    """Every query gets k different samples of other captions, also where one caption fills nearly all."""
+    from skycap.operators.zeroshot import distractors
+    rows = [(i, "common" if i >= 12 else f"c{i}") for i in range(800)]
+    s = spark.createDataFrame(rows, "idx long, caption string")
+    got = {}
+    for r in distractors(s, k=9).where("pos > 0").collect():
+        got.setdefault(r["q_idx"], []).append(r["c_idx"])
+    caption = dict(rows)
+    assert len(got) == 800
+    for q, c in got.items():
+        assert len(c) == 9 == len(set(c)) and all(caption[x] != caption[q] for x in c)
