@@ -110,11 +110,12 @@ def silhouette_per_point(df: DataFrame, label: str = "cluster", col: str = "x",
     own = df.select(F.col(id_col).alias("qid"), F.col(label).cast("long").alias("own"))
     j = per.join(own, "qid")
     agg = j.groupBy("qid").agg(
-        F.max(F.when(F.col("cluster") == F.col("own"), F.col("dsum") / F.col("n"))).alias("a"),
+        F.max(F.when(F.col("cluster") == F.col("own"), F.try_divide("dsum", "n"))).alias("a"),
         F.max(F.when(F.col("cluster") == F.col("own"), F.col("n"))).alias("own_others"),
-        F.min(F.when((F.col("cluster") != F.col("own")) & (F.col("n") > 0), F.col("dsum") / F.col("n"))).alias("b"))
-    s = F.when(F.coalesce(F.col("own_others"), F.lit(0)) == 0, F.lit(0.0)).otherwise(
-        (F.col("b") - F.col("a")) / F.greatest(F.col("a"), F.col("b")))
+        F.min(F.when((F.col("cluster") != F.col("own")) & (F.col("n") > 0), F.try_divide("dsum", "n"))).alias("b"))
+    # a singleton scores 0, and so does a point at distance 0 from both clusters
+    ratio = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    s = F.when(F.coalesce(F.col("own_others"), F.lit(0)) == 0, F.lit(0.0)).otherwise(ratio)
     return agg.select("qid", s.alias("silhouette"))
 
 
@@ -128,7 +129,7 @@ def silhouette(df: DataFrame, label: str = "cluster", col: str = "x", id_col: st
 
 # a26 -------------------------------------------------------------------------
 def calinski_harabasz_frame(df: DataFrame, label: str = "cluster", col: str = "x") -> DataFrame:
-    """(B/(k-1)) / (W/(n-k)) as a one-row frame; 0 with fewer than 2 clusters."""
+    """(B/(k-1)) / (W/(n-k)) as a one-row frame; 0 with fewer than 2 clusters, 1 without spread within them."""
     e = df.select(F.col(label).alias("_l"), F.posexplode(col).alias("j", "v"))
     cc = e.groupBy("_l", "j").agg(F.avg("v").alias("cm"), F.count(F.lit(1)).alias("nk"))
     gc = e.groupBy("j").agg(F.avg("v").alias("gm"))
@@ -137,8 +138,9 @@ def calinski_harabasz_frame(df: DataFrame, label: str = "cluster", col: str = "x
     counts = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k"))
     one = F.lit(1)
     j = (between.withColumn("_o", one).join(within.withColumn("_o", one), "_o").join(counts.withColumn("_o", one), "_o"))
-    ch = F.when((F.col("k") >= 2) & (F.col("W") > 0),
-                (F.col("B") / (F.col("k") - 1)) / (F.col("W") / (F.col("n") - F.col("k")))).otherwise(F.lit(0.0))
+    # no spread within the clusters: 1, as scikit-learn has it
+    ratio = F.try_divide(F.col("B") / (F.col("k") - 1), F.try_divide(F.col("W"), F.col("n") - F.col("k")))
+    ch = F.when(F.col("k") < 2, F.lit(0.0)).when(F.col("W") == 0, F.lit(1.0)).otherwise(ratio)
     return j.select(ch.alias("calinski_harabasz"))
 
 

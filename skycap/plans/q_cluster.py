@@ -106,7 +106,7 @@ d AS (SELECT p.idx, q.cluster AS c, p.cluster AS own, list_distance(p.x, q.x) AS
       FROM cl p JOIN cl q ON p.idx <> q.idx),
 m AS (SELECT idx, c, own, avg(dist) AS md FROM d GROUP BY ALL),
 s AS (SELECT idx, max(md) FILTER (WHERE c = own) AS a, min(md) FILTER (WHERE c <> own) AS b FROM m GROUP BY idx)
-SELECT {S.R('avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette FROM s
+SELECT {S.R('avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette FROM s
 """)
 def a25(spark, sf):
     v = CL.silhouette(_labelled(spark, sf), "cluster", "x")
@@ -119,7 +119,7 @@ gc AS (SELECT dim, avg(v) AS gm FROM ux GROUP BY dim),
 bw AS (SELECT sum(nk * (cm - gm) * (cm - gm)) AS B FROM cc JOIN gc USING (dim)),
 ww AS (SELECT sum((v - cm) * (v - cm)) AS W FROM ux JOIN cc USING (cluster, dim)),
 nk AS (SELECT count(*) AS n, count(DISTINCT cluster) AS k FROM cl)
-SELECT {S.R('CASE WHEN k >= 2 AND W > 0 THEN (B / (k - 1)) / (W / (n - k)) ELSE 0.0 END')} AS calinski_harabasz FROM bw, ww, nk
+SELECT {S.R('CASE WHEN k < 2 THEN 0.0 WHEN W = 0 THEN 1.0 ELSE (B / (k - 1)) / (W / (n - k)) END')} AS calinski_harabasz FROM bw, ww, nk
 """)
 def a26(spark, sf):
     return rounded(CL.calinski_harabasz_frame(_labelled(spark, sf), "cluster", "x"))
