@@ -25,11 +25,11 @@ HURRICANE_REGIONS = REGION_NAMES + [CONUS]
 
 # s08 / j15 -------------------------------------------------------------------
 def parse_storms(raw: DataFrame) -> DataFrame:
-    """s08: ``MMM dd, yyyy`` strings to DATE; keeps file order as ``seq``."""
+    """s08: ``MMM d, yyyy`` strings (one or two digits for the day) to DATE; keeps file order as ``seq``."""
     return raw.select(
         F.col("seq"), F.col("Hurricane").alias("name"), F.col("Regions").alias("regions"),
-        F.to_date(F.col("Start Date"), "MMM dd, yyyy").alias("start_date"),
-        F.to_date(F.col("End Date"), "MMM dd, yyyy").alias("end_date"),
+        F.to_date(F.col("Start Date"), "MMM d, yyyy").alias("start_date"),
+        F.to_date(F.col("End Date"), "MMM d, yyyy").alias("end_date"),
     )
 
 
@@ -90,7 +90,8 @@ def feature_vector(samples: DataFrame, *, use_embeddings: bool = True, use_weath
     if use_weather_features:
         parts.append(weather_features(F.col("season"), F.col("region")))
     feats = F.concat(*parts) if len(parts) > 1 else parts[0]
-    info = F.concat_ws("_", F.col("date"), F.col("region"), F.coalesce(F.col("storm"), F.lit("no_hurricane")))
+    missing = lambda c, other: F.coalesce(F.col(c), F.lit(other))  # noqa: E731  a NULL keeps its field
+    info = F.concat(missing("date", ""), F.lit("_"), missing("region", ""), F.lit("_"), missing("storm", "no_hurricane"))
     return samples.withColumn("features", feats).withColumn("sample_info", info)
 
 
@@ -101,8 +102,9 @@ def feature_names(dim: int, *, use_embeddings: bool = True, use_weather_features
 
 # w05 / w06 ------------------------------------------------------------------
 def split_hash(id_col: Column, seed: int) -> Column:
-    """Seeded arithmetic permutation of a non-negative integer id."""
-    return (id_col * F.lit(48271) + F.lit(seed * 16807 + 11)) % F.lit(2147483647)
+    """Seeded arithmetic hash of an integer id: a permutation below 2^31-1;
+    larger ids meet, and the id itself then breaks the tie."""
+    return (F.pmod(id_col, F.lit(2147483647)) * F.lit(48271) + F.lit(seed * 16807 + 11)) % F.lit(2147483647)
 
 
 def stratified_split(df: DataFrame, label: str = "label", test_size: float = 0.2, seed: int = 42,
@@ -341,7 +343,7 @@ def linear_probe(samples: DataFrame, storm_regions: DataFrame, lookahead_days: i
         "metrics": one_row_join(classification_metrics(pred), auc_roc(pred)),
         "confusion": confusion_matrix(pred),
         "roc": roc_curve(pred),
-        "importance": model.coefficients.toArray().tolist(),
+        "importance": [abs(c) for c in model.coefficients.toArray().tolist()],
     }
     if cv_folds:
         out["cv"] = cv_summary(cross_validate(train_s, cv_folds, seed, C))

@@ -12,18 +12,8 @@ from pyspark.sql import functions as F
 from skycap.sources.grid import nan_to_null
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Small inputs come in fewer splits than there are cores (one row group
-    per file), which serialises the per-row work that follows (rendering,
-    parsing, tagging, partial aggregation).  Spread such inputs round-robin
-    over the cluster's parallelism; large inputs (>= one split per core) are
-    left untouched, so this is a no-op at scale."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # ---------------------------------------------------------------------------
@@ -147,7 +137,7 @@ def emb_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Storm events from `orders`: every urgent order, dated +24 years
+# Storm events from `orders`: every order, dated +24 years
 # (2019-2025).  Regions: one or two of the 11 storm regions (or an unmapped
 # name); file order = order key.
 # ---------------------------------------------------------------------------
@@ -155,7 +145,7 @@ def storms_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skycap.schemas import CONUS, REGION_NAMES
 
     names = F.array(*[F.lit(r) for r in REGION_NAMES + [CONUS]])
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    o = table(spark, sf_dir, "orders")
     ck = F.col("o_custkey")
     r1 = F.element_at(names, (ck % 11 + 1).cast("int"))
     r2 = F.element_at(names, (F.floor(ck / 4) % 11 + 1).cast("int"))
@@ -167,8 +157,8 @@ def storms_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("seq"),
         F.concat(F.lit("Storm "), F.col("o_orderkey").cast("string")).alias("Hurricane"),
         regions.alias("Regions"),
-        F.date_format(start, "MMM dd, yyyy").alias("Start Date"),
-        F.date_format(end, "MMM dd, yyyy").alias("End Date"),
+        F.date_format(start, "MMM d, yyyy").alias("Start Date"),
+        F.date_format(end, "MMM d, yyyy").alias("End Date"),
     )
 
 

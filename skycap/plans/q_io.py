@@ -95,21 +95,21 @@ def s06(spark, sf):
 
 
 # caption files / training records ------------------------------------------
-def _caption_dir(spark, sf):
+def _caption_dir(spark, sf, only=F.lit(True)):
     d = scratch_path(spark, "captions")
-    s = derive.emb_samples(spark, sf).where(F.col("idx") % 10 != 9)
+    s = derive.emb_samples(spark, sf).where(only)
     RC.write_caption_files(s, d)
     return d
 
 
-@query("s11_write_captions", S.EMB + "\nSELECT sample_id || '.txt' AS caption_file FROM es WHERE idx % 10 <> 9")
+@query("s11_write_captions", S.EMB + "\nSELECT sample_id || '.txt' AS caption_file FROM es")
 def s11(spark, sf):
     d = _caption_dir(spark, sf)
     files = RC.list_files(spark, d)
     return files.select(F.concat(F.regexp_extract("path", r"sample_id=([^/]+)/", 1), F.lit(".txt")).alias("caption_file"))
 
 
-@query("s09_scan_caption_files", S.EMB + "\nSELECT sample_id || '.txt' AS caption_file, caption AS caption_text FROM es WHERE idx % 10 <> 9")
+@query("s09_scan_caption_files", S.EMB + "\nSELECT sample_id || '.txt' AS caption_file, caption AS caption_text FROM es")
 def s09(spark, sf):
     return RC.read_caption_files(spark, _caption_dir(spark, sf))
 
@@ -123,7 +123,7 @@ def _metadata(spark, sf):
 
 @query("j04_caption_file", S.EMB + "\nSELECT sample_id, idx % 10 <> 9 AS has_caption FROM es")
 def j04(spark, sf):
-    caps = RC.read_caption_files(spark, _caption_dir(spark, sf))
+    caps = RC.read_caption_files(spark, _caption_dir(spark, sf, F.col("idx") % 10 != 9))
     rec, missing = RC.training_records(_metadata(spark, sf), caps, derive.GENERATION_TIME)
     return rec.select("sample_id", F.lit(True).alias("has_caption")).unionByName(
         missing.select("sample_id", F.lit(False).alias("has_caption")))
@@ -132,7 +132,7 @@ def j04(spark, sf):
 @query("s10_write_training_jsonl", S.EMB + f"""
 SELECT 'images/' || sample_id || '.png' AS image_path, caption, sample_id, region,
        CASE WHEN model = 'hrrrak' THEN 'alaska' ELSE 'conus' END AS domain, '{derive.GENERATION_TIME}' AS generation_time
-FROM es WHERE idx % 10 <> 9
+FROM es
 """)
 def s10(spark, sf):
     caps = RC.read_caption_files(spark, _caption_dir(spark, sf))

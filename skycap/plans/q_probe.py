@@ -26,7 +26,7 @@ st AS (
          ELSE {NAMES11}[o_custkey % 11 + 1] END AS regions,
     make_date(year(o_orderdate) + 24, month(o_orderdate), day(o_orderdate)) AS start_date,
     make_date(year(o_orderdate) + 24, month(o_orderdate), day(o_orderdate)) + CAST(o_orderkey % 7 AS INTEGER) AS end_date
-  FROM orders WHERE o_orderpriority = '1-URGENT'
+  FROM orders
 ),
 sr AS (SELECT seq, name, trim(unnest(string_split(regions, ','))) AS region, start_date FROM st)"""
 
