@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def _long(df: DataFrame, dims: list[str]) -> DataFrame:
-    """GROUPING SETS ((), (d1), (d2), ...) -> (dimension, key, count) rows."""
-    g = df.groupingSets([[]] + [[d] for d in dims], *dims).agg(
+    """GROUPING SETS ((d1), (d2), ...) and the total, which an empty table has
+    as well -> (dimension, key, count) rows."""
+    g = df.groupingSets([[d] for d in dims], *dims).agg(
         F.count(F.lit(1)).alias("count"), F.grouping_id().alias("_gid"))
     full = (1 << len(dims)) - 1
     dim = F.lit("total")
@@ -17,7 +18,9 @@ def _long(df: DataFrame, dims: list[str]) -> DataFrame:
         gid = full - (1 << (len(dims) - 1 - i))
         dim = F.when(F.col("_gid") == gid, F.lit(d)).otherwise(dim)
         key = F.when(F.col("_gid") == gid, F.col(d).cast("string")).otherwise(key)
-    return g.select(dim.alias("dimension"), key.alias("key"), F.col("count").cast("long"))
+    total = df.agg(F.count(F.lit(1)).alias("count")).select(
+        F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("key"), "count")
+    return g.select(dim.alias("dimension"), key.alias("key"), F.col("count").cast("long")).unionByName(total)
 
 
 def dataset_statistics(records: DataFrame) -> DataFrame:

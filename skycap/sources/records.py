@@ -165,8 +165,9 @@ def write_caption_files(samples: DataFrame, directory: str) -> str:
 
 def read_caption_files(spark: SparkSession, directory: str) -> DataFrame:
     """Whole-file read; the sample id comes from the folder name."""
-    df = spark.read.option("wholetext", True).text(directory)
-    return df.select(F.concat(F.col("sample_id").cast("string"), F.lit(".txt")).alias("caption_file"),
+    # the schema keeps ids as they are: inferred, 007 would become a number
+    df = spark.read.schema("value string, sample_id string").option("wholetext", True).text(directory)
+    return df.select(F.concat(F.col("sample_id"), F.lit(".txt")).alias("caption_file"),
                      F.col("value").alias("caption_text"))
 
 
