@@ -36,8 +36,3 @@ def shifted_mix(v, weight: float = 0.3) -> Column:
     arr = _c(v)
     return F.transform(arr, lambda x, i: x.cast("double")
                        + F.lit(weight) * F.get(arr, (i + 1) % F.size(arr)).cast("double"))
-
-
-def squared_distance(a, b) -> Column:
-    d = F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(d, F.lit(0.0), lambda s, x: s + x)

@@ -74,57 +74,68 @@ def pca(df: DataFrame, n_components: int = 2, col: str = "x", out: str = "reduce
 
 
 # a25 -------------------------------------------------------------------------
-SIL_SCHEMA = "qid long, cluster long, dsum double, n long"
+SIL_SCHEMA = "qid long, which int, cluster long, dsum double, n long"
 
 
 def _sil_kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+    """Per query and cluster: sum of distances and number of other points, for
+    each labelling.  Squared distances come from norms and one matrix product."""
     q, c = stack(qpdf["q_vec"]), stack(cpdf["c_vec"])
     qid, cid = qpdf["qid"].to_numpy(np.int64), cpdf["cid"].to_numpy(np.int64)
-    lab = cpdf["c_label"].to_numpy(np.int64)
-    labels = np.unique(lab)
-    onehot = (lab[:, None] == labels[None, :]).astype(np.float64)
-    rows_q, rows_l, rows_s, rows_n = [], [], [], []
+    labels = np.stack(cpdf["c_labels"].to_numpy())
+    c2 = (c * c).sum(axis=1)
+    parts = []
     for s in range(0, len(qid), CHUNK):
-        e = min(len(qid), s + CHUNK)
-        d = np.sqrt(((q[s:e, None, :] - c[None, :, :]) ** 2).sum(axis=2))
-        notself = (qid[s:e, None] != cid[None, :]).astype(np.float64)
-        sums = d @ onehot
-        cnts = notself @ onehot
-        rows_q.append(np.repeat(qid[s:e], len(labels)))
-        rows_l.append(np.tile(labels, e - s))
-        rows_s.append(sums.ravel())
-        rows_n.append(cnts.ravel().astype(np.int64))
-    return pd.DataFrame({"qid": np.concatenate(rows_q), "cluster": np.concatenate(rows_l),
-                         "dsum": np.concatenate(rows_s), "n": np.concatenate(rows_n)})
-
-
-def silhouette_per_point(df: DataFrame, label: str = "cluster", col: str = "x", id_col: str = "idx",
-                         block_rows: int | None = None) -> DataFrame:
-    """Exact euclidean silhouette of every point (singleton cluster -> 0)."""
+        x = q[s:s + CHUNK]
+        d2 = (x * x).sum(axis=1)[:, None] + c2[None, :] - 2.0 * (x @ c.T)
+        other = qid[s:s + CHUNK, None] != cid[None, :]
+        d = np.sqrt(np.maximum(d2, 0.0)) * other
+        for w in range(labels.shape[1]):
+            names = np.unique(labels[:, w])
+            onehot = (labels[:, w][:, None] == names[None, :]).astype(np.float64)
+            parts.append(pd.DataFrame({
+                "qid": np.repeat(qid[s:s + CHUNK], len(names)), "which": w, "cluster": np.tile(names, len(x)),
+                "dsum": (d @ onehot).ravel(), "n": (other @ onehot).ravel().astype(np.int64)}))
+    return pd.concat(parts)
+
+
+def silhouette_points(df: DataFrame, labels: list[str], col: str = "x", id_col: str = "idx",
+                      block_rows: int | None = None) -> DataFrame:
+    """(qid, which, silhouette): exact euclidean silhouette of every point under
+    every labelling (``which`` counts ``labels``), in one all-pairs pass.  A
+    singleton scores 0, and so does a point at distance 0 from both clusters."""
     n = df.count()
+    every = F.array(*[F.col(x).cast("long") for x in labels])
     q = df.select(F.col(id_col).alias("qid"), F.col(col).cast("array<double>").alias("q_vec"))
-    c = df.select(F.col(id_col).alias("cid"), F.col(col).cast("array<double>").alias("c_vec"),
-                  F.col(label).cast("long").alias("c_label"))
+    c = df.select(F.col(id_col).alias("cid"), F.col(col).cast("array<double>").alias("c_vec"), every.alias("c_labels"))
     part = block_pairs(q, c, _sil_kernel, SIL_SCHEMA, block_rows=block_rows, q_rows=n, c_rows=n)
-    per = part.groupBy("qid", "cluster").agg(F.sum("dsum").alias("dsum"), F.sum("n").alias("n"))
-    own = df.select(F.col(id_col).alias("qid"), F.col(label).cast("long").alias("own"))
-    j = per.join(own, "qid")
-    agg = j.groupBy("qid").agg(
-        F.max(F.when(F.col("cluster") == F.col("own"), F.try_divide("dsum", "n"))).alias("a"),
-        F.max(F.when(F.col("cluster") == F.col("own"), F.col("n"))).alias("own_others"),
-        F.min(F.when((F.col("cluster") != F.col("own")) & (F.col("n") > 0), F.try_divide("dsum", "n"))).alias("b"))
-    # a singleton scores 0, and so does a point at distance 0 from both clusters
+    per = part.groupBy("qid", "which", "cluster").agg(F.sum("dsum").alias("dsum"), F.sum("n").alias("n"))
+    own = df.select(F.col(id_col).alias("qid"), F.posexplode(every).alias("which", "own"))
+    same = F.col("cluster") == F.col("own")
+    mean = F.try_divide("dsum", "n")
+    agg = per.join(own, ["qid", "which"]).groupBy("qid", "which").agg(
+        F.max(F.when(same, mean)).alias("a"), F.max(F.when(same, F.col("n"))).alias("own_others"),
+        F.min(F.when(~same & (F.col("n") > 0), mean)).alias("b"))
     ratio = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    s = F.when(F.coalesce(F.col("own_others"), F.lit(0)) == 0, F.lit(0.0)).otherwise(ratio)
-    return agg.select("qid", s.alias("silhouette"))
+    score = F.when(F.coalesce(F.col("own_others"), F.lit(0)) == 0, F.lit(0.0)).otherwise(ratio)
+    return agg.select("qid", "which", score.alias("silhouette"))
+
+
+def silhouette_per_point(df: DataFrame, label: str = "cluster", col: str = "x", id_col: str = "idx",
+                         block_rows: int | None = None) -> DataFrame:
+    return silhouette_points(df, [label], col, id_col, block_rows).drop("which")
+
+
+def silhouettes(df: DataFrame, labels: list[str], col: str = "x", id_col: str = "idx", block_rows: int | None = None) -> list[float]:
+    """Mean silhouette of every labelling; -1 with fewer than two clusters (noise counts as a cluster)."""
+    ks = df.agg(*[F.countDistinct(x) for x in labels]).first()
+    means = {r["which"]: r["s"] for r in silhouette_points(df, labels, col, id_col, block_rows).groupBy("which").agg(
+        F.avg("silhouette").alias("s")).collect()}
+    return [-1.0 if k < 2 else float(means[i]) for i, k in enumerate(ks)]
 
 
 def silhouette(df: DataFrame, label: str = "cluster", col: str = "x", id_col: str = "idx", block_rows: int | None = None) -> float:
-    """Mean silhouette; -1 with fewer than two clusters (noise counts as a cluster)."""
-    k = df.select(label).distinct().count()
-    if k < 2:
-        return -1.0
-    return float(silhouette_per_point(df, label, col, id_col, block_rows).agg(F.avg("silhouette")).first()[0])
+    return silhouettes(df, [label], col, id_col, block_rows)[0]
 
 
 # a26 -------------------------------------------------------------------------
@@ -221,15 +232,18 @@ def find_optimal_k(df: DataFrame, k_range: tuple[int, int] = (2, 15), *, method:
         raise NotImplementedError(f"Method '{method}' is not implemented; use kmeans")
     ensure_checkpoint_dir(df.sparkSession)
     df = df.select(id_col, col).checkpoint(eager=True)  # every k reads the same vectors
-    rows = []
+    rows, labels = [], []
     for k in range(k_range[0], k_range[1] + 1):
-        lab, cost, _ = kmeans_best(df, k, n_init=n_init, seed=seed, col=col)
-        lab = lab.cache()
-        sil = silhouette(lab, "cluster", col, id_col, block_rows)
-        ch = float(calinski_harabasz_frame(lab, "cluster", col).first()[0])
-        rows.append((k, sil, ch, float(cost)))
-        lab.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, silhouette double, calinski_harabasz double, inertia double")
+        lab, cost, _ = kmeans_best(df, k, n_init=n_init, seed=seed, col=col, pred=f"k{k}")
+        ch = float(calinski_harabasz_frame(lab, f"k{k}", col).first()[0])
+        rows.append((k, ch, float(cost)))
+        labels.append(lab.select(id_col, f"k{k}"))
+    wide = df
+    for lab in labels:
+        wide = wide.join(lab, id_col)
+    sils = silhouettes(wide.checkpoint(eager=True), [f"k{k}" for k, _, _ in rows], col, id_col, block_rows)
+    return df.sparkSession.createDataFrame([(k, s, ch, cost) for (k, ch, cost), s in zip(rows, sils)],
+                                           "k int, silhouette double, calinski_harabasz double, inertia double")
 
 
 # j11 / ml05 -----------------------------------------------------------------

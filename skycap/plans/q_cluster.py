@@ -141,18 +141,14 @@ def _std(spark, sf):
     return CL.standardise(s)
 
 
-def _sizes(lab):
-    return lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).select(F.col("size").cast("long"))
-
-
 @query("ml02_kmeans")
 def ml02(spark, sf):
     lab, _, _ = CL.kmeans_best(_std(spark, sf), 8, n_init=10)
-    return _sizes(lab)
+    return lab.select("idx", F.col("cluster").cast("long").alias("cluster"))
 
 
-def _sweep(spark, sf, k_range=(2, 6), n_init=2):
-    return CL.find_optimal_k(_std(spark, sf), k_range, n_init=n_init)
+def _sweep(spark, sf):
+    return CL.find_optimal_k(_std(spark, sf), (2, 15), n_init=2)
 
 
 @query("ml03_find_optimal_k")
@@ -162,25 +158,25 @@ def ml03(spark, sf):
 
 @query("t03_argmax_k")
 def t03(spark, sf):
-    m = _sweep(spark, sf, (2, 5), 1).cache()
+    m = _sweep(spark, sf)
     return CL.argmax_k(m, "silhouette").withColumn("_o", F.lit(1)).join(
         CL.argmax_k(m, "calinski_harabasz").withColumn("_o", F.lit(1)), "_o").drop("_o")
 
 
 @query("w04_elbow")
 def w04(spark, sf):
-    return CL.elbow(_sweep(spark, sf, (2, 5), 1))
+    return CL.elbow(_sweep(spark, sf))
 
 
 @query("ml04_hierarchical")
 def ml04(spark, sf):
-    s = derive.emb_samples(spark, sf).select("idx", F.col("image_emb").cast("array<double>").alias("x"))
-    return _sizes(CL.bisecting(s, 4))
+    lab = CL.bisecting(_std(spark, sf), 8)
+    return lab.select("idx", F.col("cluster").cast("long").alias("cluster"))
 
 
 @query("ml05_dbscan")
 def ml05(spark, sf):
-    return CL.dbscan(_labelled(spark, sf), EPS, 5, "x").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return CL.dbscan(_labelled(spark, sf), EPS, 5, "x")
 
 
 @query("ml06_pca")
@@ -192,7 +188,7 @@ def ml06(spark, sf):
 @query("ml07_clustering_results")
 def ml07(spark, sf):
     x = _std(spark, sf)
-    lab, _, _ = CL.kmeans_best(x, 8, n_init=2)
+    lab, _, _ = CL.kmeans_best(x, 8, n_init=10)
     return rounded(CL.clustering_results(x, lab.select("idx", "cluster")))
 
 

@@ -18,8 +18,9 @@ def _cells(spark, sf):
     return G.convert_units(G.wrap_longitude(derive.grid(spark, sf)), spark)
 
 
-def _stats(spark, sf):
-    return G.field_statistics(derive.grid(spark, sf))
+def _stats(spark, sf, with_mad=False):
+    """Only queries that read the MAD pay for its second pass over the cells."""
+    return G.field_statistics(derive.grid(spark, sf), with_mad=with_mad)
 
 
 def _date(c="valid_time"):
@@ -156,7 +157,7 @@ SELECT CASE WHEN region = '__field__' THEN 'whole' ELSE 'box' END AS part, count
 """)
 def u01(spark, sf):
     c = _cells(spark, sf).select(*FIELD_KEYS, "lat", "lon", "value")
-    t = G.tag_regions(c, spark)
+    t = G.tag_regions_join(c, spark)  # the union of whole-field rows and in-box rows
     return t.groupBy(F.when(F.col("region") == G.WHOLE_FIELD, "whole").otherwise("box").alias("part")).agg(
         F.count(F.lit(1)).alias("cells"))
 
@@ -171,7 +172,7 @@ def _stat_query(key, cols):
 
     @query(key, S.FIELD_STATS + f"\nSELECT {_KEYS_SQL}, {sql_cols} FROM fstats")
     def fn(spark, sf):
-        s = _stats(spark, sf).withColumn("valid_date", _date())
+        s = _stats(spark, sf, "mad" in cols).withColumn("valid_date", _date())
         return rounded(s.select(*_KEYS_OUT, *cols))
 
     return fn
@@ -196,7 +197,7 @@ SELECT {_KEYS_SQL}, {", ".join(f"{S.R(c)} AS {c}" if not c.startswith("count") e
 FROM fstats
 """)
 def a09(spark, sf):
-    s = _stats(spark, sf).withColumn("valid_date", _date())
+    s = _stats(spark, sf, True).withColumn("valid_date", _date())
     return rounded(s.select(*_KEYS_OUT, *_ALL_STATS, "unit", "description", "valid_time_str", "model_upper",
                             "grib_name", "domain"))
 

@@ -152,12 +152,3 @@ def region_dim(spark: SparkSession) -> DataFrame:
 
 def variable_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(VARIABLES, VARIABLE_SCHEMA)
-
-
-def model_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MODELS, MODEL_SCHEMA)
-
-
-def region_model_pairs(spark: SparkSession) -> DataFrame:
-    rows = [(i, r, m) for i, (r, m) in enumerate(REGION_MODEL_PAIRS)]
-    return spark.createDataFrame(rows, PAIR_SCHEMA)

@@ -20,9 +20,6 @@ _DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # exact percentiles keep one value->count map per group; let the object
-    # hash aggregate hold a few thousand groups before it falls back to sort
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
 

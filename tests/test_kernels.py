@@ -163,6 +163,16 @@ def test_distractor_repeat_and_skip(spark):
     assert distractors(only, k=2).count() == 0
 
 
+def test_silhouette_of_singletons_and_equal_points(spark):
+    rows = [(0, [0.0, 0.0], 0), (1, [0.0, 0.0], 1), (2, [5.0, 0.0], 2), (3, [0.0, 0.0], 0), (4, [0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "idx long, x array<double>, cluster long")
+    got = {r["qid"]: r["silhouette"] for r in CL.silhouette_per_point(df).collect()}
+    assert got == {0: 0.0, 1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0}
+    same = df.withColumn("cluster", F.col("idx") % 2)
+    assert CL.calinski_harabasz_frame(df.where("idx <> 2"), "cluster", "x").first()[0] == 1.0
+    assert len(CL.silhouettes(same, ["cluster", "idx"])) == 2
+
+
 def test_distractors_with_a_common_caption(spark):
     """Every query gets k different samples of other captions, also where one caption fills nearly all."""
     from skycap.operators.zeroshot import distractors
