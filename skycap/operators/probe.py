@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from skycap.operators.ordered import dense_positions, running_sums
 from skycap.schemas import CONUS, REGION_NAMES
 from skycap.session import ensure_checkpoint_dir
+from skycap.sources.sinks import write_probe_results
 
 DEFAULT_LOOKAHEAD = 3
 HURRICANE_REGIONS = REGION_NAMES + [CONUS]
@@ -110,14 +111,14 @@ def split_hash(id_col: Column, seed: int) -> Column:
 def stratified_split(df: DataFrame, label: str = "label", test_size: float = 0.2, seed: int = 42,
                      id_col: str = "idx") -> DataFrame:
     """Adds ``is_test``: per class the ``round(test_size * n_class)`` rows
-    first in seeded order.  Positions come from bucketed running counts, so
-    a dominant class is not sorted in one task."""
+    first in seeded order.  Positions come from running counts over range
+    partitions, so a dominant class is not sorted in one task."""
     h = df.withColumn("_h", split_hash(F.col(id_col), seed))
     counts = h.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     keyed = h.withColumn("_key", F.col(label).cast("double") * F.lit(4294967296.0) + F.col("_h").cast("double"))
-    pos = dense_positions(keyed, ["_key"], "_gpos")
+    pos = dense_positions(keyed, ["_key", id_col], "_gpos")
     first = counts.withColumn("_one", F.lit(1))
-    offsets = running_sums(first, label, ["_n"], n_buckets=1).select(label, "_n", (F.col("cum__n") - F.col("_n")).alias("_off"))
+    offsets = running_sums(first, label, ["_n"], bounded=True).select(label, "_n", (F.col("cum__n") - F.col("_n")).alias("_off"))
     out = pos.join(F.broadcast(offsets), label)
     n_test = F.round(F.lit(test_size) * F.col("_n"))
     return out.withColumn("is_test", (F.col("_gpos") - F.col("_off")) < n_test).drop("_h", "_key", "_gpos", "_n", "_off")
@@ -127,7 +128,7 @@ def random_split(df: DataFrame, train: float = 0.8, val: float = 0.1, seed: int
     """Adds ``split`` with exact sizes int(n*train), int(n*val), remainder."""
     n = df.count()
     n_train, n_val = int(n * train), int(n * val)
-    pos = dense_positions(df.withColumn("_h", split_hash(F.col(id_col), seed)), ["_h"], "_pos")
+    pos = dense_positions(df.withColumn("_h", split_hash(F.col(id_col), seed)), ["_h", id_col], "_pos")
     split = F.when(F.col("_pos") < n_train, "train").when(F.col("_pos") < n_train + n_val, "val").otherwise("test")
     return pos.withColumn("split", split).drop("_h", "_pos")
 
@@ -293,9 +294,9 @@ def fold_assignment(df: DataFrame, folds: int = 5, seed: int = 43, label: str =
     """Stratified folds: position within class (seeded order) mod ``folds``."""
     h = df.withColumn("_h", split_hash(F.col(id_col), seed))
     keyed = h.withColumn("_key", F.col(label).cast("double") * F.lit(4294967296.0) + F.col("_h").cast("double"))
-    pos = dense_positions(keyed, ["_key"], "_gpos")
+    pos = dense_positions(keyed, ["_key", id_col], "_gpos")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = running_sums(counts, label, ["_n"], n_buckets=1).select(label, (F.col("cum__n") - F.col("_n")).alias("_off"))
+    offsets = running_sums(counts, label, ["_n"], bounded=True).select(label, (F.col("cum__n") - F.col("_n")).alias("_off"))
     out = pos.join(F.broadcast(offsets), label).withColumn("fold", ((F.col("_gpos") - F.col("_off")) % folds).cast("int"))
     return out.drop("_h", "_key", "_gpos", "_off")
 
@@ -322,15 +323,21 @@ def cross_validate(train: DataFrame, folds: int = 5, seed: int = 42, C: float =
 
 # ml10 ---------------------------------------------------------------------
 def linear_probe(samples: DataFrame, storm_regions: DataFrame, lookahead_days: int = DEFAULT_LOOKAHEAD, *,
-                 test_size: float = 0.2, seed: int = 42, C: float = 1.0, cv_folds: int = 0) -> dict[str, DataFrame]:
+                 test_size: float = 0.2, seed: int = 42, C: float = 1.0, cv_folds: int = 5,
+                 save_to: str | None = None) -> dict:
     """End to end: image embeddings -> label -> stratified split -> scale ->
     fit -> evaluate.  Returns DataFrames for metrics, confusion, ROC and
-    predictions (keyed by sample, not by position)."""
+    predictions (keyed by sample, not by position), fold scores, and the
+    absolute coefficient of every named feature; nothing without samples.
+    ``save_to`` writes metrics, predictions and ROC there."""
     labelled = feature_vector(label_samples(samples, storm_regions, lookahead_days), use_weather_features=False)
     ensure_checkpoint_dir(samples.sparkSession)
     # the labelled sample table feeds the split's bucket bounds, the scaler,
     # the fit and the evaluation: derive it once
     labelled = labelled.checkpoint(eager=True)
+    first = labelled.select(F.size("features").alias("n")).first()
+    if first is None:
+        return {}
     split = stratified_split(labelled, "label", test_size, seed).cache()
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
     means, stds = fit_standardiser(train)
@@ -344,7 +351,10 @@ def linear_probe(samples: DataFrame, storm_regions: DataFrame, lookahead_days: i
         "confusion": confusion_matrix(pred),
         "roc": roc_curve(pred),
         "importance": [abs(c) for c in model.coefficients.toArray().tolist()],
+        "feature_names": feature_names(first["n"], use_weather_features=False),
     }
     if cv_folds:
         out["cv"] = cv_summary(cross_validate(train_s, cv_folds, seed, C))
+    if save_to:
+        write_probe_results(out["predictions"], out["metrics"], out["roc"], save_to)
     return out

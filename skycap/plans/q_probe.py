@@ -13,6 +13,7 @@ from skycap.plans.registry import query, rounded
 from skycap.schemas import CONUS, REGION_NAMES
 from skycap.session import ensure_checkpoint_dir, scratch_path
 from skycap.sources.events import read_storm_csv, write_storm_csv
+from skycap.sources.sinks import read_predictions_csv
 
 LOOKAHEAD = 7
 SEED = 42
@@ -261,8 +262,8 @@ def a30(spark, sf):
 # ML (no SQL oracle: invariants are checked in tests) -------------------------
 @query("ml08_logistic_l2")
 def ml08(spark, sf):
-    res = PR.linear_probe(derive.probe_samples(spark, sf), _storms(spark, sf), LOOKAHEAD)
-    return rounded(res["metrics"])
+    res = PR.linear_probe(derive.probe_samples(spark, sf), _storms(spark, sf), LOOKAHEAD, cv_folds=0)
+    return rounded(spark.createDataFrame(list(zip(res["feature_names"], res["importance"])), "feature string, importance double"))
 
 
 @query("ml09_cross_validate")
@@ -278,5 +279,7 @@ def ml09(spark, sf):
 
 @query("ml10_linear_probe")
 def ml10(spark, sf):
-    res = PR.linear_probe(derive.probe_samples(spark, sf), _storms(spark, sf), 3)
-    return rounded(res["confusion"])
+    path = scratch_path(spark, "probe")
+    res = PR.linear_probe(derive.probe_samples(spark, sf), _storms(spark, sf), 3, save_to=path)
+    saved = read_predictions_csv(spark, path).agg(F.count("*").alias("saved_predictions"))
+    return rounded(PR.one_row_join(PR.one_row_join(res["metrics"], res["cv"]), saved))

@@ -112,6 +112,7 @@ def test_classification_report(spark):
 
 
 def test_linear_probe_invariants(spark, sf):
+    from skycap.plans import derive
     from skycap.plans import derive
     from skycap.plans.q_probe import _storms
     res = PR.linear_probe(derive.probe_samples(spark, sf), _storms(spark, sf), 7)
@@ -125,3 +126,26 @@ def test_linear_probe_invariants(spark, sf):
     preds = res["predictions"]
     assert preds.count() == m["support"] and preds.select("sample_id").distinct().count() == m["support"]
     assert len(res["importance"]) == 64
+
+
+def test_splits_of_ids_that_share_a_hash(spark):
+    """Ids that meet modulo 2^31-1 are ordered by the id: splits are exact and repeatable."""
+    ids = [2**31 - 1 + d for d in range(-4, 4)] + [2**62 + d for d in range(8)] + list(range(4))
+    df = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "idx long, label int")
+    one = {r["idx"]: r["split"] for r in PR.random_split(df, 0.5, 0.25).collect()}
+    two = {r["idx"]: r["split"] for r in PR.random_split(df.repartition(7), 0.5, 0.25).collect()}
+    assert one == two and sorted(one.values()).count("train") == 10
+    test = PR.stratified_split(df, "label", 0.2).where("is_test").groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in test} == {0: 2, 1: 2}
+
+
+def test_probe_of_nothing(spark, sf):
+    from skycap.plans import derive
+    from skycap.plans.q_probe import _storms
+    assert PR.linear_probe(derive.probe_samples(spark, sf).where("false"), _storms(spark, sf)) == {}
+
+
+def test_days_of_one_digit(spark):
+    raw = spark.createDataFrame([(1, "A", "South", "Aug 5, 2020", "Aug 15, 2020")], "seq long, Hurricane string, Regions string, `Start Date` string, `End Date` string")
+    row = PR.parse_storms(raw).first()
+    assert str(row["start_date"]) == "2020-08-05" and str(row["end_date"]) == "2020-08-15"
