@@ -13,7 +13,7 @@ from skycap.plans import sql_common as S
 from skycap.plans.q_eval import _EPOCHS
 from skycap.plans.q_probe import LAB, _scored
 from skycap.plans.registry import query, rounded
-from skycap.schemas import RECORD_KEYS
+from skycap.schemas import RECORD_KEYS, RECORD_SCHEMA
 from skycap.session import scratch_path
 from skycap.sources import records as RC
 from skycap.sources.sinks import append_epoch_log, read_epoch_log, read_predictions_csv, write_probe_results
@@ -70,6 +70,20 @@ def s07(spark, sf):
     return good.select("sample_id", via.alias("resolved_via"))
 
 
+@query("s07b_dataset_image_path", RULES + """
+SELECT sample_id, CASE WHEN no_image THEN 'as_given' WHEN bare THEN 'images_dir' ELSE 'jsonl_dir' END AS resolved_via
+FROM rl WHERE NOT bad_json
+""")
+def s07b(spark, sf):
+    """The dataset reader's rule: first existing candidate, else the path as it is."""
+    base, _, listing = _jsonl(spark, sf)
+    rec = spark.read.schema(RECORD_SCHEMA).json(f"{base}/data.jsonl").where(F.col("sample_id").isNotNull())
+    hit = RC.resolve_first_existing(rec, RC.dataset_image_path(F.col("image_path"), None, base), listing, key="sample_id")
+    via = (F.when(F.col("resolved_image_path").isNull(), "as_given")
+           .when(F.col("image_path").contains("/"), "jsonl_dir").otherwise("images_dir"))
+    return rec.join(hit, "sample_id", "left").select("sample_id", via.alias("resolved_via"))
+
+
 @query("j05_image_exists", RULES + """
 SELECT sample_id, NOT no_image AS has_image FROM rl WHERE NOT (bad_json OR no_date)
 """)
