@@ -10,6 +10,7 @@ rounds half-up and must not be used.
 from __future__ import annotations
 
 from itertools import chain
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,27 +20,44 @@ from skycap.schemas import CONUS
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must equal the reference for identical captions)
 # ---------------------------------------------------------------------------
-COLD_MAX = 10.0          # mean <= 10 -> cold
-HOT_MIN = 25.0           # mean >= 25 -> hot
-# Beaufort classes on km/h: (inclusive upper bound, simple text, detailed text)
+# Sentences: {mean1} is the mean with one decimal, {mean0} with none; the same
+# for min and max.  Classes: (upper bound, "<=" or "<", ...); the last has no bound.
+TEMPERATURE_CLASSES = [(10.0, "<=", "Cold", "cold"), (25.0, "<", "Mild", "mild"), (None, "", "Hot", "hot")]
+TEMPERATURE_SIMPLE = "{word} temperatures averaging {mean1}{unit}"
+TEMPERATURE_DETAILED = ("Temperature ranges from {min0}°C to {max0}°C across the region with {word} conditions "
+                        "averaging {mean0}{unit}")
+# Beaufort classes on km/h
 WIND_CLASSES = [
-    (0.0, "Calm and no winds", "Wind speeds are calm"),
-    (11.0, "Light breeze", "Light breeze conditions"),
-    (19.0, "Gentle breeze", "Gentle breeze conditions"),
-    (28.0, "Moderate breeze", "Moderate breeze conditions"),
-    (38.0, "Fresh breeze", "Fresh breeze conditions"),
-    (49.0, "Strong breeze", "Strong breeze conditions"),
-    (61.0, "Near gale", "Near gale conditions"),
-    (74.0, "Gale winds", "Gale conditions"),
-    (88.0, "Strong gale", "Strong gale conditions"),
-    (102.0, "Storm", "Storm conditions"),
-    (117.0, "Violent storm", "Violent storm conditions"),
+    (0.0, "<=", "Calm and no winds", "Wind speeds are calm"),
+    (11.0, "<=", "Light breeze averaging {mean1} {unit}", "Light breeze conditions"),
+    (19.0, "<=", "Gentle breeze averaging {mean1} {unit}", "Gentle breeze conditions"),
+    (28.0, "<=", "Moderate breeze averaging {mean1} {unit}", "Moderate breeze conditions"),
+    (38.0, "<=", "Fresh breeze averaging {mean1} {unit}", "Fresh breeze conditions"),
+    (49.0, "<=", "Strong breeze averaging {mean1} {unit}", "Strong breeze conditions"),
+    (61.0, "<=", "Near gale averaging {mean1} {unit}", "Near gale conditions"),
+    (74.0, "<=", "Gale winds averaging {mean1} {unit}", "Gale conditions"),
+    (88.0, "<=", "Strong gale averaging {mean1} {unit}", "Strong gale conditions"),
+    (102.0, "<=", "Storm averaging {mean1} {unit}", "Storm conditions"),
+    (117.0, "<=", "Violent storm averaging {mean1} {unit}", "Violent storm conditions"),
+    (None, "", "Hurricane averaging {mean1} {unit} ", "Hurricane conditions"),  # keeps its trailing space
 ]
-WIND_ABOVE_ALL = ("Hurricane", "Hurricane conditions")
-PRECIP_LOW_MAX = 0.1
-PRECIP_MODERATE_MAX = 0.3
-HUMIDITY_LOW_BELOW = 30.0
-HUMIDITY_MODERATE_BELOW = 60.0
+WIND_DETAILED = "{word} with average speeds of {mean1} {unit} and maximum gusts up to {max1}{unit}"
+PRECIPITATION_CLASSES = [
+    (0.1, "<=", "low precipitation", "Precipitation shows minimal activity with light amounts up to {max1}{unit}"),
+    (0.3, "<=", "moderate precipitation",
+     "Precipitation shows moderate activity with accumulations averaging {mean1}{unit} and maximum {max1}{unit}"),
+    (None, "", "heavy precipitation",
+     "Precipitation shows heavy activity with significant accumulations averaging {mean1}{unit} and maximum {max1}{unit}"),
+]
+# detailed, where the mean is low and the maximum above the moderate bound
+PRECIPITATION_SCATTERED = "Precipitation shows scattered activity with accumulations up to {max1}{unit} in some areas"
+HUMIDITY_CLASSES = [
+    (30.0, "<", "low", "dry conditions throughout the region"),
+    (60.0, "<", "moderate", "moderate moisture content"),
+    (None, "", "high", "high moisture content throughout the region"),
+]
+HUMIDITY_SIMPLE = "{word} humidity ({mean1}{unit})"
+HUMIDITY_DETAILED = "Humidity levels {min0}-{max0}{unit} with {word}"
 REGION_DESCRIPTORS = {
     "Northeast": "Northeastern US",
     "Southeast": "Southeastern US",
@@ -140,66 +158,54 @@ def opening(region, season_desc: Column, date_str: Column) -> Column:
     return F.concat_ws(", ", desc, season_desc, date_str)
 
 
-# c05 ----------------------------------------------------------------------
+# c05-c08 --------------------------------------------------------------------
+class _Sentence:
+    """Renders the fixed sentences over one variable's statistics."""
+
+    def __init__(self, mean, unit, mn=None, mx=None):
+        self.mean, self.max = _c(mean), None if mx is None else _c(mx)
+        self.fields = {"unit": _c(unit)}
+        for name, col in (("mean", mean), ("min", mn), ("max", mx)):
+            if col is not None:
+                self.fields |= {f"{name}1": fmt1(col), f"{name}0": fmt0(col)}
+
+    def render(self, template: str, word: Column | None = None) -> Column:
+        parts = []
+        for text, field, _, _ in Formatter().parse(template):
+            parts += [F.lit(text)] if text else []
+            parts += [word if field == "word" else self.fields[field]] if field else []
+        return F.concat(*parts)
+
+    def by_class(self, classes: list[tuple], which: int) -> Column:
+        """The sentence or word of the mean's class; ``which`` is its place in the class."""
+        expr = F
+        for bound, test, *texts in classes[:-1]:
+            expr = expr.when(self.mean < bound if test == "<" else self.mean <= bound, self.render(texts[which]))
+        return expr.otherwise(self.render(classes[-1][2 + which]))
+
+
 def describe_temperature(mean, mn, mx, unit, *, detailed: bool = False) -> Column:
-    mean, mn, mx, unit = _c(mean), _c(mn), _c(mx), _c(unit)
-    if detailed:
-        cls = F.when(mean <= COLD_MAX, "cold").when(mean >= HOT_MIN, "hot").otherwise("mild")
-        return F.concat(F.lit("Temperature ranges from "), fmt0(mn), F.lit("°C to "), fmt0(mx),
-                        F.lit("°C across the region with "), cls, F.lit(" conditions averaging "),
-                        fmt0(mean), unit)
-    word = F.when(mean <= COLD_MAX, "Cold").when(mean >= HOT_MIN, "Hot").otherwise("Mild")
-    return F.concat(word, F.lit(" temperatures averaging "), fmt1(mean), unit)
+    s = _Sentence(mean, unit, mn, mx)
+    return s.render(TEMPERATURE_DETAILED if detailed else TEMPERATURE_SIMPLE, s.by_class(TEMPERATURE_CLASSES, int(detailed)))
 
 
-# c06 ----------------------------------------------------------------------
 def describe_wind(mean, mx, unit, *, detailed: bool = False) -> Column:
-    mean, mx, unit = _c(mean), _c(mx), _c(unit)
-    if detailed:
-        tail = F.concat(F.lit(" with average speeds of "), fmt1(mean), F.lit(" "), unit,
-                        F.lit(" and maximum gusts up to "), fmt1(mx), unit)
-        expr = None
-        for bound, _, text in WIND_CLASSES:
-            expr = (F.when(mean <= bound, F.lit(text)) if expr is None else expr.when(mean <= bound, F.lit(text)))
-        return F.concat(expr.otherwise(F.lit(WIND_ABOVE_ALL[1])), tail)
-    avg = F.concat(F.lit(" averaging "), fmt1(mean), F.lit(" "), unit)
-    expr = F.when(mean <= WIND_CLASSES[0][0], F.lit(WIND_CLASSES[0][1]))
-    for bound, text, _ in WIND_CLASSES[1:]:
-        expr = expr.when(mean <= bound, F.concat(F.lit(text), avg))
-    # The top class keeps its trailing space.
-    return expr.otherwise(F.concat(F.lit(WIND_ABOVE_ALL[0]), avg, F.lit(" ")))
-
-
-# c07 ----------------------------------------------------------------------
+    s = _Sentence(mean, unit, mx=mx)
+    return s.render(WIND_DETAILED, s.by_class(WIND_CLASSES, 1)) if detailed else s.by_class(WIND_CLASSES, 0)
+
+
 def describe_precipitation(mean, mx, unit, *, detailed: bool = False) -> Column:
-    mean, mx, unit = _c(mean), _c(mx), _c(unit)
-    if detailed:
-        return (F.when((mean <= PRECIP_LOW_MAX) & (mx > PRECIP_MODERATE_MAX),
-                       F.concat(F.lit("Precipitation shows scattered activity with accumulations up to "),
-                                fmt1(mx), unit, F.lit(" in some areas")))
-                .when(mean <= PRECIP_LOW_MAX,
-                      F.concat(F.lit("Precipitation shows minimal activity with light amounts up to "), fmt1(mx), unit))
-                .when(mean <= PRECIP_MODERATE_MAX,
-                      F.concat(F.lit("Precipitation shows moderate activity with accumulations averaging "),
-                               fmt1(mean), unit, F.lit(" and maximum "), fmt1(mx), unit))
-                .otherwise(F.concat(F.lit("Precipitation shows heavy activity with significant accumulations averaging "),
-                                    fmt1(mean), unit, F.lit(" and maximum "), fmt1(mx), unit)))
-    return (F.when(mean <= PRECIP_LOW_MAX, F.lit("low precipitation"))
-            .when(mean <= PRECIP_MODERATE_MAX, F.lit("moderate precipitation"))
-            .when(mean.isNotNull(), F.lit("heavy precipitation")))
-
-
-# c08 ----------------------------------------------------------------------
+    s = _Sentence(mean, unit, mx=mx)
+    if not detailed:
+        return F.when(s.mean.isNotNull(), s.by_class(PRECIPITATION_CLASSES, 0))
+    low, moderate = (c[0] for c in PRECIPITATION_CLASSES[:2])
+    scattered = (s.mean <= low) & (s.max > moderate)
+    return F.when(scattered, s.render(PRECIPITATION_SCATTERED)).otherwise(s.by_class(PRECIPITATION_CLASSES, 1))
+
+
 def describe_humidity(mean, mn, mx, unit, *, detailed: bool = False) -> Column:
-    mean, mn, mx, unit = _c(mean), _c(mn), _c(mx), _c(unit)
-    if detailed:
-        head = F.concat(F.lit("Humidity levels "), fmt0(mn), F.lit("-"), fmt0(mx), unit)
-        return F.concat(head, F.when(mean < HUMIDITY_LOW_BELOW, F.lit(" with dry conditions throughout the region"))
-                        .when(mean < HUMIDITY_MODERATE_BELOW, F.lit(" with moderate moisture content"))
-                        .otherwise(F.lit(" with high moisture content throughout the region")))
-    word = (F.when(mean < HUMIDITY_LOW_BELOW, "low").when(mean < HUMIDITY_MODERATE_BELOW, "moderate")
-            .otherwise("high"))
-    return F.concat(word, F.lit(" humidity ("), fmt1(mean), unit, F.lit(")"))
+    s = _Sentence(mean, unit, mn, mx)
+    return s.render(HUMIDITY_DETAILED if detailed else HUMIDITY_SIMPLE, s.by_class(HUMIDITY_CLASSES, int(detailed)))
 
 
 # c09 ----------------------------------------------------------------------

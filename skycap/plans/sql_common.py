@@ -7,7 +7,15 @@ an independent engine.  Dimension rows are generated from ``skycap.schemas``.
 
 from __future__ import annotations
 
-from skycap.functions.captions import REGION_DESCRIPTORS, WIND_CLASSES
+from skycap.functions.captions import REGION_DESCRIPTORS
+
+# fixed values, written out here once more so that the oracle does not follow a wrong constant of the engine
+WIND_BOUNDS = [(0, "Calm and no winds", "Wind speeds are calm"), (11, "Light breeze", "Light breeze conditions"),
+               (19, "Gentle breeze", "Gentle breeze conditions"), (28, "Moderate breeze", "Moderate breeze conditions"),
+               (38, "Fresh breeze", "Fresh breeze conditions"), (49, "Strong breeze", "Strong breeze conditions"),
+               (61, "Near gale", "Near gale conditions"), (74, "Gale winds", "Gale conditions"),
+               (88, "Strong gale", "Strong gale conditions"), (102, "Storm", "Storm conditions"),
+               (117, "Violent storm", "Violent storm conditions")]
 from skycap.schemas import REGION_MODEL_PAIRS, REGIONS, VARIABLES
 
 
@@ -139,14 +147,14 @@ def fmt0(x: str) -> str:
 
 
 def wind_simple(mean: str, unit: str) -> str:
-    parts = [f"WHEN {mean} <= {WIND_CLASSES[0][0]}::DOUBLE THEN '{WIND_CLASSES[0][1]}'"]
-    for bound, text, _ in WIND_CLASSES[1:]:
+    parts = [f"WHEN {mean} <= {WIND_BOUNDS[0][0]}::DOUBLE THEN '{WIND_BOUNDS[0][1]}'"]
+    for bound, text, _ in WIND_BOUNDS[1:]:
         parts.append(f"WHEN {mean} <= {bound}::DOUBLE THEN '{text} averaging ' || {fmt1(mean)} || ' ' || {unit}")
     return ("CASE " + " ".join(parts) + f" ELSE 'Hurricane averaging ' || {fmt1(mean)} || ' ' || {unit} || ' ' END")
 
 
 def wind_detailed(mean: str, mx: str, unit: str) -> str:
-    parts = [f"WHEN {mean} <= {bound}::DOUBLE THEN '{text}'" for bound, _, text in WIND_CLASSES]
+    parts = [f"WHEN {mean} <= {bound}::DOUBLE THEN '{text}'" for bound, _, text in WIND_BOUNDS]
     head = "CASE " + " ".join(parts) + " ELSE 'Hurricane conditions' END"
     return (f"({head}) || ' with average speeds of ' || {fmt1(mean)} || ' ' || {unit} || "
             f"' and maximum gusts up to ' || {fmt1(mx)} || {unit}")
