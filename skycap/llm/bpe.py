@@ -32,7 +32,7 @@ from skycap.llm import common as C
 NO_PAIR = np.int64(1) << 62
 #: Pre-tokens up to this many bytes are merged in rows of one array.
 ROW_BYTES = 64
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 SLICE_CHARS = 1 << 20
 
 # white space as Unicode has it, which differs from str.isspace
@@ -297,18 +297,6 @@ class Encoder:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])]
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def encoder(spec: str) -> Encoder:
-    """The Python worker's encoder of this file; it keeps its cache between tasks."""
-    key = hash(spec)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(spec)
-    return _ENCODERS[key]
-
-
 def slices(texts: list[str], most: int = SLICE_CHARS):
     """Index ranges of about ``most`` characters each."""
     lo, size = 0, 0
@@ -333,7 +321,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, doc_id: str = "doc_
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        enc = encoder(spec.value)
+        enc = C.worker_slot(("bpe", spec.value), lambda: Encoder(spec.value))
         for b in batches:
             ids_col = b.column("doc_id")
             texts = [t or "" for t in b.column("text").to_pylist()]

@@ -13,6 +13,8 @@ holds is sent once per chunk, so hot keys never pile up, and no pairs exist.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 
 import numpy as np
@@ -138,6 +140,39 @@ class Texts:
             yield lo, len(self)
 
 
+_SLOT: list = [None, None]
+
+
+def worker_slot(key, make):
+    """The Python worker's one large cached object, kept between tasks.  Another
+    operator's object takes the place of the last, so that a worker that serves
+    several stages holds the cache of one."""
+    if _SLOT[0] is None or _SLOT[0] is not key and _SLOT[0] != key:
+        _SLOT[:] = None, None
+        gc.collect()
+        _SLOT[:] = key, make()
+    return _SLOT[1]
+
+
+def lean(fn):
+    """A group's function that drops a cache left by another stage first and
+    gives freed memory back to the system after it."""
+
+    def run(*tables):
+        if _SLOT[0] is not None:
+            _SLOT[:] = None, None
+            gc.collect()
+        out = fn(*tables)
+        del tables
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+        return out
+
+    return run
+
+
 # ---------------------------------------------------------------------------
 # Hashing
 # ---------------------------------------------------------------------------
@@ -340,7 +375,8 @@ def is_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 
 def exchange(asked: DataFrame, answer) -> DataFrame:
-    return asked.groupBy("bucket").applyInArrow(answer, ANSWER)
+    run = lean(answer)
+    return asked.groupBy("bucket").applyInArrow(lambda table: run(table), ANSWER)
 
 
 def with_answers(chunks: DataFrame, answers: DataFrame, step, schema: str) -> DataFrame:
@@ -350,7 +386,8 @@ def with_answers(chunks: DataFrame, answers: DataFrame, step, schema: str) -> Da
         got = joined([unpack8(b) for b in payloads(right)])
         return step(Texts(left), np.sort(got))
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    slim = lean(run)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda left, right: slim(left, right), schema)
 
 
 def with_tagged(chunks: DataFrame, answers: DataFrame, step, schema: str) -> DataFrame:
@@ -362,11 +399,13 @@ def with_tagged(chunks: DataFrame, answers: DataFrame, step, schema: str) -> Dat
         one, two = (np.sort(joined([g for g, t in zip(got, tag) if t == k])) for k in (0, 1))
         return step(Texts(left), one, two)
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    slim = lean(run)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda left, right: slim(left, right), schema)
 
 
 def per_chunk(chunks: DataFrame, step, schema: str) -> DataFrame:
-    return chunks.groupBy("chunk").applyInArrow(lambda t: step(Texts(t)), schema)
+    run = lean(lambda table: step(Texts(table)))
+    return chunks.groupBy("chunk").applyInArrow(lambda table: run(table), schema)
 
 
 def attach(docs: DataFrame, doc_id: str, text: str, results: DataFrame) -> DataFrame:

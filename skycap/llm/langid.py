@@ -35,7 +35,7 @@ MAX_ROWS = 10_000
 TOP_WORDS = 50_000
 TOP_GRAMS = 20_000
 LONGEST = 4
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -150,16 +150,6 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return Model(langs, tables[0], tables[1:])
 
 
-_LAST: list = [None, None]
-
-
-def _scorer(model: Model) -> Scorer:
-    """The Python worker's scorer of this model; it keeps its cache between tasks."""
-    if _LAST[0] is not model:
-        _LAST[:] = model, Scorer(model)
-    return _LAST[1]
-
-
 def predict(scorer: Scorer, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """(language, score) of each text."""
     langs = scorer.langs
@@ -199,7 +189,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     docs = docs.select(*[F.col(f"`{c}`") for c in rest])
 
     def run(batches):
-        scorer = _scorer(shared.value)
+        scorer = C.worker_slot(shared.value, lambda: Scorer(shared.value))
         for b in batches:
             texts = b.column(text).to_pylist()
             names, best = [], []

@@ -39,7 +39,7 @@ END_ID = 2
 MERGE_PARTITIONS = 256
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 WORDS_A_CALL = 512
 
 
@@ -92,17 +92,6 @@ class WordIds:
         return ids, np.diff(np.concatenate([[0], upto[np.array(ends, np.int64)]]))
 
 
-_WORDS: dict[int, WordIds] = {}
-
-
-def word_ids(spec: str) -> WordIds:
-    key = hash(spec)
-    if key not in _WORDS:
-        _WORDS.clear()
-        _WORDS[key] = WordIds(spec)
-    return _WORDS[key]
-
-
 class OpenWindows:
     """A bounded set of windows with room; items go to the one they fill best."""
 
@@ -130,7 +119,7 @@ class OpenWindows:
 
 def _pack(spec, size: int, most: int, end_id: int):
     def run(batches):
-        words = word_ids(spec.value)
+        words = C.worker_slot(("words", spec.value), lambda: WordIds(spec.value))
         windows = OpenWindows(size, most, TaskContext.get().partitionId() << 32)
         for b in batches:
             keys = b.column("doc_id")

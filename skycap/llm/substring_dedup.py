@@ -142,7 +142,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, block
     n_ranges = C.range_count(n_bytes // 4)
     chunks = C.chunked(docs, text, C.chunk_count(n_bytes))
     asked = C.per_chunk(chunks, _ask(block, n_ranges), C.PAYLOAD)
-    hits = asked.groupBy("bucket").applyInArrow(_probe, C.ANSWER)
+    hits = C.exchange(asked, _probe)
     around = C.with_answers(chunks, hits, _extend(window, block, n_ranges), C.PAYLOAD)
     repeated = C.exchange(around, C.shared_answers(8))
     both = hits.select("chunk", F.lit(0).alias("tag"), "payload").unionByName(

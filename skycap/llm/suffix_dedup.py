@@ -357,7 +357,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400) -> D
     anchors = C.per_chunk(chunks, _ask(min_bytes, C.range_count(n_bytes // 32)), C.PAYLOAD)
     shared = C.exchange(anchors, C.shared_answers(6))
     runs = C.with_answers(chunks, shared, _send(min_bytes, C.chunk_count(n_bytes)), RUNS)
-    found = runs.groupBy("bucket").applyInArrow(_scan(min_bytes), C.ANSWER)
+    found = C.exchange(runs, _scan(min_bytes))
     both = shared.select("chunk", F.lit(0).alias("tag"), "payload").unionByName(
         found.select("chunk", F.lit(1).alias("tag"), "payload"))
     return C.with_tagged(chunks, both, _settle(min_bytes), RESULT)
