@@ -128,7 +128,7 @@ class Texts:
         off = np.frombuffer(self.text.buffers()[1], np.int64, len(self) + 1, self.text.offset * 8)
         return np.frombuffer(self.text.buffers()[2], np.uint8, int(off[hi] - off[lo]), int(off[lo]))
 
-    def blocks(self, n_bytes: int = 1 << 20):
+    def blocks(self, n_bytes: int = 1 << 18):
         """Ranges of texts of about n_bytes each (one long text may be more)."""
         lo, size = 0, 0
         for i, n in enumerate(self.lens):
