@@ -128,7 +128,7 @@ class Lists:
     """Inverted lists of the sets of a block: shingle number -> positions in order of size."""
 
     def __init__(self, sets: list[np.ndarray]):
-        size = np.array([len(s) for s in sets])
+        size = np.array([len(s) for s in sets], np.int64)  # a block that its group's hashes left empty has no set
         self.order = np.argsort(size, kind="stable")
         self.size = size[self.order]
         item = np.concatenate([sets[i] for i in self.order]) if sets else np.zeros(0, np.uint64)

@@ -117,6 +117,17 @@ def test_jaccard_join(docs, most, monkeypatch):
     same(got, [(i, n, k, c if n else i) for (i, _), (n, k, c) in zip(t, plain)])
 
 
+def test_jaccard_join_with_empty_blocks(spark, monkeypatch):
+    """A few long texts make many blocks, most of them without a set."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_ITEMS", 8)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(words[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(jaccard_join.jaccard_join(docs), "doc_id", "n_shingles", "n_links", "component_id")
+    same(got, [(i, n, k, c) for (i, _), (n, k, c) in zip(rows, brute.jaccard_join(rows))])
+    assert sum(n for _, _, n, _ in got) == 2
+
+
 def test_overlaps_are_derived_from_similar_sets():
     rnd = np.random.default_rng(3)
     base = rnd.integers(0, 1 << 60, 200, dtype=np.uint64)
