@@ -5,9 +5,9 @@ Parquet to the shared folder and read again as the next one's docs.  All but the
 last return the columns of ``documents``; ``n_chars`` follows the text.
 
 Defined results: a text that is null becomes empty where a stage rewrites texts;
-a document whose words all go keeps its row with an empty text; rows that share
-an id stay or go together in the near-duplicate stage; rows without an id are
-judged by their text like others.
+a document whose words all go keeps its row with an empty text; of each group of
+near duplicates one row stays, also where rows share an id or have none; rows
+without words are no duplicates and all stay.
 """
 
 from __future__ import annotations
@@ -36,10 +36,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group linked at a Jaccard similarity of 0.8 or more."""
-    joined = J.jaccard_join(docs)
-    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group linked at a Jaccard similarity of 0.8 or more: that of
+    least id (a missing id comes last), then of least key of its text, then of
+    least other columns.
+
+    Rows of equal text become one per task before the shuffle, so a text that
+    stands in many rows is no hot key."""
+    last = lambda c: (F.col(c).isNull(), F.col(c))
+    texts = J.linked_texts(docs).where("n_shingles > 0")
+    kept = texts.groupBy("label").agg(F.min(F.struct(*last("least"), "k1", "k2")).alias("first")).select("first.k1", "first.k2")
+    k1, k2, t = C.keyed_text("text")
+    wordless = ~t.rlike(r"[^ \t\n\x0B\f\r]")
+    order = ["doc_id", *(c for c in docs.columns if c not in ("doc_id", "text")), "text"]
+    fields = [x.alias(f"{c}{i}") for c in order for i, x in enumerate(last(c))]
+    rows = docs.where(~wordless).select(k1, k2, F.struct(*fields).alias("row")).groupBy("k1", "k2").agg(F.min("row").alias("row"))
+    ones = rows.join(kept, ["k1", "k2"], "left_semi").select(*[F.col("row").getField(f"{c}1").alias(c) for c in docs.columns])
+    return docs.where(wordless).unionByName(ones)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -260,10 +260,9 @@ def _join_unit(percent: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, n_links, component_id) per document: size of its
-    shingle set, number of documents with 100 * intersection >= percent * union, least
-    doc_id reachable by links."""
+def linked_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(k1, k2, n_shingles, least, n_links, label) per distinct text: least is the
+    least id of its rows, label is the same for all texts reachable by links."""
     spark = docs.sparkSession
     C.prepare(spark)
     n_bytes = C.text_bytes(docs, text)
@@ -310,10 +309,19 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         whole = connected_components(ends, edges)
         labels = labels.join(whole.withColumnRenamed("id", "node"), "node", "left").select(
             "node", "n_links", F.coalesce("comp", "label").alias("label"))
-    full = nodes.join(labels.select("node", "n_links", "label"), "node", "left").select(
+    return nodes.join(labels.select("node", "n_links", "label"), "node", "left").select(
         "k1", "k2", "n_shingles", "least",
         F.when(F.col("n_shingles") == 0, 0).otherwise(F.coalesce("n_links", F.col("copies") - 1)).alias("n_links"),
         F.coalesce("label", "node").alias("label"))
+
+
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, n_links, component_id) per document: size of its
+    shingle set, number of documents with 100 * intersection >= percent * union, least
+    doc_id reachable by links."""
+    full = linked_texts(docs, doc_id, text, n, percent)
+    k1, k2, _ = C.keyed_text(text)
+    ids = docs.select(F.col(doc_id).alias("doc_id"), k1, k2)
     first = full.groupBy("label").agg(F.min("least").alias("component_id"))
     out = full.join(first, "label").select("k1", "k2", "n_shingles", "n_links", "component_id")
     return ids.join(out, ["k1", "k2"]).select(

@@ -124,6 +124,23 @@ def test_pipeline_stages(spark, sf, small):
     assert {r.doc_id for r in five.collect()} == {r.doc_id for r in four.collect()}
 
 
+def test_pipeline_keeps_one_row_of_repeated_texts(spark, sf, small):
+    """Rows that repeat under one id or stand without one lose neither their text nor another row's."""
+    text = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("a")), (2, text("b")), (None, text("b")), (None, text("c")), (None, text("c")),
+            (None, text("d") + " more"), (3, text("d")), (4, text("e")), (4, text("f")), (None, text("g")), (5, ""), (5, " \n"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], small.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    two = stages["jaccard_join"](spark, docs, sf).cache()
+    assert two.columns == small.columns
+    order = lambda r: tuple((x is None, x) for x in r)
+    expected = [(1, text("a")), (2, text("b")), (None, text("c")), (3, text("d")), (4, text("e")), (4, text("f")), (None, text("g")),
+                (5, ""), (5, " \n"), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in two.collect()), key=order) == sorted(expected, key=order)
+    three = stages["substring_dedup"](spark, two, sf)
+    assert sorted(((r.doc_id, r.text) for r in three.collect()), key=order) == sorted(((i, t or "") for i, t in expected), key=order)
+
+
 def test_pipeline_of_nothing(spark, sf, small):
     docs = small.where("false")
     for _, stage in corpus_pipeline.STAGES:
