@@ -6,11 +6,13 @@
    Every vector is assigned to its cell.
 3. Cells are split into blocks of about ``BLOCK`` vectors by hash.  A vector is
    compared with its own block, the later blocks of its cell, and the blocks of
-   later cells whose border is near: a partner v' = cos * v + sin * w lies beyond the
-   border to centre c' only if v * (c - c') / |c - c'| <= tan * w * (c' - c) / |c' - c|;
-   for directions w in d dimensions that is at most z / sqrt(d) in all but a
-   few thousandths of cases at z = 3.  ``spread`` is z; None takes the largest
-   value possible, sin, and loses nothing.
+   those later cells c' that may hold a partner v' = cos * v + sin * w (w a unit vector
+   across v).  Two bounds, both exact, rule out the others: v' is nearer to c' than to
+   v's own centre c only if v * (c - c') / |c - c'| <= sin, and v' lies within the
+   radius of c' only if the angle of v and c' is at most that radius and the
+   angle of the partners together (the triangle inequality on the sphere).
+   ``spread`` = z is an option that loses links: it takes w * (c' - c) / |c' - c| to be at
+   most z / sqrt(d), as for directions that are uniform in all d dimensions.
 4. Products are taken block by block in double precision.  A task holds one
    block and streams what is compared with it; it returns a count per vector and
    edges that connect, never all pairs.
@@ -68,55 +70,74 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 20, seed: int = 7) ->
     return c
 
 
-def _assign(centres, margin_of):
-    """Cell and later cells near the border, per vector."""
+#: Room for rounding in cosines and angles that rule out a cell.
+SLACK = 1e-6
+
+
+def _assign(centres):
+    """Cell of each vector and the cosine with its centre."""
 
     def run(batches):
         cents = centres.value
         for b in batches:
             emb = b.column("emb")
             lens = np.asarray(pa.compute.list_value_length(emb))
-            cell, near = np.zeros(len(lens), np.int64), [[]] * len(lens)
+            cell, fit = np.zeros(len(lens), np.int64), np.full(len(lens), -1.0)
             for d in np.unique(lens):
                 at = np.flatnonzero(lens == d)
-                x = unit_rows(emb.take(pa.array(at)), int(d))
                 c = cents.get(int(d))
                 if c is None:
                     continue
-                s = x @ c.T
-                own = s.argmax(axis=1)
-                cell[at] = own
-                gap = np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-18))
-                close = (s[np.arange(len(at)), own][:, None] - s) <= margin_of(int(d)) * gap[own]
-                close &= np.arange(len(c))[None, :] > own[:, None]
-                for i, row in zip(at, close):
-                    near[i] = np.flatnonzero(row).tolist()
+                s = unit_rows(emb.take(pa.array(at)), int(d)) @ c.T
+                cell[at] = s.argmax(axis=1)
+                fit[at] = s.max(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), emb, b.column("copies"), pa.array(lens.astype(np.int64)), pa.array(cell),
-                 pa.array(near, pa.list_(pa.int64()))], ["id", "emb", "copies", "dim", "cell", "near"])
+                [b.column("id"), emb, b.column("copies"), pa.array(lens.astype(np.int64)), pa.array(cell), pa.array(fit)],
+                ["id", "emb", "copies", "dim", "cell", "fit"])
 
     return run
 
 
-def _deal(units):
+def later_cells(x: np.ndarray, own: np.ndarray, c: np.ndarray, radius: np.ndarray, margin: float, angle: float) -> np.ndarray:
+    """Which later cells may hold a partner of each unit vector."""
+    s = x @ c.T
+    gap = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
+    close = s[np.arange(len(x)), own][:, None] - s <= margin * gap[own] + SLACK
+    close &= np.arccos(np.clip(s, -1, 1)) <= radius + angle + SLACK
+    return close & (np.arange(len(c))[None, :] > own[:, None])
+
+
+def _deal(units, centres, margin_of, angle: float):
     """A row per unit that a vector is a member of (kind 0) or compared with (kind 1)."""
 
     def run(batches):
-        base, blocks = units.value
+        base, blocks, radius = units.value
         for b in batches:
+            emb = b.column("emb")
+            dims, cells = b.column("dim").to_numpy(), b.column("cell").to_numpy()
+            near: list = [()] * len(dims)
+            for d in np.unique(dims):
+                c = centres.value.get(int(d))
+                if c is None:
+                    continue
+                rows = np.flatnonzero(dims == d)
+                reach = np.array([radius.get((int(d), j), -np.inf) for j in range(len(c))])
+                for lo in range(0, len(rows), QUERIES):
+                    part = rows[lo:lo + QUERIES]
+                    x = unit_rows(emb.take(pa.array(part)), int(d))
+                    for i, row in zip(part, later_cells(x, cells[part], c, reach, margin_of(int(d)), angle)):
+                        near[i] = np.flatnonzero(row).tolist()
             at, unit, kind = [], [], []
-            ids, dims = b.column("id").to_pylist(), b.column("dim").to_pylist()
-            for i, (d, cell, near, h) in enumerate(zip(dims, b.column("cell").to_pylist(), b.column("near").to_pylist(),
-                                                       b.column("hash").to_pylist())):
+            for i, (d, cell, h) in enumerate(zip(dims.tolist(), cells.tolist(), b.column("hash").to_pylist())):
                 n = blocks[d, cell]
                 own = h % n
                 targets = [base[d, cell] + j for j in range(own, n)]
-                for c in near:
+                for c in near[i]:
                     targets += range(base[d, c], base[d, c] + blocks[d, c]) if (d, c) in base else ()
                 at += [i] * len(targets)
                 unit += targets
                 kind += [0] + [1] * (len(targets) - 1)
-            if ids:
+            if len(dims):
                 rows = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(unit, pa.int64()), pa.array(kind, pa.int64()), *(b.column(c).take(rows) for c in ("id", "copies", "emb"))],
@@ -215,11 +236,12 @@ def _compare(least: float):
 
 
 def vector_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9,
-                 sample: int = SAMPLE, spread: float | None = 3.0) -> DataFrame:
+                 sample: int = SAMPLE, spread: float | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row."""
     spark = vectors.sparkSession
     C.prepare(spark)
-    sin = math.sqrt(max(0.0, 1 - least * least))
+    angle = math.acos(min(1.0, max(-1.0, least)))
+    sin = math.sin(angle) if least > 0 else 1.0
     margin = (lambda d: sin) if spread is None else (lambda d: min(sin, sin / max(least, 1e-9) * spread / math.sqrt(d)))
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").alias("emb"))
     # a NaN is greater than infinity in comparisons
@@ -241,15 +263,17 @@ def vector_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     cents = spark.sparkContext.broadcast(centres)
     kind = dict(reps.dtypes)["emb"]
     placed = C.written(reps.select("id", "emb", "copies").mapInArrow(
-        _assign(cents, margin), f"id long, emb {kind}, copies long, dim long, cell long, near array<long>"), "vector-cells")
-    base, blocks, at = {}, {}, 0
-    for r in placed.groupBy("dim", "cell").count().orderBy("dim", "cell").collect():  # bounded by the number of centres
+        _assign(cents), f"id long, emb {kind}, copies long, dim long, cell long, fit double"), "vector-cells")
+    base, blocks, radius, at = {}, {}, {}, 0
+    sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.min("fit").alias("fit"))
+    for r in sizes.orderBy("dim", "cell").collect():  # bounded by the number of centres
         key = (r["dim"], r["cell"])
-        base[key], blocks[key] = at, math.ceil(r["count"] / BLOCK)
+        base[key], blocks[key] = at, math.ceil(r["n"] / BLOCK)
+        radius[key] = math.acos(min(1.0, max(-1.0, r["fit"])))
         at += blocks[key]
-    units = spark.sparkContext.broadcast((base, blocks))
+    units = spark.sparkContext.broadcast((base, blocks, radius))
     dealt = placed.withColumn("hash", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).mapInArrow(
-        _deal(units), f"unit long, kind long, id long, copies long, emb {kind}")
+        _deal(units, cents, margin, angle), f"unit long, kind long, id long, copies long, emb {kind}")
     found = C.written(dealt.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(
         _compare(least), "id long, n_links long, dst long"), "vector-links")
     counts = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))

@@ -55,6 +55,16 @@ def test_vector_dedup_recall_and_precision(spark):
     assert all(got[i] <= exact[i] for i in got)
 
 
+def test_vector_dedup_of_few_directions(spark, monkeypatch):
+    """The registered query loses no link where vectors lie in few of many dimensions."""
+    monkeypatch.setattr(vector_dedup, "PER_CELL", 30)
+    rnd = np.random.default_rng(5)
+    v = rnd.normal(size=(1200, 4)) @ np.linalg.qr(rnd.normal(size=(64, 4)))[0].T
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    got = {r.vec_id: r.n_links for r in vector_dedup.vector_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {k: n for k, n, _ in plain(rows)}
+
+
 def test_vector_dedup_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vector_dedup.vector_dedup(df).count() == 0
