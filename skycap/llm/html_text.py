@@ -2,17 +2,20 @@
 
 The standard library's parser streams a page's events.  Block elements cut it
 into lines; each line has its text, the number of tags met in it and the
-characters inside links.  The ratio of text to tags per line is smoothed with a
-Gaussian over the neighbouring lines, and a two-means threshold parts lines of
-high ratio from lines of low ratio.  Lines belong to regions (the article or
-main element, else the nearest section, division or cell); a region is content
-where a line of it lies above the threshold and links do not make up most of it.
-All lines of the content regions make the text, short ones as well.
-
-What is no article by its element (scripts, styles, navigation, forms, asides,
-page headers and footers) or by its class, id or role (adverts, notices, menus,
-comments, ...) is left out before.  If nothing remains, as with a navigation
-element that is never closed, only scripts and the like are left out.
+characters inside links.  Lines belong to regions: the nearest article, section,
+division, cell, or element that is usually no article, nested ones as well.  The
+ratio of text to tags per line is smoothed with a Gaussian over the neighbouring
+lines of its region, and a two-means threshold on its logarithm parts the page's
+lines of high ratio from those of low ratio.  A region is content where a line of it
+lies above the threshold and links do not make up most of it; all its lines make the
+text, short ones as well, save paragraphs and lists that are mostly links.
+
+Elements that are usually no article (navigation, forms, asides, page headers and
+footers), classes, ids or roles that say so (adverts, notices, menus, comments, ...)
+and a place outside the page's article weigh: they lower a line's ratio before it is
+held against the threshold, and decide nothing alone.  An article or main element
+ends the weights of what is open around it, as of a navigation element that is never
+closed.  Only scripts, styles and the like are never text.
 
 Defined results: a null or empty page has the empty text; a page without an
 element is one line; text after the last complete tag counts, a tag cut off at
@@ -24,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,10 +40,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "strong sub sup time tt u var label wbr img".split())
 #: Never text.
 HIDDEN = frozenset("script style noscript template head iframe object svg math canvas audio video".split())
-#: Not part of an article.
+#: Usually not part of an article.
 ASIDE = frozenset("nav aside footer form button select textarea menu dialog fieldset".split())
 REGION = frozenset("article main section div td body".split())
-#: Words of class, id or role that mark what is no article.
+#: Lists and paragraphs: left out of their region where they are mostly links.
+BLOCKS = frozenset("p ul ol dl table".split())
+#: Words of class, id or role that mark what is usually no article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar "
                   "navigation breadcrumb breadcrumbs footer masthead comment comments disqus replies cookie cookies consent gdpr "
                   "notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related "
@@ -48,15 +54,29 @@ _WORDS = re.compile(r"[A-Za-z]+")
 _CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 SIGMA = 1.0
 LINK_SHARE = 0.5
+#: Weights of the ratio: usual elements and marked ones that are no article, lines outside the page's article.
+ASIDE_WEIGHT = 0.05
+MARK_WEIGHT = 0.25
+OUTSIDE_WEIGHT = 0.2
 
 
 class Line:
-    __slots__ = ("parts", "tags", "links", "region", "inside", "skipped")
+    __slots__ = ("parts", "tags", "links", "state")
 
-    def __init__(self, region: int, inside: bool, skipped: bool):
+    def __init__(self, state):
         self.parts: list[str] = []
         self.tags = self.links = 0
-        self.region, self.inside, self.skipped = region, inside, skipped
+        self.state: State = state
+
+
+class State(NamedTuple):
+    """What is open at some place of the page."""
+
+    region: int = 0
+    block: int = 0
+    inside: bool = False  # an article
+    weight: float = 1.0
+    hidden: bool = False
 
 
 class PageParser(HTMLParser):
@@ -64,19 +84,18 @@ class PageParser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, region, in article, skipped, hidden
-        self.state = (0, False, False, False)
+        self.stack: list[tuple[str, State]] = []  # tag, state around it
+        self.state = State()
         self.regions = 0
         self.link = 0
-        self.lines = [Line(0, False, False)]
+        self.lines = [Line(self.state)]
 
     def _cut(self) -> None:
-        region, inside, skipped, _ = self.state
         line = self.lines[-1]
         if line.parts:
-            self.lines.append(Line(region, inside, skipped))
+            self.lines.append(Line(self.state))
         else:
-            line.region, line.inside, line.skipped = region, inside, skipped
+            line.state = self.state
 
     def handle_starttag(self, tag, attrs):
         self.lines[-1].tags += 1
@@ -84,24 +103,30 @@ class PageParser(HTMLParser):
             if tag not in INLINE:
                 self._cut()
             return
-        region, inside, skipped, hidden = self.state
-        self.stack.append((tag, *self.state))
+        region, block, inside, weight, hidden = self.state
+        self.stack.append((tag, self.state))
         if tag in INLINE:
             self.link += tag == "a"
             return
-        if tag in REGION:
-            if not inside:
-                self.regions += 1
-                region = self.regions
-            inside = inside or tag in ("article", "main")
+        if tag in ("article", "main"):
+            weight = weight if inside else 1.0
+            inside = True
         hidden = hidden or tag in HIDDEN
+        light = 1.0
         if tag in ASIDE or (tag == "header" and not inside):
-            skipped = True
+            light = ASIDE_WEIGHT
         elif tag not in ("html", "body", "article", "main") and attrs:
             for name, value in attrs:
                 if value and name in ("class", "id", "role") and not MARKS.isdisjoint(_WORDS.findall(value.lower())):
-                    skipped = True
-        self.state = (region, inside, skipped, hidden)
+                    light = MARK_WEIGHT
+        if tag in REGION or light < 1:
+            self.regions += 1
+            region = block = self.regions
+            weight *= light
+        elif tag in BLOCKS:
+            self.regions += 1
+            block = self.regions
+        self.state = State(region, block, inside, weight, hidden)
         self._cut()
 
     def handle_startendtag(self, tag, attrs):
@@ -114,10 +139,10 @@ class PageParser(HTMLParser):
         inline = tag in INLINE
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                for open_tag, *_ in self.stack[i:]:
+                for open_tag, _ in self.stack[i:]:
                     self.link -= open_tag == "a"
                 if not inline:
-                    self.state = self.stack[i][1:]
+                    self.state = self.stack[i][1]
                 del self.stack[i:]
                 break
             if inline and self.stack[i][0] not in INLINE:
@@ -126,7 +151,7 @@ class PageParser(HTMLParser):
             self._cut()
 
     def handle_data(self, data):
-        if self.state[3]:
+        if self.state.hidden:
             return
         line = self.lines[-1]
         line.parts.append(data)
@@ -160,20 +185,32 @@ def threshold(values: list[float]) -> float:
 
 
 def _select(lines: list[tuple[str, Line]]) -> str:
-    if any(line.inside for _, line in lines):
-        lines = [x for x in lines if x[1].inside]
-    ratios = smoothed([len(text) / max(1, line.tags) for text, line in lines])
-    cut = threshold(ratios)
+    weighed = any(line.state.weight == 1 for _, line in lines)
+    article = any(line.state.inside for _, line in lines)
+    members: dict[int, list[int]] = {}
     size: dict[int, int] = {}
     links: dict[int, int] = {}
-    good: set[int] = set()
-    for (text, line), ratio in zip(lines, ratios):
-        size[line.region] = size.get(line.region, 0) + len(text)
-        links[line.region] = links.get(line.region, 0) + line.links
-        if ratio >= cut:
-            good.add(line.region)
-    content = {r for r in good if links[r] <= LINK_SHARE * size[r]} or {max(size, key=lambda r: size[r] - links[r])}
-    return " ".join(text for text, line in lines if line.region in content)
+    for i, (text, line) in enumerate(lines):
+        region, block = line.state.region, line.state.block
+        members.setdefault(region, []).append(i)
+        for key in {region, block}:
+            size[key] = size.get(key, 0) + len(text)
+            links[key] = links.get(key, 0) + line.links
+    ratios = [0.0] * len(lines)
+    for at in members.values():
+        for i, r in zip(at, smoothed([len(lines[i][0]) / max(1, lines[i][1].tags) for i in at])):
+            ratios[i] = r
+    cut = threshold([math.log1p(r) for r in ratios])
+    score, likely = {}, {}
+    for region, at in members.items():
+        state = lines[at[0]][1].state
+        weight = (state.weight if weighed else 1.0) * (OUTSIDE_WEIGHT if article and not state.inside else 1.0)
+        score[region] = math.log1p(weight * max(ratios[i] for i in at))
+        likely[region] = weight * (size[region] - links[region])
+    content = {r for r in members if score[r] >= cut and links[r] <= LINK_SHARE * size[r]}
+    content = content or {max(members, key=lambda r: likely[r])}
+    mine = [(text, line.state.block) for text, line in lines if line.state.region in content]
+    return " ".join([text for text, block in mine if links[block] <= LINK_SHARE * size[block]] or [text for text, _ in mine])
 
 
 def page_text(html: str | None) -> str:
@@ -184,7 +221,6 @@ def page_text(html: str | None) -> str:
     parser.feed(_CUT_TAG.sub("", html))
     parser.close()
     lines = [(text, line) for line in parser.lines if (text := " ".join("".join(line.parts).split()))]
-    lines = [x for x in lines if not x[1].skipped] or lines
     return _select(lines) if lines else ""
 
 

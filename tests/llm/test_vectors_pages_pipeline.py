@@ -96,6 +96,21 @@ def test_pages(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    # an unmarked advert and blocks of links inside the article go by their ratio and links
+    (f"<article><p>{LONG}</p><div><b>Buy</b> <i>now</i></div><p>{LONG}</p><ul><li><a>One thing</a></li><li><a>Other</a></li></ul></article>",
+     f"{LONG} {LONG}"),
+    # a real block stays although its class holds a marked word
+    (f"<article><p>{LONG}</p><div class='social-history'><p>{LONG}</p><p>{LONG}</p></div></article><nav><a>x</a></nav>", " ".join([LONG] * 3)),
+    (f"<article><p>{LONG}</p><ul><li>One thing</li></ul><section><h2>More</h2><p>{LONG}</p></section></article><footer>f</footer>",
+     f"{LONG} One thing More {LONG}"),
+    # no line reaches the threshold by its weight: the likeliest region
+    (f"<nav><a>x</a></nav><article><h1>Short one.</h1></article><footer>{LONG}</footer>", "Short one."),
+])
+def test_ratios_decide_within_articles(page, text):
+    assert html_text.page_text(page) == text
+
+
 def test_pages_with_other_columns(spark):
     df = spark.createDataFrame([(1, None, "<p>x</p>", "old", 3)], "page_id long, url string, html string, text string, n_chars long")
     row = html_text.extract_text(df).first()
