@@ -3,19 +3,22 @@
 *Base spans* are e-mail addresses, IPv4 addresses, card numbers and phone
 numbers, found per kind from left to right without overlap.
 
-*Disclosure.*  A term that stands near a protected value (an e-mail address, a
-number, ...) may give it away.  How much follows from co-occurrence in the whole
-corpus: with N documents, n(c) of them holding value c, n(t) the term t and
-n(c, t) both with t near c, the pointwise mutual information
-log2(n(c, t) * N / (n(c) * n(t))) is the part of c's information content
-log2(N / n(c)) that t reveals.  A term that reveals at least ``share`` of it, in
-``min_texts`` different texts or more, exceeds the threshold: it is removed where
-it reveals all (t is found nowhere else), else generalised to a placeholder.
+*Disclosure.*  A term of a text that holds a protected entity may give it away.
+Entities are the values themselves and what recurs where values do not: the kind
+of a value, the domain of an e-mail address, the country and area digits of a phone
+number.  How much a term gives away follows from co-occurrence in the whole corpus:
+with N documents, n(c) of them holding entity c, n(t) the term t and n(c, t) both, the
+pointwise mutual information log2(n(c, t) * N / (n(c) * n(t))) is the part of c's
+information content log2(N / n(c)) that t reveals.  A term that reveals at least
+``share`` of it for some entity, in ``min_texts`` different texts or more, exceeds the
+threshold: it is removed where it reveals all (t is found nowhere else), else
+generalised to a placeholder - wherever it stands, in every text of the corpus.
 
 Column functions only.  Document frequencies come from all documents: each
-task sums its terms before the shuffle.  Terms near values are few, since few
-texts hold one; they meet their counts by a join and go back to their texts by
-the 128-bit key of the text.
+task sums its terms before the shuffle.  Texts that hold a value are few; pairs
+are counted for entities of ``min_texts`` texts or more (no others can pass).
+The terms over the threshold are met by the words of all texts, and only the texts
+that hold one are searched for its places.
 
 Offsets count code points.  Several matches of one kind in a text are laid out
 by an aggregate whose cost grows with the square of that text's matches.
@@ -33,9 +36,6 @@ from pyspark.sql import functions as F
 from skycap.llm import common as C
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words looked at on either side of a value, and the characters that hold them at most.
-NEAR_WORDS = 5
-NEAR_CHARS = 200
 SHARE = 0.8
 MIN_TEXTS = 3
 
@@ -70,7 +70,7 @@ def _phone_ok(m: Column) -> Column:
     return F.length(_digits(m)).between(10, 15)
 
 
-def _found(text: Column, pattern: str, guard: Column, ok) -> Column:
+def _found(text: Column, pattern: str | Column, guard: Column, ok) -> Column:
     """Spans of the matches of a pattern that pass ok: offsets follow from the
     lengths of the matches and of the text between them."""
     none = F.array().cast("array<string>")
@@ -127,68 +127,75 @@ def _lower_words(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
 
 
-def _near_terms(values: DataFrame, near_words: int) -> DataFrame:
-    """(k1, k2, value, term, start, end): the words near each value.
+def _entities(spans: str) -> Column:
+    """Entities that the spans of a text stand for, each once: values, kinds, e-mail domains, phone areas."""
+    def named(kind, what):
+        return F.concat_ws(":", kind.cast("string"), what)
 
-    values: k1, k2, text, spans.  Words touch no other base span; offsets come
-    from the lengths of the words and of what stands between them."""
-    side = F.explode(F.array(F.lit(0), F.lit(1)))
-    v = values.select("k1", "k2", "text", F.explode("spans").alias("s"), "spans").withColumn("side", side)
-    lo, hi = F.greatest(F.col("s.start") - NEAR_CHARS, F.lit(0)), F.col("s.end") + NEAR_CHARS
-    before = F.substring("text", lo + 1, F.col("s.start") - lo)
-    after = F.substring("text", F.col("s.end") + 1, F.lit(NEAR_CHARS))
-    v = v.select("k1", "k2", F.col("s.value").alias("value"), "spans", "side",
-                 F.when(F.col("side") == 0, before).otherwise(after).alias("part"),
-                 F.when(F.col("side") == 0, lo).otherwise(F.col("s.end")).alias("at"))
-    words = F.regexp_extract_all("part", F.lit(r"\p{L}+"), F.lit(0))
-    gaps = F.split("part", r"\p{L}+", -1)
-    start = F.struct(F.col("at").alias("at"), F.array().cast(SPAN).alias("out"))
+    kinds = F.transform(spans, lambda s: named(s["kind"], F.lit("")))
+    values = F.transform(spans, lambda s: named(s["kind"], s["value"]))
+    email = F.transform(F.filter(spans, lambda s: s["kind"] == KINDS.index("email")),
+                        lambda s: named(s["kind"], F.concat(F.lit("@"), F.lower(F.substring_index(s["value"], "@", -1)))))
+    phone = F.transform(F.filter(spans, lambda s: s["kind"] == KINDS.index("phone")),
+                        lambda s: named(s["kind"], F.concat(F.lit("+"), F.substring(_digits(s["value"]), 1, 4))))
+    return F.array_distinct(F.concat(kinds, values, email, phone))
 
-    def step(acc, pair):
-        a = acc["at"] + F.length(pair["gap"])
-        b = a + F.length(pair["word"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), pair["word"].alias("value")))).alias("out"))
-
-    pairs = F.arrays_zip(words.alias("word"), F.slice(gaps, 1, F.size(words)).alias("gap"))
-    laid = F.when(F.size(words) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
-    v = v.withColumn("words", laid)
-    n = F.size("words")
-    # the nearest whole words; one cut off by the end of the part is left out
-    v = v.withColumn("words", F.when(F.col("side") == 0, F.slice(F.filter("words", lambda w: (w["start"] > F.col("at")) | (F.col("at") == 0)), F.greatest(F.lit(1), n - near_words), near_words + 1))
-                     .otherwise(F.slice(F.filter("words", lambda w: w["end"] < F.col("at") + F.length("part")), 1, near_words)))
-    v = v.withColumn("words", F.when(F.col("side") == 0, F.slice("words", F.greatest(F.lit(1), F.size("words") - near_words + 1), near_words)).otherwise(F.col("words")))
-    clear = F.filter("words", lambda w: ~F.exists("spans", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
-    return v.select("k1", "k2", "value", F.explode(clear).alias("w")).select(
-        "k1", "k2", "value", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.value").alias("word"))
-
-
-def disclosing_terms(docs: DataFrame, text: str = "text", share: float = SHARE, min_texts: int = MIN_TEXTS,
-                     near_words: int = NEAR_WORDS) -> DataFrame:
-    """(k1, k2, terms) of the texts with terms over the threshold; terms are
-    spans with the part of the value's information that they reveal."""
-    k1, k2, t = C.keyed_text(text)
-    keyed = docs.select(k1, k2, t)
+
+def _outside(spans: str) -> Column:
+    """The text without its spans."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        put = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(" "))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(put).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+
+
+def scored_terms(docs: DataFrame, text: str = "text", share: float = SHARE, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """(term, part) of the terms over the threshold; part is the largest part of an entity's information that the term reveals."""
+    keyed = docs.select(*C.keyed_text(text))
     total = docs.count()
-    marked = t.rlike("[@+]|[0-9]")
-    spans = base_spans(keyed.where(marked)).withColumn("spans", all_spans(KINDS[:4])).where(F.size("spans") > 0)
-    holders = C.written(spans.select("k1", "k2", "text", "spans"), "pii-holders")
-    copies = holders.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
-    once = holders.dropDuplicates(["k1", "k2"])
-    near = _near_terms(once, near_words)
-    pairs = near.join(copies, ["k1", "k2"])
-    joint = pairs.select("value", "term", "k1", "k2", "copies").distinct().groupBy("value", "term").agg(
-        F.count("*").alias("texts"), F.sum("copies").alias("n_both")).where(F.col("texts") >= min_texts)
-    held = once.select("k1", "k2", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value")).join(
-        copies, ["k1", "k2"]).groupBy("value").agg(F.sum("copies").alias("n_value"))
+    spans = base_spans(keyed.where(F.col("text").rlike("[@+]|[0-9]"))).withColumn("spans", all_spans(KINDS[:4])).where(F.size("spans") > 0)
+    rows = spans.select("k1", "k2", _entities("spans").alias("entities"), _lower_words(_outside("spans")).alias("terms"))
+    # equal texts have equal entities and terms: one row with their number
+    holders = C.written(rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"),
+                                                     F.first("terms").alias("terms")), "pii-holders")
+    held = holders.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(
+        F.count("*").alias("texts"), F.sum("copies").alias("n_entity")).where(F.col("texts") >= min_texts).drop("texts")
+    recurring = holders.select("k1", "k2", F.explode("entities").alias("entity")).join(held, "entity")
+    pairs = recurring.join(holders.select("k1", "k2", "copies", "terms"), ["k1", "k2"]).select(
+        "entity", "n_entity", "copies", F.explode("terms").alias("term")).where("term != ''")
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_both"),
+                                                F.first("n_entity").alias("n_entity")).where(F.col("texts") >= min_texts)
     # document frequency of every term of the corpus, summed per task before the shuffle
     freq = keyed.select(F.explode(_lower_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    scored = joint.join(held, "value").join(freq, "term").withColumn(
-        "information", F.log2(F.lit(float(max(total, 1))) / F.col("n_value"))).withColumn(
-        "revealed", F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_value") * F.col("n_term"))))
-    over = scored.where((F.col("information") > 0) & (F.col("revealed") >= share * F.col("information"))).select(
-        "value", "term", F.least(F.lit(1.0), F.col("revealed") / F.col("information")).alias("part"))
-    return near.join(over, ["value", "term"]).groupBy("k1", "k2", "start", "end", "word").agg(F.max("part").alias("part")).groupBy(
-        "k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("word").alias("value"), "part"))).alias("terms"))
+    scored = joint.join(freq, "term").withColumn(
+        "information", F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))).withColumn(
+        "revealed", F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term"))))
+    over = scored.where((F.col("information") > 0) & (F.col("revealed") >= share * F.col("information"))).groupBy("term").agg(
+        F.max(F.least(F.lit(1.0), F.col("revealed") / F.col("information"))).alias("part"))
+    return C.written(over, "pii-terms")
+
+
+def disclosing_terms(docs: DataFrame, text: str = "text", share: float = SHARE, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """(k1, k2, terms) of the texts with terms over the threshold; terms are
+    spans with the part of an entity's information that they reveal."""
+    keyed = docs.select(*C.keyed_text(text))
+    over = scored_terms(docs, text, share, min_texts)
+    words = keyed.select("k1", "k2", F.explode(_lower_words(F.col("text"))).alias("term")).join(over, "term").distinct()
+    hits = words.groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("term", "part"))).alias("parts"))
+    # words are letters only, so they need no quoting in a pattern
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("parts"), "|"), F.lit(r")(?!\p{L})"))
+    texts = base_spans(keyed.join(hits, ["k1", "k2"]).groupBy("k1", "k2").agg(
+        F.first("text").alias("text"), F.first("parts").alias("parts"))).withColumn("spans", all_spans(KINDS[:4]))
+    # a word that touches a base span is replaced with it
+    clear = lambda w: ~F.exists("spans", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))
+    places = C.computed(texts.withColumn("pattern", pattern), {"places": _found(F.col("text"), F.col("pattern"), F.lit(True), lambda m: F.lit(True))})
+    terms = F.transform(F.filter("places", clear), lambda w: F.struct(
+        w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value"),
+        F.coalesce(F.try_element_at("parts", F.lower(w["value"])), F.lit(0.0)).alias("part")))
+    return places.select("k1", "k2", terms.alias("terms")).where(F.size("terms") > 0)
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:

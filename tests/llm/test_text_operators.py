@@ -162,6 +162,20 @@ def test_terms_that_disclose(spark):
     assert terms == [["Zerlina"]] * 4
 
 
+def test_terms_of_values_that_stand_once(spark):
+    """Terms go by the kind of value where no value recurs, and everywhere: far from the value, twice, without one."""
+    far = " and".join([""] * 30)
+    rows = [(i, f"Write to Zerlina {far} u{i}@m{i}.org is the address of zerlina.") for i in range(5)]
+    rows += [(9, "Nothing but ZERLINA and the address."), (8, "Zerlinas and the address.")]
+    rows += [(10 + i, f"The day to write nothing of the address and note is {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.term for r in pii.scored_terms(docs).collect()} == {"zerlina"}
+    clean = dict(rows_of(pii.sanitised(docs), "doc_id", "text"))
+    assert clean[2] == f"Write to [TERM] {far} [EMAIL] is the address of [TERM]."
+    assert clean[9] == "Nothing but [TERM] and the address."
+    assert all(clean[i] == t for i, t in rows if i >= 10 or i == 8)
+
+
 def test_sanitised_keeps_columns(edge, none):
     out = pii.sanitised(edge)
     assert out.columns == edge.columns and out.count() == edge.count()
