@@ -109,10 +109,10 @@ def s06(spark, sf):
 
 
 # caption files / training records ------------------------------------------
-def _caption_dir(spark, sf, only=F.lit(True)):
+def _caption_dir(spark, sf, only=None):
     d = scratch_path(spark, "captions")
-    s = derive.emb_samples(spark, sf).where(only)
-    RC.write_caption_files(s, d)
+    s = derive.emb_samples(spark, sf)
+    RC.write_caption_files(s if only is None else s.where(only), d)
     return d
 
 

@@ -52,3 +52,13 @@ def test_runs_from_foreign_working_directory(tmp_path):
         "print('ROWS', len(E.queries()['j14_in_batch_pairs'](spark, '/root/testdata/sf0.001').collect()))\n")
     out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=600)
     assert out.stdout.count("ROWS") == 2, out.stderr[-2000:]
+
+
+def test_import_needs_no_session(tmp_path):
+    """A fresh process lists queries and SQL before any Spark session exists."""
+    import subprocess
+    code = (f"import sys; sys.path.insert(0, {str(ROOT)!r}); import __spark_entry__ as E; from pyspark import SparkContext; "
+            "print(len(E.queries()), len(E.oracle_sql()), SparkContext._active_spark_context)")
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    n, m, none = out.stdout.split()
+    assert int(n) > int(m) > 100 and none == "None", out.stderr[-2000:]
