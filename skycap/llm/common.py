@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,6 +141,18 @@ class Texts:
             yield lo, len(self)
 
 
+def slices(column: pa.Array, n_bytes: int):
+    """Ranges of an Arrow column of about n_bytes of text each (one long text may be more)."""
+    lo, size = 0, 0
+    for i, n in enumerate(pa.compute.binary_length(column).fill_null(0).to_pylist()):
+        size += n
+        if size >= n_bytes:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(column):
+        yield lo, len(column)
+
+
 _SLOT: list = [None, None]
 
 

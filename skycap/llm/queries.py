@@ -118,3 +118,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_round_trip(table(spark, sf_dir, "documents"))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op11_rank_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skycap.llm.rank_bpe import rank_bpe
+
+    out = rank_bpe(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
