@@ -141,3 +141,17 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("collapsed", 256).alias("collapsed_sha256"))
     return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
                        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def _op13_sql() -> str:
+    from skycap.llm.vector_codes import sql
+
+    return sql()
+
+
+@query("op13_vector_codes", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skycap.llm import vector_codes as V
+
+    out = V.vector_codes(table(spark, sf_dir, "embeddings"))
+    return V.label_totals(out.codes).select("vec_id", "code", "error", "label_error", F.lit(out.sha256()).alias("codebooks_sha256"))
