@@ -14,14 +14,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skycap.operators import cells as CE
+from skycap.operators import lloyd as LL
 from skycap.operators.ordered import dense_positions
 from skycap.operators.pairs import block_pairs, stack
 from skycap.operators.probe import apply_standardiser, fit_standardiser
@@ -37,22 +42,30 @@ def standardise(df: DataFrame, col: str = "features", out: str = "x") -> DataFra
     return apply_standardiser(df, means, stds, col, out)
 
 
+def prepared(samples: DataFrame, embedding: str = "combined", scale: bool = True, id_col: str = "idx") -> DataFrame:
+    """(idx, x): the chosen vectors of an embedding set (image, text, or both one after the
+    other), as z-scores unless ``scale`` is off."""
+    parts = {"image": ["image_emb"], "text": ["text_emb"], "combined": ["image_emb", "text_emb"]}
+    if embedding not in parts:
+        raise ValueError(f"Unsupported embedding type '{embedding}'; use {', '.join(parts)}")
+    v = F.concat(*[F.col(c).cast("array<double>") for c in parts[embedding]])
+    if not scale:
+        return samples.select(id_col, v.alias("x"))
+    return standardise(samples.select(id_col, v.alias("features")))
+
+
 # ml02 ------------------------------------------------------------------------
 def kmeans_best(df: DataFrame, k: int = 8, *, n_init: int = 10, max_iter: int = 300, seed: int = 42,
-                col: str = "x", pred: str = "cluster"):
-    """Best (lowest within-cluster cost) of ``n_init`` seeded k-means runs.
+                col: str = "x", pred: str = "cluster", id_col: str = "idx"):
+    """Best (lowest within-cluster cost) of ``n_init`` seeded k-means runs, fitted together.
     Returns (labelled frame, cost, centres)."""
-    data = df.withColumn("_v", array_to_vector(col)).cache()
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, maxIter=max_iter, seed=seed + i, featuresCol="_v", predictionCol=pred).fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    model, cost = best
-    out = model.transform(data).drop("_v")
-    data.unpersist()
-    return out, cost, [c.tolist() for c in model.clusterCenters()]
+    ensure_checkpoint_dir(df.sparkSession)
+    data = df.checkpoint(eager=True)
+    fits = LL.fit_many(data.select(F.col(id_col).alias("id"), F.col(col).cast("array<double>").alias("v")), [k],
+                       n_init=n_init, max_iter=max_iter, seed=seed)
+    if k not in fits.centres:  # no rows
+        return data.withColumn(pred, F.lit(0)), 0.0, []
+    return LL.with_labels(data, {pred: fits.centres[k]}, col), fits.inertia[k], fits.centres[k].tolist()
 
 
 # ml04 ------------------------------------------------------------------------
@@ -140,24 +153,34 @@ def silhouette(df: DataFrame, label: str = "cluster", col: str = "x", id_col: st
 
 # a26 -------------------------------------------------------------------------
 def calinski_harabasz_frame(df: DataFrame, label: str = "cluster", col: str = "x") -> DataFrame:
-    """(B/(k-1)) / (W/(n-k)) as a one-row frame; 0 with fewer than 2 clusters, 1 without spread within them."""
-    e = df.select(F.col(label).alias("_l"), F.posexplode(col).alias("j", "v"))
-    cc = e.groupBy("_l", "j").agg(F.avg("v").alias("cm"), F.count(F.lit(1)).alias("nk"))
-    gc = e.groupBy("j").agg(F.avg("v").alias("gm"))
-    between = cc.join(gc, "j").agg(F.sum(F.col("nk") * (F.col("cm") - F.col("gm")) ** 2).alias("B"))
-    within = e.join(cc.select("_l", "j", "cm"), ["_l", "j"]).agg(F.sum((F.col("v") - F.col("cm")) ** 2).alias("W"))
-    counts = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k"))
-    one = F.lit(1)
-    j = (between.withColumn("_o", one).join(within.withColumn("_o", one), "_o").join(counts.withColumn("_o", one), "_o"))
+    """(B/(k-1)) / (W/(n-k)) as a one-row frame; 0 with fewer than 2 clusters, 1 without spread within them.
+
+    One pass: size, centroid and spread of each cluster as vector aggregates, combined map-side;
+    the rest is over one row a cluster."""
+    v = array_to_vector(F.col(col).cast("array<double>"))
+    moments = df.select(F.col(label).alias("_l"), v.alias("_v")).groupBy("_l").agg(
+        F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("_v")).alias("m"), Summarizer.variance(F.col("_v")).alias("s"))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+    per = moments.select("n", "m", (add(vector_to_array("s")) * (F.col("n") - 1)).alias("w"))
+    total = per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("w").alias("W"),
+                    Summarizer.mean(F.col("m"), F.col("n").cast("double")).alias("g"),
+                    Summarizer.variance(F.col("m"), F.col("n").cast("double")).alias("u"),
+                    F.sum(F.col("n") * F.col("n")).alias("n2"))
+    # the unbiased weighted variance times its divisor: the spread of the centroids
+    between = add(vector_to_array("u")) * (F.col("n") - F.col("n2") / F.col("n"))
     # no spread within the clusters: 1, as scikit-learn has it
-    ratio = F.try_divide(F.col("B") / (F.col("k") - 1), F.try_divide(F.col("W"), F.col("n") - F.col("k")))
+    ratio = F.try_divide(between / (F.col("k") - 1), F.try_divide(F.col("W"), F.col("n") - F.col("k")))
     ch = F.when(F.col("k") < 2, F.lit(0.0)).when(F.col("W") == 0, F.lit(1.0)).otherwise(ratio)
-    return j.select(ch.alias("calinski_harabasz"))
+    return total.select(ch.alias("calinski_harabasz"))
 
 
 # a23 / a21 / a22 / a24 / j12 -------------------------------------------------
 def cluster_sizes(labels: DataFrame, label: str = "cluster") -> DataFrame:
-    return labels.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
+    """a23: size of every label, with the number of clusters and of noise rows of all."""
+    sizes = labels.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
+    total = sizes.agg(F.count(F.when(F.col(label) >= 0, 1)).alias("n_clusters"),
+                      F.coalesce(F.sum(F.when(F.col(label) < 0, F.col("size"))), F.lit(0)).alias("noise"))
+    return sizes.crossJoin(F.broadcast(total))  # one row
 
 
 def cluster_profile(df: DataFrame, label: str = "cluster") -> DataFrame:
@@ -231,91 +254,42 @@ def find_optimal_k(df: DataFrame, k_range: tuple[int, int] = (2, 15), *, method:
     if method != "kmeans":
         raise NotImplementedError(f"Method '{method}' is not implemented; use kmeans")
     ensure_checkpoint_dir(df.sparkSession)
-    df = df.select(id_col, col).checkpoint(eager=True)  # every k reads the same vectors
-    rows, labels = [], []
-    for k in range(k_range[0], k_range[1] + 1):
-        lab, cost, _ = kmeans_best(df, k, n_init=n_init, seed=seed, col=col, pred=f"k{k}")
-        ch = float(calinski_harabasz_frame(lab, f"k{k}", col).first()[0])
-        rows.append((k, ch, float(cost)))
-        labels.append(lab.select(id_col, f"k{k}"))
-    wide = df
-    for lab in labels:
-        wide = wide.join(lab, id_col)
-    sils = silhouettes(wide.checkpoint(eager=True), [f"k{k}" for k, _, _ in rows], col, id_col, block_rows)
-    return df.sparkSession.createDataFrame([(k, s, ch, cost) for (k, ch, cost), s in zip(rows, sils)],
-                                           "k int, silhouette double, calinski_harabasz double, inertia double")
+    df = df.select(id_col, F.col(col).cast("array<double>").alias(col)).checkpoint(eager=True)
+    ks = list(range(k_range[0], k_range[1] + 1))
+    fits = LL.fit_many(df.select(F.col(id_col).alias("id"), F.col(col).alias("v")), ks, n_init=n_init, seed=seed)
+    schema = "k int, silhouette double, calinski_harabasz double, inertia double"
+    if not fits.inertia:
+        return df.sparkSession.createDataFrame([], schema)
+    wide = LL.with_labels(df, {f"k{k}": fits.centres[k] for k in ks}, col).checkpoint(eager=True)
+    sils = silhouettes(wide, [f"k{k}" for k in ks], col, id_col, block_rows)
+    used = wide.agg(F.count("*").alias("n"), *[F.countDistinct(f"k{k}").alias(f"k{k}") for k in ks]).first()
+    n, total = used["n"], total_spread(df, col)
+    rows = []
+    for k, sil in zip(ks, sils):
+        w, c = fits.inertia[k], used[f"k{k}"]
+        ch = 0.0 if c < 2 else 1.0 if w <= 1e-12 * total else (total - w) / (c - 1) / (w / (n - c)) if n > c else None
+        rows.append((k, sil, ch, w))
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def total_spread(df: DataFrame, col: str) -> float:
+    """Sum of squared distances of all rows to their mean."""
+    v = Summarizer.metrics("variance", "count").summary(array_to_vector(F.col(col)))
+    r = df.agg(v.alias("m")).first().m
+    return float(sum(r.variance) * (r["count"] - 1))
 
 
 # j11 / ml05 -----------------------------------------------------------------
-NB_SCHEMA = "qid long, n long"
-
-
-def _unit(v: np.ndarray) -> np.ndarray:
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-
-
-def _nb_kernel(eps: float):
-    def kernel(qpdf, cpdf):
-        q, c = _unit(stack(qpdf["q_vec"])), _unit(stack(cpdf["c_vec"]))
-        within = (1.0 - q @ c.T) <= eps
-        return pd.DataFrame({"qid": qpdf["qid"].to_numpy(np.int64), "n": within.sum(axis=1).astype(np.int64)})
-    return kernel
+def _points(df: DataFrame, col: str, id_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.col(col).cast("array<double>").alias("v"))
 
 
 def neighbour_counts(df: DataFrame, eps: float, col: str = "x", id_col: str = "idx", block_rows: int | None = None) -> DataFrame:
     """j11: points within cosine distance ``eps`` (the point itself included)."""
-    n = df.count()
-    q = df.select(F.col(id_col).alias("qid"), F.col(col).cast("array<double>").alias("q_vec"))
-    c = df.select(F.col(id_col).alias("cid"), F.col(col).cast("array<double>").alias("c_vec"))
-    part = block_pairs(q, c, _nb_kernel(eps), NB_SCHEMA, block_rows=block_rows, q_rows=n, c_rows=n)
-    return part.groupBy("qid").agg(F.sum("n").alias("neighbours"))
-
-
-EDGE_SCHEMA = "src long, dst long"
-
-
-def _forest_kernel(eps: float):
-    """Core-core links of one block pair reduced to stars: every node of a
-    local component links to the component's smallest id (at most one edge
-    per node, so output is O(block) whatever the density)."""
-    def kernel(qpdf, cpdf):
-        q, c = _unit(stack(qpdf["q_vec"])), _unit(stack(cpdf["c_vec"]))
-        qid, cid = qpdf["qid"].to_numpy(np.int64), cpdf["cid"].to_numpy(np.int64)
-        ii, jj = np.nonzero((1.0 - q @ c.T) <= eps)
-        nodes = np.unique(np.concatenate([qid, cid]))
-        pos = {v: i for i, v in enumerate(nodes)}
-        parent = list(range(len(nodes)))
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b in zip(qid[ii], cid[jj]):
-            ra, rb = find(pos[a]), find(pos[b])
-            if ra != rb:
-                # keep the smaller node index as root: roots are component minima
-                if ra < rb:
-                    parent[rb] = ra
-                else:
-                    parent[ra] = rb
-        roots = np.array([find(i) for i in range(len(nodes))])
-        linked = roots != np.arange(len(nodes))
-        return pd.DataFrame({"src": nodes[linked], "dst": nodes[roots[linked]]})
-    return kernel
-
-
-def _border_kernel(eps: float):
-    def kernel(qpdf, cpdf):
-        q, c = _unit(stack(qpdf["q_vec"])), _unit(stack(cpdf["c_vec"]))
-        within = (1.0 - q @ c.T) <= eps
-        lab = cpdf["c_label"].to_numpy(np.int64)
-        big = np.iinfo(np.int64).max
-        best = np.where(within, lab[None, :], big).min(axis=1)
-        keep = best != big
-        return pd.DataFrame({"qid": qpdf["qid"].to_numpy(np.int64)[keep], "label": best[keep]})
-    return kernel
+    pts = _points(df, col, id_col)
+    counts = CE.Cells(pts, eps, block_rows).pairs(pts, pts, CE.count_kernel(eps), "id long, n long")
+    found = counts.groupBy("id").agg(F.sum("n").alias("neighbours"))
+    return found.select(F.col("id").alias("qid"), "neighbours")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -344,47 +318,75 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
 
 def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, col: str = "x", id_col: str = "idx",
            block_rows: int | None = None) -> DataFrame:
-    """ml05: (idx, cluster) with noise = -1 (cosine metric)."""
-    n = df.count()
-    counts = neighbour_counts(df, eps, col, id_col, block_rows)
-    pts = df.select(F.col(id_col).alias("id"), F.col(col).cast("array<double>").alias("v")).join(
-        counts.withColumnRenamed("qid", "id"), "id")
-    core = pts.where(F.col("neighbours") >= min_samples).checkpoint(eager=True)
-    n_core = core.count()
-    if n_core == 0:
-        return df.select(F.col(id_col).alias("idx"), F.lit(-1).cast("long").alias("cluster"))
-    q = core.select(F.col("id").alias("qid"), F.col("v").alias("q_vec"))
-    c = core.select(F.col("id").alias("cid"), F.col("v").alias("c_vec"))
-    edges = block_pairs(q, c, _forest_kernel(eps), EDGE_SCHEMA, block_rows=block_rows, q_rows=n_core, c_rows=n_core)
-    comps = connected_components(core.select("id"), edges)
+    """ml05: (idx, cluster) with noise = -1 (cosine metric).
+
+    Three joins over the same pivot cells: neighbour counts of all points, links of core
+    points (stars of each block pair's components), least cluster near each other point."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    pts = _points(df, col, id_col).checkpoint(eager=True)
+    cells = CE.Cells(pts, eps, block_rows)
+    counts = cells.pairs(pts, pts, CE.count_kernel(eps), "id long, n long").groupBy("id").agg(F.sum("n").alias("neighbours"))
+    pts = pts.join(counts, "id").checkpoint(eager=True)  # the counting join runs once
+    core = pts.where(F.col("neighbours") >= min_samples).select("id", "v")
+    edges = cells.pairs(core, core, CE.forest_kernel(eps), "src long, dst long")
+    comps = connected_components(core.select("id"), edges.distinct().checkpoint(eager=True))
     # canonical numbering: by the lowest core id of each component
-    roots = comps.select(F.col("comp")).distinct()
-    ranked = dense_positions(roots, ["comp"], "label")
-    core_lab = comps.join(ranked, "comp").select("id", "label")
+    ranked = dense_positions(comps.select("comp").distinct(), ["comp"], "label")
+    core_lab = comps.join(ranked, "comp").select("id", "label").checkpoint(eager=True)
     # border points: lowest label among core neighbours
-    others = pts.join(core_lab, "id", "left_anti")
-    qb = others.select(F.col("id").alias("qid"), F.col("v").alias("q_vec"))
-    cb = core.join(core_lab, "id").select(F.col("id").alias("cid"), F.col("v").alias("c_vec"),
-                                          F.col("label").alias("c_label"))
-    border = block_pairs(qb, cb, _border_kernel(eps), "qid long, label long", block_rows=block_rows,
-                         q_rows=max(1, n - n_core), c_rows=n_core).groupBy("qid").agg(F.min("label").alias("label"))
-    out = df.select(F.col(id_col).alias("idx")).join(core_lab.withColumnRenamed("id", "idx"), "idx", "left").join(
-        border.withColumnRenamed("qid", "idx").withColumnRenamed("label", "blabel"), "idx", "left")
-    return out.select("idx", F.coalesce("label", "blabel", F.lit(-1)).cast("long").alias("cluster"))
+    others = pts.where(F.col("neighbours") < min_samples).select("id", "v")
+    border = cells.pairs(others, core.join(core_lab, "id"), CE.least_label_kernel(eps), "id long, label long").groupBy("id").agg(
+        F.min("label").alias("label"))
+    found = core_lab.unionByName(border).select(F.col("id").alias("idx"), "label")
+    return df.select(F.col(id_col).alias("idx")).join(found, "idx", "left").select(
+        "idx", F.coalesce("label", F.lit(-1)).cast("long").alias("cluster"))
 
 
 # ml07 ------------------------------------------------------------------------
-def clustering_results(df: DataFrame, labels: DataFrame, *, col: str = "x", id_col: str = "idx",
-                       n_components: int = 2) -> DataFrame:
-    """One-row bundle: number of clusters, noise, silhouette, CH and the
-    explained variance of the reduction."""
-    j = df.join(labels.select(F.col("idx").alias(id_col), "cluster"), id_col).cache()
-    k = j.where(F.col("cluster") >= 0).select("cluster").distinct().count()
-    noise = j.where(F.col("cluster") < 0).count()
-    sil = silhouette(j, "cluster", col, id_col)
-    ch = float(calinski_harabasz_frame(j, "cluster", col).first()[0])
-    _, ev = pca(j, n_components, col)
-    j.unpersist()
-    return df.sparkSession.createDataFrame(
-        [(k, noise, sil, ch, float(sum(ev)))],
-        "n_clusters int, noise int, silhouette double, calinski_harabasz double, explained_variance double")
+@dataclass
+class ClusteringResults:
+    """samples (idx, cluster, reduced), clusters (cluster, size, profile, histograms, dominant
+    categories, centre) without noise, overall (n_clusters, noise, scores, explained variance)."""
+
+    samples: DataFrame
+    clusters: DataFrame
+    overall: DataFrame
+
+
+def clustering_results(df: DataFrame, labels: DataFrame, metadata: DataFrame, centres: list[list[float]] | None = None, *,
+                       col: str = "x", id_col: str = "idx", n_components: int = 2) -> ClusteringResults:
+    """ml07: everything known of one clustering of ``df`` (idx, x).  ``metadata`` holds idx,
+    region, season, precipitation and the numeric fields of ``cluster_profile``."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    own = labels.select(F.col("idx").alias(id_col), F.col("cluster").cast("long").alias("cluster"))
+    j = df.select(id_col, col).join(own, id_col).checkpoint(eager=True)
+    reduced, explained = pca(j, n_components, col)
+    # the score counts noise as a cluster of its own, as the original does
+    sil, ch = silhouette(j, "cluster", col, id_col), calinski_harabasz_frame(j, "cluster", col)
+    k = j.where("cluster >= 0").select("cluster").distinct().count()
+    if k < 2:
+        sil, ch = -1.0, ch.select(F.lit(0.0).alias("calinski_harabasz"))
+    overall = cluster_sizes(j).select("n_clusters", "noise").distinct().crossJoin(ch).select(
+        "n_clusters", "noise", F.lit(sil).alias("silhouette"), "calinski_harabasz",
+        F.array(*[F.lit(v) for v in explained]).alias("explained_variance"))
+    m = metadata.join(own, id_col).checkpoint(eager=True)
+    clusters = cluster_profile(m)
+    for cat in ("region", "season", "precipitation"):
+        clusters = clusters.join(histogram_text(m, cat), "cluster")
+    for cat in ("region", "season"):
+        clusters = clusters.join(dominant_category(m, cat), "cluster")
+    at = spark.createDataFrame([(i, c) for i, c in enumerate(centres or [])], "cluster long, centre array<double>")
+    return ClusteringResults(reduced.select(id_col, "cluster", "reduced"), clusters.join(at, "cluster", "left"), overall)
+
+
+def write_results(results: ClusteringResults, path: str) -> str:
+    """Three Parquet tables below ``path``."""
+    for f in fields(results):
+        getattr(results, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+    return path
+
+
+def read_results(spark, path: str) -> ClusteringResults:
+    return ClusteringResults(*[spark.read.parquet(f"{path}/{f.name}") for f in fields(ClusteringResults)])

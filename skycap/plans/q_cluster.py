@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from skycap.functions import captions as C
 from skycap.functions import parse as P
 from skycap.operators import cluster as CL
+from skycap.operators import linkage as LK
 from skycap.operators.encode import embed_batch, hashing_text_encoder
 from skycap.plans import derive
 from skycap.plans import sql_common as S
 from skycap.plans.registry import query, rounded
+from skycap.session import scratch_path
 
 EPS = 0.7
 
@@ -38,7 +40,9 @@ cl AS (
 ux AS (SELECT idx, cluster, region, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS dim FROM cl)"""
 
 
-@query("a23_cluster_sizes", CL_SQL + "\nSELECT cluster, count(*) AS size FROM cl GROUP BY cluster")
+@query("a23_cluster_sizes", CL_SQL + """
+SELECT cluster, count(*) AS size, (SELECT count(DISTINCT cluster) FROM cl WHERE cluster >= 0) AS n_clusters,
+       (SELECT count(*) FROM cl WHERE cluster < 0) AS noise FROM cl GROUP BY cluster""")
 def a23(spark, sf):
     return CL.cluster_sizes(_labelled(spark, sf))
 
@@ -136,19 +140,19 @@ def j11(spark, sf):
 
 # fitted models: rows-only checks, invariants in tests ---------------------------
 def _std(spark, sf):
-    s = derive.emb_samples(spark, sf).select("idx", F.concat(F.col("image_emb").cast("array<double>"),
-                                                             F.col("text_emb")).alias("features"))
-    return CL.standardise(s)
+    return CL.prepared(derive.emb_samples(spark, sf), "combined")
 
 
 @query("ml02_kmeans")
 def ml02(spark, sf):
-    lab, _, _ = CL.kmeans_best(_std(spark, sf), 8, n_init=10)
-    return lab.select("idx", F.col("cluster").cast("long").alias("cluster"))
+    lab, _, centres = CL.kmeans_best(_std(spark, sf), 8, n_init=10)
+    at = spark.createDataFrame([(i, c) for i, c in enumerate(centres)] or [(0, [])], "cluster int, centre array<double>")
+    return lab.select("idx", "cluster").join(F.broadcast(at), "cluster").select(  # 8 rows
+        "idx", F.col("cluster").cast("long").alias("cluster"), "centre")
 
 
 def _sweep(spark, sf):
-    return CL.find_optimal_k(_std(spark, sf), (2, 15), n_init=2)
+    return CL.find_optimal_k(_std(spark, sf), (2, 15))
 
 
 @query("ml03_find_optimal_k")
@@ -174,6 +178,16 @@ def ml04(spark, sf):
     return lab.select("idx", F.col("cluster").cast("long").alias("cluster"))
 
 
+@query("ml04_single_linkage")
+def ml04_single(spark, sf):
+    return LK.hierarchical(_std(spark, sf), 8, method="single")
+
+
+@query("ml04_ward_linkage")
+def ml04_ward(spark, sf):
+    return LK.hierarchical(_std(spark, sf), 8)
+
+
 @query("ml05_dbscan")
 def ml05(spark, sf):
     return CL.dbscan(_labelled(spark, sf), EPS, 5, "x")
@@ -181,15 +195,26 @@ def ml05(spark, sf):
 
 @query("ml06_pca")
 def ml06(spark, sf):
-    _, ev = CL.pca(_std(spark, sf), 2)
-    return rounded(spark.createDataFrame(list(enumerate(ev)), "component long, explained_variance double"))
+    out, ev = CL.pca(_std(spark, sf), 2)
+    return rounded(out.select("idx", F.posexplode("reduced").alias("component", "value")).select(
+        "idx", F.col("component").cast("long").alias("component"), "value",
+        F.element_at(F.array(*[F.lit(v) for v in ev]), F.col("component") + 1).alias("explained_variance")))
 
 
 @query("ml07_clustering_results")
 def ml07(spark, sf):
-    x = _std(spark, sf)
-    lab, _, _ = CL.kmeans_best(x, 8, n_init=10)
-    return rounded(CL.clustering_results(x, lab.select("idx", "cluster")))
+    """The bundle of one clustering, written and read back: a row a sample with its reduced vector, and
+    what holds for its cluster and for all clusters."""
+    labelled = CL.prepared(derive.emb_samples(spark, sf), "combined")
+    lab, _, centres = CL.kmeans_best(labelled, 8, n_init=10)
+    meta = _labelled(spark, sf).drop("x", "cluster")
+    b = CL.read_results(spark, CL.write_results(CL.clustering_results(labelled, lab.select("idx", "cluster"), meta, centres),
+                                                scratch_path(spark, "clusters")))
+    samples = b.samples.withColumnRenamed("reduced", "r")
+    out = samples.join(b.clusters, "cluster", "left").crossJoin(F.broadcast(b.overall))  # one row
+    return rounded(out.select("idx", "cluster", F.col("r")[0].alias("reduced_1"), F.col("r")[1].alias("reduced_2"), "size", "temperature_mean",
+                              "wind_mean", "humidity_mean", "region_hist", "season_hist", "precipitation_hist", "dominant_region",
+                              "dominant_season", F.size("centre").alias("width"), "n_clusters", "noise", "silhouette", "calinski_harabasz"))
 
 
 @query("ml11_embed_batch")

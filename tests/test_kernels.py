@@ -185,3 +185,62 @@ def test_distractors_with_a_common_caption(spark):
     assert len(got) == 800
     for q, c in got.items():
         assert len(c) == 9 == len(set(c)) and all(caption[x] != caption[q] for x in c)
+
+
+def test_many_models_in_one_pass(spark):
+    """Sweep with ten starts: no worse than ten single fits, labels and scores of the same centres, few scans."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from skycap.operators import lloyd as LL
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(6, 5))[rnd.integers(0, 6, 240)] * 6 + rnd.normal(size=(240, 5))
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "idx long, x array<double>")
+    vectors = df.select(F.col("idx").alias("id"), F.col("x").alias("v"))
+    fits = LL.fit_many(vectors, [1, 5, 6], n_init=10)
+    single = df.withColumn("v", array_to_vector("x")).cache()
+    for k in (5, 6):
+        costs = [KMeans(k=k, seed=42 + i, featuresCol="v").fit(single).summary.trainingCost for i in range(4)]
+        assert fits.inertia[k] <= min(costs) * (1 + 1e-9)
+    assert fits.passes <= 40  # not 3 * 10 fits of several passes each
+    lab = {r.idx: r.k6 for r in LL.with_labels(df, {"k6": fits.centres[6]}, "x").collect()}
+    near = ((x[:, None] - fits.centres[6][None]) ** 2).sum(-1)
+    assert [lab[i] for i in range(240)] == near.argmin(1).tolist()
+    assert fits.inertia[6] == pytest.approx(near.min(1).sum())
+    assert fits.inertia[1] == pytest.approx(((x - x.mean(0)) ** 2).sum())
+    sweep = {r.k: r for r in CL.find_optimal_k(df, (5, 6), n_init=3).collect()}
+    y = df.join(LL.with_labels(df, {"cluster": fits.centres[6]}, "x").select("idx", "cluster"), "idx")
+    assert sweep[6].calinski_harabasz == pytest.approx(CL.calinski_harabasz_frame(y).first()[0])
+    assert sweep[6].silhouette == pytest.approx(CL.silhouette(y))
+
+
+def test_pivot_cells_shuffle_less_than_blocks(spark):
+    """Clustered vectors: equal counts, less than half of the rows that the block join deals."""
+    from skycap.operators import cells as CE
+    from skycap.operators.pairs import n_blocks
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(24, 12))[rnd.integers(0, 24, 1500)] + 0.05 * rnd.normal(size=(1500, 12))
+    x[7] = 0.0
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "idx long, x array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    got = {r.qid: r.neighbours for r in CL.neighbour_counts(df, 0.05, block_rows=60).collect()}
+    want = ((1.0 - u @ u.T) <= 0.05).sum(axis=1)
+    assert [got.get(i, 0) for i in range(1500)] == want.tolist()
+    pts = df.select(F.col("idx").alias("id"), F.col("x").alias("v"))
+    q, c = CE.Cells(pts, 0.05, 60).dealt(pts, pts)
+    assert 2 * (q.count() + c.count()) < 2 * 1500 * n_blocks(1500, 60)
+
+
+def test_clustering_bundle(spark, tmp_path):
+    rows = [(i, [float(i // 4), float(i % 4) / 9], (i // 4 if i else -1), "r" + "ab"[i % 2], "winter", "dry", 1.0 * i, None, 2.0) for i in range(12)]
+    df = spark.createDataFrame(rows, "idx long, x array<double>, cluster long, region string, season string, precipitation string, "
+                                     "avg_temperature double, wind_speed double, humidity double")
+    res = CL.clustering_results(df.select("idx", "x"), df.select("idx", "cluster"), df.drop("x", "cluster"), [[0.0, 0.0], [1.0, 0.1], [2.0, 0.2]])
+    back = CL.read_results(spark, CL.write_results(res, str(tmp_path)))
+    o = back.overall.first()
+    assert (o.n_clusters, o.noise) == (3, 1) and o.silhouette == pytest.approx(CL.silhouette(df)) and len(o.explained_variance) == 2
+    c = {r.cluster: r for r in back.clusters.collect()}
+    assert set(c) == {0, 1, 2} and c[1].size == 4 and c[1].region_hist == "ra:2;rb:2" and c[1].dominant_region == "ra" and c[1].centre == [1.0, 0.1]
+    assert back.samples.count() == 12 and all(len(r.reduced) == 2 for r in back.samples.collect())
+    with pytest.raises(ValueError):
+        CL.prepared(df, "sound")
