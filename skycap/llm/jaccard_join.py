@@ -15,8 +15,8 @@ threshold t, in three steps:
    a sorted array of positions, of which only the block that the size bound
    admits is read (index-level skipping).  The overlaps of a set with all others
    are derived from those of a highly similar set already answered, by the lists
-   of the shingles in which the two differ (answer-level skipping).  Groups of
-   over ``BLOCK_SETS`` sets or ``BLOCK_ITEMS`` shingles are split into blocks that are
+   of the shingles in which the two differ (answer-level skipping).  Small groups
+   share a block; groups of over ``BLOCK_SETS`` sets or ``BLOCK_ITEMS`` shingles are split into blocks that are
    joined pairwise by separate tasks; a task returns one label and one count of
    links per set, never pairs.
 
@@ -24,7 +24,8 @@ Equal texts are one set with a number of copies.  Shingles are told apart by
 64-bit hashes.
 
 Defined results: words are lower-cased in A-Z; a text with fewer than n words
-is one shingle; a null, empty or blank text has no shingle and no link.
+is one shingle; a null, empty or blank text has no shingle and no link; no rows give
+no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skycap.llm import common as C
-from skycap.operators.cluster import connected_components
+from skycap.llm import components as CC
+from skycap.llm.components import connected_components
 
 BLOCK_SETS = 4096
 BLOCK_ITEMS = 4 << 20
@@ -164,9 +166,11 @@ class Lists:
         return self._flat
 
 
-def overlaps(queries: list[np.ndarray], lists: Lists, percent: int):
+def overlaps(queries: list[np.ndarray], lists: Lists, percent: int, tally: dict | None = None):
     """For each query set: (its number, positions that link with it).
 
+    ``tally`` counts answers from scratch and derived ones, and list entries skipped.
+
     An answer is the overlap with every position; it comes from scratch, or from
     the kept answer of the most similar earlier query where less is to be read."""
     kept: list[tuple[np.ndarray, np.ndarray, int, int]] = []  # set, overlaps from lo to hi
@@ -193,36 +197,21 @@ def overlaps(queries: list[np.ndarray], lists: Lists, percent: int):
             lo2, hi2 = lo, max(hi, wide)
             have = lists.count(lists.numbers(s), lo2, hi2)
             kept = [*kept, (s, have, lo2, hi2)][-ANSWERS:]
+        if tally is not None:
+            tally["derived" if best is not None else "scratch"] += 1
+            at = lists.numbers(s)
+            tally["skipped"] += int((lists.bounds[at + 1] - lists.bounds[at]).sum()) - int(lists.count(at, lo2, hi2).sum())
         inter = have[lo - lo2:hi - lo2].astype(np.int64)
         union = n + lists.size[lo:hi] - inter
         yield q, np.flatnonzero(100 * inter >= percent * union) + lo
 
 
-def _small_join(sets: list[np.ndarray], percent: int):
-    """Overlaps of a few sets, pair by pair."""
-    m = len(sets)
-    table = np.zeros((m, m), bool)
-    for i in range(m):
-        for j in range(i):
-            a, b = len(sets[i]), len(sets[j])
-            if 100 * min(a, b) >= percent * max(a, b):
-                inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                table[i, j] = table[j, i] = 100 * inter >= percent * (a + b - inter)
-    return table
-
-
 def join_blocks(nodes, sets, copies, nodes2, sets2, copies2, percent: int, same: bool):
     """Per set of both blocks: links to the other block (copies counted) and the
     least node of its component in these blocks."""
-    if same and len(sets) <= 8:
-        table = _small_join(sets, percent)
-        links = [(i, np.flatnonzero(table[i])) for i in range(len(sets))]
-        target = nodes
-        weights = copies
-    else:
-        lists = Lists(sets2)
-        target, weights = nodes2[lists.order], copies2[lists.order]
-        links = overlaps(sets, lists, percent)
+    lists = Lists(sets2)
+    target, weights = nodes2[lists.order], copies2[lists.order]
+    links = overlaps(sets, lists, percent)
     all_nodes = np.unique(np.concatenate([nodes, nodes2]))
     label = np.arange(len(all_nodes))
     left, right = np.searchsorted(all_nodes, nodes), np.searchsorted(all_nodes, target)
@@ -292,10 +281,15 @@ def linked_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     members = sets.where(F.col("prefix").isNotNull()).select("node", "items").join(
         groups.withColumnRenamed("id", "node"), "node").join(nodes.select("node", "copies"), "node")
     sizes = groups.join(sets.select(F.col("node").alias("id"), "n_shingles"), "id").groupBy("group").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_ITEMS)).alias("blocks"))
-    placed = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_ITEMS)).alias("blocks"),
+        F.count("*").alias("sets"), F.sum("n_shingles").alias("items"))
+    # small groups share a block: sets of different groups have no prefix shingle in common and so no link
+    small = sizes.where("blocks = 1").agg(F.sum("sets"), F.sum("items")).first()
+    bins = max(1, *(-(-2 * (x or 0) // most) for x, most in zip(small, (BLOCK_SETS, BLOCK_ITEMS))))
+    unit = F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("group"), F.lit(bins))).otherwise(F.col("group"))
+    placed = members.join(sizes.select("group", "blocks"), "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     units = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "group", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "node", "copies", "block", "items")
+        unit.alias("group"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "node", "copies", "block", "items")
     parts = C.written(units.groupBy("group", "a", "b").applyInArrow(_join_unit(percent), UNIT), "jaccard-links")
 
     # groups of one block are settled; labels of split ones meet over their blocks
@@ -323,6 +317,6 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     k1, k2, _ = C.keyed_text(text)
     ids = docs.select(F.col(doc_id).alias("doc_id"), k1, k2)
     first = full.groupBy("label").agg(F.min("least").alias("component_id"))
-    out = full.join(first, "label").select("k1", "k2", "n_shingles", "n_links", "component_id")
+    out = CC.salted_join(full, first, "label", "k1").select("k1", "k2", "n_shingles", "n_links", "component_id")
     return ids.join(out, ["k1", "k2"]).select(
         "doc_id", "n_shingles", "n_links", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

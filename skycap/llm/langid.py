@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skycap.llm import common as C
 from skycap.llm.bpe import slices
@@ -109,15 +110,27 @@ def _counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy("lang", *keys).agg(F.sum("n").alias("n"))
 
 
+def shares(sizes: dict[str, int], most: int) -> dict[str, float]:
+    """Share of each language's rows so that about ``most`` are taken: every language may give
+    as many as any other, and small ones give all they have."""
+    out, left = {}, most
+    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, left / (len(sizes) - i))
+        out[lang] = take / n
+        left -= take
+    return out
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS,
           top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS) -> Model:
     """Model from the rows with a label that are not held out."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out("id"), F.lit(True)))
-    total = rows.select("id").count()
-    if total > max_rows:
-        share = int(max_rows / total * (1 << 30))
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    rates = [(la, int(share * (1 << 30))) for la, share in shares(sizes, max_rows).items()]
+    if any(r < 1 << 30 for _, r in rates):
+        rate = F.broadcast(docs.sparkSession.createDataFrame(rates, "lang string, rate long"))
+        rows = rows.join(rate, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("rate")).drop("rate")
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     words = C.written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "langid-words")
     by_size = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
@@ -201,5 +214,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 [*b.columns, pa.array(names, pa.string()), pa.array(np.concatenate(best) if best else [], pa.float64())],
                 [*b.schema.names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)

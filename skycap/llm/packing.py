@@ -140,6 +140,12 @@ def _pack(spec, size: int, most: int, end_id: int):
                 table = np.array(cols, np.int64)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc)), *(pa.array(c) for c in table.T)],
                                                  ["doc_id", *(c.split()[0] for c in PIECES.split(", "))])
+        # the windows that are still open, at most ``most``: rows of start -1 with what they hold
+        if windows.rooms:
+            room, seq = np.array(windows.rooms, np.int64).T
+            zero = np.zeros(len(seq), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(seq), keys.type), *map(pa.array, (zero - 1, size - room, zero, zero, seq, zero))],
+                                             ["doc_id", *(c.split()[0] for c in PIECES.split(", "))])
 
     return run
 
@@ -172,10 +178,10 @@ def pack_documents(docs: DataFrame, path: str | None = None, doc_id: str = "doc_
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     pieces = C.written(rows.mapInArrow(_pack(spec, size, open_windows, end_id), f"doc_id {kind}, {PIECES}"), "packed")
-    totals = pieces.groupBy("sequence_id").agg(F.sum("length").alias("total")).where(F.col("total") < size - size // 16)
-    # what was emitted was nearly full; windows with more room are mostly those open at the end
-    moved = totals.withColumn("part", F.shiftright("sequence_id", 32)).groupBy(
-        F.floor(F.col("part") / MERGE_PARTITIONS)).applyInPandas(_merge(size), "sequence_id long, merged_id long, shift long")
-    return pieces.join(moved, "sequence_id", "left").select(
+    # only windows open at a partition's end: a bounded number from each of a bounded number of partitions
+    left = pieces.where("start < 0").select("sequence_id", F.col("length").alias("total"))
+    moved = left.withColumn("part", F.floor(F.shiftright("sequence_id", 32) / MERGE_PARTITIONS)).groupBy("part").applyInPandas(
+        _merge(size), "sequence_id long, merged_id long, shift long")
+    return pieces.where("start >= 0").join(moved, "sequence_id", "left").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.coalesce("merged_id", "sequence_id").alias("sequence_id"),
         (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))

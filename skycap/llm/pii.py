@@ -4,15 +4,17 @@
 numbers, found per kind from left to right without overlap.
 
 *Disclosure.*  A term of a text that holds a protected entity may give it away.
-Entities are the values themselves and what recurs where values do not: the kind
-of a value, the domain of an e-mail address, the country and area digits of a phone
-number.  How much a term gives away follows from co-occurrence in the whole corpus:
-with N documents, n(c) of them holding entity c, n(t) the term t and n(c, t) both, the
-pointwise mutual information log2(n(c, t) * N / (n(c) * n(t))) is the part of c's
-information content log2(N / n(c)) that t reveals.  A term that reveals at least
-``share`` of it for some entity, in ``min_texts`` different texts or more, exceeds the
-threshold: it is removed where it reveals all (t is found nowhere else), else
-generalised to a placeholder - wherever it stands, in every text of the corpus.
+Entities are the values themselves and what recurs where values do not: the domain
+of an e-mail address, the country and area digits of a phone number.  How much a term
+gives away follows from co-occurrence in the whole corpus: with N documents, n(c) of
+them holding entity c, and p the share of the term's documents that do, the pointwise
+mutual information log2(p * N / n(c)) is the part of c's information content
+log2(N / n(c)) that the term reveals.  For p stands its lower confidence bound
+(Wilson, ``Z`` standard errors), so that few chance meetings reveal little.  A term that
+reveals at least ``share`` of it for some entity, in ``min_texts`` different texts or
+more, exceeds the threshold: it is removed where all its documents hold the entity,
+else generalised to a placeholder - wherever it stands, in every text of the corpus.
+Words of one or two letters and runs of the letters a to f are no terms.
 
 Column functions only.  Document frequencies come from all documents: each
 task sums its terms before the shuffle.  Texts that hold a value are few; pairs
@@ -20,12 +22,13 @@ are counted for entities of ``min_texts`` texts or more (no others can pass).
 The terms over the threshold are met by the words of all texts, and only the texts
 that hold one are searched for its places.
 
-Offsets count code points.  Several matches of one kind in a text are laid out
-by an aggregate whose cost grows with the square of that text's matches.
+Offsets count code points.  Matches are laid out and texts rewritten in pieces of
+``PIECE`` spans, in time linear in a text's matches (the pieces' heads, one in 256 spans,
+are found from the text's start).
 
 Defined results: a null text is empty and has no spans.  Equal rows get equal
 spans.  Kinds may overlap each other; sanitised text skips a span that starts
-inside the one before.
+inside the one before.  No rows give no rows.
 """
 
 from __future__ import annotations
@@ -48,6 +51,11 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
+#: Standard errors below the observed share at which a term is judged.
+Z = 2.58
+#: Spans that are laid out together.
+PIECE = 256
+
 TERMS = "array<struct<start:int,end:int,value:string,part:double>>"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -70,34 +78,74 @@ def _phone_ok(m: Column) -> Column:
     return F.length(_digits(m)).between(10, 15)
 
 
-def _found(text: Column, pattern: str | Column, guard: Column, ok) -> Column:
-    """Spans of the matches of a pattern that pass ok: offsets follow from the
-    lengths of the matches and of the text between them."""
+def _prefix(values: Column, zero: Column, join) -> Column:
+    """Running values of a materialised array, each over what stands before it; the last over
+    all.  Heads of pieces of ``PIECE`` first, then within each piece, as an array that grows by
+    one copies itself."""
+    n = F.size(values)
+    pieces = F.ceil(n / PIECE).cast("int")
+    piece = lambda c: F.slice(values, c * PIECE + 1, PIECE)
+    grow = lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x)))
+    ends = F.transform(F.sequence(F.lit(0), pieces - 1), lambda c: F.aggregate(piece(c), zero, join))
+    heads = F.aggregate(ends, F.array(zero), grow)
+    inner = lambda h, c: F.slice(F.aggregate(piece(c), F.array(h), grow), 2, PIECE)
+    # the head after the last piece has no values of its own
+    running = F.flatten(F.transform(heads, lambda h, c: F.when(c < pieces, inner(h, c)).otherwise(F.array().cast("array<int>"))))
+    return F.when(n > 0, F.concat(F.array(zero), running)).otherwise(F.array(zero))
+
+
+def _located(texts: DataFrame, kinds: dict) -> DataFrame:
+    """texts (with a column text) with an array of spans for each kind (pattern, guard, test of
+    a match): offsets are running sums of the lengths of the matches and the text between.
+
+    Each layer is materialised, so that no lambda evaluates it again; the work is linear in the
+    matches of a text but for the pieces' copies."""
     none = F.array().cast("array<string>")
-    hits = F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
-    gaps = F.when(guard, F.split(text, pattern, -1)).otherwise(none)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc, pair):
-        lo = acc["at"] + F.length(pair["gap"])
-        hi = lo + F.length(pair["hit"])
-        one = F.array(F.struct(lo.alias("start"), hi.alias("end"), pair["hit"].alias("value")))
-        return F.struct(hi.alias("at"), F.concat(acc["out"], one).alias("out"))
-
-    pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"))
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.filter(F.when(F.size(hits) > 0, spans).otherwise(F.array().cast(SPAN)), lambda s: ok(s["value"]))
+    t = F.col("text")
+    pattern = {k: p if isinstance(p, Column) else F.lit(p) for k, (p, _, _) in kinds.items()}
+    out = C.computed(texts, {f"_{k}_hit": F.when(g, F.regexp_extract_all(t, pattern[k], F.lit(0))).otherwise(none) for k, (_, g, _) in kinds.items()}
+                     | {f"_{k}_gap": F.when(g, F.split(t, pattern[k], -1)).otherwise(none) for k, (_, g, _) in kinds.items()})
+    both = lambda g, h: F.length(g) + F.length(h)
+    out = C.computed(out, {f"_{k}_len": F.zip_with(F.slice(f"_{k}_gap", 1, F.size(f"_{k}_hit")), f"_{k}_hit", both) for k in kinds})
+    out = C.computed(out, {f"_{k}_end": F.slice(_prefix(F.col(f"_{k}_len"), F.lit(0), lambda a, x: a + x), 2, F.greatest(F.lit(0), F.size(f"_{k}_hit")))
+                           for k in kinds})
+    passing = lambda ok: lambda s: ok(s["value"])
+    span = lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("value"))
+    out = C.computed(out, {k: F.filter(F.zip_with(f"_{k}_end", f"_{k}_hit", span), passing(ok)) for k, (_, _, ok) in kinds.items()})
+    return out.drop(*[f"_{k}_{x}" for k in kinds for x in ("hit", "gap", "len", "end")])
+
+
+def _rewritten(texts: DataFrame, spans: str, out: str) -> DataFrame:
+    """texts with ``out``: the text with its spans (start, end, label; by start) replaced by their
+    labels.  A span that starts inside one before is skipped, its end cut off all the same."""
+    s = F.col(spans)
+    df = C.computed(texts, {"_stop": F.transform(s, lambda x: x["end"])})
+    df = C.computed(df, {"_at": _prefix(F.col("_stop"), F.lit(0), lambda a, x: F.greatest(a, x))})
+    step = lambda x, at: F.struct(at.alias("at"), x["start"].alias("start"), x["label"].alias("label"))
+    df = C.computed(df, {"_kept": F.filter(F.zip_with(s, F.slice("_at", 1, F.size(s)), step), lambda x: x["start"] >= x["at"]),
+                         "_last": F.element_at("_at", -1)})
+    kept = F.col("_kept")
+    # pieces of the text with their spans; a piece is short, so cutting it is cheap
+    part = lambda c: F.slice(kept, c * PIECE + 1, PIECE)
+    base, stop = lambda c: F.get(kept, c * PIECE)["at"], lambda c: F.element_at(part(c), -1)["start"]
+    cut = lambda c: F.struct(base(c).alias("base"), part(c).alias("part"), F.substring("text", base(c) + 1, stop(c) - base(c)).alias("piece"))
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.size(kept) / PIECE).cast("int") - 1), cut)
+    df = C.computed(df, {"_pieces": F.when(F.size(kept) > 0, pieces)})
+    one = lambda p: F.array_join(F.transform(p["part"], lambda x: F.concat(
+        F.substring(p["piece"], x["at"] - p["base"] + 1, x["start"] - x["at"]), x["label"])), "")
+    text = F.concat(F.coalesce(F.array_join(F.transform("_pieces", one), ""), F.lit("")), F.substring("text", F.col("_last") + 1, F.length("text")))
+    return C.computed(df, {out: F.when(F.size(s) > 0, text).otherwise(F.col("text"))}).drop("_stop", "_at", "_kept", "_last", "_pieces")
 
 
 def base_spans(texts: DataFrame) -> DataFrame:
     """texts (with a column text) and its spans: one array per base kind."""
     t = F.col("text")
     digit = t.rlike("[0-9]")
-    return C.computed(texts, {
-        "email": _found(t, EMAIL, t.contains("@"), lambda m: F.lit(True)),
-        "ip": _found(t, IP, digit & t.contains("."), _ip_ok),
-        "card": _found(t, CARD, digit, _luhn_ok),
-        "phone": _found(t, PHONE, t.contains("+"), _phone_ok),
+    return _located(texts, {
+        "email": (EMAIL, t.contains("@"), lambda m: F.lit(True)),
+        "ip": (IP, digit & t.contains("."), _ip_ok),
+        "card": (CARD, digit, _luhn_ok),
+        "phone": (PHONE, t.contains("+"), _phone_ok),
     })
 
 
@@ -123,41 +171,36 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def _is_term(word: Column) -> Column:
+    """Letters that may name something: three or more, and no run of hexadecimal digits."""
+    return (F.length(word) >= 3) & ~word.rlike("^[a-f]+$")
+
+
 def _lower_words(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
 
 
 def _entities(spans: str) -> Column:
-    """Entities that the spans of a text stand for, each once: values, kinds, e-mail domains, phone areas."""
+    """Entities that the spans of a text stand for, each once: values, e-mail domains, phone areas."""
     def named(kind, what):
         return F.concat_ws(":", kind.cast("string"), what)
 
-    kinds = F.transform(spans, lambda s: named(s["kind"], F.lit("")))
     values = F.transform(spans, lambda s: named(s["kind"], s["value"]))
     email = F.transform(F.filter(spans, lambda s: s["kind"] == KINDS.index("email")),
                         lambda s: named(s["kind"], F.concat(F.lit("@"), F.lower(F.substring_index(s["value"], "@", -1)))))
     phone = F.transform(F.filter(spans, lambda s: s["kind"] == KINDS.index("phone")),
                         lambda s: named(s["kind"], F.concat(F.lit("+"), F.substring(_digits(s["value"]), 1, 4))))
-    return F.array_distinct(F.concat(kinds, values, email, phone))
-
-
-def _outside(spans: str) -> Column:
-    """The text without its spans."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        put = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(" "))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(put).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return F.array_distinct(F.concat(values, email, phone))
 
 
 def scored_terms(docs: DataFrame, text: str = "text", share: float = SHARE, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(term, part) of the terms over the threshold; part is the largest part of an entity's information that the term reveals."""
     keyed = docs.select(*C.keyed_text(text))
     total = docs.count()
-    spans = base_spans(keyed.where(F.col("text").rlike("[@+]|[0-9]"))).withColumn("spans", all_spans(KINDS[:4])).where(F.size("spans") > 0)
-    rows = spans.select("k1", "k2", _entities("spans").alias("entities"), _lower_words(_outside("spans")).alias("terms"))
+    spans = C.computed(base_spans(keyed.where(F.col("text").rlike("[@+]|[0-9]"))), {"spans": all_spans(KINDS[:4])}).where(F.size("spans") > 0)
+    blank = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("label")))
+    outside = _rewritten(C.computed(spans, {"blank": blank}), "blank", "outside")
+    rows = outside.select("k1", "k2", _entities("spans").alias("entities"), F.filter(_lower_words(F.col("outside")), _is_term).alias("terms"))
     # equal texts have equal entities and terms: one row with their number
     holders = C.written(rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"),
                                                      F.first("terms").alias("terms")), "pii-holders")
@@ -170,11 +213,15 @@ def scored_terms(docs: DataFrame, text: str = "text", share: float = SHARE, min_
                                                 F.first("n_entity").alias("n_entity")).where(F.col("texts") >= min_texts)
     # document frequency of every term of the corpus, summed per task before the shuffle
     freq = keyed.select(F.explode(_lower_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    # lower bound of the share of the term's texts that hold the entity; copies of a text are one observation
+    share_of = F.col("n_both") / F.col("n_term")
+    seen = F.col("texts") / share_of
+    bound = (share_of + Z * Z / (2 * seen) - Z * F.sqrt(share_of * (1 - share_of) / seen + Z * Z / (4 * seen * seen))) / (1 + Z * Z / seen)
     scored = joint.join(freq, "term").withColumn(
         "information", F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))).withColumn(
-        "revealed", F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term"))))
+        "revealed", F.log2(F.greatest(bound, F.lit(1e-300)) * F.lit(float(total)) / F.col("n_entity"))).withColumn("whole", share_of >= 1)
     over = scored.where((F.col("information") > 0) & (F.col("revealed") >= share * F.col("information"))).groupBy("term").agg(
-        F.max(F.least(F.lit(1.0), F.col("revealed") / F.col("information"))).alias("part"))
+        F.max(F.when(F.col("whole"), F.lit(1.0)).otherwise(F.least(F.lit(0.999), F.col("revealed") / F.col("information")))).alias("part"))
     return C.written(over, "pii-terms")
 
 
@@ -191,7 +238,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text", share: float = SHARE,
         F.first("text").alias("text"), F.first("parts").alias("parts"))).withColumn("spans", all_spans(KINDS[:4]))
     # a word that touches a base span is replaced with it
     clear = lambda w: ~F.exists("spans", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"]))
-    places = C.computed(texts.withColumn("pattern", pattern), {"places": _found(F.col("text"), F.col("pattern"), F.lit(True), lambda m: F.lit(True))})
+    places = _located(C.computed(texts, {"pattern": pattern}), {"places": (F.col("pattern"), F.lit(True), lambda m: F.lit(True))})
     terms = F.transform(F.filter("places", clear), lambda w: F.struct(
         w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value"),
         F.coalesce(F.try_element_at("parts", F.lower(w["value"])), F.lit(0.0)).alias("part")))
@@ -215,19 +262,13 @@ def sanitised(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """docs with base spans replaced by [EMAIL], [IP], [CARD], [PHONE], terms
     that reveal all of a value removed and other disclosing terms replaced by [TERM]."""
     C.prepare(docs.sparkSession)
-    found = base_spans(_keyed(docs, text).join(disclosing_terms(docs, text, **limits), ["k1", "k2"], "left"))
+    # the other columns go by number, so that no name of theirs clashes with one of these
+    number = {c: f"_own{i}" for i, c in enumerate(docs.columns) if c != text}
+    keyed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in number.items()], *C.keyed_text(text))
+    found = base_spans(keyed.join(disclosing_terms(docs, text, **limits), ["k1", "k2"], "left"))
     labelled = lambda spans, label: F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label")))
     spans = [labelled(F.col(k), lambda _, name=f"[{k.upper()}]": F.lit(name)) for k in KINDS[:4]]
     spans.append(labelled(F.coalesce("terms", F.array().cast(TERMS)), lambda s: F.when(s["part"] >= 1.0, "").otherwise("[TERM]")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        put = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["label"])
-        inside = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(put).alias("out"))
-
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    done = found.withColumn("spans", F.array_sort(F.concat(*spans))).withColumn(
-        "clean", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
-    return done.select(*[F.col("clean").alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns])
+    done = _rewritten(C.computed(found, {"spans": F.array_sort(F.concat(*spans))}), "spans", "clean")
+    return done.select(*[F.col("clean" if c == text else number[c]).alias(c) for c in docs.columns])

@@ -8,11 +8,12 @@ texts: no user functions, no shuffle.
 
 Repeated windows are found by sorting one array of longs per text: the upper 40
 bits are the window's hash, the lower 24 its position, so equal windows stand
-next to each other; neighbours are then compared by their whole 64-bit hash.
+next to each other; neighbours are then compared by their whole 64-bit hash.  A text
+of more than ``MAX_PACKED`` windows sorts pairs of hash and position instead.
 
 Defined results: a null or blank text has no words and fails the base rule
-(fewer than ten words).  A ratio over nothing counts as 0.  Positions above
-2**24 words wrap, so a text must have fewer words than that.
+(fewer than ten words).  A ratio over nothing counts as 0.  Repeated rows are judged
+one by one; columns named as the measures are replaced; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 MIN_WORDS = 10
+#: Windows of a text whose positions fit a packed key.
+MAX_PACKED = 1 << 24
 #: Repeated words fail above this percentage of all words.
 MAX_REPEATED = 20
 
@@ -85,8 +88,17 @@ def _repeat_positions() -> list[tuple[str, Column]]:
         mine = F.get(g, x)
         return F.coalesce(*[F.when(F.get(g, F.get(p, i + d)) == mine, True) for d in (-1, 1, -2, 2)], F.lit(False))
 
-    return [("_grams", grams), ("_keys", keys), ("_close", close), ("_near", at),
-            ("_at", F.sort_array(F.filter("_near", real)))]
+    # texts with more windows than a key's position bits hold: hashes and positions side by side
+    long = F.size("_grams") > MAX_PACKED
+    pairs = F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.cast("int").alias("i"))))
+    w = F.col("_pairs")
+
+    def twin(x, i):
+        return F.coalesce(x["g"] == F.get(w, i + 1)["g"], F.lit(False)) | F.coalesce(x["g"] == F.get(w, i - 1)["g"], F.lit(False))
+
+    at_long = F.sort_array(F.transform(F.filter("_pairs", twin), lambda x: x["i"]))
+    return [("_grams", grams), ("_keys", F.when(~long, keys).otherwise(none)), ("_close", close), ("_near", at),
+            ("_pairs", F.when(long, pairs)), ("_at", F.when(long, at_long).otherwise(F.sort_array(F.filter("_near", real))))]
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skycap.llm import common as C
-from skycap.operators.cluster import connected_components
+from skycap.llm.components import connected_components
 
 BLOCK = 2048
 SAMPLE = 20_000
