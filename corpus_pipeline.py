@@ -29,10 +29,20 @@ LEAST_SCORE = 0.4
 ORACLE_SQL = None
 
 
+def _row(docs: DataFrame):
+    """A document's own columns but its text as one struct: no stage's columns clash with their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc")
+
+
+def _columns(docs: DataFrame, **new) -> list:
+    """The columns of docs out of the struct, the text and others anew."""
+    return [(new[c] if c in new else F.col("doc").getField(c)).alias(c) for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: no ``und``, no doubtful prediction."""
-    out = langid.identify(docs, langid.train(docs))
-    return out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    out = langid.identify(docs.select(_row(docs), "text"), langid.train(docs))
+    return out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*_columns(docs, text=F.col("text")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +52,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows of equal text become one per task before the shuffle, so a text that
     stands in many rows is no hot key."""
-    last = lambda c: (F.col(c).isNull(), F.col(c))
+    last = lambda c: (c.isNull(), c)
     texts = J.linked_texts(docs).where("n_shingles > 0")
-    kept = texts.groupBy("label").agg(F.min(F.struct(*last("least"), "k1", "k2")).alias("first")).select("first.k1", "first.k2")
+    kept = texts.groupBy("label").agg(F.min(F.struct(*last(F.col("least")), "k1", "k2")).alias("first")).select("first.k1", "first.k2")
     k1, k2, t = C.keyed_text("text")
     wordless = ~t.rlike(r"[^ \t\n\x0B\f\r]")
     order = ["doc_id", *(c for c in docs.columns if c not in ("doc_id", "text")), "text"]
-    fields = [x.alias(f"{c}{i}") for c in order for i, x in enumerate(last(c))]
+    # fields by number, whatever the columns are called
+    fields = [x.alias(f"f{i}_{k}") for i, c in enumerate(order) for k, x in enumerate(last(F.col(f"`{c}`")))]
     rows = docs.where(~wordless).select(k1, k2, F.struct(*fields).alias("row")).groupBy("k1", "k2").agg(F.min("row").alias("row"))
-    ones = rows.join(kept, ["k1", "k2"], "left_semi").select(*[F.col("row").getField(f"{c}1").alias(c) for c in docs.columns])
+    ones = rows.join(kept, ["k1", "k2"], "left_semi").select(
+        *[F.col("row").getField(f"f{order.index(c)}_1").alias(c) for c in docs.columns])
     return docs.where(wordless).unionByName(ones)
 
 
@@ -58,14 +70,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without the words of windows of 35 words that repeat; others as they are."""
     left = S.substring_dedup(docs, keep_layout=True).select("k1", "k2", "kept")
     k1, k2, _ = C.keyed_text("text")
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = docs.select(*rest, k1, k2).join(left, ["k1", "k2"])
-    return out.select(*rest, F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars")).select(*docs.columns)
+    out = docs.select(_row(docs), k1, k2).join(left, ["k1", "k2"])
+    return out.select(*_columns(docs, text=F.col("kept"), n_chars=F.length("kept").cast("long")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without personal data and the terms that disclose it."""
-    return pii.sanitised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = pii.sanitised(docs)
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
