@@ -8,6 +8,7 @@ blocked all-pairs kernel, which never materialises pairs as rows.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column
@@ -26,6 +27,20 @@ DEFAULT_SCALE = 1 / 0.07                      # exp(DEFAULT_LOGIT_SCALE)
 UNKNOWN = "Unknown"
 
 
+class Weights(NamedTuple):
+    """Weights of the parts of a relevance, and the temperature difference at which its part is 0."""
+
+    region: float = W_REGION
+    season: float = W_SEASON
+    temperature: float = W_TEMPERATURE
+    conditions: float = W_CONDITIONS
+    tolerance: float = TEMP_TOLERANCE
+
+    @property
+    def total(self) -> float:
+        return round(self.region + self.season + self.temperature + self.conditions, 12)
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -47,22 +62,25 @@ def season_similarity(s1, s2) -> Column:                    # m01
     return F.when(a == b, F.lit(1.0)).when(i.isNull() | j.isNull(), F.lit(0.0)).otherwise(by_index)
 
 
-def temperature_similarity(t1, t2) -> Column:               # m02
+def temperature_similarity(t1, t2, tolerance: float = TEMP_TOLERANCE) -> Column:               # m02
     d = F.abs(_c(t1) - _c(t2))
-    return F.when(d <= TEMP_TOLERANCE, F.lit(1.0) - d / F.lit(TEMP_TOLERANCE)).otherwise(F.lit(0.0))
+    near = F.lit(1.0) - d / F.lit(float(tolerance)) if tolerance > 0 else F.lit(1.0)
+    return F.when(d <= tolerance, near).otherwise(F.lit(0.0))
 
 
-def weather_similarity(r1, r2) -> Column:                   # m03
-    """Relevance of two parsed captions (structs from ``parse_caption``)."""
+def weather_similarity(r1, r2, weights: Weights = Weights()) -> Column:                   # m03
+    """Relevance of two parsed captions (structs from ``parse_caption``); 0 where all weights are 0
+    and the captions differ."""
     a, b = _c(r1), _c(r2)
     known = lambda f: (a[f] != UNKNOWN) & (b[f] != UNKNOWN)
-    reg = F.when(known("region"), F.when(a["region"] == b["region"], W_REGION).otherwise(0.0)).otherwise(0.0)
-    sea = F.when(known("season"), season_similarity(a["season"], b["season"]) * W_SEASON).otherwise(0.0)
+    reg = F.when(known("region"), F.when(a["region"] == b["region"], float(weights.region)).otherwise(0.0)).otherwise(0.0)
+    sea = F.when(known("season"), season_similarity(a["season"], b["season"]) * float(weights.season)).otherwise(0.0)
     tmp = F.when(a["avg_temperature"].isNotNull() & b["avg_temperature"].isNotNull(),
-                 temperature_similarity(a["avg_temperature"], b["avg_temperature"]) * W_TEMPERATURE).otherwise(0.0)
-    con = F.when(known("conditions"), F.when(a["conditions"] == b["conditions"], W_CONDITIONS).otherwise(0.0)).otherwise(0.0)
+                 temperature_similarity(a["avg_temperature"], b["avg_temperature"], weights.tolerance) * float(weights.temperature)).otherwise(0.0)
+    con = F.when(known("conditions"), F.when(a["conditions"] == b["conditions"], float(weights.conditions)).otherwise(0.0)).otherwise(0.0)
     score = (((F.lit(0.0) + reg) + sea) + tmp) + con
-    return F.when(a["raw_caption"] == b["raw_caption"], F.lit(1.0)).otherwise(score / F.lit(MAX_TOTAL_WEIGHT))
+    part = score / F.lit(weights.total) if weights.total > 0 else F.lit(0.0)
+    return F.when(a["raw_caption"] == b["raw_caption"], F.lit(1.0)).otherwise(part)
 
 
 def dot(a, b) -> Column:                                    # m04
@@ -76,7 +94,7 @@ def sigmoid_probability(cos, scale: float = DEFAULT_SCALE) -> Column:  # m05
 
 
 # --- numpy twins for the blocked kernel -------------------------------------
-def np_relevance(q: dict, c: dict) -> np.ndarray:
+def np_relevance(q: dict, c: dict, weights: Weights = Weights()) -> np.ndarray:
     """Relevance matrix [len(q), len(c)] from encoded parse features.
 
     Feature dict keys: ``region``/``conditions``/``caption`` integer codes
@@ -85,18 +103,18 @@ def np_relevance(q: dict, c: dict) -> np.ndarray:
     def known(x, y):
         return (x[:, None] >= 0) & (y[None, :] >= 0)
 
-    reg = np.where(known(q["region"], c["region"]) & (q["region"][:, None] == c["region"][None, :]), W_REGION, 0.0)
+    reg = np.where(known(q["region"], c["region"]) & (q["region"][:, None] == c["region"][None, :]), weights.region, 0.0)
     d = np.abs(q["season"][:, None] - c["season"][None, :])
     d = np.minimum(d, 4 - d)
     ssim = np.where(d == 0, 1.0, np.where(d == 1, 0.5, 0.0))
-    sea = np.where(known(q["season"], c["season"]), ssim * W_SEASON, 0.0)
+    sea = np.where(known(q["season"], c["season"]), ssim * weights.season, 0.0)
     td = np.abs(q["temp"][:, None] - c["temp"][None, :])
-    tsim = np.where(td <= TEMP_TOLERANCE, 1.0 - td / TEMP_TOLERANCE, 0.0)
-    tmp = np.where(np.isnan(td), 0.0, tsim * W_TEMPERATURE)
+    tsim = np.where(td <= weights.tolerance, 1.0 - td / weights.tolerance if weights.tolerance > 0 else 1.0, 0.0)
+    tmp = np.where(np.isnan(td), 0.0, tsim * weights.temperature)
     con = np.where(known(q["conditions"], c["conditions"]) & (q["conditions"][:, None] == c["conditions"][None, :]),
-                   W_CONDITIONS, 0.0)
+                   weights.conditions, 0.0)
     score = (((0.0 + reg) + sea) + tmp) + con
-    rel = score / MAX_TOTAL_WEIGHT
+    rel = score / weights.total if weights.total > 0 else 0.0 * score
     same = (q["caption"][:, None] == c["caption"][None, :]) | (q["id"][:, None] == c["id"][None, :])
     return np.where(same, 1.0, rel)
 

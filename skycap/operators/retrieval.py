@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skycap.functions import parse as P
-from skycap.functions.scoring import dot, np_relevance, season_index
+from skycap.functions.scoring import Weights, dot, np_relevance, season_index
 from skycap.operators.pairs import block_pairs, order_desc, stack
 from skycap.session import ensure_checkpoint_dir
 
@@ -75,13 +75,13 @@ PHASE1_SCHEMA = ("dir string, qid long, n long, better_self long, best_sim doubl
                  "pos_n long, pos_sum double, pos_max double")
 
 
-def _phase1_kernel(k_max: int, threshold: float, directions: list[tuple[str, str, str]]):
+def _phase1_kernel(k_max: int, threshold: float, directions: list[tuple[str, str, str]], weights: Weights = Weights()):
     """Every direction of one block pair in one task; the relevance matrix is
     computed once (it is symmetric in the two captions)."""
     def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         codes = _codes(qpdf, cpdf)
         qf, cf = _feat(qpdf, "q_", "qid", codes), _feat(cpdf, "c_", "cid", codes)
-        rel = np_relevance(qf, cf)
+        rel = np_relevance(qf, cf, weights)
         qid, cid = qf["id"], cf["id"]
         nq = len(qid)
         rows = np.arange(nq)
@@ -156,7 +156,8 @@ T2I = ("t2i", "text_emb", "image_emb")
 
 
 def ranked_partials(samples: DataFrame, directions: list[tuple[str, str, str]] | None = None, *, k_max: int = 10,
-                    threshold: float = 0.8, block_rows: int | None = None, materialise: bool = True) -> DataFrame:
+                    threshold: float = 0.8, block_rows: int | None = None, materialise: bool = True,
+                    weights: Weights = Weights()) -> DataFrame:
     """Per-(direction, query) merged partials from two block-pair passes that
     serve all directions at once.
 
@@ -170,7 +171,7 @@ def ranked_partials(samples: DataFrame, directions: list[tuple[str, str, str]] |
     n = samples.count()
     q = _side(samples, "qid", "q_", [dot("image_emb", "text_emb").alias("qself")])
     c = _side(samples, "cid", "c_")
-    part = block_pairs(q, c, _phase1_kernel(k_max, threshold, directions), PHASE1_SCHEMA, block_rows=block_rows,
+    part = block_pairs(q, c, _phase1_kernel(k_max, threshold, directions, weights), PHASE1_SCHEMA, block_rows=block_rows,
                        q_rows=n, c_rows=n)
     merged = part.groupBy("dir", "qid").agg(
         F.sum("n").alias("n"),
@@ -218,6 +219,15 @@ def per_query_metrics(partials: DataFrame, k_values: list[int] | None = None, k_
     return partials.select(*cols)
 
 
+def graded_recall(partials: DataFrame, k_values: list[int] | None = None, threshold: float | None = None) -> DataFrame:
+    """a15 with graded relevance: per direction, the share of queries with a relevant candidate
+    among the first k.  Relevant is what has any relevance, or ``threshold`` of it at least.
+    ``partials`` must hold the first max(k) candidates (``k_max``)."""
+    relevant = (lambda x: x["rel"] > 0.0) if threshold is None else (lambda x: x["rel"] >= threshold)
+    return partials.groupBy("dir").agg(*[
+        F.avg(F.exists(F.slice("top", 1, k), relevant).cast("double")).alias(f"recall_at_{k}") for k in k_values or DEFAULT_K])
+
+
 def retrieval_report(samples: DataFrame, *, k_values=None, threshold: float = 0.8, block_rows: int | None = None) -> DataFrame:
     """a18: Recall@k, MRR and nDCG@{5,10} for image->text and text->image and
     their means, as one row (``k_values`` honoured).  Both directions share

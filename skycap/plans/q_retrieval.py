@@ -184,6 +184,19 @@ def w02(spark, sf):
     return rounded(p.select("qid", (F.col("pos") + 1).cast("long").alias("rank"), F.col("rel").alias("relevance")))
 
 
+def _graded_sql(k: int, test: str, name: str) -> str:
+    return f"{S.R(f'avg(CASE WHEN EXISTS (SELECT 1 FROM rk_x x WHERE x.qid = q.qid AND x.r <= {k} AND x.{test}) THEN 1.0 ELSE 0.0 END)')} AS {name}_{k}"
+
+
+@query("a15_graded_recall", S.EMB_PARSED + S.pairs_cte("image_emb", "text_emb") + "SELECT " + ", ".join(
+    _graded_sql(k, test, name) for test, name in (("rel > 0", "any_at"), ("rel >= 0.8", "threshold_at")) for k in (1, 5, 10))
+    + " FROM (SELECT DISTINCT qid FROM rk_x) q")
+def a15_graded(spark, sf):
+    p = _partials(spark, sf).checkpoint(eager=True)
+    some = R.graded_recall(p).toDF("dir", *[f"any_at_{k}" for k in R.DEFAULT_K])
+    return rounded(some.join(R.graded_recall(p, threshold=0.8).toDF("dir", *[f"threshold_at_{k}" for k in R.DEFAULT_K]), "dir").drop("dir"))
+
+
 _BOTH = S.EMB_PARSED + S.direction_metrics_sql("image_emb", "text_emb", "i2t") + S.direction_metrics_sql("text_emb", "image_emb", "t2i")
 
 

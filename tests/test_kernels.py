@@ -244,3 +244,22 @@ def test_clustering_bundle(spark, tmp_path):
     assert back.samples.count() == 12 and all(len(r.reduced) == 2 for r in back.samples.collect())
     with pytest.raises(ValueError):
         CL.prepared(df, "sound")
+
+
+def test_scorer_with_other_weights(spark):
+    """Columns and blocked kernel agree for given weights and tolerance, also where nothing weighs."""
+    from skycap.functions import scoring as M
+    fields = "region string, season string, avg_temperature double, conditions string, raw_caption string"
+    a = ("south", "mid winter", 10.0, "rain", "a")
+    others = [("south", "early fall", 12.0, "rain", "b"), ("north", "late spring", 40.0, "Unknown", "c"), ("Unknown", "mid winter", None, "dry", "a")]
+    df = spark.createDataFrame([(a, o) for o in others], f"x struct<{fields.replace(' string', ':string').replace(' double', ':double')}>, "
+                                                          f"y struct<{fields.replace(' string', ':string').replace(' double', ':double')}>")
+    code = {"south": 0, "north": 1, "rain": 0, "dry": 1, "Unknown": -1}
+    feats = lambda rows, ids: {
+        "region": np.array([code[r[0]] for r in rows]), "season": np.array([ORDER.index(r[1].split()[-1]) for r in rows]),
+        "temp": np.array([np.nan if r[2] is None else r[2] for r in rows]), "conditions": np.array([code[r[3]] for r in rows]),
+        "caption": np.array([ord(r[4]) for r in rows]), "id": np.array(ids)}
+    for w in (M.Weights(), M.Weights(region=1.0, season=0.0, tolerance=20.0), M.Weights(tolerance=0.0), M.Weights(0.0, 0.0, 0.0, 0.0)):
+        got = [r[0] for r in df.select(M.weather_similarity("x", "y", w)).collect()]
+        assert got == pytest.approx(M.np_relevance(feats([a], [0]), feats(others, [1, 2, 3]), w)[0].tolist())
+    assert M.Weights().total == M.MAX_TOTAL_WEIGHT

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from skycap.sources import records as RC
 
 GOOD = {"image_path": "images/a.png", "caption": " Warm day ", "sample_id": "sample_1", "variable": "temperature",
@@ -47,3 +49,24 @@ def test_numeric_suffix(spark):
     from pyspark.sql import functions as F
     df = spark.createDataFrame([("sample_17",), ("abc",), ("x_3_y",), ("42",)], "s string")
     assert [r[0] for r in df.select(RC.numeric_suffix(F.col("s"))).collect()] == [17, -1, -1, 42]
+
+
+def test_failfast_reader_raises_on_a_bad_line(spark, tmp_path):
+    path = str(tmp_path / "bad")
+    _lines(spark, [GOOD, "{not json"]).write.text(path)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        RC.read_records_failfast(spark, path).collect()
+    fine = str(tmp_path / "fine")
+    _lines(spark, [GOOD]).write.text(fine)
+    assert [r.sample_id for r in RC.read_records_failfast(spark, fine).collect()] == ["sample_1"]
+
+
+def test_embedding_store_forms(spark, tmp_path):
+    df = spark.createDataFrame([("sample_1", [0.25, -1.0]), ("sample_2", [1e-9, 3.5])], "sample_id string, image_emb array<double>")
+    for form in ("parquet", "json"):
+        got = RC.load_embeddings(spark, RC.save_embeddings(df, str(tmp_path / form), form), form)
+        assert sorted((r.sample_id, r.image_emb) for r in got.collect()) == sorted((r.sample_id, r.image_emb) for r in df.collect())
+    with pytest.raises(ValueError, match="Unknown save format"):
+        RC.save_embeddings(df, str(tmp_path / "x"), "pickle")
+    with pytest.raises(ValueError, match="Unknown load format"):
+        RC.load_embeddings(spark, str(tmp_path / "json"), "pickle")
