@@ -2,20 +2,21 @@
 
 The standard library's parser streams a page's events.  Block elements cut it
 into lines; each line has its text, the number of tags met in it and the
-characters inside links.  Lines belong to regions: the nearest article, section,
-division, cell, or element that is usually no article, nested ones as well.  The
-ratio of text to tags per line is smoothed with a Gaussian over the neighbouring
-lines of its region, and a two-means threshold on its logarithm parts the page's
-lines of high ratio from those of low ratio.  A region is content where a line of it
-lies above the threshold and links do not make up most of it; all its lines make the
-text, short ones as well, save paragraphs and lists that are mostly links.
+characters inside links.  Lines belong to regions: the nearest element that holds
+blocks (article, section, division, footer, form, ...), nested ones as well.  A
+line's ratio is its text outside links by its tags, smoothed with a Gaussian over the
+neighbouring lines of its region.  A line is a point of two features, the logarithm
+of its smoothed ratio and the root of the sum of the ratios in its region; a threshold
+in this plane, the border of two clusters, parts content from the rest.  A region is content
+where a line of it is; all its lines make the text, short ones as well, save
+paragraphs and lists whose own ratio says that they are but links.
 
 Elements that are usually no article (navigation, forms, asides, page headers and
 footers), classes, ids or roles that say so (adverts, notices, menus, comments, ...)
-and a place outside the page's article weigh: they lower a line's ratio before it is
-held against the threshold, and decide nothing alone.  An article or main element
-ends the weights of what is open around it, as of a navigation element that is never
-closed.  Only scripts, styles and the like are never text.
+and a place outside the page's article weigh: they lower a line's ratio, and decide
+nothing alone.  An article or main element ends the weights of what is open around
+it, as of a navigation element that is never closed.  Only scripts, styles and the
+like are never text.
 
 Defined results: a null or empty page has the empty text; a page without an
 element is one line; text after the last complete tag counts, a tag cut off at
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -42,9 +44,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HIDDEN = frozenset("script style noscript template head iframe object svg math canvas audio video".split())
 #: Usually not part of an article.
 ASIDE = frozenset("nav aside footer form button select textarea menu dialog fieldset".split())
-REGION = frozenset("article main section div td body".split())
-#: Lists and paragraphs: left out of their region where they are mostly links.
+#: Lists and paragraphs: left out of their region where they are but links.
 BLOCKS = frozenset("p ul ol dl table".split())
+#: Blocks that are no region of their own; any other block is one.
+LEAVES = BLOCKS | frozenset("li dt dd h1 h2 h3 h4 h5 h6 hgroup pre blockquote figure figcaption caption thead tbody tfoot tr th "
+                            "address details summary center html".split())
 #: Words of class, id or role that mark what is usually no article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar "
                   "navigation breadcrumb breadcrumbs footer masthead comment comments disqus replies cookie cookies consent gdpr "
@@ -53,7 +57,8 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 _WORDS = re.compile(r"[A-Za-z]+")
 _CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 SIGMA = 1.0
-LINK_SHARE = 0.5
+#: Least text outside links by tags of a paragraph or list.
+LEAST_RATIO = 0.75
 #: Weights of the ratio: usual elements and marked ones that are no article, lines outside the page's article.
 ASIDE_WEIGHT = 0.05
 MARK_WEIGHT = 0.25
@@ -85,6 +90,8 @@ class PageParser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, State]] = []  # tag, state around it
+        self.blocks: Counter[str] = Counter()  # open ones
+        self.inlines: list[Counter[str]] = [Counter()]  # open ones of each open block
         self.state = State()
         self.regions = 0
         self.link = 0
@@ -107,7 +114,10 @@ class PageParser(HTMLParser):
         self.stack.append((tag, self.state))
         if tag in INLINE:
             self.link += tag == "a"
+            self.inlines[-1][tag] += 1
             return
+        self.blocks[tag] += 1
+        self.inlines.append(Counter())
         if tag in ("article", "main"):
             weight = weight if inside else 1.0
             inside = True
@@ -119,7 +129,7 @@ class PageParser(HTMLParser):
             for name, value in attrs:
                 if value and name in ("class", "id", "role") and not MARKS.isdisjoint(_WORDS.findall(value.lower())):
                     light = MARK_WEIGHT
-        if tag in REGION or light < 1:
+        if light < 1 or (tag not in LEAVES and tag != "header"):
             self.regions += 1
             region = block = self.regions
             weight *= light
@@ -137,16 +147,18 @@ class PageParser(HTMLParser):
     def handle_endtag(self, tag):
         self.lines[-1].tags += 1
         inline = tag in INLINE
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                for open_tag, _ in self.stack[i:]:
-                    self.link -= open_tag == "a"
-                if not inline:
-                    self.state = self.stack[i][1]
-                del self.stack[i:]
-                break
-            if inline and self.stack[i][0] not in INLINE:
-                return  # does not close a block around it
+        if (self.inlines[-1] if inline else self.blocks)[tag]:  # an inline element does not close a block around it
+            while True:
+                name, around = self.stack.pop()
+                if name in INLINE:
+                    self.link -= name == "a"
+                    self.inlines[-1][name] -= 1
+                else:
+                    self.blocks[name] -= 1
+                    self.inlines.pop()
+                    self.state = around
+                if name == tag:
+                    break
         if not inline:
             self._cut()
 
@@ -171,46 +183,49 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def threshold(values: list[float]) -> float:
-    """Border between two clusters of the values (two-means in one dimension)."""
-    low, high = min(values), max(values)
-    cut = (low + high) / 2
+def ratio(text: int, tags: int, links: int) -> float:
+    """Characters of text outside links by tags."""
+    return max(0, text - links) / max(1, tags)
+
+
+def upper_cluster(points: list[tuple[float, float]]) -> list[bool]:
+    """Whether each point is nearer the upper centre of two (two-means, first centres: the points of least and
+    greatest sum).  All are where there are no two clusters."""
+    low, high = min(points, key=sum), max(points, key=sum)
+    upper = [True] * len(points)
+    if low == high:
+        return upper
     for _ in range(50):
-        a, b = [v for v in values if v < cut], [v for v in values if v >= cut]
-        new = (sum(a) / len(a) + sum(b) / len(b)) / 2 if a and b else cut
-        if new == cut:
+        new = [math.dist(p, high) <= math.dist(p, low) for p in points]
+        if new == upper or all(new) or not any(new):
             break
-        cut = new
-    return cut
+        upper = new
+        low, high = (tuple(sum(x) / len(x) for x in zip(*[p for p, u in zip(points, upper) if u == side])) for side in (False, True))
+    return upper
 
 
 def _select(lines: list[tuple[str, Line]]) -> str:
     weighed = any(line.state.weight == 1 for _, line in lines)
     article = any(line.state.inside for _, line in lines)
     members: dict[int, list[int]] = {}
-    size: dict[int, int] = {}
-    links: dict[int, int] = {}
+    blocks: dict[int, list[int]] = {}  # text, tags, link characters
     for i, (text, line) in enumerate(lines):
-        region, block = line.state.region, line.state.block
-        members.setdefault(region, []).append(i)
-        for key in {region, block}:
-            size[key] = size.get(key, 0) + len(text)
-            links[key] = links.get(key, 0) + line.links
-    ratios = [0.0] * len(lines)
-    for at in members.values():
-        for i, r in zip(at, smoothed([len(lines[i][0]) / max(1, lines[i][1].tags) for i in at])):
-            ratios[i] = r
-    cut = threshold([math.log1p(r) for r in ratios])
-    score, likely = {}, {}
+        members.setdefault(line.state.region, []).append(i)
+        sums = blocks.setdefault(line.state.block, [0, 0, 0])
+        for k, x in enumerate((len(text), line.tags, line.links)):
+            sums[k] += x
+    points = [(0.0, 0.0)] * len(lines)
+    mass = {}
     for region, at in members.items():
         state = lines[at[0]][1].state
         weight = (state.weight if weighed else 1.0) * (OUTSIDE_WEIGHT if article and not state.inside else 1.0)
-        score[region] = math.log1p(weight * max(ratios[i] for i in at))
-        likely[region] = weight * (size[region] - links[region])
-    content = {r for r in members if score[r] >= cut and links[r] <= LINK_SHARE * size[r]}
-    content = content or {max(members, key=lambda r: likely[r])}
+        ratios = [weight * r for r in smoothed([ratio(len(lines[i][0]), lines[i][1].tags, lines[i][1].links) for i in at])]
+        mass[region] = sum(ratios)
+        for i, r in zip(at, ratios):
+            points[i] = math.log1p(r), math.sqrt(mass[region])
+    content = {lines[i][1].state.region for i, upper in enumerate(upper_cluster(points)) if upper}
     mine = [(text, line.state.block) for text, line in lines if line.state.region in content]
-    return " ".join([text for text, block in mine if links[block] <= LINK_SHARE * size[block]] or [text for text, _ in mine])
+    return " ".join([text for text, block in mine if not blocks[block][2] or ratio(*blocks[block]) >= LEAST_RATIO] or [text for text, _ in mine])
 
 
 def page_text(html: str | None) -> str:

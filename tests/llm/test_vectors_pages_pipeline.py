@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import brute
 import numpy as np
@@ -111,6 +112,31 @@ def test_ratios_decide_within_articles(page, text):
     assert html_text.page_text(page) == text
 
 
+def _article(page):
+    body = re.search(r"<article>(.*?)(</article>|$)", page, re.S).group(1)
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", body))).split())
+
+
+def test_ratios_alone_tell_the_pages_apart(spark, sf, monkeypatch):
+    """Without the names of classes and elements nearly all pages keep their text; without ratios most lose it."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()]
+    same = lambda: sum(html_text.page_text(p) == _article(p) for p in pages)
+    monkeypatch.setattr(html_text, "MARKS", frozenset())
+    assert same() >= 0.98 * len(pages)
+    monkeypatch.setattr(html_text, "ASIDE_WEIGHT", 1 - 1e-9)  # below one: still a region
+    monkeypatch.setattr(html_text, "OUTSIDE_WEIGHT", 1.0)
+    assert same() >= 0.9 * len(pages)
+    monkeypatch.setattr(html_text, "ratio", lambda text, tags, links: 5.0)
+    assert same() <= 0.5 * len(pages)
+
+
+def test_end_tags_without_start():
+    page = "<div>" * 20_000 + "<i>" * 20_000 + "</b></p>" * 200_000 + "x"
+    t0 = time.process_time()
+    assert html_text.page_text(page) == "x"
+    assert time.process_time() - t0 < 20
+
+
 def test_pages_with_other_columns(spark):
     df = spark.createDataFrame([(1, None, "<p>x</p>", "old", 3)], "page_id long, url string, html string, text string, n_chars long")
     row = html_text.extract_text(df).first()
