@@ -11,7 +11,8 @@ Scale notes
   group (the whole-domain tag holds every cell) is combined per task before
   the shuffle.  Exact percentiles keep a value->count map per group, whose size
   is the number of *distinct* values, not rows; ``percentiles="approx"``
-  switches to ``percentile_approx`` for high-cardinality continuous fields.
+  switches to ``percentile_approx`` for high-cardinality continuous fields;
+  ``percentiles="selection"`` stays exact and bounded (``quantiles.py``).
 * MAD needs the median first.  The median table (one row per group) is joined
   back with a plain join: AQE turns it into a broadcast only when its measured
   size is small, and splits skewed partitions otherwise.
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skycap.functions import captions as C
+from skycap.operators.quantiles import exact_quantiles, median_deviation
 from skycap.schemas import (
     ADDITIONAL_VARIABLES,
     CONUS,
@@ -33,6 +35,7 @@ from skycap.schemas import (
     region_dim,
     variable_dim,
 )
+from skycap.session import ensure_checkpoint_dir
 from skycap.sources.grid import requested_forecast_hour
 
 WHOLE_FIELD = "__field__"
@@ -139,6 +142,8 @@ def grouped_statistics(tagged: DataFrame, keys: list[str], value: str = "value",
     ``median(|x - median|)`` while carrying the pass-1 columns through with
     ``max`` (constant per group, combined map-side).  The per-group table is
     consumed once, so the plan scans the cells twice and never recomputes it."""
+    if percentiles == "selection":
+        return _derived(_selected_statistics(tagged, keys, value, with_mad))
     stats = tagged.groupBy(*keys).agg(*_stat_aggs(value, percentiles))
     stats = stats.select(
         *keys, "min", "max", "mean", "std", "var", "skewness", "kurtosis", "count_valid", "cells",
@@ -147,22 +152,37 @@ def grouped_statistics(tagged: DataFrame, keys: list[str], value: str = "value",
         F.get("_pct", 4).alias("percentile_95"),
     )
     if not with_mad:  # one aggregate over one scan; Catalyst prunes what the caller leaves unused
-        out = stats.withColumn("mad", F.lit(None).cast("double"))
-        return (out.withColumn("range", F.col("max") - F.col("min"))
-                .withColumn("iqr", F.col("percentile_75") - F.col("percentile_25"))
-                .withColumn("coeff_variation",
-                            F.when(F.col("mean") != 0, F.col("std") / F.abs(F.col("mean"))).otherwise(F.lit(0.0))))
+        return _derived(stats.withColumn("mad", F.lit(None).cast("double")))
     carried = [c for c in stats.columns if c not in keys]
     dev = F.abs(F.col(value) - F.col("median"))
     mad_agg = F.percentile_approx(dev, 0.5, 10000) if percentiles == "approx" else F.median(dev)
     out = (tagged.select(*keys, value).join(stats, keys)
            .groupBy(*keys).agg(mad_agg.alias("mad"), *[F.max(c).alias(c) for c in carried]))
-    return (out.withColumn("range", F.col("max") - F.col("min"))
+    return _derived(out)
+
+
+def _derived(stats: DataFrame) -> DataFrame:
+    return (stats.withColumn("range", F.col("max") - F.col("min"))
             .withColumn("iqr", F.col("percentile_75") - F.col("percentile_25"))
             .withColumn("coeff_variation",
                         F.when(F.col("mean") != 0, F.col("std") / F.abs(F.col("mean"))).otherwise(F.lit(0.0))))
 
 
+def _selected_statistics(tagged: DataFrame, keys: list[str], value: str, with_mad: bool) -> DataFrame:
+    """The same table with quantiles by distributed selection: no group's values
+    meet in one task.  The tagged values are written once and read from there."""
+    ensure_checkpoint_dir(tagged.sparkSession)
+    rows = tagged.select(*keys, value).checkpoint(eager=True)
+    moments = rows.groupBy(*keys).agg(*[a for i, a in enumerate(_stat_aggs(value, "approx")) if i != 7])
+    names = ("median", "percentile_25", "percentile_75", "percentile_90", "percentile_95")
+    q = exact_quantiles(rows, keys, value, PERCENTILES, "_pct").select(*keys, *[F.get("_pct", i).alias(n) for i, n in enumerate(names)])
+    q = q.checkpoint(eager=True)
+    out = moments.join(q, keys, "left")
+    if not with_mad:
+        return out.withColumn("mad", F.lit(None).cast("double"))
+    return out.join(median_deviation(rows, keys, value, q, "median"), keys, "left")
+
+
 STAT_COLUMNS = ["min", "max", "mean", "std", "median", "range", "var", "skewness", "kurtosis",
                 "percentile_25", "percentile_75", "percentile_90", "percentile_95", "iqr", "mad",
                 "coeff_variation"]

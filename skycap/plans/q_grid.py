@@ -202,6 +202,17 @@ def a09(spark, sf):
                             "grib_name", "domain"))
 
 
+_QUANTILE_STATS = ["median", "percentile_25", "percentile_75", "percentile_90", "percentile_95", "iqr", "mad", "count_valid"]
+
+
+@query("a03_quantiles_by_selection", S.FIELD_STATS + f"""
+SELECT {_KEYS_SQL}, {", ".join(f"{S.R(c)} AS {c}" if not c.startswith("count") else c for c in _QUANTILE_STATS)} FROM fstats
+""")
+def a03_selection(spark, sf):
+    s = G.field_statistics(derive.grid(spark, sf), percentiles="selection").withColumn("valid_date", _date())
+    return rounded(s.select(*_KEYS_OUT, *_QUANTILE_STATS))
+
+
 # j03 ----------------------------------------------------------------------
 @query("j03_primary_additional", S.COMBINED + """
 SELECT strftime(valid_time, '%Y-%m-%d') AS date, model, region,
