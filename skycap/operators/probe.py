@@ -1,11 +1,11 @@
 """Storm labelling and the linear probe (p06, p15-p17, j06, j13, j15, w03,
 w05-w07, ml01, ml08-ml10, a27-a30).
 
-The interval join ``date < start <= date + N`` is rewritten as an equi-join:
-each storm-region row expands to the N sample dates that see it
-(``start - N .. start - 1``) and joins samples on (region, date).  Storm rows
-grow by N, samples are never paired with storms they cannot match, and a hot
-region is spread over its dates.
+The interval join ``date < start <= date + N`` is a binned equi-join: days are
+cut into bins as wide as the window, so the sample dates that see a storm
+(``start - N .. start - 1``) lie in two bins at most, whatever N.  Storms meet
+the distinct (region, date) pairs of the samples, not the samples, so a region
+that holds most samples adds no pairs; the samples then look up their date.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skycap.operators.newton import fit_folds, predict_folds
 from skycap.operators.ordered import dense_positions, running_sums
 from skycap.schemas import CONUS, REGION_NAMES
 from skycap.session import ensure_checkpoint_dir
@@ -52,19 +53,32 @@ def filter_by_date(samples: DataFrame, cutoff: str = "2025-05-31", date_col: str
 
 
 # j06 / w07 ----------------------------------------------------------------
+def window_hits(dates: DataFrame, storm_regions: DataFrame, lookahead_days: int) -> DataFrame:
+    """Per distinct (_r, _d) of ``dates`` that sees a storm: ``storm`` (first in file order) and ``n_matches``.
+
+    A storm is dealt to the bins of the first and the last date that see it."""
+    n = F.lit(int(lookahead_days))
+    day = lambda c: F.unix_date(c)
+    seen = dates.select("_r", "_d").where(F.col("_d").isNotNull()).distinct().withColumn("_bin", F.floor(day(F.col("_d")) / n))
+    start = day(F.col("start_date"))
+    bins = F.array_distinct(F.array(F.floor((start - n) / n), F.floor((start - 1) / n)))
+    dealt = storm_regions.select(F.col("region").alias("_r"), "seq", F.col("name").alias("_storm"), "start_date", F.explode(bins).alias("_bin"))
+    after = F.datediff(F.col("start_date"), F.col("_d"))
+    return (seen.join(dealt, ["_r", "_bin"]).where((after > 0) & (after <= n))
+            .groupBy("_r", "_d").agg(F.min_by("_storm", "seq").alias("storm"), F.count(F.lit(1)).alias("n_matches")))
+
+
 def label_samples(samples: DataFrame, storm_regions: DataFrame, lookahead_days: int = DEFAULT_LOOKAHEAD,
-                  id_col: str = "sample_id") -> DataFrame:
+                  id_col: str = "sample_id", counts: bool = False) -> DataFrame:
     """Adds ``label`` (1 if a storm starts in the sample's mapped region within
-    (date, date + N]) and ``storm`` (first such storm in file order)."""
+    (date, date + N]) and ``storm`` (first such storm in file order); with ``counts``
+    also ``n_matches``, the number of such storms."""
     d = F.try_to_date(F.col("date"), "yyyy-M-d")
     s = samples.withColumn("_d", d).withColumn("_r", map_region(F.coalesce(F.col("region"), F.lit(""))))
-    offsets = F.sequence(F.lit(1), F.lit(lookahead_days))
-    expanded = storm_regions.select(
-        F.col("region").alias("_r"), "seq", F.col("name").alias("_storm"),
-        F.explode(F.transform(offsets, lambda k: F.date_sub(F.col("start_date"), k))).alias("_d"))
-    hits = (s.select(id_col, "_d", "_r").join(expanded, ["_d", "_r"])
-            .groupBy(id_col).agg(F.min_by("_storm", "seq").alias("storm")))
-    out = s.join(hits, id_col, "left").drop("_d", "_r")
+    hits = window_hits(s, storm_regions, lookahead_days)
+    out = s.join(hits if counts else hits.drop("n_matches"), ["_r", "_d"], "left").drop("_d", "_r")
+    if counts:
+        out = out.withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
     return out.withColumn("label", F.col("storm").isNotNull().cast("int"))
 
 
@@ -310,15 +324,12 @@ def f1_expr(label: str = "label", pred: str = "predicted_label") -> Column:
 def cross_validate(train: DataFrame, folds: int = 5, seed: int = 42, C: float = 1.0, features: str = "scaled",
                    label: str = "label", id_col: str = "idx") -> DataFrame:
     """Stratified k-fold F1 of class 1 inside the training split (features
-    scaled once).  One model per fold: a handful of driver round-trips."""
-    foldcol = fold_assignment(train, folds, seed + 1, label, id_col).cache()
-    rows = []
-    for f in range(folds):
-        model = fit_logistic(foldcol.where(F.col("fold") != f), C=C, features=features, label=label)
-        pred = predict(model, foldcol.where(F.col("fold") == f), features)
-        rows.append((f, float(pred.agg(f1_expr(label)).first()[0])))
-    foldcol.unpersist()
-    return train.sparkSession.createDataFrame(rows, "fold int, f1 double")
+    scaled once).  All folds are fitted together, one pass over the rows per
+    Newton step, and scored in one more."""
+    ensure_checkpoint_dir(train.sparkSession)
+    assigned = fold_assignment(train, folds, seed + 1, label, id_col).checkpoint(eager=True)
+    models, _ = fit_folds(assigned, list(range(folds)), C=C, features=features, label=label)
+    return predict_folds(assigned, models, features=features).groupBy("fold").agg(f1_expr(label).alias("f1"))
 
 
 # ml10 ---------------------------------------------------------------------

@@ -105,14 +105,14 @@ def j06(spark, sf):
 
 @query("w07_first_event", _labels_sql(30) + "\nSELECT sample_id, n_matches, storm AS first_storm FROM lab WHERE n_matches > 0")
 def w07(spark, sf):
-    samples = derive.probe_samples(spark, sf)
-    st = _storms(spark, sf)
-    d = F.to_date("date")
-    exp = st.select("region", "seq", "name", F.explode(F.transform(F.sequence(F.lit(1), F.lit(30)),
-                                                                    lambda k: F.date_sub("start_date", k))).alias("_d"))
-    s = samples.select("sample_id", d.alias("_d"), PR.map_region(F.coalesce("region", F.lit(""))).alias("region"))
-    j = s.join(exp, ["_d", "region"])
-    return j.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_matches"), F.min_by("name", "seq").alias("first_storm"))
+    lab = PR.label_samples(derive.probe_samples(spark, sf), _storms(spark, sf), 30, counts=True)
+    return lab.where("n_matches > 0").select("sample_id", "n_matches", F.col("storm").alias("first_storm"))
+
+
+@query("j06_lookahead_of_a_year", _labels_sql(365) + "\nSELECT sample_id, n_matches, CAST(label AS BIGINT) AS label, storm FROM lab")
+def j06_year(spark, sf):
+    lab = PR.label_samples(derive.probe_samples(spark, sf), _storms(spark, sf), 365, counts=True)
+    return rounded(lab.select("sample_id", "n_matches", "label", "storm"))
 
 
 @query("p06_filter_date_cutoff", S.EMB + "\nSELECT sample_id, date FROM es WHERE TRY_CAST(date AS DATE) <= DATE '2023-06-30'")

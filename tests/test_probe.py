@@ -33,6 +33,22 @@ def test_lookahead_edges(spark):
                    "s6": (0, None), "s7": (0, None)}
 
 
+@pytest.mark.parametrize("days", [1, 3, 30, 365])
+def test_windows_of_any_width_equal_all_pairs(spark, days):
+    import datetime as dt
+    rnd = np.random.default_rng(days)
+    day = lambda: dt.date(1969, 6, 1) + dt.timedelta(days=int(rnd.integers(0, 900)))  # noqa: E731  days before 1970 as well
+    storms = [(i, f"S{i}", r, day()) for i, r in enumerate(rnd.choice(["South", "West"], 60).tolist())]
+    samples = [(f"s{i}", str(day()), "South" if i % 4 else "West") for i in range(400)]
+    df = spark.createDataFrame(samples, "sample_id string, date string, region string")
+    st = spark.createDataFrame(storms, "seq long, name string, region string, start_date date")
+    got = {r.sample_id: (r.label, r.storm, r.n_matches) for r in PR.label_samples(df, st, days, counts=True).collect()}
+    for k, date, region in samples:
+        d = dt.date.fromisoformat(date)
+        hits = [(q, n) for q, n, r, s in storms if r == region and d < s <= d + dt.timedelta(days=days)]
+        assert got[k] == (int(bool(hits)), min(hits)[1] if hits else None, len(hits))
+
+
 def test_first_storm_in_file_order(spark):
     storms = _storms(spark, [(5, "Late", "West", "Aug 02, 2020", "Aug 03, 2020"),
                              (2, "Early", "West", "Aug 03, 2020", "Aug 04, 2020")])
@@ -95,6 +111,39 @@ def test_logistic_matches_newton(spark):
     assert model.intercept == pytest.approx(w[5], abs=1e-4)
 
 
+def test_folds_fitted_together(spark):
+    """Coefficients of each fold equal a fit of its own; passes do not grow with the folds."""
+    from skycap.operators.newton import fit_folds, predict_folds
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(400, 6))
+    y = (X @ np.array([2.0, -1.0, 0.5, 0.0, 0.3, 1.0]) + rng.normal(scale=0.5, size=400) > 0.8).astype(int)
+    rows = [(i, list(map(float, x)), int(t), i % 5) for i, (x, t) in enumerate(zip(X, y))]
+    df = spark.createDataFrame(rows, "idx long, scaled array<double>, label int, fold int").repartition(4)
+    models, passes = fit_folds(df, [-1, 0, 1, 2, 3, 4])
+    _, one = fit_folds(df, [0])
+    assert passes <= one + 2
+    for m, beta in models.items():
+        keep = np.arange(400) % 5 != m
+        Z, t = np.c_[X, np.ones(400)][keep], y[keep]
+        s = np.where(t == 1, len(t) / (2.0 * t.sum()), len(t) / (2.0 * (len(t) - t.sum())))
+        p = 1 / (1 + np.exp(-Z @ beta))
+        gradient = Z.T @ (s * (p - t)) + np.r_[beta[:6], 0.0]
+        assert np.abs(gradient).max() < 1e-6, m
+    pred = {r.idx: r.predicted_probability for r in predict_folds(df, models).collect()}
+    assert all(np.isclose(pred[i], 1 / (1 + np.exp(-(X[i] @ models[i % 5][:6] + models[i % 5][6])))) for i in range(400))
+    scores = PR.cross_validate(df.drop("fold"), 5, 42).collect()
+    assert sorted(r.fold for r in scores) == [0, 1, 2, 3, 4] and all(0.5 < r.f1 <= 1 for r in scores)
+
+
+def test_folds_of_nothing_and_of_one_class(spark):
+    from skycap.operators.newton import fit_folds
+    schema = "scaled array<double>, label int, fold int"
+    assert fit_folds(spark.createDataFrame([], schema), [0, 1]) == ({}, 0)
+    df = spark.createDataFrame([([1.0, 2.0], 1, 0), ([2.0, 1.0], 1, 1), (None, 1, 0), ([None, 1.0], 0, 1), ([1.0, 1.0], None, 1)], schema)
+    models, _ = fit_folds(df, [0, 1], max_iter=30)
+    assert all(np.isfinite(b).all() for b in models.values()) and len(models) == 2
+
+
 def test_classification_report(spark):
     # tp=3, fp=1, fn=2, tn=4
     rows = [(1, 1)] * 3 + [(0, 1)] + [(1, 0)] * 2 + [(0, 0)] * 4
