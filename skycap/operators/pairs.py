@@ -72,9 +72,3 @@ def block_pairs(queries: DataFrame, cands: DataFrame, kernel: Callable[[pd.DataF
 
 def stack(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
-
-
-def order_desc(sim: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Per-row argsort by similarity descending, id ascending on ties."""
-    idm = np.broadcast_to(ids[None, :], sim.shape)
-    return np.lexsort((idm, -sim), axis=1)

@@ -6,7 +6,7 @@ Every metric is computed exactly from the blocked kernel of
 * Recall@K (exact identity): rank of the true match = 1 + number of
   candidates scoring above it (id breaks ties), summed over blocks.
 * MRR (relevance >= threshold): pass 1 finds the best-scoring relevant
-  candidate, pass 2 counts the candidates above it.
+  candidate; where it is not among the first K, pass 2 counts those above it.
 * nDCG@K: per block top-K by similarity and top-K relevances, merged.
 * Relevance statistics: count / sum / max of positive relevances.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from skycap.functions import parse as P
 from skycap.functions.scoring import Weights, dot, np_relevance, season_index
-from skycap.operators.pairs import block_pairs, order_desc, stack
+from skycap.operators.pairs import block_pairs, stack
 from skycap.session import ensure_checkpoint_dir
 
 DEFAULT_K = [1, 5, 10]
@@ -41,33 +41,45 @@ def parse_features(df: DataFrame, caption: str = "caption") -> DataFrame:
         .otherwise(F.lit(-1)).cast("int").alias("f_season"),
         F.col("_p.avg_temperature").alias("f_temp"),
         (F.array_position(conds, F.col("_p.conditions")) - 1).cast("int").alias("f_cond"),
+        F.xxhash64(F.col(caption)).alias("f_cap1"), F.xxhash64(F.lit(1), F.col(caption)).alias("f_cap2"),
     ).drop("_p")
 
 
-_FEATS = ["f_region", "f_season", "f_temp", "f_cond", "caption"]
+#: What the relevance compares; a caption travels as 128 hash bits, not as text.
+_FEATS = ["f_region", "f_season", "f_temp", "f_cond", "f_cap1", "f_cap2"]
 VECS = ("image_emb", "text_emb")
+#: Similarities equal to so many decimals are ties (the smaller id comes first), whatever a block's shape does to the last bits.
+DECIMALS = 12
 
 
-def _side(df: DataFrame, id_name: str, prefix: str, extra: list[Column] | None = None) -> DataFrame:
-    cols = [F.col("idx").alias(id_name)] + [F.col(v).cast("array<double>").alias(f"{prefix}{v}") for v in VECS]
-    cols += [F.col(c).alias(f"{prefix}{c}") for c in _FEATS]
-    return df.select(*cols, *(extra or []))
+def _side(df: DataFrame, id_name: str, vec: str) -> DataFrame:
+    """One vector and the features of each sample."""
+    return df.select(F.col("idx").alias(id_name), F.col(vec).cast("array<double>").alias("vec"), "self", *_FEATS)
 
 
-def _feat(pdf: pd.DataFrame, prefix: str, id_name: str, codes: dict) -> dict:
+def _feat(pdf: pd.DataFrame, id_name: str, captions: np.ndarray) -> dict:
     return {
         "id": pdf[id_name].to_numpy(np.int64),
-        "region": pdf[f"{prefix}f_region"].to_numpy(np.int64),
-        "season": pdf[f"{prefix}f_season"].to_numpy(np.int64),
-        "temp": pdf[f"{prefix}f_temp"].to_numpy(np.float64, na_value=np.nan),
-        "conditions": pdf[f"{prefix}f_cond"].to_numpy(np.int64),
-        "caption": np.array([codes[c] for c in pdf[f"{prefix}caption"]], dtype=np.int64),
+        "region": pdf["f_region"].to_numpy(np.int64),
+        "season": pdf["f_season"].to_numpy(np.int64),
+        "temp": pdf["f_temp"].to_numpy(np.float64, na_value=np.nan),
+        "conditions": pdf["f_cond"].to_numpy(np.int64),
+        "caption": captions,
     }
 
 
-def _codes(qpdf, cpdf):
-    allcap = pd.concat([qpdf["q_caption"], cpdf["c_caption"]], ignore_index=True)
-    return {c: i for i, c in enumerate(pd.unique(allcap))}
+def _similarities(a: pd.Series, b: pd.Series) -> np.ndarray:
+    return np.round(stack(a) @ stack(b).T, DECIMALS)
+
+
+def top_columns(values: np.ndarray, k: int) -> np.ndarray:
+    """Per row the columns of the k greatest values, greatest first, equal ones by column: a partition and a
+    sort of k, not of the row."""
+    kth = -np.partition(-values, k - 1, axis=1)[:, k - 1:k]
+    above, ties = values > kth, values == kth
+    chosen = above | (ties & (np.cumsum(ties, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    cols = np.nonzero(chosen)[1].reshape(len(values), k)
+    return np.take_along_axis(cols, np.argsort(-np.take_along_axis(values, cols, axis=1), axis=1, kind="stable"), axis=1)
 
 
 PHASE1_SCHEMA = ("dir string, qid long, n long, better_self long, best_sim double, best_cid long, "
@@ -75,72 +87,64 @@ PHASE1_SCHEMA = ("dir string, qid long, n long, better_self long, best_sim doubl
                  "pos_n long, pos_sum double, pos_max double")
 
 
+def _directed(name: str, sim: np.ndarray, rel: np.ndarray, qid: np.ndarray, cid: np.ndarray, qself: np.ndarray,
+              k_max: int, threshold: float) -> pd.DataFrame:
+    """The partials of every row's query; columns are in order of their ids."""
+    nq, k = len(qid), min(k_max, len(cid))
+    rows = np.arange(nq)
+    better = ((sim > qself[:, None]) | ((sim == qself[:, None]) & (cid[None, :] < qid[:, None]))) & (cid[None, :] != qid[:, None])
+    relevant = rel >= threshold
+    first = np.where(relevant, sim, -np.inf).argmax(axis=1)  # of equal ones the smallest id
+    has_rel = relevant[rows, first]
+    top = top_columns(sim, k)
+    pos = rel > 0
+    out = pd.DataFrame({
+        "dir": name, "qid": qid, "n": np.full(nq, len(cid), dtype=np.int64),
+        "better_self": better.sum(axis=1).astype(np.int64),
+        "best_sim": np.where(has_rel, sim[rows, first], np.nan),
+        "best_cid": pd.array(np.where(has_rel, cid[first], 0), dtype="Int64"),
+        "top": [[{"neg_sim": -a, "cid": int(b), "rel": c} for a, b, c in zip(x, y, z)]
+                for x, y, z in zip(sim[rows[:, None], top], cid[top], rel[rows[:, None], top])],
+        "ideal": list(-np.sort(np.partition(-rel, k - 1, axis=1)[:, :k], axis=1)),
+        "pos_n": pos.sum(axis=1).astype(np.int64), "pos_sum": np.where(pos, rel, 0.0).sum(axis=1),
+        "pos_max": np.where(pos.any(axis=1), np.where(pos, rel, -np.inf).max(axis=1), np.nan),
+    })
+    out.loc[~has_rel, "best_cid"] = pd.NA
+    return out
+
+
 def _phase1_kernel(k_max: int, threshold: float, directions: list[tuple[str, str, str]], weights: Weights = Weights()):
-    """Every direction of one block pair in one task; the relevance matrix is
-    computed once (it is symmetric in the two captions)."""
+    """Images of one block against texts of another: one product serves both
+    directions, its rows the images' queries and its columns the texts'."""
+    names = [name for name, *_ in directions]
+
     def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        codes = _codes(qpdf, cpdf)
-        qf, cf = _feat(qpdf, "q_", "qid", codes), _feat(cpdf, "c_", "cid", codes)
+        qpdf, cpdf = qpdf.sort_values("qid"), cpdf.sort_values("cid")
+        keys = np.concatenate([p[["f_cap1", "f_cap2"]].to_numpy(np.int64) for p in (qpdf, cpdf)])
+        codes = np.unique(keys, axis=0, return_inverse=True)[1].reshape(-1)
+        qf, cf = _feat(qpdf, "qid", codes[:len(qpdf)]), _feat(cpdf, "cid", codes[len(qpdf):])
         rel = np_relevance(qf, cf, weights)
-        qid, cid = qf["id"], cf["id"]
-        nq = len(qid)
-        rows = np.arange(nq)
-        qself = qpdf["qself"].to_numpy(np.float64)
-        not_self = cid[None, :] != qid[:, None]
-        relevant = rel >= threshold
-        k = min(k_max, len(cid))
-        ideal = -np.sort(-rel, axis=1)[:, :k]
-        pos = rel > 0
-        pos_n = pos.sum(axis=1).astype(np.int64)
-        pos_sum = np.where(pos, rel, 0.0).sum(axis=1)
-        pos_max = np.where(pos.any(axis=1), np.where(pos, rel, -np.inf).max(axis=1), np.nan)
+        sim = _similarities(qpdf["vec"], cpdf["vec"])
         frames = []
-        for name, qv, cv in directions:
-            sim = stack(qpdf[f"q_{qv}"]) @ stack(cpdf[f"c_{cv}"]).T
-            better = ((sim > qself[:, None]) | ((sim == qself[:, None]) & (cid[None, :] < qid[:, None]))) & not_self
-            first = order_desc(np.where(relevant, sim, -np.inf), cid)[:, 0]
-            has_rel = relevant[rows, first]
-            top = order_desc(sim, cid)[:, :k]
-            top_sim, top_cid, top_rel = sim[rows[:, None], top], cid[top], rel[rows[:, None], top]
-            out = pd.DataFrame({
-                "dir": name, "qid": qid, "n": np.full(nq, len(cid), dtype=np.int64),
-                "better_self": better.sum(axis=1).astype(np.int64),
-                "best_sim": np.where(has_rel, sim[rows, first], np.nan),
-                "best_cid": pd.array(np.where(has_rel, cid[first], 0), dtype="Int64"),
-                "top": [[{"neg_sim": -a, "cid": int(b), "rel": c} for a, b, c in zip(x, y, z)]
-                        for x, y, z in zip(top_sim, top_cid, top_rel)],
-                "ideal": list(ideal), "pos_n": pos_n, "pos_sum": pos_sum, "pos_max": pos_max,
-            })
-            out.loc[~has_rel, "best_cid"] = pd.NA
-            frames.append(out)
+        if I2T[0] in names:
+            frames.append(_directed(I2T[0], sim, rel, qf["id"], cf["id"], qpdf["self"].to_numpy(np.float64), k_max, threshold))
+        if T2I[0] in names:
+            frames.append(_directed(T2I[0], np.ascontiguousarray(sim.T), np.ascontiguousarray(rel.T), cf["id"], qf["id"],
+                                    cpdf["self"].to_numpy(np.float64), k_max, threshold))
         return pd.concat(frames, ignore_index=True)
 
     return kernel
 
 
-PHASE2_SCHEMA = "dir string, qid long, above_best long"
+PHASE2_SCHEMA = "qid long, above_best long"
 
 
-def _phase2_kernel(directions: list[tuple[str, str, str]]):
-    def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        cid = cpdf["cid"].to_numpy(np.int64)
-        frames = []
-        for name, qv, cv in directions:
-            sub = qpdf[qpdf[f"b_cid_{name}"].notna()]
-            if len(sub) == 0:
-                continue
-            sim = stack(sub[f"q_{qv}"]) @ stack(cpdf[f"c_{cv}"]).T
-            bs = sub[f"b_sim_{name}"].to_numpy(np.float64)[:, None]
-            bc = sub[f"b_cid_{name}"].to_numpy(np.int64)[:, None]
-            above = ((sim > bs) | ((sim == bs) & (cid[None, :] < bc))) & (cid[None, :] != bc)
-            frames.append(pd.DataFrame({"dir": name, "qid": sub["qid"].to_numpy(np.int64),
-                                        "above_best": above.sum(axis=1).astype(np.int64)}))
-        if not frames:
-            return pd.DataFrame({"dir": pd.Series(dtype=str), "qid": pd.Series(dtype=np.int64),
-                                 "above_best": pd.Series(dtype=np.int64)})
-        return pd.concat(frames, ignore_index=True)
-
-    return kernel
+def _phase2_kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+    cid = cpdf["cid"].to_numpy(np.int64)
+    sim = _similarities(qpdf["vec"], cpdf["vec"])
+    bs, bc = qpdf["best_sim"].to_numpy(np.float64)[:, None], qpdf["best_cid"].to_numpy(np.int64)[:, None]
+    above = ((sim > bs) | ((sim == bs) & (cid[None, :] < bc))) & (cid[None, :] != bc)
+    return pd.DataFrame({"qid": qpdf["qid"].to_numpy(np.int64), "above_best": above.sum(axis=1).astype(np.int64)})
 
 
 def materialise_samples(samples: DataFrame) -> DataFrame:
@@ -148,7 +152,7 @@ def materialise_samples(samples: DataFrame) -> DataFrame:
     once: every later pass reads it instead of re-deriving and re-parsing, and
     lineage stays short."""
     ensure_checkpoint_dir(samples.sparkSession)
-    return samples.select("idx", *VECS, *_FEATS).checkpoint(eager=True)
+    return samples.select("idx", *VECS, F.round(dot("image_emb", "text_emb"), DECIMALS).alias("self"), *_FEATS).checkpoint(eager=True)
 
 
 I2T = ("i2t", "image_emb", "text_emb")
@@ -156,23 +160,20 @@ T2I = ("t2i", "text_emb", "image_emb")
 
 
 def ranked_partials(samples: DataFrame, directions: list[tuple[str, str, str]] | None = None, *, k_max: int = 10,
-                    threshold: float = 0.8, block_rows: int | None = None, materialise: bool = True,
-                    weights: Weights = Weights()) -> DataFrame:
-    """Per-(direction, query) merged partials from two block-pair passes that
-    serve all directions at once.
+                    threshold: float = 0.8, block_rows: int | None = None, weights: Weights = Weights()) -> DataFrame:
+    """Per-(direction, query) merged partials: one block-pair pass that serves
+    both directions, and a second one only for the queries whose best relevant
+    candidate is not among their first ``k_max`` (else its place there is its rank).
 
     ``samples`` needs ``idx``, ``image_emb``, ``text_emb`` and parse features
     (``parse_features``).  Output: dir, qid, n, rank_true, rank_first_rel, top
     (K best (neg_sim, cid, rel), best first), ideal (K best relevances),
     pos_n, pos_sum, pos_max."""
     directions = directions or [I2T]
-    if materialise:
-        samples = materialise_samples(samples)
+    samples = materialise_samples(samples)
     n = samples.count()
-    q = _side(samples, "qid", "q_", [dot("image_emb", "text_emb").alias("qself")])
-    c = _side(samples, "cid", "c_")
-    part = block_pairs(q, c, _phase1_kernel(k_max, threshold, directions, weights), PHASE1_SCHEMA, block_rows=block_rows,
-                       q_rows=n, c_rows=n)
+    part = block_pairs(_side(samples, "qid", "image_emb"), _side(samples, "cid", "text_emb"),
+                       _phase1_kernel(k_max, threshold, directions, weights), PHASE1_SCHEMA, block_rows=block_rows, q_rows=n, c_rows=n)
     merged = part.groupBy("dir", "qid").agg(
         F.sum("n").alias("n"),
         (F.sum("better_self") + 1).alias("rank_true"),
@@ -181,19 +182,24 @@ def ranked_partials(samples: DataFrame, directions: list[tuple[str, str, str]] |
         F.slice(F.sort_array(F.flatten(F.collect_list("ideal")), asc=False), 1, k_max).alias("ideal"),
         F.sum("pos_n").alias("pos_n"), F.sum("pos_sum").alias("pos_sum"), F.max("pos_max").alias("pos_max"),
     ).select("*", F.col("_best.best_sim").alias("best_sim"), (-F.col("_best.neg_cid")).alias("best_cid")).drop("_best")
-    ensure_checkpoint_dir(samples.sparkSession)
-    merged = merged.checkpoint(eager=True)  # reused by pass 2 and the output
-    best = merged.groupBy("qid").agg(*[
-        x for name, _, _ in directions for x in (
-            F.max(F.when(F.col("dir") == name, F.col("best_sim"))).alias(f"b_sim_{name}"),
-            F.max(F.when(F.col("dir") == name, F.col("best_cid"))).alias(f"b_cid_{name}"))])
-    q2 = best.join(samples.select(F.col("idx").alias("qid"), *[F.col(v).cast("array<double>").alias(f"q_{v}") for v in VECS]), "qid")
-    c2 = samples.select(F.col("idx").alias("cid"), *[F.col(v).cast("array<double>").alias(f"c_{v}") for v in VECS])
-    above = block_pairs(q2, c2, _phase2_kernel(directions), PHASE2_SCHEMA, block_rows=block_rows, q_rows=n, c_rows=n)
-    above = above.groupBy("dir", "qid").agg(F.sum("above_best").alias("above_best"))
-    return (merged.join(above, ["dir", "qid"], "left")
-            .withColumn("rank_first_rel", F.when(F.col("best_cid").isNotNull(), F.col("above_best") + 1))
-            .drop("above_best", "best_sim", "best_cid"))
+    place = F.array_position(F.transform("top", lambda t: t["cid"]), F.col("best_cid"))
+    merged = merged.withColumn("_place", F.nullif(place, F.lit(0))).checkpoint(eager=True)  # reused by pass 2 and the output
+    beyond = merged.where(F.col("best_cid").isNotNull() & F.col("_place").isNull())
+    left = {r["dir"]: r["count"] for r in beyond.groupBy("dir").count().collect()}
+    counted = None
+    for name, qv, cv in directions:
+        if name not in left:
+            continue
+        vec = lambda v, key: samples.select(F.col("idx").alias(key), F.col(v).cast("array<double>").alias("vec"))
+        q = beyond.where(F.col("dir") == name).select("qid", "best_sim", "best_cid").join(vec(qv, "qid"), "qid")
+        above = block_pairs(q, vec(cv, "cid"), _phase2_kernel, PHASE2_SCHEMA, block_rows=block_rows, q_rows=left[name], c_rows=n)
+        above = above.groupBy("qid").agg(F.sum("above_best").alias("above_best")).withColumn("dir", F.lit(name))
+        counted = above if counted is None else counted.unionByName(above)
+    if counted is None:
+        merged = merged.withColumn("above_best", F.lit(None).cast("long"))
+    else:
+        merged = merged.join(counted, ["dir", "qid"], "left")
+    return merged.withColumn("rank_first_rel", F.coalesce("_place", F.col("above_best") + 1)).drop("above_best", "best_sim", "best_cid", "_place")
 
 
 # --- per-query metrics ------------------------------------------------------
@@ -231,7 +237,7 @@ def graded_recall(partials: DataFrame, k_values: list[int] | None = None, thresh
 def retrieval_report(samples: DataFrame, *, k_values=None, threshold: float = 0.8, block_rows: int | None = None) -> DataFrame:
     """a18: Recall@k, MRR and nDCG@{5,10} for image->text and text->image and
     their means, as one row (``k_values`` honoured).  Both directions share
-    the same two block-pair passes."""
+    the same products."""
     k_values = k_values or DEFAULT_K
     k_max = max(k_values + [5, 10])
     metric_names = [f"recall_at_{k}" for k in k_values] + ["mrr", "ndcg_at_5", "ndcg_at_10"]

@@ -91,6 +91,26 @@ def test_retrieval_report_matches_brute_force(spark, samples):
             assert rep[f"{tag}_{name}"] == pytest.approx(v, abs=1e-9), (tag, name)
 
 
+def test_top_columns_with_ties():
+    rnd = np.random.default_rng(2)
+    for k in (1, 3, 7):
+        x = rnd.integers(0, 4, (50, 7)).astype(float)
+        assert (R.top_columns(x, k) == np.lexsort((np.broadcast_to(np.arange(7), x.shape), -x), axis=1)[:, :k]).all()
+
+
+def test_rank_of_first_relevant_beyond_the_first_k(spark, samples):
+    """With few places a second pass counts; the ranks are those found with many, also among equal vectors."""
+    feats, _ = samples
+    shifted = feats.where("idx < 40").withColumn("idx", F.col("idx") + 100_000)  # same vectors and captions, other ids
+    both = feats.unionByName(shifted)  # every other image looks away from its own text
+    both = both.withColumn("image_emb", F.transform("image_emb", lambda x: F.when(F.col("idx") % 2 == 0, -x).otherwise(x)))
+    rows = lambda k: {(r.dir, r.qid): (r.rank_true, r.rank_first_rel, r.pos_n)
+                      for r in R.ranked_partials(both, [R.I2T, R.T2I], k_max=k, block_rows=70).collect()}
+    few, many = rows(1), rows(1000)
+    assert few == many and len(few) == 2 * both.count()
+    assert any(first is not None and first > 1 for _, first, _ in few.values())
+
+
 def test_silhouette_and_neighbours(spark, sf):
     s = derive.emb_samples(spark, sf).select("idx", F.col("label").cast("long").alias("cluster"),
                                              F.col("image_emb").cast("array<double>").alias("x"))
