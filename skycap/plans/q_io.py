@@ -78,10 +78,10 @@ def s07b(spark, sf):
     """The dataset reader's rule: first existing candidate, else the path as it is."""
     base, _, listing = _jsonl(spark, sf)
     rec = spark.read.schema(RECORD_SCHEMA).json(f"{base}/data.jsonl").where(F.col("sample_id").isNotNull())
-    hit = RC.resolve_first_existing(rec, RC.dataset_image_path(F.col("image_path"), None, base), listing, key="sample_id")
+    hit = RC.resolve_first_existing(rec, RC.dataset_image_path(F.col("image_path"), None, base), listing)
     via = (F.when(F.col("resolved_image_path").isNull(), "as_given")
            .when(F.col("image_path").contains("/"), "jsonl_dir").otherwise("images_dir"))
-    return rec.join(hit, "sample_id", "left").select("sample_id", via.alias("resolved_via"))
+    return hit.select("sample_id", via.alias("resolved_via"))
 
 
 @query("j05_image_exists", RULES + """

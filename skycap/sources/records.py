@@ -92,22 +92,23 @@ def read_records_required(lines: DataFrame, listing: DataFrame, jsonl_dir: str,
     primary = F.when(F.col("image_path").startswith("/"), F.col("image_path")).otherwise(
         F.concat(F.lit(jsonl_dir.rstrip("/") + "/"), F.col("image_path")))
     fallback = F.concat(F.lit(images_dir.rstrip("/") + "/"), F.col("image_filename"))
-    resolved = resolve_first_existing(ok, [primary, fallback], listing, key="value")
-    ok = ok.join(resolved, "value", "left")
+    ok = resolve_first_existing(ok, [primary, fallback], listing)
     good = ok.where(F.col("resolved_image_path").isNotNull()).withColumn("season", C.season_from_date(F.col("date")))
     missing = ok.where(F.col("resolved_image_path").isNull()).select(F.col("value").alias("line"), F.lit("image_missing").alias("reason"))
     rejects = df.where(F.col("reason").isNotNull()).select(F.col("value").alias("line"), "reason").unionByName(missing)
     return good.drop("value"), rejects
 
 
-def resolve_first_existing(df: DataFrame, candidates: list[Column], listing: DataFrame, key: str) -> DataFrame:
-    """s07: first candidate path (in list order) present in the listing.
-    Candidates are exploded with their position and equi-joined to the file
-    listing; ``min_by`` keeps the earliest hit.  Output (key, resolved_image_path)."""
-    arr = F.array(*candidates)
-    c = df.select(key, F.posexplode(arr).alias("pos", "path"))
-    hits = c.join(listing.select("path").distinct(), "path")
-    return hits.groupBy(key).agg(F.min_by("path", "pos").alias("resolved_image_path"))
+def resolve_first_existing(df: DataFrame, candidates: list[Column], listing: DataFrame) -> DataFrame:
+    """s07: df with ``resolved_image_path``, the first candidate path (in list order) that the listing holds, or null.
+    Each candidate is one left join with the distinct paths: rows need no key of their own, and equal rows stay."""
+    files = listing.select("path").distinct()
+    names = [f"_found{i}" for i in range(len(candidates))]
+    out = df.select("*", *[c.alias(f"_try{i}") for i, c in enumerate(candidates)])
+    for i, name in enumerate(names):
+        out = out.join(files.select(F.col("path").alias(name)), F.col(f"_try{i}") == F.col(name), "left")
+    out = out.withColumn("resolved_image_path", F.coalesce(*names))
+    return out.drop(*names, *[f"_try{i}" for i in range(len(candidates))])
 
 
 def dataset_image_path(image_path: Column, base_path: str | None, jsonl_dir: str, listing: DataFrame | None = None) -> list[Column]:

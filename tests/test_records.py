@@ -70,3 +70,12 @@ def test_embedding_store_forms(spark, tmp_path):
         RC.save_embeddings(df, str(tmp_path / "x"), "pickle")
     with pytest.raises(ValueError, match="Unknown load format"):
         RC.load_embeddings(spark, str(tmp_path / "json"), "pickle")
+
+
+def test_equal_lines_and_null_paths_stay(spark, tmp_path):
+    """Equal lines are rows of their own; the first candidate wins; a null path finds nothing; no row key in the plan."""
+    base = str(tmp_path)
+    listing = spark.createDataFrame([(f"{base}/images/a.png",), (f"{base}/images/a.png",), (f"{base}/other/a.png",)], "path string")
+    good, rejects = RC.read_records_required(_lines(spark, [GOOD, GOOD, dict(GOOD, image_path=None)]), listing, base, f"{base}/other")
+    assert [r.resolved_image_path for r in good.collect()] == [f"{base}/images/a.png"] * 2
+    assert [r.reason for r in rejects.collect()] == ["image_missing"]
