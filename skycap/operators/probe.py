@@ -128,11 +128,10 @@ def stratified_split(df: DataFrame, label: str = "label", test_size: float = 0.2
     first in seeded order.  Positions come from running counts over range
     partitions, so a dominant class is not sorted in one task."""
     h = df.withColumn("_h", split_hash(F.col(id_col), seed))
-    counts = h.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     keyed = h.withColumn("_key", F.col(label).cast("double") * F.lit(4294967296.0) + F.col("_h").cast("double"))
     pos = dense_positions(keyed, ["_key", id_col], "_gpos")
-    first = counts.withColumn("_one", F.lit(1))
-    offsets = running_sums(first, label, ["_n"], bounded=True).select(label, "_n", (F.col("cum__n") - F.col("_n")).alias("_off"))
+    counts = pos.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # of the written rows: the input runs once
+    offsets = running_sums(counts, label, ["_n"], bounded=True).select(label, "_n", (F.col("cum__n") - F.col("_n")).alias("_off"))
     out = pos.join(F.broadcast(offsets), label)
     n_test = F.round(F.lit(test_size) * F.col("_n"))
     return out.withColumn("is_test", (F.col("_gpos") - F.col("_off")) < n_test).drop("_h", "_key", "_gpos", "_n", "_off")
@@ -309,7 +308,7 @@ def fold_assignment(df: DataFrame, folds: int = 5, seed: int = 43, label: str =
     h = df.withColumn("_h", split_hash(F.col(id_col), seed))
     keyed = h.withColumn("_key", F.col(label).cast("double") * F.lit(4294967296.0) + F.col("_h").cast("double"))
     pos = dense_positions(keyed, ["_key", id_col], "_gpos")
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    counts = pos.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     offsets = running_sums(counts, label, ["_n"], bounded=True).select(label, (F.col("cum__n") - F.col("_n")).alias("_off"))
     out = pos.join(F.broadcast(offsets), label).withColumn("fold", ((F.col("_gpos") - F.col("_off")) % folds).cast("int"))
     return out.drop("_h", "_key", "_gpos", "_off")
