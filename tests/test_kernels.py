@@ -283,3 +283,25 @@ def test_scorer_with_other_weights(spark):
         got = [r[0] for r in df.select(M.weather_similarity("x", "y", w)).collect()]
         assert got == pytest.approx(M.np_relevance(feats([a], [0]), feats(others, [1, 2, 3]), w)[0].tolist())
     assert M.Weights().total == M.MAX_TOTAL_WEIGHT
+
+
+def test_silhouette_of_many_blocks(spark):
+    """Arrays of sums over many block pairs, the rows for more clusters than fit an array, repeated ids and no label."""
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(90, 3))
+    rows = [(i % 80, x[i % 80].tolist(), None if i == 7 else i % 80 % 4, i % 80 % 9) for i in range(90)]
+    df = spark.createDataFrame(rows, "idx long, x array<double>, a long, b long")
+    got = {(r.qid, r.which): r.silhouette for r in CL.silhouette_points(df, ["a", "b"], block_rows=20).collect()}
+    assert len(got) == 160 and got[7, 0] == 0.0
+    ids, b = np.arange(90) % 80, np.arange(90) % 80 % 9
+    for i in range(80):
+        d = np.sqrt(((x[ids] - x[i]) ** 2).sum(axis=1))
+        mean = {c: d[(b == c) & (ids != i)].mean() for c in range(9)}
+        near = min(v for c, v in mean.items() if c != i % 9)
+        assert got[i, 1] == pytest.approx((near - mean[i % 9]) / max(near, mean[i % 9]))
+    once = df.where("idx >= 10")
+    rows = {(r.qid, r.which): r.silhouette for r in CL._silhouette_rows(once, ["a", "b"], "x", "idx", 20).collect()}
+    assert rows == pytest.approx({(r.qid, r.which): r.silhouette for r in CL.silhouette_points(once, ["a", "b"], block_rows=20).collect()})
+    # an array of sums a point and block pair, not a row for every cluster
+    many = CL.silhouette_points(df, ["a", "b"], block_rows=20)
+    assert "SortMergeJoin" not in many._jdf.queryExecution().executedPlan().toString()
