@@ -6,9 +6,11 @@ merge are exercised, not just the single-block path."""
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from skycap.functions.scoring import Weights, np_relevance
 from skycap.operators import cluster as CL
 from skycap.operators import retrieval as R
 from skycap.plans import derive
@@ -305,3 +307,40 @@ def test_silhouette_of_many_blocks(spark):
     # an array of sums a point and block pair, not a row for every cluster
     many = CL.silhouette_points(df, ["a", "b"], block_rows=20)
     assert "SortMergeJoin" not in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tiles_of_relevance_and_partials():
+    """Tiles equal the relevance of whole blocks to the last bit, and partials over many tiles those over one."""
+    rnd = np.random.default_rng(2)
+
+    def side(key, n):
+        x = np.round(rnd.normal(size=(n, 3)), 1)
+        return pd.DataFrame({key: rnd.permutation(n), "vec": list(x), "self": np.round(rnd.normal(size=n), 1), "f_region": rnd.integers(-1, 3, n),
+                             "f_season": rnd.integers(-1, 4, n), "f_temp": np.where(rnd.random(n) < 0.2, np.nan, np.round(rnd.normal(size=n) * 4, 1)),
+                             "f_cond": rnd.integers(-1, 3, n), "f_cap1": rnd.integers(0, 40, n), "f_cap2": 0})
+
+    q, c = side("qid", 90), side("cid", 70)
+    feats = lambda p: {"region": p.f_region.to_numpy(), "season": p.f_season.to_numpy(), "temp": p.f_temp.to_numpy(),
+                       "conditions": p.f_cond.to_numpy()}
+    want = {**feats(q), "id": np.full(90, -1), "caption": np.full(90, -1)}, {**feats(c), "id": np.full(70, -2), "caption": np.full(70, -2)}
+    tile = R._Relevances(R._Feats(q), R._Feats(c), Weights()).tile(slice(10, 60), slice(5, 70))
+    assert (tile == np_relevance(*want)[10:60, 5:70]).all()
+    kernel = R._phase1_kernel(10, 0.8, [R.I2T, R.T2I])
+    one = kernel(q, c)
+    before, R.TILE = R.TILE, 16
+    try:
+        many = kernel(q, c)
+    finally:
+        R.TILE = before
+    for a, b in zip(one.to_dict("records"), many.to_dict("records")):
+        assert list(a.pop("ideal")) == list(b.pop("ideal"))
+        assert a.pop("pos_sum") == pytest.approx(b.pop("pos_sum"))
+        assert str(a) == str(b)
+    sim = np.round(np.stack(c.sort_values("cid").vec) @ np.stack(q.sort_values("qid").vec).T, R.DECIMALS)
+    t2i = one[one.dir == "t2i"].reset_index(drop=True)
+    own = c.sort_values("cid").self.to_numpy()
+    for r in range(70):
+        cols = np.arange(90)
+        assert t2i.better_self[r] == ((cols != r) & ((sim[r] > own[r]) | ((sim[r] == own[r]) & (cols < r)))).sum()
+        order = np.lexsort((cols, -sim[r]))[:10]
+        assert [x["cid"] for x in t2i.top[r]] == order.tolist()
