@@ -344,3 +344,33 @@ def test_tiles_of_relevance_and_partials():
         assert t2i.better_self[r] == ((cols != r) & ((sim[r] > own[r]) | ((sim[r] == own[r]) & (cols < r)))).sum()
         order = np.lexsort((cols, -sim[r]))[:10]
         assert [x["cid"] for x in t2i.top[r]] == order.tolist()
+
+
+def test_relevances_only_where_they_are_needed(spark):
+    """The pass over all pairs looks relevances up one by one; statistics over all pairs come from classes of equal
+    features, each counted as often as it has rows, and equal those of the pass that scores every pair."""
+    rnd = np.random.default_rng(4)
+    n, k = 150, 5
+    kind = rnd.integers(0, 30, 80)[(cap := rnd.integers(0, 80, n))]  # several captions a class, several rows a caption
+    x, y = np.round(rnd.normal(size=(2, n, 3)), 1)
+    pdf = pd.DataFrame({"idx": rnd.permutation(n), "image_emb": list(x), "text_emb": list(y), "self": np.round((x * y).sum(axis=1), R.DECIMALS),
+                        "f_region": kind % 4 - 1, "f_season": kind % 5 - 1, "f_temp": np.where(kind % 7 == 0, np.nan, kind % 11 / 2),
+                        "f_cond": kind % 3 - 1, "f_cap1": cap, "f_cap2": 0})
+    side = lambda key, v: pdf.rename(columns={"idx": key, v: "vec"})[[key, "vec", "self", *R._FEATS]]
+    args = side("qid", "image_emb"), side("cid", "text_emb")
+    full = R._phase1_kernel(k, 0.8, [R.I2T, R.T2I])(*args)
+    before = R._Relevances.tile
+    R._Relevances.tile = None  # no tile of relevances is made
+    try:
+        lean = R._phase1_kernel(k, 0.8, [R.I2T, R.T2I], relevance=False)(*args)
+    finally:
+        R._Relevances.tile = before
+    assert lean.astype(str).equals(full[lean.columns].astype(str))
+    one = full[full.dir == "i2t"].set_index("qid")
+    rows = spark.createDataFrame(pdf.drop(columns=["image_emb", "text_emb"])).withColumn("f_temp", F.nanvl("f_temp", F.lit(None).cast("double")))
+    got = {r.qid: r for r in R._relevance_rows(rows, k, Weights()).collect()}
+    assert set(got) == set(one.index)
+    for q, r in got.items():
+        w = one.loc[q]
+        assert r.ideal == pytest.approx(list(w.ideal)) and r.pos_n == w.pos_n and r.pos_max == w.pos_max
+        assert r.pos_sum == pytest.approx(w.pos_sum)
