@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skycap.operators.pairs import auto_block_rows, n_blocks, stack
+from skycap.operators.pairs import TILED_BLOCK_ROWS, auto_block_rows, n_blocks, stack
 from skycap.session import ensure_checkpoint_dir, ship_package
 
 MAX_PIVOTS = 1024
@@ -52,7 +52,7 @@ class Cells:
         ensure_checkpoint_dir(self.spark)
         ship_package(self.spark)
         n = points.count() if n_rows is None else n_rows
-        self.block_rows = block_rows or auto_block_rows(n, self.spark.sparkContext.defaultParallelism)
+        self.block_rows = block_rows or auto_block_rows(n, 2 * self.spark.sparkContext.defaultParallelism, TILED_BLOCK_ROWS)
         self.radius = float(np.sqrt(2.0 * max(0.0, eps))) + SLACK
         some = points.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(min(MAX_PIVOTS, n_blocks(n, self.block_rows))).select("v").collect()
         self.pivots = np.unique(unit(np.array([r.v for r in some], float)), axis=0) if some else np.zeros((0, 1))
@@ -124,30 +124,40 @@ class Cells:
         return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(run, schema)
 
 
-def within(qpdf: pd.DataFrame, cpdf: pd.DataFrame, eps: float) -> np.ndarray:
-    return (1.0 - unit(stack(qpdf["v"])) @ unit(stack(cpdf["v"])).T) <= eps
+#: Rows of a block that are scored against the other block at once.
+STRIP = 256
+
+
+def strips(qpdf: pd.DataFrame, cpdf: pd.DataFrame, eps: float):
+    """(rows of the queries, which candidates are within eps of each), strip by strip."""
+    x, y = unit(stack(qpdf["v"])), unit(stack(cpdf["v"]))
+    for lo in range(0, len(x), STRIP):
+        yield slice(lo, lo + STRIP), (1.0 - x[lo:lo + STRIP] @ y.T) <= eps
 
 
 def count_kernel(eps: float):
     def kernel(qpdf, cpdf):
-        return pd.DataFrame({"id": qpdf["id"].to_numpy(np.int64), "n": within(qpdf, cpdf, eps).sum(axis=1).astype(np.int64)})
+        n = np.concatenate([near.sum(axis=1) for _, near in strips(qpdf, cpdf, eps)])
+        return pd.DataFrame({"id": qpdf["id"].to_numpy(np.int64), "n": n.astype(np.int64)})
     return kernel
 
 
 def forest_kernel(eps: float):
     """Links of one block pair as stars: every node to the least id that it is connected
-    with, by rounds of least labels over whole rows and columns."""
+    with, by rounds of least labels over whole rows and columns; links are kept as bits."""
     def kernel(qpdf, cpdf):
-        near = within(qpdf, cpdf, eps)
+        links = [(s, np.packbits(near, axis=1)) for s, near in strips(qpdf, cpdf, eps)]
         qid, cid = qpdf["id"].to_numpy(np.int64), cpdf["id"].to_numpy(np.int64)
         nodes = np.unique(np.concatenate([qid, cid]))
         qi, ci = np.searchsorted(nodes, qid), np.searchsorted(nodes, cid)
-        label = np.arange(len(nodes))
-        none = len(nodes)
+        label = np.arange(len(nodes), dtype=np.int32)
+        none = np.int32(len(nodes))
         while True:
             before = label.copy()
-            np.minimum.at(label, qi, np.where(near, label[ci][None, :], none).min(axis=1))
-            np.minimum.at(label, ci, np.where(near, label[qi][:, None], none).min(axis=0))
+            for s, bits in links:
+                near = np.unpackbits(bits, axis=1, count=len(cid)).view(bool)
+                np.minimum.at(label, qi[s], np.where(near, label[ci][None, :], none).min(axis=1))
+                np.minimum.at(label, ci, np.where(near, label[qi[s]][:, None], none).min(axis=0))
             label = label[label]
             if (label == before).all():
                 break
@@ -158,9 +168,9 @@ def forest_kernel(eps: float):
 
 def least_label_kernel(eps: float):
     def kernel(qpdf, cpdf):
-        near = within(qpdf, cpdf, eps)
         none = np.iinfo(np.int64).max
-        best = np.where(near, cpdf["label"].to_numpy(np.int64)[None, :], none).min(axis=1)
+        labels = cpdf["label"].to_numpy(np.int64)[None, :]
+        best = np.concatenate([np.where(near, labels, none).min(axis=1) for _, near in strips(qpdf, cpdf, eps)])
         keep = best != none
         return pd.DataFrame({"id": qpdf["id"].to_numpy(np.int64)[keep], "label": best[keep]})
     return kernel

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skycap.functions.scoring import Weights, np_relevance
+from skycap.operators import cells as CE
 from skycap.operators import cluster as CL
 from skycap.operators import retrieval as R
 from skycap.plans import derive
@@ -374,3 +375,29 @@ def test_relevances_only_where_they_are_needed(spark):
         w = one.loc[q]
         assert r.ideal == pytest.approx(list(w.ideal)) and r.pos_n == w.pos_n and r.pos_max == w.pos_max
         assert r.pos_sum == pytest.approx(w.pos_sum)
+
+
+def test_cells_by_strips():
+    """Blocks of many strips: counts, links and labels are those of the whole matrix, which is never held."""
+    rnd = np.random.default_rng(8)
+    v = np.concatenate([rnd.normal(size=(9, 4))[rnd.integers(0, 9, 500)] + 0.05 * rnd.normal(size=(500, 4)), rnd.normal(size=(100, 4))])
+    q = pd.DataFrame({"id": rnd.permutation(600), "v": list(v)})
+    c = q.sample(frac=0.7, random_state=1).assign(label=lambda d: d["id"] % 13)
+    x, y = CE.unit(np.stack(q.v)), CE.unit(np.stack(c.v))
+    near = (1.0 - x @ y.T) <= 0.01
+    assert len(list(CE.strips(q, c, 0.01))) == 3
+    assert (CE.count_kernel(0.01)(q, c).n == near.sum(axis=1)).all()
+    want = np.where(near, c.label.to_numpy()[None, :], 99).min(axis=1)
+    got = CE.least_label_kernel(0.01)(q, c).set_index("id").label
+    assert all(got.get(i, 99) == w for i, w in zip(q["id"], want))
+    least = {i: i for i in q["id"]}
+    links = [(q["id"][i], c["id"].to_numpy()[j]) for i, j in zip(*np.nonzero(near))]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(least[a], least[b])
+            changed |= least[a] != m or least[b] != m
+            least[a] = least[b] = m
+    stars = CE.forest_kernel(0.01)(q, c)
+    assert dict(zip(stars.src, stars.dst)) == {i: m for i, m in least.items() if m != i}
