@@ -52,7 +52,7 @@ class Cells:
         ensure_checkpoint_dir(self.spark)
         ship_package(self.spark)
         n = points.count() if n_rows is None else n_rows
-        self.block_rows = block_rows or auto_block_rows(n, 2 * self.spark.sparkContext.defaultParallelism, TILED_BLOCK_ROWS)
+        self.block_rows = block_rows or auto_block_rows(n, self.spark.sparkContext.defaultParallelism, TILED_BLOCK_ROWS)
         self.radius = float(np.sqrt(2.0 * max(0.0, eps))) + SLACK
         some = points.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(min(MAX_PIVOTS, n_blocks(n, self.block_rows))).select("v").collect()
         self.pivots = np.unique(unit(np.array([r.v for r in some], float)), axis=0) if some else np.zeros((0, 1))
