@@ -175,7 +175,7 @@ def _selected_statistics(tagged: DataFrame, keys: list[str], value: str, with_ma
     rows = tagged.select(*keys, value).checkpoint(eager=True)
     moments = rows.groupBy(*keys).agg(*[a for i, a in enumerate(_stat_aggs(value, "approx")) if i != 7])
     names = ("median", "percentile_25", "percentile_75", "percentile_90", "percentile_95")
-    q = exact_quantiles(rows, keys, value, PERCENTILES, "_pct").select(*keys, *[F.get("_pct", i).alias(n) for i, n in enumerate(names)])
+    q = exact_quantiles(rows, keys, value, PERCENTILES, "_pct", written=True).select(*keys, *[F.get("_pct", i).alias(n) for i, n in enumerate(names)])
     q = q.checkpoint(eager=True)
     out = moments.join(q, keys, "left")
     if not with_mad:

@@ -101,17 +101,19 @@ def _ranked(values: DataFrame, wanted: DataFrame, keys: list[str], most: int, sm
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], out: str = "quantiles",
-                    small: int = SMALL) -> DataFrame:
+                    small: int = SMALL, written: bool = False) -> DataFrame:
     """keys and ``out``: array of the interpolated quantiles of the non-null values of each group, equal to
-    ``percentile``.  A group without values has no row.  The rows are written once to the checkpoint folder;
-    ``keys`` may be empty or null; NaN counts as the greatest value."""
+    ``percentile``.  A group without values has no row.  The rows are written once to the checkpoint folder,
+    unless ``written`` says that they come from there; ``keys`` may be empty or null; NaN counts as the greatest value."""
     ensure_checkpoint_dir(df.sparkSession)
     own = [f"_g{i}" for i in range(len(keys))]
     if not keys:
         own, keys_in = ["_g0"], [F.lit(0).alias("_g0")]
     else:
         keys_in = [F.col(f"`{k}`").alias(o) for k, o in zip(keys, own)]
-    values = df.select(*keys_in, F.col(f"`{value}`").cast("double").alias("_v")).where(F.col("_v").isNotNull()).checkpoint(eager=True)
+    values = df.select(*keys_in, F.col(f"`{value}`").cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if not written:
+        values = values.checkpoint(eager=True)
     pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
     ranks = [f(x).cast("long") for x in pos for f in (F.floor, F.ceil)]
     sizes = values.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).checkpoint(eager=True)

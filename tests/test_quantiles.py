@@ -55,3 +55,14 @@ def test_field_statistics_by_selection(spark, sf):
     for k, e in exact.items():
         for c in G.STAT_COLUMNS + ["count_valid", "count_missing"]:
             assert chosen[k][c] == (e[c] if e[c] is None else pytest.approx(e[c], abs=1e-9)), (k, c)
+
+
+def test_written_values_are_not_written_again(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 3, float(i * i % 101)) for i in range(400)], "g long, x double")
+    frame, wrote = type(df), []
+    plain = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, **k: (wrote.append(self.columns), plain(self, *a, **k))[1])
+    got = {r.g: r.quantiles for r in exact_quantiles(df, ["g"], "x", PROBS, written=True).collect()}
+    assert ["_g0", "_v"] not in wrote
+    for g, q in got.items():
+        assert q == pytest.approx(np.percentile([i * i % 101 for i in range(g, 400, 3)], [100 * p for p in PROBS]))
