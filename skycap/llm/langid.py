@@ -204,15 +204,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         scorer = C.worker_slot(shared.value, lambda: Scorer(shared.value))
         for b in batches:
-            texts = b.column(text).to_pylist()
+            column = b.column(text)
+            lengths = pa.compute.utf8_length(column).fill_null(0).to_pylist()
             names, best = [], []
-            for lo, hi in slices([t or "" for t in texts]):
-                n, s = predict(scorer, texts[lo:hi])
+            for lo, hi in slices(list(map(range, lengths))):  # of texts of these lengths
+                n, s = predict(scorer, column.slice(lo, hi - lo).to_pylist())
                 names += n
                 best.append(s)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(names, pa.string()), pa.array(np.concatenate(best) if best else [], pa.float64())],
                 [*b.schema.names, "lang_pred", "score"])
+        C.give_back()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)

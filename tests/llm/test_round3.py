@@ -5,10 +5,13 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from skycap.llm import common as C
 from skycap.llm import components, jaccard_join, langid, packing, pii, quality
 
 
@@ -118,3 +121,14 @@ def test_pipeline_keeps_clashing_columns(spark, sf, small):
         assert docs.columns == columns
     rows = docs.collect()
     assert rows and all((r["score"], r["k1"], r["kept"], r["a.b"], r["lang_pred"], r["doc"], r["row"]) == (-5.0, "x", "y", 7, "p", 1, 2) for r in rows)
+
+
+def test_first_of_each_in_pieces():
+    """A batch of long texts is passed on in pieces, as it is where nothing goes; texts come once, then without text."""
+    texts = [f"{i % 90} " * 20_000 for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"chunk": [0] * 200, "k1": [i % 90 for i in range(200)], "k2": [0] * 200, "text": texts})
+    got = list(C._first_of_each([batch]))
+    assert max(pa.compute.sum(pa.compute.binary_length(b.column("text"))).as_py() or 0 for b in got) <= C.PIECE_BYTES + 60_000
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [(r["k1"], r["text"]) for r in rows] == [(i, texts[i]) for i in range(90)] + [(i, None) for i in range(90)]
+    assert all(b.validate(full=True) is None and b.schema.names == ["chunk", "k1", "k2", "text"] for b in got)
