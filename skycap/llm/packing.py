@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skycap.llm import common as C
-from skycap.llm.bpe import Numbers, gathered, slices
+from skycap.llm.bpe import Numbers, gathered
 
 SIZE = 4096
 OPEN_WINDOWS = 64
@@ -39,7 +39,8 @@ END_ID = 2
 MERGE_PARTITIONS = 256
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHE_WORDS = 1_000_000
+#: Words that a worker keeps (about 80 MB).
+CACHE_WORDS = 400_000
 WORDS_A_CALL = 512
 
 
@@ -122,10 +123,9 @@ def _pack(spec, size: int, most: int, end_id: int):
         words = C.worker_slot(("words", spec.value), lambda: WordIds(spec.value))
         windows = OpenWindows(size, most, TaskContext.get().partitionId() << 32)
         for b in batches:
-            keys = b.column("doc_id")
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for lo, hi in slices(texts):
-                ids, counts = words.encode(texts[lo:hi])
+            keys, column = b.column("doc_id"), b.column("text")
+            for lo, hi in C.slices(column, C.PIECE_BYTES):  # only a slice's texts are copied
+                ids, counts = words.encode([t or "" for t in column.slice(lo, hi - lo).to_pylist()])
                 at = np.cumsum(counts)
                 ids = np.insert(ids, at, end_id).astype("<u4")
                 counts = counts + 1
@@ -146,6 +146,7 @@ def _pack(spec, size: int, most: int, end_id: int):
             zero = np.zeros(len(seq), np.int64)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(seq), keys.type), *map(pa.array, (zero - 1, size - room, zero, zero, seq, zero))],
                                              ["doc_id", *(c.split()[0] for c in PIECES.split(", "))])
+        C.give_back()
 
     return run
 

@@ -265,3 +265,25 @@ def test_unseen_words_fall_back():
     assert scorer.score_unseen("zqu").tolist() == [-3.0, -1.0]
     assert scorer.score_unseen("zq").tolist() == [-1.0, -2.0]
     assert scorer.score_unseen("zz").tolist() == [0.0, 0.0]
+
+
+def test_packing_copies_texts_by_slices(monkeypatch):
+    """A batch of many texts is not copied whole."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": lambda self: 0})())}))
+    text = "some words of a text " * 500
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array([f"{i} {text}" for i in range(1500)])], ["doc_id", "text"])
+    run = packing._pack(type("Shared", (), {"value": spec}), packing.SIZE, packing.OPEN_WINDOWS, packing.END_ID)
+    next(run(iter([batch.slice(0, 1)])))  # the tokenizer is there
+    tracemalloc.start()
+    try:
+        ids = sum(b.column("length").to_numpy()[b.column("start").to_numpy() >= 0].sum() for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert ids > 1500 * 2500 and peak < 22 << 20, peak
