@@ -401,3 +401,39 @@ def test_cells_by_strips():
             least[a] = least[b] = m
     stars = CE.forest_kernel(0.01)(q, c)
     assert dict(zip(stars.src, stars.dst)) == {i: m for i, m in least.items() if m != i}
+
+
+def _numbered(rnd, n, key, v, own):
+    return pd.DataFrame({key: rnd.permutation(n), "vec": list(v), "self": own, "f_region": rnd.integers(-1, 3, n), "f_season": -1,
+                         "f_temp": np.nan, "f_cond": -1, "f_cap1": np.arange(n), "f_cap2": 0})
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e8, 1e20])
+def test_single_precision_only_sifts(scale):
+    """Products that differ by less than single precision holds, copies, and lengths it holds no product of: ranks and
+    first ones are those of rounded double products."""
+    rnd = np.random.default_rng(3)
+    n = 1100
+    base = rnd.normal(size=(n, 16))
+    base[100:160] = base[100] + 1e-9 * rnd.normal(size=(60, 16))
+    base[200:230] = base[200]
+    x, y = base * scale, base + 0.3 * np.roll(base, 1, axis=1)
+    q, c = _numbered(rnd, n, "qid", x, 0.0), _numbered(rnd, n, "cid", y, 0.0)
+    cols = c.sort_values("cid")
+    sim = np.round(np.einsum("id,jd->ij", x, np.stack(cols.vec)), R.DECIMALS)
+    q["self"] = np.where(rnd.random(n) < 0.1, np.nan, sim[np.arange(n), rnd.integers(0, n, n)])
+    got = R._phase1_kernel(10, 0.8, [R.I2T], relevance=False)(q, c).set_index("qid")
+    ids = np.arange(n)
+    near = 1e-11 * max(1.0, scale)
+    for i, (qid, own) in enumerate(zip(q.qid, q.self)):
+        sure = ((sim[i] > own + near) & (ids != qid)).sum()
+        most = ((sim[i] > own - near) & (ids != qid)).sum()
+        assert sure <= got.better_self[qid] <= most
+        assert [-t["neg_sim"] for t in got.top[qid]] == pytest.approx(np.sort(sim[i])[::-1][:10], rel=1e-12, abs=1e-11)
+    pairs = R._Products(x, y)
+    assert pairs.a.dtype == (np.float64 if scale > 1e15 else np.float32)
+    exact, slack = x @ y.T, 1e-30
+    assert (np.abs(pairs.a.astype(float) @ pairs.b.astype(float).T - exact) <= pairs.row_err[:, None] + slack).all() or scale > 1e15
+    q["vec"] = list(x[rnd.permutation(n)])
+    best = q[["qid", "vec"]].assign(best_sim=q.self, best_cid=0)
+    assert len(R._phase2_kernel(best, c[["cid", "vec"]])) == n
