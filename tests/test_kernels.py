@@ -437,3 +437,15 @@ def test_single_precision_only_sifts(scale):
     q["vec"] = list(x[rnd.permutation(n)])
     best = q[["qid", "vec"]].assign(best_sim=q.self, best_cid=0)
     assert len(R._phase2_kernel(best, c[["cid", "vec"]])) == n
+
+
+def test_relevances_without_similarities(spark, samples, monkeypatch):
+    """What follows from the relevances alone is the same without a pass over all pairs of rows."""
+    feats, _ = samples
+    dirs = [R.I2T, R.T2I]
+    rows = lambda p: {(r.dir, r.qid): (r.ideal, r.pos_n, round(r.pos_sum, 9), r.pos_max) for r in p.collect()}
+    want = rows(R.ranked_partials(feats, dirs))
+    monkeypatch.setattr(R, "_phase1_kernel", None)
+    got = R.ranked_partials(feats, dirs, similarity=False)
+    assert rows(got) == want and len(want) == 2 * feats.count()
+    assert got.select("qid", "ideal").count() == len(want) and len(got.select("ideal").collect()) == len(want)
