@@ -5,16 +5,18 @@ numbers, found per kind from left to right without overlap.
 
 *Disclosure.*  A term of a text that holds a protected entity may give it away.
 Entities are the values themselves and what recurs where values do not: the domain
-of an e-mail address, the country and area digits of a phone number.  How much a term
-gives away follows from co-occurrence in the whole corpus: with N documents, n(c) of
-them holding entity c, and p the share of the term's documents that do, the pointwise
-mutual information log2(p * N / n(c)) is the part of c's information content
-log2(N / n(c)) that the term reveals.  For p stands its lower confidence bound
-(Wilson, ``Z`` standard errors), so that few chance meetings reveal little.  A term that
-reveals at least ``share`` of it for some entity, in ``min_texts`` different texts or
-more, exceeds the threshold: it is removed where all its documents hold the entity,
-else generalised to a placeholder - wherever it stands, in every text of the corpus.
-Words of one or two letters and runs of the letters a to f are no terms.
+of an e-mail address, the country and area digits of a phone number, and the kind of a
+value where nothing finer of that kind recurs.  How much a term gives away follows from
+co-occurrence in the whole corpus: with N documents, n(c) of them holding entity c, and p
+the share of the term's documents that do, the pointwise mutual information
+log2(p * N / n(c)) is the part of c's information content log2(N / n(c)) that the term
+reveals.  A term that reveals at least ``share`` of it for some entity, in ``min_texts``
+different texts or more, exceeds the threshold if so many meetings are no chance: over
+all recurring entities and all terms beside values, fewer than ``CHANCE`` pairs would meet
+so often if terms fell on documents at random (Chernoff's bound of the binomial tail).
+The term is removed where all its documents hold the entity, else generalised to a
+placeholder - wherever it stands, in every text of the corpus.  Words of one or two
+letters and runs of the letters a to f are no terms.
 
 Column functions only.  Document frequencies come from all documents: each
 task sums its terms before the shuffle.  Texts that hold a value are few; pairs
@@ -33,6 +35,8 @@ inside the one before.  No rows give no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +55,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
-#: Standard errors below the observed share at which a term is judged.
-Z = 2.58
+#: Pairs of entity and term that may pass by chance, expected over the whole corpus.
+CHANCE = 0.01
 #: Spans that are laid out together.
 PIECE = 256
 
@@ -181,16 +185,17 @@ def _lower_words(text: Column) -> Column:
 
 
 def _entities(spans: str) -> Column:
-    """Entities that the spans of a text stand for, each once: values, e-mail domains, phone areas."""
+    """Entities that the spans of a text stand for, each once: values, kinds, e-mail domains, phone areas."""
     def named(kind, what):
         return F.concat_ws(":", kind.cast("string"), what)
 
+    kinds = F.transform(spans, lambda s: named(s["kind"], F.lit("")))
     values = F.transform(spans, lambda s: named(s["kind"], s["value"]))
     email = F.transform(F.filter(spans, lambda s: s["kind"] == KINDS.index("email")),
                         lambda s: named(s["kind"], F.concat(F.lit("@"), F.lower(F.substring_index(s["value"], "@", -1)))))
     phone = F.transform(F.filter(spans, lambda s: s["kind"] == KINDS.index("phone")),
                         lambda s: named(s["kind"], F.concat(F.lit("+"), F.substring(_digits(s["value"]), 1, 4))))
-    return F.array_distinct(F.concat(values, email, phone))
+    return F.array_distinct(F.concat(kinds, values, email, phone))
 
 
 def scored_terms(docs: DataFrame, text: str = "text", share: float = SHARE, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -204,8 +209,12 @@ def scored_terms(docs: DataFrame, text: str = "text", share: float = SHARE, min_
     # equal texts have equal entities and terms: one row with their number
     holders = C.written(rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"),
                                                      F.first("terms").alias("terms")), "pii-holders")
-    held = holders.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(
-        F.count("*").alias("texts"), F.sum("copies").alias("n_entity")).where(F.col("texts") >= min_texts).drop("texts")
+    held = C.written(holders.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(
+        F.count("*").alias("texts"), F.sum("copies").alias("n_entity")).where(F.col("texts") >= min_texts).drop("texts"), "pii-entities")
+    # a kind stands for its values only where none of them, nor a domain or area, recurs
+    is_kind = F.length("entity") == 2
+    finer = [r.kind for r in held.where(~is_kind).select(F.substring("entity", 1, 2).alias("kind")).distinct().collect()]
+    held = held.where(~(is_kind & F.col("entity").isin(finer))) if finer else held
     recurring = holders.select("k1", "k2", F.explode("entities").alias("entity")).join(held, "entity")
     pairs = recurring.join(holders.select("k1", "k2", "copies", "terms"), ["k1", "k2"]).select(
         "entity", "n_entity", "copies", F.explode("terms").alias("term")).where("term != ''")
@@ -213,14 +222,15 @@ def scored_terms(docs: DataFrame, text: str = "text", share: float = SHARE, min_
                                                 F.first("n_entity").alias("n_entity")).where(F.col("texts") >= min_texts)
     # document frequency of every term of the corpus, summed per task before the shuffle
     freq = keyed.select(F.explode(_lower_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    # lower bound of the share of the term's texts that hold the entity; copies of a text are one observation
-    share_of = F.col("n_both") / F.col("n_term")
-    seen = F.col("texts") / share_of
-    bound = (share_of + Z * Z / (2 * seen) - Z * F.sqrt(share_of * (1 - share_of) / seen + Z * Z / (4 * seen * seen))) / (1 + Z * Z / seen)
-    scored = joint.join(freq, "term").withColumn(
-        "information", F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))).withColumn(
-        "revealed", F.log2(F.greatest(bound, F.lit(1e-300)) * F.lit(float(total)) / F.col("n_entity"))).withColumn("whole", share_of >= 1)
-    over = scored.where((F.col("information") > 0) & (F.col("revealed") >= share * F.col("information"))).groupBy("term").agg(
+    # pairs that might meet by chance, and the entropy of the share of the term's texts that hold the entity
+    # against that of all; copies of a text are one observation
+    beside = holders.select(F.explode("terms").alias("term")).where("term != ''").distinct().count()
+    most = math.log(max(1, held.count() * beside) / CHANCE)
+    p, q = F.col("n_both") / F.col("n_term"), F.col("n_entity") / F.lit(float(max(total, 1)))
+    entropy = p * F.ln(p / q) + F.when(p < 1, (1 - p) * F.ln((1 - p) / (1 - q))).otherwise(0.0)
+    scored = joint.join(freq, "term").where(p > q).withColumn("information", -F.log2(q)).withColumn("revealed", F.log2(p / q)).withColumn(
+        "evidence", F.col("texts") / p * entropy).withColumn("whole", p >= 1)
+    over = scored.where((F.col("evidence") >= most) & (F.col("revealed") >= share * F.col("information"))).groupBy("term").agg(
         F.max(F.when(F.col("whole"), F.lit(1.0)).otherwise(F.least(F.lit(0.999), F.col("revealed") / F.col("information")))).alias("part"))
     return C.written(over, "pii-terms")
 

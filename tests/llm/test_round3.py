@@ -50,6 +50,23 @@ def test_terms_that_disclose(spark):
     assert not any("Quillonimus" in t for t in out.values()) and out[len(rows) - 1].endswith("came without any address")
 
 
+def test_terms_beside_values_that_never_recur(spark):
+    """No address, domain or area stands twice: a name beside addresses is found by their kind, rare words that
+    met some by chance are not; once a domain recurs, the kind stands for nothing."""
+    rnd = np.random.default_rng(3)
+    letters = np.array(list("ghijklmnopqrstuvwxyz"))
+    rare = ["".join(rnd.choice(letters, 8)) for _ in range(300)]
+    rows = []
+    for i in range(1500):
+        near = f" p{i}@host{i}.org" if i % 5 == 0 else ""
+        rows.append(f"plain words {rare[rnd.integers(300)]} {rare[rnd.integers(300)]}{near} end {i}")
+    rows += [f"plain words of Quillonimus at q{i}@far{i}.org end" for i in range(14)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.term for r in pii.scored_terms(df).collect()} == {"quillonimus"}
+    again = spark.createDataFrame([(5000 + i, f"plain words z{i}@same.org end") for i in range(3)], df.schema)
+    assert {r.term for r in pii.scored_terms(df.unionByName(again)).collect()} == set()
+
+
 def test_long_texts_of_quality(edge, small, monkeypatch):
     """Texts beyond the packed positions are measured alike."""
     want = {tuple(r) for r in quality.quality(small).select("doc_id", "n_repeat_words", "kept").collect()}
