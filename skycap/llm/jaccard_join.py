@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from skycap.llm import common as C
 from skycap.llm import components as CC
-from skycap.llm.components import connected_components
+from skycap.llm.components import connected_components, merge_join
 
 BLOCK_SETS = 4096
 BLOCK_ITEMS = 4 << 20
@@ -264,7 +264,7 @@ def linked_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     # groups: stars within inverted lists, then connected components
     rows = sets.where(F.col("prefix").isNotNull()).select("node", "prefix").mapInArrow(_prefix_rows, "shingle long, node long")
     least = rows.groupBy("shingle").agg(F.min("node").alias("dst"), F.count("*").alias("m")).where("m > 1").drop("m")
-    stars = rows.join(least, "shingle").select(F.col("node").alias("src"), "dst").where("src != dst").distinct()
+    stars = merge_join(rows, least, "shingle").select(F.col("node").alias("src"), "dst").where("src != dst").distinct()
     stars = C.written(stars, "jaccard-stars")
     ends = stars.select(F.col("src").alias("id")).unionByName(stars.select(F.col("dst").alias("id"))).distinct()
     groups = connected_components(ends, stars).withColumnRenamed("comp", "group")
@@ -273,21 +273,21 @@ def linked_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     k1, k2, _ = C.keyed_text(text)
     ids = docs.select(F.col(doc_id).alias("doc_id"), k1, k2)
     nodes = C.written(
-        sets.select("k1", "k2", "node", "n_shingles").join(
-            ids.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), ["k1", "k2"]),
+        merge_join(sets.select("k1", "k2", "node", "n_shingles"),
+                   ids.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), ["k1", "k2"]),
         "jaccard-nodes")
 
     # blocks of each group by hash, pairs of blocks as units
-    members = sets.where(F.col("prefix").isNotNull()).select("node", "items").join(
-        groups.withColumnRenamed("id", "node"), "node").join(nodes.select("node", "copies"), "node")
-    sizes = groups.join(sets.select(F.col("node").alias("id"), "n_shingles"), "id").groupBy("group").agg(
+    members = merge_join(merge_join(sets.where(F.col("prefix").isNotNull()).select("node", "items"),
+                                    groups.withColumnRenamed("id", "node"), "node"), nodes.select("node", "copies"), "node")
+    sizes = merge_join(groups, sets.select(F.col("node").alias("id"), "n_shingles"), "id").groupBy("group").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_ITEMS)).alias("blocks"),
         F.count("*").alias("sets"), F.sum("n_shingles").alias("items"))
     # small groups share a block: sets of different groups have no prefix shingle in common and so no link
     small = sizes.where("blocks = 1").agg(F.sum("sets"), F.sum("items")).first()
     bins = max(1, *(-(-2 * (x or 0) // most) for x, most in zip(small, (BLOCK_SETS, BLOCK_ITEMS))))
     unit = F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("group"), F.lit(bins))).otherwise(F.col("group"))
-    placed = members.join(sizes.select("group", "blocks"), "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    placed = merge_join(members, sizes.select("group", "blocks"), "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     units = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         unit.alias("group"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "node", "copies", "block", "items")
     parts = C.written(units.groupBy("group", "a", "b").applyInArrow(_join_unit(percent), UNIT), "jaccard-links")
@@ -301,9 +301,9 @@ def linked_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         edges = C.written(split.where("src != dst").distinct(), "jaccard-seams")
         ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
         whole = connected_components(ends, edges)
-        labels = labels.join(whole.withColumnRenamed("id", "node"), "node", "left").select(
+        labels = merge_join(labels, whole.withColumnRenamed("id", "node"), "node", "left").select(
             "node", "n_links", F.coalesce("comp", "label").alias("label"))
-    return nodes.join(labels.select("node", "n_links", "label"), "node", "left").select(
+    return merge_join(nodes, labels.select("node", "n_links", "label"), "node", "left").select(
         "k1", "k2", "n_shingles", "least",
         F.when(F.col("n_shingles") == 0, 0).otherwise(F.coalesce("n_links", F.col("copies") - 1)).alias("n_links"),
         F.coalesce("label", "node").alias("label"))
@@ -318,5 +318,5 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     ids = docs.select(F.col(doc_id).alias("doc_id"), k1, k2)
     first = full.groupBy("label").agg(F.min("least").alias("component_id"))
     out = CC.salted_join(full, first, "label", "k1").select("k1", "k2", "n_shingles", "n_links", "component_id")
-    return ids.join(out, ["k1", "k2"]).select(
+    return merge_join(ids, out, ["k1", "k2"]).select(
         "doc_id", "n_shingles", "n_links", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -149,3 +149,15 @@ def test_first_of_each_in_pieces():
     rows = [r for b in got for r in b.to_pylist()]
     assert [(r["k1"], r["text"]) for r in rows] == [(i, texts[i]) for i in range(90)] + [(i, None) for i in range(90)]
     assert all(b.validate(full=True) is None and b.schema.names == ["chunk", "k1", "k2", "text"] for b in got)
+
+
+def test_joins_of_growing_tables_are_not_broadcast(spark):
+    """Spark takes the side that explode lays out 32 times, and tables that compress well, for small ones."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    many, one = spark.range(1000).select(F.col("id").alias("key"), "id"), spark.range(1000).select(F.col("id").alias("key"))
+    for how in ("inner", "left"):
+        df = components.salted_join(many, one, "key", "id", how)
+        assert "Broadcast" not in plan(df) and df.count() == 1000
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i // 2}") for i in range(40)], "doc_id long, text string")
+    out = jaccard_join.jaccard_join(docs)
+    assert "Broadcast" not in plan(out) and {r.n_links for r in out.collect()} == {1}
