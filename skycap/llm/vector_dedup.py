@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skycap.llm import common as C
-from skycap.llm.components import connected_components
+from skycap.llm.components import connected_components, merge_join
 
 BLOCK = 2048
 SAMPLE = 20_000
 PER_CELL = 2048
 QUERIES = 1024
+#: Rows that a task hands on at once.
+ROWS = 8192
 
 
 def unit_rows(column: pa.Array, size: int) -> np.ndarray:
@@ -127,6 +129,12 @@ def _deal(units, centres, margin_of, angle: float):
                     x = unit_rows(emb.take(pa.array(part)), int(d))
                     for i, row in zip(part, later_cells(x, cells[part], c, reach, margin_of(int(d)), angle)):
                         near[i] = np.flatnonzero(row).tolist()
+            def out(at, unit, kind):
+                rows = pa.array(at)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(unit, pa.int64()), pa.array(kind, pa.int64()), *(b.column(c).take(rows) for c in ("id", "copies", "emb"))],
+                    ["unit", "kind", "id", "copies", "emb"])
+
             at, unit, kind = [], [], []
             for i, (d, cell, h) in enumerate(zip(dims.tolist(), cells.tolist(), b.column("hash").to_pylist())):
                 n = blocks[d, cell]
@@ -137,11 +145,11 @@ def _deal(units, centres, margin_of, angle: float):
                 at += [i] * len(targets)
                 unit += targets
                 kind += [0] + [1] * (len(targets) - 1)
-            if len(dims):
-                rows = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(unit, pa.int64()), pa.array(kind, pa.int64()), *(b.column(c).take(rows) for c in ("id", "copies", "emb"))],
-                    ["unit", "kind", "id", "copies", "emb"])
+                while len(at) >= ROWS:  # a vector's copies grow with the units
+                    yield out(at[:ROWS], unit[:ROWS], kind[:ROWS])
+                    del at[:ROWS], unit[:ROWS], kind[:ROWS]
+            if at:
+                yield out(at, unit, kind)
 
     return run
 
@@ -194,7 +202,7 @@ def _compare(least: float):
     def finish(u: _Unit):
         u.close()
         joined = [(int(i), int(r)) for i, r in zip(u.id, u.id[u.label]) if i != r]
-        return table(u.id, u.count, u.edges + joined)
+        return table(u.id, u.count, joined)
 
     def run(batches):
         unit, now = None, None
@@ -218,7 +226,9 @@ def _compare(least: float):
                     continue
                 if unit.x is None:
                     yield from own(unit)
-                yield table(ids, links(unit, x, ids, weight, False), [])
+                counts = links(unit, x, ids, weight, False)
+                yield table(ids, counts, unit.edges)  # now: a unit may meet links to all vectors
+                unit.edges = []
         if unit is not None:
             yield from close(unit)
 
@@ -280,7 +290,7 @@ def vector_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     edges = found.where("dst is not null").select(F.col("id").alias("src"), "dst").distinct()
     ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     comps = connected_components(ends, edges)
-    result = reps.select("k1", "k2", "id", "copies").join(counts, "id").join(comps, "id", "left").select(
+    result = merge_join(merge_join(reps.select("k1", "k2", "id", "copies"), counts, "id"), comps, "id", "left").select(
         "k1", "k2", (F.col("n_links") + F.col("copies") - 1).alias("n_links"), F.coalesce("comp", "id").alias("component_id"))
     out = keyed.select("id", "fine", F.when(F.col("fine"), F.col("k1")).alias("k1"), F.when(F.col("fine"), F.col("k2")).alias("k2"))
     # rows that link with nothing have a null key and pass the outer join alone

@@ -4,6 +4,8 @@ import time
 
 import brute
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import pytest
 
 import corpus_pipeline
@@ -197,3 +199,33 @@ def test_pipeline_of_nothing(spark, sf, small):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+class _Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_vector_dedup_hands_on_a_bounded_number_of_rows():
+    """A batch of vectors that meet 900 blocks each leaves in parts, and links to all vectors do not pile up in a unit."""
+    rnd = np.random.default_rng(4)
+    n, blocks = 100, 900
+    x = rnd.normal(size=(n, 4))
+    c = np.eye(4)[:1]
+    batch = pa.RecordBatch.from_pydict({
+        "id": pa.array(range(n), pa.int64()), "emb": pa.array(x.tolist(), pa.list_(pa.float64())), "copies": pa.array([1] * n, pa.int64()),
+        "dim": pa.array([4] * n, pa.int64()), "cell": pa.array([0] * n, pa.int64()), "hash": pa.array(range(0, 7 * n, 7), pa.int64())})
+    deal = vector_dedup._deal(_Sent(({(4, 0): 5}, {(4, 0): blocks}, {(4, 0): 0.5})), _Sent({4: c}), lambda d: 1.0, 0.4)
+    out = list(deal([batch]))
+    assert len(out) > 1 and max(b.num_rows for b in out) <= vector_dedup.ROWS
+    rows = [r for b in out for r in zip(*(b.column(k).to_pylist() for k in ("unit", "kind", "id")))]
+    assert rows == [(5 + u, int(u > 7 * i % blocks), i) for i in range(n) for u in range(7 * i % blocks, blocks)]
+
+    one = lambda lo, hi, kind: pa.RecordBatch.from_pydict({
+        "unit": pa.array([0] * (hi - lo), pa.int64()), "kind": pa.array([kind] * (hi - lo), pa.int64()),
+        "id": pa.array(range(lo, hi), pa.int64()), "copies": pa.array([1] * (hi - lo), pa.int64()),
+        "emb": pa.array([[1.0, 0.0]] * (hi - lo), pa.list_(pa.float64()))})
+    found = list(vector_dedup._compare(0.9)([one(0, 10, 0), one(10, 1010, 1), one(1010, 2010, 1)]))
+    edges = [b.num_rows - b.column("dst").null_count for b in found]
+    assert edges == [1000, 1000, 9]  # with each batch, not all at the end
+    assert sum(b.filter(pa.compute.equal(b.column("id"), 0)).column("n_links")[0].as_py() for b in found[-1:]) == 2009
