@@ -449,3 +449,23 @@ def test_relevances_without_similarities(spark, samples, monkeypatch):
     got = R.ranked_partials(feats, dirs, similarity=False)
     assert rows(got) == want and len(want) == 2 * feats.count()
     assert got.select("qid", "ideal").count() == len(want) and len(got.select("ideal").collect()) == len(want)
+
+
+def test_full_ranking_has_every_candidate(spark, sf):
+    """w01: every candidate of every query, best first, equal ones by id; blocks of 16 rows."""
+    from skycap.plans import q_retrieval
+    rnd = np.random.default_rng(8)
+    x, y = rnd.normal(size=(60, 5)), rnd.normal(size=(60, 5))
+    y[7] = y[3] = y[41]  # ties
+    ids = [int(i) for i in rnd.permutation(1000)[:60]]
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, a, b in zip(ids, x, y)], "idx long, image_emb array<double>, text_emb array<double>")
+    want = []
+    for i, a in zip(ids, x):
+        best = sorted((-round(float(a @ b), 12), c) for b, c in zip(y, ids))
+        want += [(i, r, c) for r, (_, c) in enumerate(best, 1)]
+    got = R.full_ranking(df, block_rows=16).collect()
+    assert sorted((r.qid, r["rank"], r.cid) for r in got) == sorted(want)
+    t2i = R.full_ranking(df, R.T2I, block_rows=16).where("rank = 60").collect()
+    assert len(t2i) == 60 and all(r.cid == min((float(y[ids.index(r.qid)] @ a), i) for a, i in zip(x, ids))[1] for r in t2i)
+    n = derive.emb_samples(spark, sf).count()
+    assert q_retrieval.w01(spark, sf).agg(F.count("*"), F.max("rank")).first() == (n * n, n)
