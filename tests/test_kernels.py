@@ -469,3 +469,22 @@ def test_full_ranking_has_every_candidate(spark, sf):
     assert len(t2i) == 60 and all(r.cid == min((float(y[ids.index(r.qid)] @ a), i) for a, i in zip(x, ids))[1] for r in t2i)
     n = derive.emb_samples(spark, sf).count()
     assert q_retrieval.w01(spark, sf).agg(F.count("*"), F.max("rank")).first() == (n * n, n)
+
+
+def test_kmeans_pass_adds_up_in_slices(spark, monkeypatch):
+    """Sums, sizes and costs of several models from slices of 7 numbers; of equally near centres the first."""
+    from skycap.operators import lloyd as LL
+    monkeypatch.setattr(LL, "SLICE", 7)
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(200, 4)).round(1)
+    models = {5: x[:3].copy(), 2: x[[4, 4, 9]].copy(), 9: x[20:21].copy(), 30: x[30:36].copy()}
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(5)
+    got = LL._pass(df, models)
+    assert list(got) == list(models)
+    for m, c in models.items():
+        d2 = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        label = d2.argmin(axis=1)
+        sums, sizes, cost = got[m]
+        assert sizes.tolist() == np.bincount(label, minlength=len(c)).tolist() and cost == pytest.approx(d2.min(axis=1).sum())
+        assert np.allclose(sums, [x[label == j].sum(axis=0) for j in range(len(c))])
+    assert [s.tolist() for s in LL._pass(df.where("false"), models)[5][:2]] == [[[0.0] * 4] * 3, [0] * 3]
